@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import line_dedup, mixing, packing, sharding
-
-_QUERIES = (line_dedup.op1_line_dedup, sharding.op4_resharding, mixing.op9_mixing, packing.op10_packing)
+from driftline.llm import fingerprints, line_dedup, mixing, packing, quality, sharding, simhash_dedup
+
+_QUERIES = (
+    line_dedup.op1_line_dedup,
+    fingerprints.op3_fingerprints,
+    sharding.op4_resharding,
+    simhash_dedup.op6_simhash_near_dedup,
+    quality.op7_quality_classifier,
+    mixing.op9_mixing,
+    packing.op10_packing,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
