@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import fingerprints, line_dedup, mixing, packing, quality, sharding, simhash_dedup
+from driftline.llm import fingerprints, line_dedup, mixing, packing, quality, sharding, simhash_dedup, vector_dedup
 
 _QUERIES = (
     line_dedup.op1_line_dedup,
     fingerprints.op3_fingerprints,
     sharding.op4_resharding,
+    vector_dedup.op5_vector_near_dedup,
     simhash_dedup.op6_simhash_near_dedup,
     quality.op7_quality_classifier,
     mixing.op9_mixing,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_vector_near_dedup": vector_dedup.SQL}
