@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import fingerprints, line_dedup, mixing, packing, quality, sharding, simhash_dedup, vector_dedup
+from driftline.llm import fingerprints, line_dedup, mixing, packing, quality, sharding, simhash_dedup, substring_dedup, vector_dedup
 
 _QUERIES = (
     line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ _QUERIES = (
     vector_dedup.op5_vector_near_dedup,
     simhash_dedup.op6_simhash_near_dedup,
     quality.op7_quality_classifier,
+    substring_dedup.op8_substring_dedup,
     mixing.op9_mixing,
     packing.op10_packing,
 )
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_vector_near_dedup": vector_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_vector_near_dedup": vector_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL}
