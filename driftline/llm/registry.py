@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import fingerprints, line_dedup, mixing, packing, quality, sharding, simhash_dedup, substring_dedup, vector_dedup
+from driftline.llm import fingerprints, line_dedup, lm, mixing, packing, quality, sharding, simhash_dedup, substring_dedup, vector_dedup
 
 _QUERIES = (
     line_dedup.op1_line_dedup,
+    lm.op2_language_model,
     fingerprints.op3_fingerprints,
     sharding.op4_resharding,
     vector_dedup.op5_vector_near_dedup,
