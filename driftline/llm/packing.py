@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from driftline.llm.common import pieces_of, stable, table
 
 _TOKENIZERS: dict = {}
-#: Two white-space characters together, or one at an end: such a text is encoded in one go.
-_RUNS = re.compile(r"\s\s|^\s|\s$")
-_CHUNK = re.compile(r" ?\S+|\s")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,32 +24,51 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of chunks met before.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of words met before.
 
-    The tokenizer never joins what stands on both sides of a space, so a text without runs of white space is encoded
-    chunk by chunk and each chunk's ids are looked up; the tokenizer only sees chunks that are new to this worker.
+    The tokenizer never joins what stands on both sides of a single space or line feed, and keeps a space with the word
+    after it. So a text whose gaps are all of that kind is encoded word by word and each word's ids are looked up; the
+    tokenizer only sees words that are new to this worker. Any other text is encoded in one go.
     """
 
-    def __init__(self, path: str, chunks: int = 400_000):
+    def __init__(self, path: str, words: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.chunks = chunks
+        self.words = words
+        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.later: dict[str, bytes] = {}  # words after a space
+        self.feed = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.chunks:
-            known.clear()
-        cut = [None if _RUNS.search(t) else _CHUNK.findall(t) for t in texts]
-        new = list({c for chunks in cut if chunks for c in chunks if c not in known})
-        known.update(zip(new, self.whole(new), strict=True))
-        return [self.whole([t])[0] if chunks is None else b"".join([known[c] for c in chunks]) for t, chunks in zip(texts, cut, strict=True)]
+        first, later = self.first, self.later
+        if len(first) + len(later) > self.words:
+            first.clear()
+            later.clear()
+        cut = []
+        for t in texts:
+            w = t.split()
+            gaps = len(w) - 1
+            plain = w and sum(map(len, w)) + gaps == len(t) and t.count(" ") + t.count("\n") == gaps
+            cut.append([line.split(" ") for line in t.split("\n")] if plain else None)
+        lines = [line for x in cut if x for line in x]
+        new = list({line[0] for line in lines}.difference(first))
+        first.update(zip(new, self.whole(new), strict=True))
+        new = list({w for line in lines for w in line[1:]}.difference(later))
+        later.update(zip(new, self.whole([" " + w for w in new]), strict=True))
+        get, feed = later.__getitem__, self.feed
+        out = []
+        for t, x in zip(texts, cut, strict=True):
+            if x is None:
+                out.append(self.whole([t])[0])
+            else:
+                out.append(feed.join([first[line[0]] + b"".join(map(get, line[1:])) for line in x]))
+        return out
 
 
 def encoder(path: str) -> Encoder:
