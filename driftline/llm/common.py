@@ -6,6 +6,7 @@ import math
 import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,16 @@ def id_crc(c: Column) -> Column:
 
 def stable(df: DataFrame) -> DataFrame:
     """df, written to the session's checkpoint folder and read from there by all that follows."""
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; where none is set, as in tests on one machine, a new temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftline-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def pieces_of(rows: int, each: int) -> int:
@@ -97,12 +104,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = stable(ends(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct())
     said = None
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = ends(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        e = stable(ends(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct())
+        turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = e.select(F.explode(F.array(F.struct("a", "b"), turned)).alias("x")).select("x.a", "x.b")
+        least = both.groupBy(F.col("a").alias("k")).agg(F.least(F.col("k"), F.min("b")).alias("m"))
+        # every larger neighbour of a node hangs on the smallest around it
+        large = e.join(least, F.col("b") == F.col("k")).select("a", F.col("m").alias("b")).distinct()
+        least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
+        # of a node's smaller neighbours all but the smallest hang on that one, and so does the node
+        over = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
+        e = stable(large.join(least, F.col("a") == F.col("k")).select(over.alias("a"), F.col("m").alias("b")).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == said:
             break
@@ -111,3 +121,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component, given pairs a[i], b[i] of 0..n-1."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import ascii_lower, components, hex16, shingles, stable, table, vote_sums, voted
+from driftline.llm.common import ascii_lower, components, hex16, local_roots, shingles, stable, table, vote_sums, voted, words
 
 
 def fingerprints(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,7 +46,12 @@ class Segments:
     def probes(self, fps: DataFrame) -> DataFrame:
         """(fp, s, q, key): q is fp, or fp with one bit of segment s turned; a Hamming ball of radius 1 a segment."""
         long = lambda v: F.lit(v).cast("long")
-        turns = [F.transform(F.array(*[long(0), *[long(_mask([b])) for b in bits]]), lambda m, s=s: F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseXOR(m).alias("q"))) for s, bits in enumerate(self.bits)]
+
+        def turned(s: int) -> Column:
+            masks = F.array(long(0), *[long(_mask([b])) for b in self.bits[s]])
+            return F.transform(masks, lambda m: F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseXOR(m).alias("q")))
+
+        turns = [turned(s) for s in range(len(self.bits))]
         each = fps.select("fp", F.explode(F.concat(*turns)).alias("x")).select("fp", "x.s", "x.q")
         key = F.coalesce(*[F.when(F.col("s") == s, self.key(F.col("q"), s)) for s in range(len(self.bits))])
         return each.withColumn("key", key)
@@ -103,22 +113,125 @@ def groups(docs: DataFrame, k: int, radius: int = 4, key: str = "doc_id", text:
     return fps.join(roots.join(label, "root").select("fp", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, k: int = 5, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the smallest id. All columns stay."""
-    found = stable(groups(docs, k, radius, key, text))
-    # a group's row with the smallest id; if that id stands on several texts, the one with the smallest hash; a group
-    # without ids is known by its text
-    win = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("t")).alias("own")).agg(F.min(F.struct(F.col("d").isNull().alias("no"), F.col("d"), "t")).alias("x"))
-    win = win.select(F.col("x.d").alias("_d"), F.col("x.t").alias("_t"))
-    copies = found.where("copies > 1").select(F.col("d").alias("_d"), F.col("t").alias("_t"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = lambda side: rows[key].eqNullSafe(side["_d"]) & (rows["_text_hash"] == side["_t"])
-    if copies.isEmpty():
-        return rows.join(win, same(win), "left_semi").drop("_text_hash")
-    once = win.join(copies, win["_d"].eqNullSafe(copies["_d"]) & (win["_t"] == copies["_t"]), "left_anti")
-    more = win.join(copies, win["_d"].eqNullSafe(copies["_d"]) & (win["_t"] == copies["_t"]), "left_semi")
-    one = rows.join(once, same(once), "left_semi")
-    return one.unionByName(rows.join(more, same(more), "left_semi").dropDuplicates([key, "_text_hash"])).drop("_text_hash")
+def _wide(k: int, hashes: int):
+    """Per text: two words of majority bits over its distinct words, then `hashes` words over its distinct k-word
+    shingles."""
+
+    def bits(h: np.ndarray, n: int) -> list[int]:
+        if not len(h):
+            return [0] * n
+        with np.errstate(over="ignore"):
+            each = np.stack([_mixed(h + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) for i in range(n)], 1)
+        votes = np.zeros(64 * n, np.int64)
+        for at in range(0, len(each), 4096):
+            votes += np.unpackbits(each[at : at + 4096].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        return np.packbits(2 * votes > len(h), bitorder="little").view(np.int64).tolist()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for x in pdf["w"]:
+                x = np.asarray(x, np.int64).view(np.uint64)
+                runs = np.zeros(max(0, min(len(x), len(x) - k + 1)) or min(1, len(x)), np.uint64)
+                with np.errstate(over="ignore"):
+                    for i in range(min(k, len(x))):
+                        runs = _mixed(runs * np.uint64(0x9FB21C651E98DF25) + x[i : i + len(runs)])
+                out.append(bits(np.unique(x), 2) + bits(np.unique(runs), hashes))
+            names = [f"f{i}" for i in range(2 + hashes)]
+            yield pd.concat([pdf[["d", "t"]].reset_index(drop=True), pd.DataFrame(np.asarray(out, np.int64).reshape(-1, len(names)), columns=names)], axis=1).astype({"d": "Int64"})
+
+    return run
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes: int = 4, segments: int = 6, crowd: int = 64, block: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(d, t, copies, component_id): groups of texts whose sets of k-word shingles have a Jaccard similarity of about
+    `similarity` or more, by SimHash; A-Z count as lower case.
+
+    Candidates come from 128 bits over the distinct words, of which even a text with all its shingles touched keeps
+    most: each segment of about 21 bits is looked up with the ball of radius 1 around it. They are verified by the whole
+    distance of 64 * hashes bits over the shingles: at that similarity the angle between two sets is known, and two
+    standard deviations above the distance it gives still link. Texts equal in all bits are one node. A key under which
+    more than `crowd` nodes stand is compared in blocks, from which only a tree of the links comes back, never a pair a
+    link. Null texts and ids as in `groups`.
+    """
+    names = [f"f{i}" for i in range(2 + hashes)]
+    body = F.coalesce(F.col(text), F.lit(""))
+    hashed = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(body).alias("t"), F.transform(words(ascii_lower(body)), lambda w: F.xxhash64(w)).alias("w"))
+    fps = hashed.mapInPandas(_wide(k, hashes), "d long, t long, " + ", ".join(f"{c} long" for c in names))
+    fps = stable(fps.groupBy("d", "t", *names).agg(F.count("*").alias("copies")))
+    nodes = stable(fps.groupBy(*names).agg(F.min("d").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    n = 64 * hashes
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.floor(n * share + 2 * math.sqrt(n * share * (1 - share)))
+    cuts = [round(i * 128 / segments) for i in range(segments + 1)]
+    long = lambda v: F.lit(v).cast("long")
+
+    def asked(s: int) -> Column:
+        """The keys of segment s: its own, then those with one bit turned."""
+        at = range(cuts[s], cuts[s + 1])
+        own = [F.col(f"f{w}").bitwiseAND(long(_mask([b - 64 * w for b in at if b // 64 == w]))) for w in (0, 1)]
+        turn = F.array(*[F.struct(*[long(_mask([b - 64 * w]) if b is not None and b // 64 == w else 0).alias(f"m{w}") for w in (0, 1)]) for b in (None, *at)])
+        key_ = lambda m: F.xxhash64(F.lit(s), own[0].bitwiseXOR(m["m0"]), own[1].bitwiseXOR(m["m1"])).alias("key")
+        return F.transform(turn, lambda m: F.struct(key_(m), ((m["m0"] == 0) & (m["m1"] == 0)).alias("entry")))
+
+    asks = [asked(s) for s in range(segments)]
+    each = nodes.select("node", *names, F.explode(F.concat(*asks)).alias("x")).select("node", *names[2:], "x.key", "x.entry")
+    entries = each.where("entry").drop("entry")
+    counts = stable(entries.groupBy("key").agg(F.count("*").alias("e")))
+    few = entries.join(counts.where(F.col("e") <= crowd).select("key"), "key").withColumnsRenamed({c: f"_{c}" for c in ("node", *names[2:])})
+    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in names[2:]), F.lit(0))
+    pairs = each.drop("entry").join(few, (each["key"] == few["key"]) & (F.col("node") != F.col("_node")) & (far <= most)).select(F.col("node").alias("a"), F.col("_node").alias("b"))
+    crowded = counts.where(F.col("e") > crowd)
+    many = each.join(crowded.select("key"), "key")
+    sizes = many.groupBy("key").agg(F.ceil(F.sum(F.col("entry").cast("int")) / block).cast("int").alias("e"), F.ceil(F.count("*") / (2 * block)).cast("int").alias("q"))
+    many = many.join(sizes, "key")
+    part = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    # every node asks all blocks of entries; an entry stands in its own block for all blocks of askers
+    as_ask = many.select("key", "node", *names[2:], F.lit(False).alias("entry"), F.explode(F.sequence(F.lit(0), F.col("e") - 1)).alias("eb"), part("q").alias("qb"))
+    as_entry = many.where("entry").select("key", "node", *names[2:], F.lit(True).alias("entry"), part("e").alias("eb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"))
+
+    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
+        e, q = pdf[pdf["entry"]], pdf[~pdf["entry"]]
+        x, y = e[names[2:]].to_numpy(np.int64), q[names[2:]].to_numpy(np.int64)
+        ids, at = np.unique(np.concatenate([e["node"], q["node"]]), return_inverse=True)
+        left, right = [], []
+        for lo in range(0, len(y), 256):
+            d = np.zeros((len(y[lo : lo + 256]), len(x)), np.int64)
+            for j in range(x.shape[1]):
+                d += np.bitwise_count(y[lo : lo + 256, j, None] ^ x[None, :, j])
+            i, j = np.nonzero(d <= most)
+            left.append(at[len(x) + lo + i])
+            right.append(at[j])
+        root = local_roots(np.concatenate(left), np.concatenate(right), len(ids)) if left else np.arange(len(ids))
+        keep = root != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[keep], "b": ids[root[keep]]})
+
+    trees = as_ask.unionByName(as_entry).groupBy("key", "eb", "qb").applyInPandas(matched, "a long, b long")
+    found = components(pairs.unionByName(trees))
+    roots = stable(nodes.join(found, "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root")))
+    label = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(label, "root").select(*names, "component_id", "root")
+    return fps.join(named, names).select("d", "t", "copies", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of found: the one with the smallest id (of several texts with that id, the one
+    with the smallest hash; ids before nulls). All columns stay."""
+    win = stable(found.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("no"), "d", "t", "copies")).alias("x")))
+    win = win.select(F.col("x.d").alias("_d"), F.col("x.t").alias("_t"), F.col("x.copies").alias("_copies"))
+    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    semi = lambda w: rows.join(w, rows[key].eqNullSafe(w["_d"]) & (rows["_hash"] == w["_t"]), "left_semi")
+    more = win.where("_copies > 1")
+    if more.isEmpty():
+        return semi(win).drop("_hash")
+    return semi(win.where("_copies = 1")).unionByName(semi(more).dropDuplicates([key, "_hash"])).drop("_hash")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

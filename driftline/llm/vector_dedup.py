@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import components, pieces_of, stable, table
+from driftline.llm.common import components, local_roots, stable, table
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -82,20 +82,6 @@ def _unit(vectors: pd.Series, dims: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1)[:, None]
 
 
-def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node of each node's component, given pairs a[i], b[i] of 0..n-1."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def vector_links(vectors: DataFrame, threshold: float = 0.9, sample_rows: int = 16_384, max_lists: int = 4096, subspaces: int = 8, codewords: int = 256, slack: float = 0.3, block: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept): for each row the number of other rows whose cosine with it is at least
     threshold, and the smallest id that links reach.
