@@ -86,11 +86,19 @@ class Mix:
 
     def __init__(self, sizes: DataFrame, sources: DataFrame, slots: DataFrame, block: int):
         self.sizes, self.sources, self.slots = sizes, sources, slots
+        self._repeated: bool | None = None
         first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
         pieces = sizes.where("size > 0").select("row", "src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
         lo, hi = F.greatest(F.col("block") * block - F.col("start"), F.lit(0)), F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
         self.pieces = pieces.select("row", "src", "block", lo.alias("lo"), hi.alias("hi"))
 
+    @property
+    def repeated(self) -> bool:
+        """Whether any id and text stand on several rows."""
+        if self._repeated is None:
+            self._repeated = not self.sizes.groupBy("doc_id", "t").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+        return self._repeated
+
     def taken(self) -> DataFrame:
         """row, taken: the words that the mix takes from each document, repeats counted."""
         n = self.slots.groupBy("src", "block").agg(F.count("*").alias("n"))
