@@ -1,11 +1,590 @@
-"""The catalogue of queries."""
+"""The catalogue of queries over the driver's tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 
-def queries() -> dict:
-    return {}
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from driftline.functions import math as fm
+from driftline.operators import evaluate as ev
+from driftline.operators import frames, models, online, scores, training
+from driftline.sources import series as src
+from driftline.sources import store
+from driftline.streaming import jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def r6(c: str) -> F.Column:
+    return F.round(c, 6).alias(c)
+
+
+E = f"WITH {src.EVENTS_SQL}"
+NC = f"{E}, {frames.NC_SQL}"
+D = f"WITH {src.SHIPMENTS_SQL}"
+
+
+def _nc(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.nonconformity(src.events(spark, sf))
+
+
+# sources
+
+
+@query(f"{E} SELECT * FROM e")
+def scan_series(spark: SparkSession, sf: str) -> DataFrame:
+    return src.events(spark, sf)
+
+
+@query(f"{E} SELECT series_id, CASE WHEN t < 500 THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(t) AS first, max(t) AS last, round(avg(value), 6) AS mean FROM e GROUP BY ALL")
+def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
+    s = src.events(spark, sf)
+    train = src.train_or_prefix(s, None, 500).withColumn("part", F.lit("train"))
+    parts = train.unionByName(s.where("t >= 500").withColumn("part", F.lit("test")))
+    return parts.groupBy("series_id", "part").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(f"{D}, x AS (SELECT t, unnest([0, 1, 2, 3])::INTEGER AS ch, unnest([c0, c1, c2, c3]) AS x FROM d) SELECT 'lineitem' AS series_id, t, ch, x FROM x")
+def to_long_channels(spark: SparkSession, sf: str) -> DataFrame:
+    return src.to_long(src.shipments(spark, sf))
+
+
+@query("SELECT unnest(['sw_mu_sig','sw_mu_sig','sw_mu_sig','sw_ks','sw_ks','sw_ks','ures_mu_sig','ures_mu_sig','ures_mu_sig','ures_ks','ures_ks','ures_ks','ares_al_mu_sig','ares_al_ks','ares_cl_mu_sig','ares_cl_ks']) AS strategy, unnest(['avg','al','cl','avg','al','cl','avg','al','cl','avg','al','cl','al','al','cl','cl']) AS score")
+def approach_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    return store.approaches(spark)
+
+
+# representation
+
+
+def _vector_sql(lag: int) -> str:
+    return f"""{E}, v AS (SELECT series_id, t, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN {9 + lag} PRECEDING AND {lag} PRECEDING) AS fv FROM e)
+SELECT series_id, t, len(fv)::INTEGER AS length, fv[1] AS first, fv[-1] AS last, round(list_sum(fv), 6) AS total FROM v WHERE len(fv) = 10"""
+
+
+def _vector_stats(v: DataFrame) -> DataFrame:
+    total = F.aggregate("fv", F.lit(0.0), lambda s, x: s + x)
+    return v.select("series_id", "t", F.size("fv").alias("length"), F.get("fv", F.lit(0)).alias("first"), F.element_at("fv", -1).alias("last"), F.round(total, 6).alias("total"))
+
+
+@query(_vector_sql(0))
+def feature_vector_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _vector_stats(frames.feature_vectors(src.events(spark, sf), 10))
+
+
+@query(_vector_sql(1))
+def feature_vector_lagged(spark: SparkSession, sf: str) -> DataFrame:
+    return _vector_stats(frames.feature_vectors(src.events(spark, sf), 10, lag=1))
+
+
+@query(f"{_vector_sql(0)} AND t > (SELECT max(t) FROM e f WHERE f.series_id = v.series_id) - 100")
+def training_windows_last_n(spark: SparkSession, sf: str) -> DataFrame:
+    return _vector_stats(frames.last_windows(frames.feature_vectors(src.events(spark, sf), 10), 100))
+
+
+# forecasts and nonconformity
+
+
+def _difference_query(d: int) -> None:
+    terms = " + ".join(f"{c!r}::DOUBLE * lag(value, {k}) OVER w" for k, c in enumerate(fm.difference_factors(d), 1))
+    sql = f"""{E}, p AS (SELECT series_id, t, value, {terms} AS pred FROM e WINDOW w AS (PARTITION BY series_id ORDER BY t))
+SELECT series_id, t, round(pred, 6) AS pred, round(abs(value - pred), 6) AS error FROM p WHERE pred IS NOT NULL"""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        f = frames.difference_forecast(src.events(spark, sf), d).where("pred is not null")
+        return f.select("series_id", "t", r6("pred"), F.round(F.abs(F.col("value") - F.col("pred")), 6).alias("error"))
+
+    run.__name__ = f"diff_factors_forecast_d{d}"
+    query(sql)(run)
+
+
+for _d in (1, 2, 3):
+    _difference_query(_d)
+
+MEAN_SQL = f"""{E}, v AS (SELECT series_id, t, list(value) OVER w AS fv, avg(value) OVER w AS mean FROM e WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS 9 PRECEDING))"""
+
+
+def _against_mean(spark: SparkSession, sf: str, measure) -> DataFrame:
+    """Vectors of 10 against their own mean in every place."""
+    s = src.events(spark, sf)
+    over = lambda w: w.rowsBetween(-9, 0)
+    v = frames.rolling(s, 9, {"fv": lambda w: F.collect_list("value").over(over(w)), "mean": lambda w: F.avg("value").over(over(w))}).where(F.size("fv") == 10)
+    return v.select("series_id", "t", F.round(measure(F.col("fv"), F.transform("fv", lambda _: F.col("mean"))), 6).alias("nc"))
+
+
+@query(f"{MEAN_SQL} SELECT series_id, t, round(sqrt(list_sum(list_transform(fv, lambda x: (x - mean) * (x - mean)))), 6) AS nc FROM v WHERE len(fv) = 10")
+def nc_euclidean(spark: SparkSession, sf: str) -> DataFrame:
+    return _against_mean(spark, sf, fm.euclidean)
+
+
+@query(f"{MEAN_SQL} SELECT series_id, t, round(list_sum(list_transform(fv, lambda x: abs(x - mean))) / 10, 6) AS nc FROM v WHERE len(fv) = 10")
+def nc_mean_abs_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return _against_mean(spark, sf, fm.mean_abs_diff)
+
+
+@query(f"{MEAN_SQL} SELECT series_id, t, round(1 - list_sum(list_transform(fv, lambda x: x * mean)) / nullif(sqrt(list_sum(list_transform(fv, lambda x: x * x))) * sqrt(10 * mean * mean), 0), 6) AS nc FROM v WHERE len(fv) = 10")
+def nc_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    return _against_mean(spark, sf, fm.cosine_distance)
+
+
+@query("""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT label, i, avg(x) AS c FROM x GROUP BY label, i)
+SELECT vec_id, label, round(1 - sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))), 6) AS nc FROM x JOIN c USING (label, i) GROUP BY vec_id, label""")
+def nc_embedding_centroid(spark: SparkSession, sf: str) -> DataFrame:
+    """The cosine distance of each vector to the mean of its label, one row a label and place for the means."""
+    v = src.table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    means = v.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("c"))
+    centre = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("centre"))
+    return v.join(centre, "label").select("vec_id", "label", F.round(fm.cosine_distance(F.col("v"), F.col("centre")), 6).alias("nc"))
+
+
+@query(f"""{NC}, b AS (SELECT *, (t - 100) // 50 AS batch_id FROM n WHERE t >= 100),
+m AS (SELECT *, greatest(1.0::DOUBLE, max(nc) OVER (PARTITION BY series_id ORDER BY batch_id RANGE UNBOUNDED PRECEDING)) AS running_max FROM b)
+SELECT series_id, t, batch_id, round(running_max, 6) AS running_max, round(nc / running_max, 6) AS normalised FROM m""")
+def nc_running_max_norm(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.running_max_normalised(_nc(spark, sf)).select("series_id", "t", "batch_id", r6("running_max"), r6("normalised"))
+
+
+# anomaly scores
+
+
+@query(f"{NC}, s AS (SELECT series_id, t, avg(nc) OVER (PARTITION BY series_id ORDER BY t ROWS 49 PRECEDING) AS score FROM n) SELECT series_id, t, round(score, 6) AS score FROM s WHERE t >= 49")
+def score_average_of_window(spark: SparkSession, sf: str) -> DataFrame:
+    return scores.average_of_window(_nc(spark, sf)).select("series_id", "t", r6("score"))
+
+
+@query(f"{E}, {scores.likelihood_sql()} SELECT series_id, t, round(score, 6) AS score FROM a")
+def score_anomaly_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    return scores.anomaly_likelihood(_nc(spark, sf)).select("series_id", "t", r6("score"))
+
+
+@query(f"{E}, {scores.likelihood_of_batches_sql()}")
+def score_anomaly_likelihood_batchsq(spark: SparkSession, sf: str) -> DataFrame:
+    return scores.likelihood_of_batches(_nc(spark, sf)).select("series_id", "t", r6("score"))
+
+
+@query(f"{E}, {scores.likelihood_what_if_sql()}")
+def score_likelihood_whatif(spark: SparkSession, sf: str) -> DataFrame:
+    return scores.likelihood_what_if(_nc(spark, sf)).select("series_id", "t", r6("score"))
+
+
+CONFIDENCE_SQL = f"""{NC}, c AS (SELECT series_id, t, nc, list(nc) OVER (PARTITION BY series_id ORDER BY t ROWS 49 PRECEDING) AS w FROM n),
+f AS (SELECT series_id, t, len(list_filter(w, lambda x: x >= nc)) / 50.0::DOUBLE AS confidence FROM c WHERE t >= 49)"""
+
+
+@query(f"{CONFIDENCE_SQL} SELECT series_id, t, round(confidence, 6) AS confidence FROM f")
+def confidence_level_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    return scores.confidence(_nc(spark, sf)).select("series_id", "t", r6("confidence"))
+
+
+@query(f"""{CONFIDENCE_SQL}, w AS (SELECT series_id, t, list(confidence) OVER (PARTITION BY series_id ORDER BY t ROWS 99 PRECEDING) AS c FROM f),
+u AS (SELECT series_id, t, list_sort(list_distinct(c)) AS c FROM w WHERE len(c) = 100 AND (t - 49 + 1) % 50 = 0),
+x AS (SELECT series_id, t, len(c) AS n, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM u)
+SELECT series_id, t, n, round(max(greatest(i / n::DOUBLE - x, x - (i - 1) / n::DOUBLE)), 6) AS d FROM x GROUP BY ALL""")
+def ks_uniform_statistic(spark: SparkSession, sf: str) -> DataFrame:
+    return scores.uniform_statistic(scores.confidence(_nc(spark, sf))).select("series_id", "t", "n", r6("d"))
+
+
+# training sets
+
+SCORED = f"{E}, {scores.likelihood_sql()}".replace("AS score FROM z", "AS raw FROM z").replace("a AS (SELECT series_id", "a0 AS (SELECT series_id") + ", a AS (SELECT series_id, t, value, is_anomaly, nc, round(raw, 6) AS score FROM a0)"
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return scores.anomaly_likelihood(_nc(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+U_SQL = fm.hash_uniform_sql(42, "series_id", "t")
+
+
+@query(f"{E}, u AS (SELECT series_id, t, {U_SQL} AS u FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY u, t)::INTEGER AS slot FROM u) SELECT series_id, t, round(u, 9) AS u, slot FROM r WHERE slot <= 100")
+def reservoir_uniform_topn(spark: SparkSession, sf: str) -> DataFrame:
+    return training.uniform_reservoir(src.events(spark, sf), 100).select("series_id", "t", F.round("u", 9).alias("u"), "slot")
+
+
+PRIORITY_SQL = f"{SCORED}, p AS (SELECT series_id, t, score, round(pow(0.7::DOUBLE + 0.2::DOUBLE * {U_SQL}, 3.0::DOUBLE / exp(-3.0::DOUBLE * score)), 9) AS priority FROM a)"
+
+
+@query(f"{PRIORITY_SQL} SELECT series_id, t, priority FROM p")
+def priority_values(spark: SparkSession, sf: str) -> DataFrame:
+    u = fm.hash_uniform(42, F.col("series_id"), F.col("t"))
+    return _scored(spark, sf).select("series_id", "t", F.round(training.priority(F.col("score"), u), 9).alias("priority"))
+
+
+@query(f"{PRIORITY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY priority DESC, t)::INTEGER AS slot FROM p) SELECT series_id, t, priority, slot FROM r WHERE slot <= 100")
+def reservoir_priority_topn(spark: SparkSession, sf: str) -> DataFrame:
+    return training.priority_reservoir(_scored(spark, sf), 100).select("series_id", "t", "priority", "slot")
+
+
+@query(f"{E}, {training.mu_sigma_sql()} SELECT series_id, t, round(mu_shift, 6) AS mu_shift, round(sigma, 6) AS sigma, round(sigma0, 6) AS sigma0 FROM s")
+def musigma_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    return training.mu_sigma(src.events(spark, sf)).select("series_id", "t", r6("mu_shift"), r6("sigma"), r6("sigma0"))
+
+
+@query(f"{E}, {training.mu_sigma_sql(20, 5, 10)} SELECT series_id, t, mu_shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2 AS drift FROM s")
+def musigma_drift_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return training.mu_sigma_drift(training.mu_sigma(src.events(spark, sf), 20, 5, 10)).select("series_id", "t", "drift")
+
+
+KS_SQL = f"""{D}, x AS (SELECT year(day)::INTEGER AS year, (month(day) > 6)::INTEGER AS side, unnest([0, 1, 2, 3])::INTEGER AS ch, unnest([c0, c1, c2, c3]) AS x FROM d),
+n AS (SELECT year, ch, count(*) FILTER (side = 0) AS n1, count(*) FILTER (side = 1) AS n2 FROM x GROUP BY ALL),
+f AS (SELECT year, ch, sum(1 - side) OVER w AS fa, sum(side) OVER w AS fb FROM x WINDOW w AS (PARTITION BY year, ch ORDER BY x RANGE UNBOUNDED PRECEDING)),
+k AS (SELECT year, ch, n1, n2, max(abs(fa / n1 - fb / n2)) AS d FROM f JOIN n USING (year, ch) GROUP BY ALL)"""
+
+
+def _halves(spark: SparkSession, sf: str) -> DataFrame:
+    s = src.shipments(spark, sf)
+    return s.select(F.year("day").alias("year"), (F.month("day") > 6).cast("int").alias("side"), F.posexplode("values").alias("ch", "x"))
+
+
+@query(f"{KS_SQL} SELECT year, ch, n1::BIGINT AS n1, n2::BIGINT AS n2, round(d, 6) AS d FROM k")
+def ks_two_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return training.ks_two_sample(_halves(spark, sf), ["year", "ch"]).select("year", "ch", "n1", "n2", r6("d"))
+
+
+@query(f"{KS_SQL} SELECT year, bool_or(d > sqrt(2.0::DOUBLE / n1 * {math.log(40)!r}::DOUBLE)) AS drift FROM k GROUP BY year")
+def ks_two_sample_drift(spark: SparkSession, sf: str) -> DataFrame:
+    k = training.ks_two_sample(_halves(spark, sf), ["year", "ch"])
+    return k.groupBy("year").agg(F.bool_or(F.col("d") > training.ks_bound(F.col("n1"))).alias("drift"))
+
+
+@query(f"""{E}, w AS (SELECT series_id, t, value AS x, CASE WHEN t < 109 THEN 0 ELSE 1 END AS side, t % 109 AS i FROM e WHERE t < 218),
+m AS (SELECT *, least(i + 1, 10, 100, 109 - i) AS m FROM w), n AS (SELECT series_id, side, sum(m) AS n FROM m GROUP BY ALL),
+f AS (SELECT m.series_id, sum(m) FILTER (side = 0) OVER o AS fa, sum(m) FILTER (side = 1) OVER o AS fb FROM m WINDOW o AS (PARTITION BY series_id ORDER BY x RANGE UNBOUNDED PRECEDING))
+SELECT f.series_id, round(max(abs(coalesce(fa, 0) / a.n - coalesce(fb, 0) / b.n)), 6) AS d FROM f JOIN n a ON a.series_id = f.series_id AND a.side = 0 JOIN n b ON b.series_id = f.series_id AND b.side = 1 GROUP BY ALL""")
+def ks_training_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Two training sets of 100 vectors of 10 rows: each row counts as often as vectors hold it, and no vector is built."""
+    s = src.events(spark, sf).where("t < 218").withColumns({"side": (F.col("t") >= 109).cast("int"), "i": F.pmod(F.col("t"), F.lit(109))})
+    d = training.ks_two_sample(s, ["series_id"], value="value", weight=training.vector_multiplicity(F.col("i"), 10, 100))
+    return d.select("series_id", r6("d"))
+
+
+@query(f"{E}, f AS (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY t) AS no FROM e WHERE is_anomaly = 1) SELECT series_id, t, no::INTEGER AS no FROM f WHERE no % 10 = 0")
+def drift_every_k(spark: SparkSession, sf: str) -> DataFrame:
+    return training.every_k(src.events(spark, sf).withColumn("flag", F.col("is_anomaly") == 1), 10).select("series_id", "t", "no")
+
+
+@query(f"""{E}, {training.mu_sigma_sql(20, 5, 10)}, v AS (SELECT series_id, t AS from_t, row_number() OVER (PARTITION BY series_id ORDER BY t) AS version FROM s WHERE mu_shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2)
+SELECT series_id, t, coalesce((SELECT max(version) FROM v WHERE v.series_id = e.series_id AND v.from_t <= e.t), 0)::INTEGER AS version FROM e""")
+def model_version_asof(spark: SparkSession, sf: str) -> DataFrame:
+    e = src.events(spark, sf)
+    drift = training.mu_sigma_drift(training.mu_sigma(e, 20, 5, 10)).where("drift")
+    version = F.row_number().over(Window.partitionBy("series_id").orderBy("t"))
+    out = training.versions_asof(e, drift.select("series_id", F.col("t").alias("from_t"), version.alias("version")))
+    return out.select("series_id", "t", F.coalesce("version", F.lit(0)).alias("version"))
+
+
+# evaluation
+
+ALL = f"WITH {src.ALL_EVENTS_SQL}, a AS (SELECT * FROM e), {ev.SEQUENCES_SQL}"
+
+
+@query(f"{ALL} SELECT series_id, k, s, e FROM k")
+def anomaly_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.sequences(src.all_events(spark, sf))
+
+
+EVAL = f"{SCORED}, {ev.SEQUENCES_SQL}, {ev.DETECTIONS_SQL}"
+
+
+@query(f"{EVAL} SELECT * FROM p WHERE lv IN (25, 50, 75)")
+def anomaly_sequences_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.detections(_scored(spark, sf), [25, 50, 75])
+
+
+def _at_60(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    s = _scored(spark, sf)
+    return ev.detections(s, [60]), ev.sequences(s)
+
+
+TOUCH = "p.series_id = k.series_id AND p.s <= k.e AND k.s <= p.e"
+
+
+@query(f"{EVAL} SELECT p.series_id, p.s, p.e, k.k AS k2 FROM p JOIN k ON {TOUCH} WHERE lv = 60")
+def overlap_join(spark: SparkSession, sf: str) -> DataFrame:
+    found, true = _at_60(spark, sf)
+    return ev.overlaps(found, true).select("series_id", "s", "e", "k2")
+
+
+@query(f"{EVAL} SELECT k.* FROM k WHERE EXISTS (SELECT 1 FROM p WHERE lv = 60 AND {TOUCH})")
+def detected_true_semi(spark: SparkSession, sf: str) -> DataFrame:
+    found, true = _at_60(spark, sf)
+    hit = ev.overlaps(found, true).select("series_id", F.col("k2").alias("k")).distinct()
+    return true.join(hit, ["series_id", "k"], "left_semi")
+
+
+@query(f"{EVAL} SELECT series_id, s, e FROM p WHERE lv = 60 AND NOT EXISTS (SELECT 1 FROM k WHERE {TOUCH})")
+def false_alarm_anti(spark: SparkSession, sf: str) -> DataFrame:
+    found, true = _at_60(spark, sf)
+    hit = ev.overlaps(found, true).select("series_id", "s", "e").distinct()
+    return found.join(hit, ["series_id", "s", "e"], "left_anti").select("series_id", "s", "e")
+
+
+COUNT_SQL = f"""{EVAL}, t AS (SELECT series_id, count(*) AS n FROM k GROUP BY series_id), g AS (SELECT p.series_id, lv, p.s, p.e, min(k.k) AS goal FROM p LEFT JOIN k ON {TOUCH} GROUP BY ALL),
+c AS (SELECT series_id, lv, count(DISTINCT goal) AS tp, count(*) FILTER (goal IS NULL) AS fp FROM g GROUP BY ALL),
+h AS (SELECT t.series_id, lv.lv, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, n - coalesce(tp, 0) AS fn FROM t CROSS JOIN lv LEFT JOIN c ON c.series_id = t.series_id AND c.lv = lv.lv),
+q AS (SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall FROM h)"""
+AREA_SQL = """, w AS (SELECT *, (precision + lag(precision) OVER o) * (recall - lag(recall) OVER o) AS step FROM q WINDOW o AS (PARTITION BY series_id ORDER BY recall, lv))"""
+
+
+def _curve(spark: SparkSession, sf: str) -> DataFrame:
+    s = _scored(spark, sf)
+    return ev.precision_recall(ev.counts(ev.detections(s), ev.sequences(s)))
+
+
+@query(f"{COUNT_SQL} SELECT series_id, lv, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(precision, 6) AS precision, round(recall, 6) AS recall FROM q")
+def pr_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return _curve(spark, sf).select("series_id", "lv", "tp", "fp", "fn", r6("precision"), r6("recall"))
+
+
+@query(f"{COUNT_SQL}{AREA_SQL} SELECT series_id, round(coalesce(sum(step), 0) / 2, 6) AS area FROM w GROUP BY series_id")
+def pr_auc(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.area(_curve(spark, sf), ["series_id"]).select("series_id", r6("area"))
+
+
+@query(f"{COUNT_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(precision * precision + recall * recall, 9) DESC, lv) AS o FROM q) SELECT series_id, lv AS best FROM b WHERE o = 1")
+def best_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.area(_curve(spark, sf), ["series_id"]).select("series_id", "best")
+
+
+VOLUME_SQL = """, w AS (SELECT *, (precision + lag(precision) OVER o) * (recall - lag(recall) OVER o) AS step FROM q WINDOW o AS (PARTITION BY series_id, buffer ORDER BY recall, lv)),
+ar AS (SELECT series_id, buffer, coalesce(sum(step), 0) AS area FROM w GROUP BY ALL),
+vo AS (SELECT series_id, (area + lag(area) OVER o) * (buffer - lag(buffer) OVER o) / 200.0::DOUBLE AS part FROM ar WINDOW o AS (PARTITION BY series_id ORDER BY buffer))
+SELECT series_id, round(sum(part) / 4, 6) AS vus FROM vo GROUP BY series_id"""
+
+
+@query(f"""{EVAL}, bu AS (SELECT unnest(range(0, 201, 20))::INTEGER AS buffer), en AS (SELECT series_id, max(t) AS last, min(t) AS first FROM a GROUP BY series_id),
+kb AS (SELECT k.series_id, buffer, k, greatest(s - buffer // 2, first) AS s, least(e + buffer // 2, last) AS e FROM k CROSS JOIN bu JOIN en ON en.series_id = k.series_id),
+g AS (SELECT p.series_id, bu.buffer, lv, p.s, p.e, min(kb.k) AS goal FROM p CROSS JOIN bu LEFT JOIN kb ON kb.series_id = p.series_id AND kb.buffer = bu.buffer AND p.s <= kb.e AND kb.s <= p.e GROUP BY ALL),
+c AS (SELECT series_id, buffer, lv, count(DISTINCT goal) AS tp, count(*) FILTER (goal IS NULL) AS fp FROM g GROUP BY ALL),
+t AS (SELECT series_id, buffer, count(*) AS n FROM kb GROUP BY ALL),
+h AS (SELECT t.series_id, t.buffer, lv.lv, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, n - coalesce(tp, 0) AS fn FROM t CROSS JOIN lv LEFT JOIN c ON c.series_id = t.series_id AND c.buffer = t.buffer AND c.lv = lv.lv),
+q AS (SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall FROM h){VOLUME_SQL}""")
+def pr_vus_buffered(spark: SparkSession, sf: str) -> DataFrame:
+    s = _scored(spark, sf)
+    curve = ev.precision_recall(ev.counts(ev.detections(s), ev.widened(ev.sequences(s), s), ["buffer"]))
+    return ev.volume(ev.area(curve, ["series_id", "buffer"], 1.0)).select("series_id", r6("vus"))
+
+
+SOFT = f"{EVAL}, {ev.SOFT_SQL}"
+
+
+@query(f"""{SOFT}, pl AS (SELECT series_id, buffer, floor(round(sum(y + soft) / 2, 9)) AS pl FROM y GROUP BY ALL),
+tp AS (SELECT series_id, buffer, lv.lv, sum(soft) AS tp, count(*) AS al FROM y JOIN lv ON score > lv.lv * 0.01::DOUBLE GROUP BY ALL),
+pk AS (SELECT k.series_id, k.k, max(score) AS peak FROM k JOIN a ON a.series_id = k.series_id AND a.t BETWEEN k.s AND k.e GROUP BY ALL),
+ex AS (SELECT series_id, lv, avg((peak > lv * 0.01::DOUBLE)::INTEGER) AS existence FROM pk CROSS JOIN lv GROUP BY ALL),
+q AS (SELECT pl.series_id, pl.buffer, ex.lv, round(coalesce(tp, 0) / greatest(coalesce(al, 0), 1), 9) AS precision, round(coalesce(tp, 0) / greatest(pl, 1) * existence, 9) AS recall
+  FROM pl JOIN ex USING (series_id) LEFT JOIN tp ON tp.series_id = pl.series_id AND tp.buffer = pl.buffer AND tp.lv = ex.lv){VOLUME_SQL}""")
+def pr_vus_soft(spark: SparkSession, sf: str) -> DataFrame:
+    s = _scored(spark, sf).persist()
+    true = ev.sequences(s).persist()
+    curve = ev.soft_curve(ev.soft_labels(s, true), s, true)
+    return ev.volume(ev.area(curve, ["series_id", "buffer"], 1.0)).select("series_id", r6("vus"))
+
+
+@query(f"""{SOFT} SELECT series_id, round(sum(soft) FILTER (score > 0.5), 4) AS tp, round(sum(1 - soft) FILTER (score > 0.5), 4) AS fp, round(sum(soft) FILTER (score <= 0.5), 4) AS fn,
+round(sum(1 - soft) FILTER (score <= 0.5), 4) AS tn FROM y WHERE buffer = 100 GROUP BY series_id""")
+def confusion_soft(spark: SparkSession, sf: str) -> DataFrame:
+    s = _scored(spark, sf)
+    soft = ev.soft_labels(s, ev.sequences(s)).where("buffer = 100")
+    total = lambda c, hit, name: F.round(F.sum(F.when(hit, c)), 4).alias(name)
+    hit = F.col("score") > 0.5
+    return soft.groupBy("series_id").agg(total(F.col("soft"), hit, "tp"), total(1 - F.col("soft"), hit, "fp"), total(F.col("soft"), ~hit, "fn"), total(1 - F.col("soft"), ~hit, "tn"))
+
+
+NAB_SQL = f"""WITH {src.ALL_EVENTS_SQL}, {scores.likelihood_sql()}"""
+NAB_SQL = NAB_SQL.replace("AS score FROM z", "AS raw FROM z").replace("a AS (SELECT series_id", "a0 AS (SELECT series_id") + f""", a AS (SELECT series_id, t, is_anomaly, round(raw, 6) AS score FROM a0), {ev.SEQUENCES_SQL},
+la AS (SELECT max(t) AS last FROM a), i AS (SELECT series_id, k, s, e - s AS len, unnest(range(0, 2 * (e - s))) AS i FROM k WHERE e > s),
+m AS (SELECT series_id, least(s + i, last) AS t, arg_max(2.0::DOUBLE / (1.0 + exp(5.0::DOUBLE * (3.0::DOUBLE * i / len - 3))) - 1, k * 1000000 + i) AS r FROM i CROSS JOIN la GROUP BY ALL),
+w AS (SELECT a.series_id, a.t, a.score, coalesce(m.r, -1.0::DOUBLE) AS reward, k.k AS seq FROM a LEFT JOIN m ON m.t = a.t LEFT JOIN k ON a.t BETWEEN k.s AND k.e)"""
+
+
+def _nab(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    s = scores.anomaly_likelihood(frames.nonconformity(src.all_events(spark, sf))).withColumn("score", F.round("score", 6)).persist()
+    true = ev.sequences(s).persist()
+    return ev.nab_rewards(s, true).persist(), true
+
+
+@query(f"{NAB_SQL} SELECT series_id, t, round(reward, 6) AS reward, coalesce(seq, -1) AS seq FROM w")
+def nab_reward_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _nab(spark, sf)[0].select("series_id", "t", r6("reward"), F.coalesce("seq", F.lit(-1)).alias("seq"))
+
+
+@query(f"""{NAB_SQL}, lv AS (SELECT unnest(range(100))::INTEGER AS lv), o AS (SELECT lv, sum(reward) AS r FROM w JOIN lv ON seq IS NULL AND score > lv.lv * 0.01::DOUBLE GROUP BY lv),
+f AS (SELECT lv, seq, arg_min(reward, t) AS r FROM w JOIN lv ON seq IS NOT NULL AND reward > 0 AND score > lv.lv * 0.01::DOUBLE GROUP BY ALL),
+x AS (SELECT lv, sum(r) AS r FROM (SELECT * FROM o UNION ALL SELECT lv, r FROM f) GROUP BY lv)
+SELECT 'all' AS series_id, lv.lv, round(coalesce(r, 0.0::DOUBLE) / (SELECT count(*) FROM k), 6) AS nab FROM lv LEFT JOIN x ON x.lv = lv.lv""")
+def nab_score(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.nab_scores(*_nab(spark, sf))
+
+
+COMPARE_SQL = f"""{E}, p AS (SELECT series_id, t, abs(value - lag(value) OVER w) AS nc1, abs(value - 2.0::DOUBLE * lag(value) OVER w + lag(value, 2) OVER w) AS nc2 FROM e WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+l AS (SELECT series_id, t, unnest(['d1', 'd2']) AS version, unnest([nc1, nc2]) AS nc FROM p WHERE nc2 IS NOT NULL)"""
+
+
+@query(f"""{COMPARE_SQL}, m AS (SELECT series_id, version, avg(nc) FILTER (t < 100) AS mean, stddev_pop(nc) FILTER (t < 100) AS sd, max(nc) FILTER (t BETWEEN 100 AND 169) AS top, arg_max(t, nc) FILTER (t BETWEEN 100 AND 169) AS at_top FROM l GROUP BY ALL)
+SELECT series_id, version, round(mean, 6) AS mean, round(sd, 6) AS sd, round(top, 6) AS top, at_top, round(top - mean, 6) AS diff FROM m""")
+def experiment_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Two forecasters before and around rows 100 to 119: means before, largest score up to 50 rows after."""
+    e = src.events(spark, sf)
+    each = [frames.difference_forecast(e, d).select("series_id", "t", F.lit(f"d{d}").alias("version"), F.abs(F.col("value") - F.col("pred")).alias("nc")).where("t >= 2") for d in (1, 2)]
+    both = each[0].unionByName(each[1])
+    before, around = F.col("t") < 100, F.col("t").between(100, 169)
+    m = both.groupBy("series_id", "version").agg(F.avg(F.when(before, F.col("nc"))).alias("mean"), F.stddev_pop(F.when(before, F.col("nc"))).alias("sd"), F.max(F.when(around, F.col("nc"))).alias("top"), F.max_by("t", F.when(around, F.col("nc"))).alias("at_top"))
+    return m.select("series_id", "version", r6("mean"), r6("sd"), r6("top"), "at_top", F.round(F.col("top") - F.col("mean"), 6).alias("diff"))
+
+
+@query(f"""{COMPARE_SQL}, a AS (SELECT series_id, version, 'avg' AS score, avg(nc) OVER (PARTITION BY series_id, version ORDER BY t ROWS 49 PRECEDING) AS v, t FROM l),
+x AS (SELECT series_id, version, score, avg(v) AS v FROM a WHERE t >= 60 GROUP BY ALL UNION ALL SELECT series_id, version, 'raw', avg(nc) FROM l WHERE t >= 60 GROUP BY ALL)
+SELECT version AS model, score, series_id, round(avg(v), 6) AS mean, grouping(version, score, series_id)::BIGINT AS level FROM x GROUP BY GROUPING SETS ((version), (score), (version, score), (series_id), ())""")
+def summary_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
+    e = src.events(spark, sf)
+    facts = None
+    for d in (1, 2):
+        nc = frames.difference_forecast(e, d).where("t >= 2").select("series_id", (F.col("t") - 2).alias("t"), F.abs(F.col("value") - F.col("pred")).alias("nc"))
+        avg = frames.rolling(nc, 49, {"v": lambda w: F.avg("nc").over(w.rowsBetween(-49, 0))}).where("t >= 58")
+        one = avg.select("series_id", F.lit(f"d{d}").alias("model"), F.explode(F.array(F.struct(F.lit("avg").alias("score"), F.col("v")), F.struct(F.lit("raw").alias("score"), F.col("nc").alias("v")))).alias("x"))
+        one = one.groupBy("series_id", "model", F.col("x.score").alias("score")).agg(F.avg("x.v").alias("v"))
+        facts = one if facts is None else facts.unionByName(one)
+    sets = [[F.col("model")], [F.col("score")], [F.col("model"), F.col("score")], [F.col("series_id")], []]
+    return facts.groupingSets(sets, "model", "score", "series_id").agg(F.round(F.avg("v"), 6).alias("mean"), F.grouping_id().alias("level"))
+
+
+def _uniform_at(i: int) -> str:
+    return fm.hash_uniform_sql(42 + i, "series_id", "t")
+
+
+@query(f"""{E}, l AS (SELECT *, {_uniform_at(0)} AS u, {_uniform_at(1)} AS v, avg(value) OVER (PARTITION BY series_id) AS mean FROM e WHERE t BETWEEN 90 AND 109),
+z AS (SELECT *, sqrt(-2.0::DOUBLE * ln(greatest(u, 1e-12))) * cos({2 * math.pi!r}::DOUBLE * v) AS noise FROM l),
+o AS (SELECT series_id, t, mean + sum(CASE WHEN t < 98 THEN {10 / 8!r}::DOUBLE + noise * {10 / 16!r}::DOUBLE ELSE {-10 / 12!r}::DOUBLE + noise * {10 / 24!r}::DOUBLE END) OVER (PARTITION BY series_id ORDER BY t) AS r FROM z)
+SELECT e.series_id, e.t, round(coalesce(r, value), 6) AS value FROM e LEFT JOIN o ON o.series_id = e.series_id AND o.t = e.t""")
+def anomaly_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    e = src.events(spark, sf)
+    return training.overlaid(e, training.artificial_anomaly(e, 100)).select("series_id", "t", r6("value"))
+
+
+# sequential detection and models
+
+
+def _online_query(name: str, settings: online.Settings) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return online.detect(src.events(spark, sf), settings, 150)
+
+    run.__name__ = name
+    query()(run)
+
+
+_online_query("online_sliding_ks", online.Settings(training=100, update="sliding", drift="ks"))
+_online_query("online_uniform_musigma", online.Settings(training=100, update="uniform", drift="musigma", score="average"))
+_online_query("online_aware_al_ks", online.Settings(training=100, update="aware", drift="ks"))
+_online_query("confidence_levels_full", online.Settings(training=100, update="sliding", drift="ks", score="confidence", score_rows=10))
+
+
+def _by_series(spark: SparkSession, sf: str, fit, schema: str) -> DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("t")["value"].to_numpy(float)
+        return pd.DataFrame([(key[0], *r) for r in fit(x)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return src.events(spark, sf).select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, schema)
+
+
+@query()
+def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A forest on the first rows' points, whose trees vote and are renewed once, and scores of the rest."""
+
+    def fit(x: np.ndarray) -> Iterator[tuple]:
+        train, rest = x[:150, None], x[150:, None]
+        if len(rest):
+            forest = models.Forest(train, 50, max(10, min(len(train) // 10, 256)), 7)
+            forest.vote(train, 0.5)
+            forest.renew(train)
+            yield from ((150 + i, float(v)) for i, v in enumerate(forest.scores(rest)))
+
+    return _by_series(spark, sf, fit, "series_id string, t long, score double")
+
+
+@query()
+def usad_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine distance of vectors of 20 rows to their reconstruction by two competing decoders."""
+
+    def fit(x: np.ndarray) -> Iterator[tuple]:
+        if len(x) < 60:
+            return
+        w = np.lib.stride_tricks.sliding_window_view((x - x[:150].mean()) / (x[:150].std() or 1), 20)
+        model = models.Usad(20, 2, 7)
+        model.fit(w[:130], 5)
+        p = model.predict(w)
+        norm = np.linalg.norm(w, axis=1) * np.linalg.norm(p, axis=1)
+        for i, v in enumerate(1 - (w * p).sum(1) / np.maximum(norm, 1e-12)):
+            yield 19 + i, float(v)
+
+    return _by_series(spark, sf, fit, "series_id string, t long, nonconformity double")
+
+
+@query()
+def arima_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences plus a least-squares weight for each past difference."""
+
+    def fit(x: np.ndarray) -> Iterator[tuple]:
+        if len(x) < 60:
+            return
+        gamma = models.fit_gamma(x[:150], 1, 8)
+        diff = np.diff(x)
+        for t in range(9, len(x)):
+            yield t, float(x[t - 1] + gamma @ diff[t - 9 : t - 1][::-1])
+
+    return _by_series(spark, sf, fit, "series_id string, t long, pred double")
+
+
+@query()
+def var_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """One-step forecasts of the four shipment channels."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x = np.stack(pdf["values"].to_numpy()).astype(float)
+        x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
+        model = models.Var(x[: max(60, len(x) // 2)])
+        p = model.predict(x)
+        return pd.DataFrame({"t": pdf["t"].to_numpy()[model.lag :], "lag": model.lag, "error": np.abs(x[model.lag :] - p).mean(1)})
+
+    s = src.shipments(spark, sf)
+    return s.groupBy("series_id").applyInPandas(run, "t long, lag int, error double")
+
+
+# streaming
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.finished(jobs.tumbling_counts(jobs.event_stream(spark, sf)), store.shared_folder(spark), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"{NC}, s AS (SELECT series_id, t, avg(nc) OVER (PARTITION BY series_id ORDER BY t ROWS 49 PRECEDING) AS score FROM n) SELECT series_id, t, round(score, 6) AS score FROM s WHERE t >= 49")
+def stream_stateful_score(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.finished(jobs.rolling_scores(jobs.event_stream(spark, sf)), store.shared_folder(spark)).select("series_id", "t", r6("score"))
