@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,7 +72,7 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 1000, max_bytes: int = 65_536, dictionary_bytes: int = 65_536, block: int = 512, level: int = 3) -> CompressionModel:
-    """A model from a bounded sample of labelled rows: at most per_class of each label, chosen by a hash of the id, each
+    """A model from a bounded sample of labelled rows: at most per_class of each label, chosen by hashes of the id, each
     text whole and of at most max_bytes. Half of each makes the dictionaries, the other half sets the curve, whose
     intercept then follows the labels' shares over all labelled training rows. Without both labels every score is the
     share of label 1. train: a condition on doc_id for the labels to learn from."""
@@ -82,9 +83,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_cla
     prior = math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
     halves: list[list[tuple[str, int]]] = [[], []]
     for label in (0, 1):
-        # some labelled rows have no document here, so twice as many ids as texts are tried
-        some = labels.where(F.col("quality") == label).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
-        rows = found.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class).collect()
+        # a share of the ids, by a hash, that gives about twice as many as needed: some have no document here
+        share = min(1.0, 2 * per_class / max(1, counts.get(label, 0)))
+        chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= int(share * (1 << 40))
+        some = labels.where((F.col("quality") == label) & chosen).select("doc_id").distinct().limit(3 * per_class)
+        rows = found.join(F.broadcast(some), "doc_id").limit(4 * per_class).collect()
+        rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))[:per_class]
         for i, r in enumerate(rows):
             halves[i % 2].append((r["text"], label))
     make = lambda k: _dictionary([t for t, y in halves[0] if y == k], dictionary_bytes, block)

@@ -108,8 +108,9 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
     if not n:
         return vectors.select(F.col(key).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(key).cast("long").alias("component_id"), F.col(key).isNotNull().alias("kept"))
     # the index is fitted here on a bounded sample
-    top = nodes.orderBy(F.xxhash64("h1", "h2")).limit(sample_rows).select("v").toPandas()["v"]
-    sample = np.stack(top.to_numpy()).astype(np.float64)
+    chosen = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 40)) <= int(min(1.0, 0.9 * sample_rows / n) * (1 << 40)) if n > sample_rows else F.lit(True)
+    top = nodes.where(chosen).limit(sample_rows).orderBy("h1", "h2").select("v").toPandas()["v"]
+    sample = np.stack((top if len(top) else nodes.limit(1).toPandas()["v"]).to_numpy()).astype(np.float64)
     index = fit(sample / np.linalg.norm(sample, axis=1)[:, None], n, threshold, max_lists, subspaces, codewords, slack)
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
