@@ -126,9 +126,11 @@ class Net:
 
 class Usad:
     """Two decoders on one encoder: both reconstruct, and the second learns to tell the first's output from the input.
-    The weight of plain reconstruction falls as 1 / epoch. predict gives the output with the least last loss."""
+    The weight of plain reconstruction falls as 1 / epoch down to `plain`; at 1, the default, only reconstruction counts.
+    Below that the second decoder, whose outputs are not bounded, can run away. predict gives the output with the least last loss."""
 
-    def __init__(self, length: int, latent: int, seed: int):
+    def __init__(self, length: int, latent: int, seed: int, plain: float = 1.0):
+        self.plain = plain
         a, b = max(2, length // 2), max(2, length // 4)
         self.enc, self.d1, self.d2 = Net([length, a, b, latent], seed), Net([latent, b, a, length], seed + 1), Net([latent, b, a, length], seed + 2)
         self.epoch, self.best = 0, 0
@@ -142,7 +144,7 @@ class Usad:
         rng = np.random.default_rng(self.epoch)
         for _ in range(epochs):
             self.epoch += 1
-            e = 1 / self.epoch
+            e = max(1 / self.epoch, self.plain)
             for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
                 y = x[at]
                 z = self.enc.forward(y)
