@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from bisect import bisect, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,18 +150,43 @@ def sum_of_squares(lengths: list[int], window: int = 2048) -> tuple[list[int], l
     return where, offset
 
 
+def closed_up(lengths: list[int], where: list[int], offset: list[int], window: int = 2048) -> tuple[list[int], list[int]]:
+    """The same with the pieces of all windows that are not full placed again, longest first, each where it leaves the
+    least room; kept only if that takes fewer windows. Windows are numbered from 0 without gaps."""
+    fill: dict[int, int] = {}
+    for n, b in zip(lengths, where, strict=True):
+        fill[b] = fill.get(b, 0) + n
+    open_ = {b for b, n in fill.items() if n < window}
+    moved = sorted((i for i, b in enumerate(where) if b in open_), key=lambda i: (-lengths[i], i))
+    levels: list[tuple[int, int]] = []  # (fill, window), sorted
+    again, new = {}, 0
+    for i in moved:
+        at = bisect(levels, (window - lengths[i], len(where)))
+        level, b = levels.pop(at - 1) if at else (0, new)
+        new += not at
+        again[i] = (b, level)
+        insort(levels, (level + lengths[i], b))
+    if new >= len(open_):
+        again = {}
+    full = sorted(set(fill) - open_) if again else sorted(fill)
+    number = {b: k for k, b in enumerate(full)}
+    out = [(len(full) + again[i][0], again[i][1]) if i in again else (number[where[i]], offset[i]) for i in range(len(where))]
+    return [b for b, _ in out], [o for _, o in out]
+
+
 def pack(pieces: DataFrame, window: int = 2048, group_rows: int = 5000) -> DataFrame:
     """pieces with sequence_id and offset: each lies at its offset in one window; no two overlap, fill starts at 0.
 
     Pieces are packed in groups of about group_rows by a hash of their document, so the work is spread and the level
-    array of each group settles; a group leaves a few windows partly filled.
+    array of each group settles. What a group leaves in partly filled windows is packed once more, longest first.
     """
     groups = pieces_of(pieces.count(), group_rows)
     schema = ", ".join(f"{k} {v}" for k, v in pieces.dtypes) + ", sequence_id long, offset long"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        where, offset = sum_of_squares(pdf["length"].tolist(), window)
+        lengths = pdf["length"].tolist()
+        where, offset = closed_up(lengths, *sum_of_squares(lengths, window), window)
         return pdf.drop(columns="g").assign(sequence_id=np.asarray(where, np.int64) * groups + key[0], offset=np.asarray(offset, np.int64))
 
     return pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))).groupBy("g").applyInPandas(run, schema)
