@@ -62,6 +62,12 @@ def cosine_distance(x: Column, p: Column) -> Column:
     return 1 - F.try_divide(dot, F.sqrt(_sum(F.transform(x, lambda a: a * a))) * F.sqrt(_sum(F.transform(p, lambda a: a * a))))
 
 
+def pearson_distance(x: Column, p: Column) -> Column:
+    """1 - correlation; null if either is constant."""
+    centred = lambda a: F.transform(a, lambda v: v - _sum(a) / F.size(a))
+    return cosine_distance(centred(x), centred(p))
+
+
 def difference_factors(d: int) -> list[float]:
     """Coefficients of x[t-1], x[t-2], .. in the sum of the differences of order 0 to d - 1 at t - 1."""
     out = [0.0] * d

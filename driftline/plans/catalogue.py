@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import math as fm
 from driftline.operators import evaluate as ev
-from driftline.operators import frames, models, online, scores, training
+from driftline.operators import frames, models, online, registry, scores, training
 from driftline.sources import series as src
 from driftline.sources import store
 from driftline.streaming import jobs
@@ -577,6 +577,13 @@ def var_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("series_id").applyInPandas(run, "t long, lag int, error double")
 
 
+@query()
+def model_registry_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of an autoencoder, each in force from its row on."""
+    e = src.events(spark, sf)
+    return registry.score_with(e, registry.fit_models(e, "autoencoder", [100, 150]))
+
+
 # streaming
 
 

@@ -45,6 +45,24 @@ def save_models(models: DataFrame, path: str) -> None:
     models.write.mode("append").partitionBy("approach").parquet(path)
 
 
+def write_overlay(overlay: DataFrame, path: str, first: int, last: int) -> None:
+    """The replaced rows of an artificial anomaly, in a folder that names its first and last row."""
+    overlay.write.mode("overwrite").option("header", "true").csv(f"{path}/anomaly_{first}-{last}")
+
+
+def read_overlays(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All overlays under path with the interval that each folder's name gives."""
+    df = spark.read.schema(schema).option("header", "true").csv(f"{path}/anomaly_*")
+    at = lambda i: F.regexp_extract(F.input_file_name(), r"anomaly_(\d+)-(\d+)", i).cast("long")
+    return df.withColumns({"first": at(1), "last": at(2)})
+
+
+def model_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, step, content) of weight files called ..-stepN.., for models that were written as files."""
+    df = spark.read.format("binaryFile").load(path)
+    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.regexp_extract("path", r"step(\d+)", 1).cast("long").alias("step"), "content")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the session names; a temporary one where none is set, as in tests on one machine."""
     sc = spark.sparkContext

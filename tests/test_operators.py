@@ -31,6 +31,8 @@ def test_measures(spark):
     rows = df.select(fm.euclidean(F.col("a"), F.col("b")), fm.mean_abs_diff(F.col("a"), F.col("b")), fm.cosine_distance(F.col("a"), F.col("b"))).collect()
     assert rows[0][0] == pytest.approx(math.sqrt(5)) and rows[0][1] == 1.5 and rows[0][2] == pytest.approx(0)
     assert rows[1][2] is None
+    got = df.select(fm.pearson_distance(F.col("a"), F.col("b"))).collect()
+    assert got[0][0] == pytest.approx(0) and got[1][0] is None
 
 
 def test_difference_factors_continue_polynomials():
@@ -221,5 +223,10 @@ def test_files(spark, tmp_path):
     for run in ("2024", "2025"):
         store.write_scores(df, str(tmp_path / "out"), "usad", "sw_ks", "al", run)
     assert store.read_scores(spark, str(tmp_path / "out")).count() == 1
+    store.write_overlay(spark.createDataFrame([(1, 2.0)], "t long, ch0 double"), str(tmp_path / "art"), 90, 110)
+    got = store.read_overlays(spark, str(tmp_path / "art"), "t long, ch0 double").first()
+    assert (got["t"], got["ch0"], got["first"], got["last"]) == (1, 2.0, 90, 110)
+    (tmp_path / "usad-ks-step500.bin").write_bytes(b"w")
+    assert [(r["step"], bytes(r["content"])) for r in store.model_files(spark, str(tmp_path / "*.bin")).collect()] == [(500, b"w")]
     store.write_results(df, str(tmp_path / "json"))
     assert store.read_results(spark, str(tmp_path / "json"), "series_id string, t long, anomaly_score double").collect() == df.collect()
