@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import ascii_lower, components, hex16, local_roots, shingles, stable, table, vote_sums, voted, words
+from driftline.llm.common import ascii_lower, components, hex16, local_roots, pieces_of, shingles, stable, table, vote_sums, voted, words
 
 
 def fingerprints(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,7 +150,7 @@ def _mixed(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes: int = 4, segments: int = 6, crowd: int = 64, block: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes: int = 4, segments: int = 6, crowd: int = 2, block: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, t, copies, component_id): groups of texts whose sets of k-word shingles have a Jaccard similarity of about
     `similarity` or more, by SimHash; A-Z count as lower case.
 
@@ -197,23 +197,35 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes:
     as_ask = many.select("key", "node", *names[2:], F.lit(False).alias("entry"), F.explode(F.sequence(F.lit(0), F.col("e") - 1)).alias("eb"), part("q").alias("qb"))
     as_entry = many.where("entry").select("key", "node", *names[2:], F.lit(True).alias("entry"), part("e").alias("eb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"))
 
-    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
-        e, q = pdf[pdf["entry"]], pdf[~pdf["entry"]]
-        x, y = e[names[2:]].to_numpy(np.int64), q[names[2:]].to_numpy(np.int64)
-        ids, at = np.unique(np.concatenate([e["node"], q["node"]]), return_inverse=True)
+    def tree(x: np.ndarray, entry: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links between askers and entries under one key, as each node's smallest linked one."""
+        ids, at = np.unique(node, return_inverse=True)
+        e, q = np.nonzero(entry)[0], np.nonzero(~entry)[0]
         left, right = [], []
-        for lo in range(0, len(y), 256):
-            d = np.zeros((len(y[lo : lo + 256]), len(x)), np.int64)
+        for lo in range(0, len(q), 256):
+            part = q[lo : lo + 256]
+            d = np.zeros((len(part), len(e)), np.int64)
             for j in range(x.shape[1]):
-                d += np.bitwise_count(y[lo : lo + 256, j, None] ^ x[None, :, j])
-            i, j = np.nonzero(d <= most)
-            left.append(at[len(x) + lo + i])
-            right.append(at[j])
+                d += np.bitwise_count(x[part, j, None] ^ x[None, e, j])
+            i, k = np.nonzero(d <= most)
+            left.append(at[part[i]])
+            right.append(at[e[k]])
         root = local_roots(np.concatenate(left), np.concatenate(right), len(ids)) if left else np.arange(len(ids))
         keep = root != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[keep], "b": ids[root[keep]]})
+        return ids[keep], ids[root[keep]]
 
-    trees = as_ask.unionByName(as_entry).groupBy("key", "eb", "qb").applyInPandas(matched, "a long, b long")
+    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "eb", "qb"], kind="stable")
+        x, entry, node = pdf[names[2:]].to_numpy(np.int64), pdf["entry"].to_numpy(bool), pdf["node"].to_numpy()
+        by = pdf[["key", "eb", "qb"]].to_numpy(np.int64)
+        edges = [0, *(np.nonzero((by[1:] != by[:-1]).any(1))[0] + 1).tolist(), len(by)]
+        found = [tree(x[i:j], entry[i:j], node[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        ends = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], 1), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+
+    # some thousand rows of one or more keys' blocks at a time
+    frame = F.pmod(F.xxhash64("key", "eb", "qb"), F.lit(pieces_of(nodes.count(), 200)))
+    trees = as_ask.unionByName(as_entry).groupBy(frame.alias("frame")).applyInPandas(matched, "a long, b long")
     found = components(pairs.unionByName(trees))
     roots = stable(nodes.join(found, "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root")))
     label = roots.groupBy("root").agg(F.min("least").alias("component_id"))
