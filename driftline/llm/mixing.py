@@ -100,14 +100,15 @@ class Mix:
         return self._repeated
 
     def taken(self) -> DataFrame:
-        """row, taken: the words that the mix takes from each document, repeats counted."""
+        """row, taken: the words that the mix takes from each document, repeats counted. Slots are spread out from a small
+        plan, which Spark would take for a small table: the hint keeps it from broadcasting them."""
         n = self.slots.groupBy("src", "block").agg(F.count("*").alias("n"))
-        return self.pieces.join(n, ["src", "block"]).groupBy("row").agg(F.sum(F.col("n") * (F.col("hi") - F.col("lo"))).alias("taken"))
+        return self.pieces.join(n.hint("merge"), ["src", "block"]).groupBy("row").agg(F.sum(F.col("n") * (F.col("hi") - F.col("lo"))).alias("taken"))
 
     def parts(self) -> DataFrame:
         """row, epoch, spans: the word spans [lo, hi) that each pass over a source takes from a document, joined where
         they touch."""
-        hits = self.pieces.join(self.slots.select("src", "block", "epoch"), ["src", "block"])
+        hits = self.pieces.join(self.slots.select("src", "block", "epoch").hint("merge"), ["src", "block"])
         return hits.groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
