@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -113,32 +113,46 @@ def groups(docs: DataFrame, k: int, radius: int = 4, key: str = "doc_id", text:
     return fps.join(roots.join(label, "root").select("fp", "component_id"), "fp")
 
 
-def _wide(k: int, hashes: int):
-    """Per text: two words of majority bits over its distinct words, then `hashes` words over its distinct k-word
-    shingles."""
-
-    def bits(h: np.ndarray, n: int) -> list[int]:
-        if not len(h):
-            return [0] * n
+def _runs(x: np.ndarray, k: int) -> np.ndarray:
+    """Distinct hashes, in order, of all runs of k words, given the words' hashes; of the whole text if it has fewer."""
+    x = np.asarray(x, np.int64).view(np.uint64)
+    runs = np.zeros(max(0, min(len(x), len(x) - k + 1)) or min(1, len(x)), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(min(k, len(x))):
+            runs = _mixed(runs * np.uint64(0x9FB21C651E98DF25) + x[i : i + len(runs)])
+    return np.unique(runs)
+
+
+def _wide(k: int, hashes: int, bands: int, rows: int):
+    """Per text, over its distinct k-word shingles: the hash of their set, their number, `hashes` words of majority
+    bits, and `bands` keys of `rows` least hashes each; no keys for no word."""
+    seeds = lambda n, first: np.asarray([(first + i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(n)], np.uint64)
+    of_bits, of_least = seeds(hashes, 0), seeds(bands * rows, 1000)
+
+    def sketch(h: np.ndarray) -> tuple[list[int], list[int]]:
+        votes, least = np.zeros(64 * hashes, np.int64), np.full(bands * rows, 2**64 - 1, np.uint64)
+        for at in range(0, len(h), 1024):
+            part = h[at : at + 1024, None]
+            votes += np.unpackbits(_mixed(part + of_bits).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            least = np.minimum(least, _mixed(part ^ of_least).min(0))
+        keys = np.arange(bands, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            each = np.stack([_mixed(h + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) for i in range(n)], 1)
-        votes = np.zeros(64 * n, np.int64)
-        for at in range(0, len(each), 4096):
-            votes += np.unpackbits(each[at : at + 4096].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        return np.packbits(2 * votes > len(h), bitorder="little").view(np.int64).tolist()
+            for x in least.reshape(bands, rows).T:
+                keys = _mixed(keys * np.uint64(0x9FB21C651E98DF25) + x)
+        return np.packbits(2 * votes > len(h), bitorder="little").view(np.int64).tolist(), keys.view(np.int64).tolist() if len(h) else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f"f{i}" for i in range(hashes)]
         for pdf in batches:
-            out = []
-            for x in pdf["w"]:
-                x = np.asarray(x, np.int64).view(np.uint64)
-                runs = np.zeros(max(0, min(len(x), len(x) - k + 1)) or min(1, len(x)), np.uint64)
-                with np.errstate(over="ignore"):
-                    for i in range(min(k, len(x))):
-                        runs = _mixed(runs * np.uint64(0x9FB21C651E98DF25) + x[i : i + len(runs)])
-                out.append(bits(np.unique(x), 2) + bits(np.unique(runs), hashes))
-            names = [f"f{i}" for i in range(2 + hashes)]
-            yield pd.concat([pdf[["d", "t"]].reset_index(drop=True), pd.DataFrame(np.asarray(out, np.int64).reshape(-1, len(names)), columns=names)], axis=1).astype({"d": "Int64"})
+            sets = [_runs(x, k) for x in pdf["w"]]
+            found = [sketch(h) for h in sets]
+            bits = pd.DataFrame(np.asarray([f[0] for f in found], np.int64).reshape(-1, hashes), columns=names)
+            out = pd.concat([pdf[["d", "t"]].reset_index(drop=True), bits], axis=1).astype({"d": "Int64"})
+            with np.errstate(over="ignore"):
+                out["node"] = np.asarray([_mixed(h + np.uint64(len(h))).sum(dtype=np.uint64) for h in sets], np.uint64).view(np.int64)
+            out["n"] = [len(h) for h in sets]
+            out["keys"] = [f[1] for f in found]
+            yield out[["d", "t", "node", "n", *names, "keys"]]
 
     return run
 
@@ -150,87 +164,88 @@ def _mixed(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes: int = 4, segments: int = 6, crowd: int = 2, block: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, t, copies, component_id): groups of texts whose sets of k-word shingles have a Jaccard similarity of about
-    `similarity` or more, by SimHash; A-Z count as lower case.
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes: int = 4, bands: int = 24, rows: int = 4, crowd: int = 2, block: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(d, t, copies, component_id, root): groups of texts whose sets of k-word shingles have a Jaccard similarity of
+    about `similarity` or more, by SimHash; A-Z count as lower case.
 
-    Candidates come from 128 bits over the distinct words, of which even a text with all its shingles touched keeps
-    most: each segment of about 21 bits is looked up with the ball of radius 1 around it. They are verified by the whole
-    distance of 64 * hashes bits over the shingles: at that similarity the angle between two sets is known, and two
-    standard deviations above the distance it gives still link. Texts equal in all bits are one node. A key under which
-    more than `crowd` nodes stand is compared in blocks, from which only a tree of the links comes back, never a pair a
-    link. Null texts and ids as in `groups`.
+    Candidates share one of `bands` keys, each made of the least of the shingles under `rows` hash functions. A pair of
+    similarity J shares a key with probability 1 - (1 - J ** rows) ** bands, however its differences lie: at 0.8 all but
+    3 in a million. They are verified by the whole distance of 64 * hashes bits over the shingles: at that similarity
+    the angle between two sets is known, and two standard deviations above the distance it gives still link. Texts with
+    equal sets are one node, named by the set's hash. A key under which more than `crowd` nodes stand is compared in
+    blocks, from which only a tree of the links comes back, never a pair a link. Null texts and ids as in `groups`.
     """
-    names = [f"f{i}" for i in range(2 + hashes)]
+    names = [f"f{i}" for i in range(hashes)]
     body = F.coalesce(F.col(text), F.lit(""))
     hashed = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(body).alias("t"), F.transform(words(ascii_lower(body)), lambda w: F.xxhash64(w)).alias("w"))
-    fps = hashed.mapInPandas(_wide(k, hashes), "d long, t long, " + ", ".join(f"{c} long" for c in names))
-    fps = stable(fps.groupBy("d", "t", *names).agg(F.count("*").alias("copies")))
-    nodes = stable(fps.groupBy(*names).agg(F.min("d").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    made = stable(hashed.mapInPandas(_wide(k, hashes, bands, rows), "d long, t long, node long, n long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"))
+    fps = made.groupBy("d", "t", "node").agg(F.count("*").alias("copies"))
     n = 64 * hashes
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = math.floor(n * share + 2 * math.sqrt(n * share * (1 - share)))
-    cuts = [round(i * 128 / segments) for i in range(segments + 1)]
-    long = lambda v: F.lit(v).cast("long")
-
-    def asked(s: int) -> Column:
-        """The keys of segment s: its own, then those with one bit turned."""
-        at = range(cuts[s], cuts[s + 1])
-        own = [F.col(f"f{w}").bitwiseAND(long(_mask([b - 64 * w for b in at if b // 64 == w]))) for w in (0, 1)]
-        turn = F.array(*[F.struct(*[long(_mask([b - 64 * w]) if b is not None and b // 64 == w else 0).alias(f"m{w}") for w in (0, 1)]) for b in (None, *at)])
-        key_ = lambda m: F.xxhash64(F.lit(s), own[0].bitwiseXOR(m["m0"]), own[1].bitwiseXOR(m["m1"])).alias("key")
-        return F.transform(turn, lambda m: F.struct(key_(m), ((m["m0"] == 0) & (m["m1"] == 0)).alias("entry")))
-
-    asks = [asked(s) for s in range(segments)]
-    each = nodes.select("node", *names, F.explode(F.concat(*asks)).alias("x")).select("node", *names[2:], "x.key", "x.entry")
-    entries = each.where("entry").drop("entry")
-    counts = stable(entries.groupBy("key").agg(F.count("*").alias("e")))
-    few = entries.join(counts.where(F.col("e") <= crowd).select("key"), "key").withColumnsRenamed({c: f"_{c}" for c in ("node", *names[2:])})
-    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in names[2:]), F.lit(0))
-    pairs = each.drop("entry").join(few, (each["key"] == few["key"]) & (F.col("node") != F.col("_node")) & (far <= most)).select(F.col("node").alias("a"), F.col("_node").alias("b"))
-    crowded = counts.where(F.col("e") > crowd)
-    many = each.join(crowded.select("key"), "key")
-    sizes = many.groupBy("key").agg(F.ceil(F.sum(F.col("entry").cast("int")) / block).cast("int").alias("e"), F.ceil(F.count("*") / (2 * block)).cast("int").alias("q"))
-    many = many.join(sizes, "key")
-    part = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    # every node asks all blocks of entries; an entry stands in its own block for all blocks of askers
-    as_ask = many.select("key", "node", *names[2:], F.lit(False).alias("entry"), F.explode(F.sequence(F.lit(0), F.col("e") - 1)).alias("eb"), part("q").alias("qb"))
-    as_entry = many.where("entry").select("key", "node", *names[2:], F.lit(True).alias("entry"), part("e").alias("eb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"))
-
-    def tree(x: np.ndarray, entry: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links between askers and entries under one key, as each node's smallest linked one."""
-        ids, at = np.unique(node, return_inverse=True)
-        e, q = np.nonzero(entry)[0], np.nonzero(~entry)[0]
-        left, right = [], []
-        for lo in range(0, len(q), 256):
-            part = q[lo : lo + 256]
-            d = np.zeros((len(part), len(e)), np.int64)
-            for j in range(x.shape[1]):
-                d += np.bitwise_count(x[part, j, None] ^ x[None, e, j])
-            i, k = np.nonzero(d <= most)
-            left.append(at[part[i]])
-            right.append(at[e[k]])
-        root = local_roots(np.concatenate(left), np.concatenate(right), len(ids)) if left else np.arange(len(ids))
-        keep = root != np.arange(len(ids))
-        return ids[keep], ids[root[keep]]
+    each = made.select("node", *names, F.explode("keys").alias("key")).distinct()
+    counts = stable(each.groupBy("key").agg(F.count("*").alias("e")).where("e > 1"))
+    few = each.join(counts.where(F.col("e") <= crowd).select("key"), "key")
+    other = few.withColumnsRenamed({c: f"_{c}" for c in ("key", "node", *names)})
+    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in names), F.lit(0))
+    pairs = few.join(other, (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & (far <= most)).select(F.col("node").alias("a"), F.col("_node").alias("b"))
+    sizes = counts.where(F.col("e") > crowd).select("key", F.ceil(F.col("e") / block).cast("int").alias("blocks"))
+    many = in_block_pairs(each.join(sizes, "key"), "key")
+
+    def tree(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Links between the nodes under one key, as each node's smallest linked one."""
+        # unsigned: bitwise_count counts the bits of the absolute value
+        x, node = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64), pdf["node"].to_numpy()
+        order = np.argsort(node)
+        x, node = x[order], node[order]
+        root = np.arange(len(node))
+        for i, j in near_rows(x, most):
+            root = local_roots(root[i], root[j], len(node))[root]
+        keep = root != np.arange(len(node))
+        return node[keep], node[root[keep]]
+
+    # some thousand rows of one or more keys' blocks at a time
+    trees = in_frames(many, "key", tree, pieces_of(made.count(), 200))
+    found = components(pairs.unionByName(trees))
+    return labelled(fps, found)
+
+
+def in_block_pairs(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with a number of blocks, once for each pair of blocks (lo, hi) that theirs is in: every two rows under the
+    same `by` meet in some pair."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    each = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("own", "with", "blocks")
+
+
+def in_frames(rows: DataFrame, by: str, tree: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], frames: int) -> DataFrame:
+    """Edges (a, b) that `tree` finds among the rows of each pair of blocks."""
 
     def matched(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "eb", "qb"], kind="stable")
-        x, entry, node = pdf[names[2:]].to_numpy(np.int64), pdf["entry"].to_numpy(bool), pdf["node"].to_numpy()
-        by = pdf[["key", "eb", "qb"]].to_numpy(np.int64)
-        edges = [0, *(np.nonzero((by[1:] != by[:-1]).any(1))[0] + 1).tolist(), len(by)]
-        found = [tree(x[i:j], entry[i:j], node[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
-        ends = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], 1), axis=0) if found else np.zeros((0, 2), np.int64)
+        pdf = pdf.sort_values([by, "lo", "hi"], kind="stable").reset_index(drop=True)
+        at = pdf[[by, "lo", "hi"]].to_numpy(np.int64)
+        edges = [0, *(np.nonzero((at[1:] != at[:-1]).any(1))[0] + 1).tolist(), len(at)]
+        found = [tree(pdf.iloc[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+        ends = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], 1), axis=0)
         return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
-    # some thousand rows of one or more keys' blocks at a time
-    frame = F.pmod(F.xxhash64("key", "eb", "qb"), F.lit(pieces_of(nodes.count(), 200)))
-    trees = as_ask.unionByName(as_entry).groupBy(frame.alias("frame")).applyInPandas(matched, "a long, b long")
-    found = components(pairs.unionByName(trees))
-    roots = stable(nodes.join(found, "node", "left").select(*names, "least", F.coalesce("root", "node").alias("root")))
-    label = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(label, "root").select(*names, "component_id", "root")
-    return fps.join(named, names).select("d", "t", "copies", "component_id", "root")
+    return rows.groupBy(F.pmod(F.xxhash64(by, "lo", "hi"), F.lit(frames)).alias("frame")).applyInPandas(matched, "a long, b long")
+
+
+def near_rows(x: np.ndarray, most: int, part: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of rows of x that differ in at most `most` bits, some rows at a time."""
+    for lo in range(0, len(x), part):
+        d = np.zeros((len(x[lo : lo + part]), len(x) - lo), np.int64)
+        for c in range(x.shape[1]):
+            d += np.bitwise_count(x[lo : lo + part, c, None] ^ x[None, lo:, c])
+        i, j = np.nonzero(d <= most)
+        yield i[i < j] + lo, j[i < j] + lo
+
+
+def labelled(fps: DataFrame, found: DataFrame) -> DataFrame:
+    """fps with the component of each node: its root, and the smallest id in it."""
+    rooted = stable(fps.join(found, "node", "left").select("d", "t", "copies", F.coalesce("root", "node").alias("root")))
+    return rooted.join(rooted.groupBy("root").agg(F.min("d").alias("component_id")), "root")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

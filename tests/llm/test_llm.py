@@ -319,6 +319,31 @@ def test_similar_groups(docs, none, crowd):
     assert simhash_dedup.keep_one(none, simhash_dedup.similar_groups(none)).count() == 0
 
 
+def passages():
+    """(rows, pairs): texts of distinct words with an added or replaced passage, as (doc_id, text), and by pair of ids the
+    Jaccard similarity of their 5-word shingles."""
+    rng = random.Random(9)
+    rows, pairs, word = [], {}, (f"u{i}" for i in range(1_000_000))
+    for want in (0.70, 0.75, 0.79, 0.81, 0.85, 0.90, 0.95):
+        for i in range(40):
+            base = [next(word) for _ in range(120)]
+            changed = round(116 * (1 - want) / (want if i % 2 else 1 + want)) - 4 * (1 - i % 2)
+            new = [next(word) for _ in range(max(1, changed))]
+            at = rng.randrange(120 - len(new)) if i % 3 else 120 - len(new)
+            other = base + new if i % 2 else base[:at] + new + base[at + len(new) :]
+            a, b = ({" ".join(w[j : j + 5]) for j in range(len(w) - 4)} for w in (base, other))
+            pairs[len(rows), len(rows) + 1] = len(a & b) / len(a | b)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    return rows, pairs
+
+
+def test_similar_groups_meet_passages(spark):
+    rows, pairs = passages()
+    root = {r["d"]: r["root"] for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    over = [root[a] == root[b] for (a, b), j in pairs.items() if j >= 0.8]
+    assert len(over) >= 150 and sum(over) / len(over) > 0.97
+
+
 def test_quality(spark, docs, none):
     d = "/root/testdata/sf0.01"
     rows = registry.queries()["op7_quality_classifier"](spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
