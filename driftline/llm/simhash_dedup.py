@@ -164,16 +164,18 @@ def _mixed(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes: int = 4, bands: int = 24, rows: int = 4, crowd: int = 2, block: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, t, copies, component_id, root): groups of texts whose sets of k-word shingles have a Jaccard similarity of
-    about `similarity` or more, by SimHash; A-Z count as lower case.
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes: int = 4, bands: int = 24, rows: int = 4, crowd: int = 2, block: int = 1024, few_shingles: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(d, t, copies, component_id, root): groups of texts linked by a Jaccard similarity of at least `similarity` of
+    their sets of k-word shingles, found by SimHash; A-Z count as lower case.
 
     Candidates share one of `bands` keys, each made of the least of the shingles under `rows` hash functions. A pair of
     similarity J shares a key with probability 1 - (1 - J ** rows) ** bands, however its differences lie: at 0.8 all but
-    3 in a million. They are verified by the whole distance of 64 * hashes bits over the shingles: at that similarity
-    the angle between two sets is known, and two standard deviations above the distance it gives still link. Texts with
-    equal sets are one node, named by the set's hash. A key under which more than `crowd` nodes stand is compared in
-    blocks, from which only a tree of the links comes back, never a pair a link. Null texts and ids as in `groups`.
+    3 in a million. They form coarse groups by the distance of 64 * hashes bits over the shingles: at that similarity the
+    angle between two sets is known, and four standard deviations above the distance it gives still join; sets of at most
+    `few_shingles` join by size alone. A key under which more than `crowd` nodes stand is compared in blocks, from which
+    only a tree of the links comes back, never a pair a link. Inside the coarse groups, in blocks again, only pairs whose
+    shingle hashes have the similarity link. Texts with equal sets are one node, named by the set's hash. Null texts and
+    ids as in `groups`.
     """
     names = [f"f{i}" for i in range(hashes)]
     body = F.coalesce(F.col(text), F.lit(""))
@@ -182,32 +184,82 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes:
     fps = made.groupBy("d", "t", "node").agg(F.count("*").alias("copies"))
     n = 64 * hashes
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = math.floor(n * share + 2 * math.sqrt(n * share * (1 - share)))
-    each = made.select("node", *names, F.explode("keys").alias("key")).distinct()
+    most = math.floor(n * share + 4 * math.sqrt(n * share * (1 - share)))
+    each = made.select("node", "n", *names, F.explode("keys").alias("key")).distinct()
     counts = stable(each.groupBy("key").agg(F.count("*").alias("e")).where("e > 1"))
     few = each.join(counts.where(F.col("e") <= crowd).select("key"), "key")
-    other = few.withColumnsRenamed({c: f"_{c}" for c in ("key", "node", *names)})
+    other = few.withColumnsRenamed({c: f"_{c}" for c in ("key", "node", "n", *names)})
     far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in names), F.lit(0))
-    pairs = few.join(other, (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & (far <= most)).select(F.col("node").alias("a"), F.col("_node").alias("b"))
+    alike = F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-9
+    near = alike & ((far <= most) | (F.least("n", "_n") <= few_shingles))
+    pairs = few.join(other, (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & near).select(F.col("node").alias("a"), F.col("_node").alias("b"))
     sizes = counts.where(F.col("e") > crowd).select("key", F.ceil(F.col("e") / block).cast("int").alias("blocks"))
     many = in_block_pairs(each.join(sizes, "key"), "key")
 
-    def tree(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Links between the nodes under one key, as each node's smallest linked one."""
+    def nodes_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
+        pdf = pdf.drop_duplicates("node").sort_values("node")
         # unsigned: bitwise_count counts the bits of the absolute value
-        x, node = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64), pdf["node"].to_numpy()
-        order = np.argsort(node)
-        x, node = x[order], node[order]
+        return np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64), pdf["n"].to_numpy(), pdf["node"].to_numpy(), pdf
+
+    def coarse(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Near nodes under one key, as each node's smallest joined one."""
+        x, size, node, _ = nodes_of(pdf)
         root = np.arange(len(node))
-        for i, j in near_rows(x, most):
+        for i, j in near_rows(x, size, most, similarity, few_shingles):
             root = local_roots(root[i], root[j], len(node))[root]
         keep = root != np.arange(len(node))
         return node[keep], node[root[keep]]
 
+    def exact(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """A tree of the links between the nodes of one coarse group."""
+        x, size, node, pdf = nodes_of(pdf)
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
+        found = [(np.zeros(0, int), np.zeros(0, int))] + list(near_rows(x, size, most, similarity, few_shingles))
+        a, b = linked(sets, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), similarity)
+        return node[a], node[b]
+
+    def hashed_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.drop(columns="w").assign(shingles=[_runs(x, k).tobytes() for x in pdf["w"]])
+
     # some thousand rows of one or more keys' blocks at a time
-    trees = in_frames(many, "key", tree, pieces_of(made.count(), 200))
-    found = components(pairs.unionByName(trees))
-    return labelled(fps, found)
+    trees = in_frames(many, "key", coarse, pieces_of(made.count(), 200))
+    group = components(pairs.unionByName(trees))
+    # one text of each node that a coarse group holds
+    nodes = made.groupBy("node").agg(F.min(F.struct(F.col("d").isNull().alias("no"), "d", "t")).alias("x"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in names])
+    chosen = stable(nodes.join(group, "node").select("node", "root", F.col("x.d").alias("_d"), F.col("x.t").alias("_t"), "n", *names))
+    # blocks of at most about 16 MB of hashes
+    sizes = chosen.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / 2_000_000)).cast("int").alias("blocks"))
+    texts = docs.select(F.col(key).cast("long").alias("d"), body.alias("body")).withColumn("t", F.xxhash64("body"))
+    texts = texts.join(chosen, (F.col("t") == F.col("_t")) & F.col("d").eqNullSafe(F.col("_d")))
+    texts = texts.select("node", "root", "n", *names, F.transform(words(ascii_lower(F.col("body"))), lambda w: F.xxhash64(w)).alias("w"))
+    sets = texts.mapInPandas(hashed_runs, "node long, root long, n long, " + ", ".join(f"{c} long" for c in names) + ", shingles binary")
+    links_ = in_frames(in_block_pairs(sets.join(sizes, "root"), "root"), "root", exact, pieces_of(chosen.count(), 200))
+    return labelled(fps, components(links_))
+
+
+def linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) with i < j and at least the similarity that make a forest with the same components as
+    all such pairs: pairs inside a component known so far are not compared."""
+    order = np.lexsort((i, j))
+    i, j = i[order], j[order]
+    a, b = [], []
+    root, each = np.arange(len(sets)), 1
+    while len(i):
+        first = np.searchsorted(j, j)
+        now = np.arange(len(j)) - first < each  # some pairs of each j, twice as many each time
+        ok = []
+        for p, q in zip(i[now].tolist(), j[now].tolist(), strict=True):
+            both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            ok.append(both >= similarity * (len(sets[p]) + len(sets[q]) - both) - 1e-9)
+        p, q = i[now][np.asarray(ok, bool)], j[now][np.asarray(ok, bool)]
+        a.append(p)
+        b.append(q)
+        root = local_roots(root[p], root[q], len(sets))[root]
+        open_ = ~now & (root[i] != root[j])
+        i, j, each = i[open_], j[open_], 2 * each
+    none = np.zeros(0, int)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def in_block_pairs(rows: DataFrame, by: str) -> DataFrame:
@@ -232,13 +284,16 @@ def in_frames(rows: DataFrame, by: str, tree: Callable[[pd.DataFrame], tuple[np.
     return rows.groupBy(F.pmod(F.xxhash64(by, "lo", "hi"), F.lit(frames)).alias("frame")).applyInPandas(matched, "a long, b long")
 
 
-def near_rows(x: np.ndarray, most: int, part: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs i < j of rows of x that differ in at most `most` bits, some rows at a time."""
+def near_rows(x: np.ndarray, size: np.ndarray, most: int, similarity: float, few: int, part: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of sets that may have the similarity: by size, and by at most `most` differing bits of x unless one of
+    them has no more than `few` shingles. Some rows at a time."""
     for lo in range(0, len(x), part):
         d = np.zeros((len(x[lo : lo + part]), len(x) - lo), np.int64)
         for c in range(x.shape[1]):
             d += np.bitwise_count(x[lo : lo + part, c, None] ^ x[None, lo:, c])
-        i, j = np.nonzero(d <= most)
+        m, n = size[lo : lo + part, None], size[None, lo:]
+        alike = np.minimum(m, n) >= np.maximum(m, n) * similarity - 1e-9
+        i, j = np.nonzero(alike & ((d <= most) | (np.minimum(m, n) <= few)))
         yield i[i < j] + lo, j[i < j] + lo
 
 

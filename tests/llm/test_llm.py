@@ -344,6 +344,17 @@ def test_similar_groups_meet_passages(spark):
     assert len(over) >= 150 and sum(over) / len(over) > 0.97
 
 
+@pytest.mark.parametrize("crowd", [1, 64])
+def test_similar_groups_are_exact(spark, crowd):
+    rows, pairs = passages()
+    # near copies of one text in a row: each is like the next, the ends are not alike
+    chain = [f"c{i}" for i in range(100)]
+    rows += [(10_000 + i, " ".join(chain[3 * i :] + [f"n{j}" for j in range(3 * i)])) for i in range(20)]
+    root = {r["d"]: r["root"] for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd, block=8).collect()}
+    assert all((root[a] == root[b]) == (j >= 0.8) for (a, b), j in pairs.items())
+    assert len({root[10_000 + i] for i in range(20)}) == 1
+
+
 def test_quality(spark, docs, none):
     d = "/root/testdata/sf0.01"
     rows = registry.queries()["op7_quality_classifier"](spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
