@@ -119,10 +119,10 @@ def _sliced(texts: list[str], chars: int) -> Iterator[list[int]]:
         yield at
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 3, warm_docs: int = 400, share: float = 0.25, rate: float = 0.004, text: str = "text", key: str = "doc_id") -> np.ndarray:
-    """Weights learnt in one pass over a share of docs, chosen by a hash.
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 3, warm_docs: int = 400, rate: float = 0.004, text: str = "text", key: str = "doc_id") -> np.ndarray:
+    """Weights learnt in one pass over all docs.
 
-    First one task learns from about warm_docs documents. Then the share's documents are dealt into rounds; in each round
+    First one task learns from about warm_docs documents. Then all documents are dealt into rounds; in each round
     every task learns from its own documents, starting from the common weights, and the tasks' weights are averaged by
     the tokens they saw: summed in a few tasks, then on the driver, so that the driver holds a few copies however many
     tasks there are.
@@ -166,14 +166,23 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 3, warm_docs: int =
         total = sum(r["n"] for r in found)
         return sum(r["n"] / total * np.frombuffer(r["w"], "<f4").astype(np.float64) for r in found).astype(np.float32) if found else weights
 
-    place = F.pmod(F.xxhash64("d", F.xxhash64("text")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     some = min(1.0, warm_docs / max(1, vocab.ends))
-    weights = averaged(source.where((place < some) & (F.octet_length("text") <= 20_000)).repartition(1), rate)
-    for r in range(rounds):
-        weights = averaged(source.where((place >= share * r / rounds) & (place < share * (r + 1) / rounds)), rate / (r + 1))
+    weights = averaged(source.where((place() < some) & (F.octet_length("text") <= 20_000)).repartition(1), rate)
+    for r, part in enumerate(dealt(source, rounds)):
+        weights = averaged(part, rate / (r + 1))
     return weights
 
 
+def place() -> Column:
+    """A document's place from 0 to 1, by a hash."""
+    return F.pmod(F.xxhash64("d", F.xxhash64("text")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def dealt(source: DataFrame, rounds: int) -> list[DataFrame]:
+    """All documents (d, text), each in one of the rounds."""
+    return [source.where(F.floor(place() * rounds) == r) for r in range(rounds)]
+
+
 def score(docs: DataFrame, vocab: Vocabulary, counted: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row, both scores log10.
 

@@ -147,6 +147,12 @@ def test_language_model(spark, docs, none):
     assert lm.score(none, vocab, counted, weights).count() == 0
 
 
+def test_language_model_learns_from_all(docs):
+    source = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = [r["d"] for p in lm.dealt(source, 3) for r in p.collect()]
+    assert collections.Counter(parts) == collections.Counter(r[0] for r in corpus())
+
+
 def test_fingerprint_tables(spark):
     rng = random.Random(1)
     fps = {rng.getrandbits(64) - (1 << 63) for _ in range(40)}
