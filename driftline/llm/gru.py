@@ -14,9 +14,9 @@ F32 = np.float32
 class Shape:
     words: int  # words with an output of their own
     extra: int  # classes that stand for all other words of a kind
-    width: int = 32  # words of a class
-    embed: int = 24
-    hidden: int = 24
+    width: int = 64  # words of a class
+    embed: int = 32
+    hidden: int = 32
 
     @property
     def classes(self) -> int:

@@ -153,6 +153,16 @@ def test_language_model_learns_from_all(docs):
     assert collections.Counter(parts) == collections.Counter(r[0] for r in corpus())
 
 
+def test_language_model_size(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(f"v{(i * 700 + j) % 5000}" for j in range(700))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(lm, "train", lambda docs, vocab: seen.append(vocab) or gru.flat(gru.start(vocab.shape, vocab.starting_counts())))
+    lm.op2_language_model(spark, str(tmp_path))
+    shape = seen[0].shape
+    assert (shape.words, shape.embed, shape.hidden) == (4097, 32, 32)
+
+
 def test_fingerprint_tables(spark):
     rng = random.Random(1)
     fps = {rng.getrandbits(64) - (1 << 63) for _ in range(40)}
