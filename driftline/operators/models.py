@@ -6,20 +6,23 @@ import numpy as np
 
 
 class Var:
-    """Vector autoregression by least squares; lag by the Akaike criterion. x: rows by channels."""
+    """Vector autoregression by least squares; lag by the Akaike criterion, over the same rows for all lags that the
+    rows suffice for. x: rows by channels."""
 
-    def __init__(self, x: np.ndarray, max_lag: int = 5):
+    def __init__(self, x: np.ndarray, max_lag: int = 50):
         best = None
-        for lag in range(1, min(max_lag, (len(x) - 2) // (x.shape[1] + 1)) + 1):
-            a, y = self._design(x, lag), x[lag:]
+        most = min(max_lag, (len(x) - 2) // (x.shape[1] + 1))
+        for lag in range(1, most + 1):
+            a, y = self._design(x[most - lag :], lag), x[most:]
             coef = np.linalg.lstsq(a, y, rcond=None)[0]
             cov = (y - a @ coef).T @ (y - a @ coef) / len(y)
             aic = np.linalg.slogdet(cov + 1e-12 * np.eye(len(cov)))[1] + 2 * coef.size / len(y)
             if best is None or aic < best[0]:
-                best = (aic, lag, coef)
+                best = (aic, lag)
         if best is None:
             raise ValueError("too few rows for a lag")
-        self.lag, self.coef = best[1:]
+        self.lag = best[1]
+        self.coef = np.linalg.lstsq(self._design(x, self.lag), x[self.lag :], rcond=None)[0]
 
     @staticmethod
     def _design(x: np.ndarray, lag: int) -> np.ndarray:

@@ -520,7 +520,7 @@ def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
     def fit(x: np.ndarray) -> Iterator[tuple]:
         train, rest = x[:150, None], x[150:, None]
         if len(rest):
-            forest = models.Forest(train, 50, max(10, min(len(train) // 10, 256)), 7)
+            forest = models.Forest(train, 200, max(10, min(len(train) // 10, 256)), 7)
             forest.vote(train, 0.5)
             forest.renew(train)
             yield from ((150 + i, float(v)) for i, v in enumerate(forest.scores(rest)))

@@ -230,3 +230,27 @@ def test_files(spark, tmp_path):
     assert [(r["step"], bytes(r["content"])) for r in store.model_files(spark, str(tmp_path / "*.bin")).collect()] == [(500, b"w")]
     store.write_results(df, str(tmp_path / "json"))
     assert store.read_results(spark, str(tmp_path / "json"), "series_id string, t long, anomaly_score double").collect() == df.collect()
+
+
+def test_var_finds_a_weekly_lag():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (600, 2))
+    for i in range(7, 600):
+        x[i] += 0.8 * x[i - 7]
+    v = models.Var(x)
+    assert 7 <= v.lag <= 9
+    assert np.abs(v.coef[13:15] - 0.8 * np.eye(2)).max() < 0.1
+
+
+def test_iforest_query_builds_200_trees(monkeypatch):
+    from driftline.plans import catalogue
+
+    class Seen(models.Forest):
+        def __init__(self, x, trees, sample, seed):
+            asked.append(trees)
+            super().__init__(x, trees, sample, seed)
+
+    asked = []
+    monkeypatch.setattr(models, "Forest", Seen)
+    monkeypatch.setattr(catalogue, "_by_series", lambda spark, sf, fit, schema: list(fit(np.sin(np.arange(200.0)))))
+    assert len(catalogue.iforest_scores(None, None)) == 50 and asked == [200]
