@@ -437,10 +437,20 @@ def test_mixing(docs, none):
 
 
 def test_encoder():
-    e = packing.Encoder(packing.tokenizer_path(), words=50)
-    texts = ["", " ", "a b", "a  b", "a\nb c", "a\n\nb", " lead", "trail ", "a\tb", "it's, the word's!!", "é ü ñ ß", "a\x1cb !\x1c!", "x " * 5000, "<|endoftext|> is text", "tab\t\tbed\n \nend"]
-    want = [np.asarray(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert e.encode(texts) == want and e.encode(texts[::-1]) == want[::-1]
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    e = packing.Encoder(packing.tokenizer_path())
+    assert e.fast is not None
+    texts = ["", " ", "a b", "a  b", "a\nb c", "a\n\nb", " lead", "trail ", "a\tb", "it's, the word's!! 's 'tis I'LL", "é ü ñ ß", "a\x1cb !\x1c!", "x " * 5000, "<|endoftext|> is text", "b<|endoftext|>c <|endoftext|>\n<|endoftext|>", "tab\t\tbed\n \nend", "a\u200bb c\u00a0d", "no\rline"]
+    texts += ["y" * 20_000, " " * 20_000 + "x", "!" * 20_000, "ab" * 20_000, "\n" * 20_000, " \n" * 60_000 + "x"]
+    # every code point between letters, digits, marks and spaces, alone and twice: the pattern's classes agree on all
+    points = [*range(0x20000), *range(0x20000, 0xD0000, 257), *range(0xE0000, 0x110000, 61)]
+    texts += ["".join(f"a{chr(c)}1{chr(c)},{chr(c)} {chr(c)}{chr(c)}b" for c in points[i : i + 64] if not 0xD800 <= c < 0xE000) for i in range(0, len(points), 64)]
+    want = [x.ids for x in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [e.encode(t) for t in texts] == want
+    e.fast = None
+    assert [e.encode(t) for t in texts[:30]] == want[:30]
 
 
 def test_sum_of_squares():
@@ -468,11 +478,11 @@ def test_sum_of_squares():
         count[h + n] += h + n < 64
 
 
-def test_packing(docs, none):
+def test_packing(docs, none, spark):
     e = packing.encoder(packing.tokenizer_path())
     want = collections.Counter()
     for r in corpus():
-        ids = [*np.frombuffer(e.whole([r[1] or ""])[0], "<u4").tolist(), 1]
+        ids = [*e.encode(r[1] or ""), 1]
         for at in range(0, len(ids), 256):
             part = ids[at : at + 256]
             want[(r[0], at, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes()), len(ids))] += 1
@@ -487,6 +497,8 @@ def test_packing(docs, none):
             assert o == at
             at += n
         assert at <= 256
+    many = spark.createDataFrame([(i, 0, 1 + i * 7919 % 200, i, 9) for i in range(9000)], packing.PIECES)
+    assert sum(1 + i * 7919 % 200 for i in range(9000)) / 256 / packing.pack(many, 256).agg(F.count_distinct("sequence_id")).first()[0] > 0.98
     assert packing.pack_documents(none).count() == 0
 
 
@@ -518,4 +530,4 @@ def test_pipeline(spark, sf, tmp_path):
     whole = a[3].set_index("doc_id")["text"]
     assert all(set(words(t)) <= set(words(whole[d])) for d, t in zip(a[4]["doc_id"], a[4]["text"], strict=True))
     e = packing.encoder(packing.tokenizer_path())
-    assert a[5]["length"].sum() == sum(len(x) // 4 + 1 for x in e.encode(a[4]["text"].tolist()))
+    assert a[5]["length"].sum() == sum(len(e.encode(x)) + 1 for x in a[4]["text"])
