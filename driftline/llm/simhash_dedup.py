@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.common import ascii_lower, components, hex16, local_roots, pieces_of, shingles, stable, table, vote_sums, voted, words
@@ -29,71 +30,73 @@ def _mask(bits: list[int]) -> int:
 
 
 class Segments:
-    """64 bits cut into radius // 2 + 1 segments: two fingerprints within radius differ in at most one bit of some."""
+    """64 bits cut into n segments, each with a radius: two fingerprints within `radius` bits of each other differ, in
+    some segment, in at most that segment's bits. The radii sum to radius - n + 1, which is just enough for that."""
 
-    def __init__(self, radius: int):
-        n = radius // 2 + 1
+    def __init__(self, radius: int, n: int):
         at = [round(i * 64 / n) for i in range(n + 1)]
         self.bits = [list(range(a, b)) for a, b in zip(at, at[1:], strict=False)]
-
-    def key(self, fp: Column, s: int) -> Column:
-        """The segment's own bits in place, and its number above them by a hash."""
-        return F.xxhash64(F.lit(s), fp.bitwiseAND(F.lit(_mask(self.bits[s]))))
-
-    def entries(self, fps: DataFrame) -> DataFrame:
-        return fps.select("fp", F.explode(F.array(*[self.key(F.col("fp"), s) for s in range(len(self.bits))])).alias("key"))
-
-    def probes(self, fps: DataFrame) -> DataFrame:
-        """(fp, s, q, key): q is fp, or fp with one bit of segment s turned; a Hamming ball of radius 1 a segment."""
-        long = lambda v: F.lit(v).cast("long")
-
-        def turned(s: int) -> Column:
-            masks = F.array(long(0), *[long(_mask([b])) for b in self.bits[s]])
-            return F.transform(masks, lambda m: F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseXOR(m).alias("q")))
-
-        turns = [turned(s) for s in range(len(self.bits))]
-        each = fps.select("fp", F.explode(F.concat(*turns)).alias("x")).select("fp", "x.s", "x.q")
-        key = F.coalesce(*[F.when(F.col("s") == s, self.key(F.col("q"), s)) for s in range(len(self.bits))])
-        return each.withColumn("key", key)
+        rest = max(0, radius - n + 1)
+        self.radii = [rest // n + (i < rest % n) for i in range(n)]
+
+    def table(self, fps: DataFrame) -> DataFrame:
+        """(fp, s, j, key): the value of segment s with j of its bits turned, for j up to the segment's radius; j = 0 is
+        the table entry, the others probe for entries. Of two values that differ, the one that has the lowest differing
+        bit set probes for the other, so half a ball meets every pair once."""
+        balls = []
+        for s, (bits, r) in enumerate(zip(self.bits, self.radii, strict=True)):
+            for j in range(r + 1):
+                balls += [(s, j, _mask(list(c)), _mask(list(c[:1])), _mask(bits), bits[0]) for c in combinations(bits, j)]
+        ball = "array(" + ",".join(f"named_struct('s',{s},'j',{j},'m',{_sql(m)},'low',{_sql(low)},'own',{_sql(own)},'at',{at})" for s, j, m, low, own, at in balls) + ")"
+        each = fps.select("fp", F.explode(F.expr(ball)).alias("x")).where("x.j = 0 or (fp & x.low) <> 0")
+        return each.select("fp", "x.s", "x.j", F.expr("(cast(x.s as long) << 40) + shiftrightunsigned((fp ^ x.m) & x.own, x.at)").alias("key"))
 
     def ball(self, s: int, radius: int) -> list[int]:
         """Masks of at most radius bits outside segment s."""
         rest = [b for i, bits in enumerate(self.bits) if i != s for b in bits]
-        out = [[]]
-        last = [[]]
-        for _ in range(radius):
-            last = [[*m, b] for m in last for b in rest if not m or b > m[-1]]
-            out += last
-        return [_mask(m) for m in out]
+        return [_mask(list(c)) for r in range(radius + 1) for c in combinations(rest, r)]
+
+
+def _sql(m: int) -> str:
+    return f"{m}L" if m > -(1 << 63) else "(-9223372036854775807L - 1L)"
 
 
-def links(fps: DataFrame, radius: int = 4, crowd: int = 64) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, crowd: int = 64, segments: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp long) that differ in at most radius bits: every such pair is an
     edge or is joined by edges through fingerprints that link in turn; no edge joins two that don't link.
 
     Table entries hold each fingerprint under its segments, probes ask for the ball around each segment, and matches are
-    verified by their whole distance. A key under which more than `crowd` fingerprints stand would make pairs with the
-    square of their number. Those instead write down the patterns near them outside the segment: an entry or exact
-    probe all within half the radius, a probe with one turned bit all within one less. Any two that share a pattern
-    differ in at most radius bits, and any two that link through this key share one; so each is tied to the smallest
-    that shares its pattern, in a number of rows that grows with the group and not with its square.
+    verified by their whole distance. One shuffle by key brings entries and probes together. Two segments of 32 bits
+    stand in for three of 21 where there are so many fingerprints that short keys would be crowded by chance.
+
+    A key under which more than `crowd` fingerprints stand would make pairs with the square of their number. Those
+    instead write down the patterns near them outside the segment: an entry all within half the radius, a probe with j
+    turned bits all within j less. Any two that share a pattern differ in at most radius bits, and any two that link
+    through this key share one; so each is tied to the smallest that shares its pattern, in a number of rows that grows
+    with the group and not with its square.
     """
     if radius < 2 or radius % 2:
         raise ValueError("radius must be even and at least 2")
-    seg = Segments(radius)
-    entries, probes = seg.entries(fps), seg.probes(fps)
-    crowded = stable(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
-    few = entries.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("b"))
+    if segments is None:
+        segments = radius // 2 + 1 if radius > 2 and fps.count() <= 1 << 25 else 2
+    seg = Segments(radius, segments)
+    # both joins below read this one shuffle
+    table_ = seg.table(fps).repartition("key")
+    entries = seg.table(fps).where("j = 0").select("fp", "key")
+    counts = stable(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
+    few = entries.join(counts, "key", "left_anti").select(F.col("key").alias("_key"), F.col("fp").alias("b"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius
-    probes_ = probes.select("key", "fp")
-    pairs = probes_.join(few, (probes_["key"] == few["key"]) & (F.col("fp") < F.col("b")) & near).select(F.col("fp").alias("a"), "b")
+    once = (F.col("j") > 0) | (F.col("fp") < F.col("b"))
+    pairs = table_.join(few.hint("merge"), (F.col("key") == F.col("_key")) & once & near).select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
     half = radius // 2
-    many = probes.join(crowded, "key")
+    many = table_.join(counts.hint("merge"), "key")
     masks = lambda s, r: F.lit(seg.ball(s, r)).cast("array<bigint>")
-    pick = F.coalesce(*[F.when(F.col("s") == s, F.when(F.col("q") == F.col("fp"), masks(s, half)).otherwise(masks(s, half - 1))) for s in range(len(seg.bits))])
-    patterns = many.select("fp", "s", "q", F.explode(pick).alias("m")).select("fp", "s", F.col("q").bitwiseXOR(F.col("m")).alias("p"))
-    least = patterns.groupBy("s", "p").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").drop("top")
-    stars = patterns.join(least, ["s", "p"]).where("fp <> b").select(F.col("b").alias("a"), F.col("fp").alias("b"))
+    pick = F.coalesce(*[F.when((F.col("s") == s) & (F.col("j") == j), masks(s, half - j)) for s, r in enumerate(seg.radii) for j in range(r + 1)])
+    own = F.coalesce(*[F.when(F.col("s") == s, F.lit(_mask(bits)).cast("long")) for s, bits in enumerate(seg.bits)])
+    # a key and what stands outside its segment
+    patterns = many.select("fp", "key", F.col("fp").bitwiseAND(F.bitwise_not(own)).alias("rest"), F.explode(pick).alias("m")).select("fp", "key", F.col("rest").bitwiseXOR(F.col("m")).alias("p"))
+    least = patterns.groupBy("key", "p").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").drop("top")
+    stars = patterns.join(least, ["key", "p"]).where("fp <> b").select(F.col("b").alias("a"), F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 

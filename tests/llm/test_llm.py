@@ -270,8 +270,8 @@ def test_vectors(spark):
     assert vector_dedup.vector_links(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [1, 64])
-def test_hamming_links(spark, crowd):
+@pytest.mark.parametrize("crowd,segments", [(1, 3), (1, 2), (64, 2), (64, None)])
+def test_hamming_links(spark, crowd, segments):
     rng = random.Random(5)
     fps = {rng.getrandbits(64) - (1 << 63) for _ in range(12)} | {0}
     for f in list(fps):
@@ -280,7 +280,7 @@ def test_hamming_links(spark, crowd):
             for _ in range(rng.randrange(1, 4)):
                 x ^= 1 << rng.randrange(63)
             fps.add(x)
-    edges = simhash_dedup.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, crowd).collect()
+    edges = simhash_dedup.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, crowd, segments).collect()
     bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
     assert all(bits(r["a"], r["b"]) <= 4 for r in edges)
 
