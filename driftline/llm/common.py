@@ -46,13 +46,22 @@ def stable(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set, as in tests on one machine, a new temporary one."""
+    """The session's checkpoint folder; where none is set, a new temporary one on one machine, an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftline-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="driftline-"))
     return sc.getCheckpointDir()
 
 
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, a table with a row a key that was counted from left. It is written first: behind a join
+    whose both sides are plain shuffles Spark can deal the rows of a hot key of left out to several tasks."""
+    return left.join(stable(right), on, how)
+
+
 def pieces_of(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 

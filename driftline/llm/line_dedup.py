@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import SPACES, ascii_lower, let, table
+from driftline.llm.common import SPACES, ascii_lower, let, split_join, table
 
 
 def line_key(line: Column) -> Column:
@@ -17,7 +17,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_docs: int = 1, key: st
     document with the smallest id; and the columns n_lines and n_dropped (both long).
 
     Lines are exploded, normalised and hashed (128 bits); documents are counted by hash after a partial aggregation, so
-    a line in a third of all documents is one row a task. The texts move once, to meet the positions that they lose.
+    a line in a third of all documents is one row a task, and Spark can split the join that brings the counts back. The
+    texts move once, to meet the positions that they lose.
     A null text is an empty line. Documents with a null id keep their lines and don't count. Rows that share an id
     count as one document. Other columns stay; n_lines and n_dropped replace columns of that name.
     """
@@ -30,7 +31,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_docs: int = 1, key: st
         common = lines.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
     else:
         common = lines.select("h1", "h2", "d").distinct().groupBy("h1", "h2").agg(F.min("d").alias("first"), F.count("*").alias("n")).where(F.col("n") > max_docs).drop("n")
-    lost = lines.join(common, ["h1", "h2"]).where("d > first").groupBy("d", "t").agg(F.collect_set("at").alias("lost"))
+    lost = split_join(lines, common, ["h1", "h2"]).where("d > first").groupBy("d", "t").agg(F.collect_set("at").alias("lost"))
 
     def kept(parts: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce(F.col("lost"), F.array().cast("array<int>")))
