@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import stable, table, words
+from driftline.llm.common import split_join, stable, table, words
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSE = tuple(pow(b, -1, 1 << 64) for b in _BASES)
@@ -186,16 +185,16 @@ def mark_repeats(docs: DataFrame, length: int = 35, k: int = 5, key: str = "doc_
     hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")
     paths = rows.select("d", "t", hashed).mapInPandas(_paths(length, k), "h long, d long, t long, pos int, own int, label long, check int")
     again = paths.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    paths = stable(paths.join(again, "h").drop("h"))
+    paths = stable(split_join(paths, again, ["h"]).drop("h"))
     twice = paths.where("own > 0").groupBy("label", "check").agg(F.count("*").alias("n"), F.min(F.xxhash64("d", "t", "pos")).alias("first")).where("n > 1").drop("n")
     held = F.when((F.col("own") > 0) & F.col("first").isNotNull(), F.when(F.xxhash64("d", "t", "pos") == F.col("first"), 3).otherwise(1)).otherwise(0)
     mark = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("own") * 4 + held
-    marks = paths.join(twice, ["label", "check"], "left").select("d", "t", mark.alias("mark")).groupBy("d", "t").agg(F.collect_set("mark").alias("marks"))
+    marks = split_join(paths, twice, ["label", "check"], "left").select("d", "t", mark.alias("mark")).groupBy("d", "t").agg(F.collect_set("mark").alias("marks"))
     marked = rows.join(marks, ["d", "t"], "left")
     left = marked.where(F.col("marks").isNotNull()).select("d", "t", hashed, "marks")
     left = left.mapInPandas(_open_windows(length, k), "label long, check int, d long, t long, pos int, open boolean")
     same = left.groupBy("label", "check").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = left.where("open").join(same, ["label", "check"]).groupBy("d", "t").agg(F.collect_set("pos").alias("starts"))
+    starts = split_join(left.where("open"), same, ["label", "check"]).groupBy("d", "t").agg(F.collect_set("pos").alias("starts"))
     return marked.join(starts, ["d", "t"], "left")
 
 
