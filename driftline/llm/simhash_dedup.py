@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import ascii_lower, components, hex16, local_roots, pieces_of, shingles, stable, table, vote_sums, voted, words
+from driftline.llm.common import ascii_lower, components, hex16, local_roots, pieces_of, shingles, split_join, stable, table, vote_sums, voted, words
 
 
 def fingerprints(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,7 +113,7 @@ def groups(docs: DataFrame, k: int, radius: int = 4, key: str = "doc_id", text:
     roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = stable(roots)
     label = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(roots.join(label, "root").select("fp", "component_id"), "fp")
+    return fps.join(split_join(roots, label, ["root"]).select("fp", "component_id"), "fp")
 
 
 def _runs(x: np.ndarray, k: int) -> np.ndarray:
@@ -303,7 +303,7 @@ def near_rows(x: np.ndarray, size: np.ndarray, most: int, similarity: float, few
 def labelled(fps: DataFrame, found: DataFrame) -> DataFrame:
     """fps with the component of each node: its root, and the smallest id in it."""
     rooted = stable(fps.join(found, "node", "left").select("d", "t", "copies", F.coalesce("root", "node").alias("root")))
-    return rooted.join(rooted.groupBy("root").agg(F.min("d").alias("component_id")), "root")
+    return split_join(rooted, rooted.groupBy("root").agg(F.min("d").alias("component_id")), ["root"])
 
 
 def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
