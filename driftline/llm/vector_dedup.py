@@ -56,6 +56,12 @@ class Index:
         row, other = np.nonzero(border)
         return home, row, other
 
+    def asks(self, u: np.ndarray, home: int, other: np.ndarray) -> np.ndarray:
+        """Whether unit vectors at home in one list look into the other lists, by the rule of probes."""
+        far = lambda c: ((u - c) ** 2).sum(1)
+        apart = np.sqrt(((self.lists[home] - self.lists[other]) ** 2).sum(1))
+        return far(self.lists[other]) - far(self.lists[home]) <= 2 * self.margin * apart
+
     def encode(self, residual: np.ndarray) -> np.ndarray:
         return np.stack([nearest(residual[:, a:b], w) for a, b, w in zip(self.cuts, self.cuts[1:], self.words, strict=False)], 1).astype(np.uint8)
 
@@ -88,7 +94,8 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
 
     Equal vectors are one node that counts for as many rows. The index is fitted on at most sample_rows vectors, chosen
     by a hash; every vector is listed and asked for. A vector looks into its home list and into each list whose border
-    is within slack times the threshold's distance, so nearly all partners are met. In a list a table lookup bounds the
+    is within slack times the threshold's distance, so nearly all partners are met; a link that only one end finds counts
+    at both. In a list a table lookup bounds the
     distance from below by the coded distance less the coding error kept with each entry; what may lie within the
     threshold is verified by the cosine in double precision, so nothing below it links. Long lists are cut into blocks,
     and what leaves a block is a count and a root for each vector, not pairs.
@@ -122,12 +129,12 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
             codes = index.encode(residual)
             error = np.linalg.norm(residual - index.decode(codes), axis=1)
             node, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
-            yield pd.DataFrame({"list": home, "entry": True, "node": node, "copies": copies, "data": data, "code": [c.tobytes() for c in codes], "error": error})
+            yield pd.DataFrame({"list": home, "entry": True, "home": home, "node": node, "copies": copies, "data": data, "code": [c.tobytes() for c in codes], "error": error})
             row = np.concatenate([np.arange(len(u)), row])
             to = np.concatenate([home, other])
-            yield pd.DataFrame({"list": to, "entry": False, "node": node[row], "copies": copies[row], "data": [data[i] for i in row], "code": b"", "error": 0.0})
+            yield pd.DataFrame({"list": to, "entry": False, "home": home[row], "node": node[row], "copies": copies[row], "data": [data[i] for i in row], "code": b"", "error": 0.0})
 
-    each = nodes.select("node", "copies", "v").mapInPandas(listed, "list int, entry boolean, node long, copies long, data binary, code binary, error double")
+    each = nodes.select("node", "copies", "v").mapInPandas(listed, "list int, entry boolean, home int, node long, copies long, data binary, code binary, error double")
     each = stable(each)
     counts = each.groupBy("list").agg(F.ceil(F.sum(F.col("entry").cast("int")) / block).cast("int").alias("e"), F.ceil(F.sum((~F.col("entry")).cast("int")) / (2 * block)).cast("int").alias("q")).where("e > 0 and q > 0")
     # an entry goes to every block of questions of its list, a question to every block of entries
@@ -145,8 +152,10 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
         codes = np.frombuffer(b"".join(entries["code"]), np.uint8).reshape(len(x), -1)
         reach = (index.radius + entries["error"].to_numpy() + 1e-9) ** 2
         xn, qn, copies = entries["node"].to_numpy(), asks["node"].to_numpy(), entries["copies"].to_numpy()
-        centre = index.lists[int(pdf["list"].iloc[0])]
-        count, left, right = np.zeros(len(q), np.int64), [], []
+        home, times = asks["home"].to_numpy(), asks["copies"].to_numpy()
+        here = int(pdf["list"].iloc[0])
+        centre = index.lists[here]
+        count, back, left, right = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64), [], []
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
             coded = np.zeros((len(part), len(x)))
@@ -160,6 +169,10 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
                 hit = np.einsum("ij,ij->i", part[a], x[b]) >= threshold
                 a, b = a[hit], b[hit]
                 np.add.at(count, at + a, copies[b])
+                # an entry that does not ask in the other's home list hears of the link here
+                deaf = home[at + a] != here
+                deaf[deaf] = ~index.asks(x[b[deaf]], here, home[at + a[deaf]])
+                np.add.at(back, b[deaf], times[at + a[deaf]])
                 left.append(at + a)
                 right.append(b)
         left, right = np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
@@ -167,6 +180,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, sample_rows: int =
         root = local_roots(at[left], at[len(qn) + right], len(names)) if len(left) else np.arange(len(names))
         n_by = np.zeros(len(names), np.int64)
         np.add.at(n_by, at[: len(qn)], count)
+        np.add.at(n_by, at[len(qn) :], back)
         keep = (n_by > 0) | (root != np.arange(len(names)))
         return pd.DataFrame({"node": names[keep], "n": n_by[keep], "root": names[root[keep]]})
 

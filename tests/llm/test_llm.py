@@ -270,6 +270,30 @@ def test_vectors(spark):
     assert vector_dedup.vector_links(df.where("false")).count() == 0
 
 
+def test_vector_recall(spark):
+    """The registered parameters on planted pairs just over the threshold."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((3000, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    turn = rng.standard_normal(base.shape)
+    turn -= (turn * base).sum(1)[:, None] * base
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    c = rng.uniform(0.895, 0.93, 3000)[:, None]
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * turn, base[:50]])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = vector_dedup.vector_links(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").sort_index()
+    n = got["n_links"].to_numpy()
+    assert (n <= near.sum(1)).all() and n.sum() >= 0.99 * near.sum() and n.sum() % 2 == 0
+    first = got["component_id"].to_numpy()
+    i, j = np.nonzero(near)
+    assert (first[i] == first[j]).mean() >= 0.99
+    # a link counts at both ends: pairs of which each end has one partner only
+    only = near.sum(1) == 1
+    assert all(n[a] == n[b] for a, b in zip(i, j, strict=True) if only[a] and only[b])
+
+
 @pytest.mark.parametrize("crowd,segments", [(1, 3), (1, 2), (64, 2), (64, None)])
 def test_hamming_links(spark, crowd, segments):
     rng = random.Random(5)
