@@ -75,7 +75,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_cla
     """A model from a bounded sample of labelled rows: at most per_class of each label, chosen by hashes of the id, each
     text whole and of at most max_bytes. Half of each makes the dictionaries, the other half sets the curve, whose
     intercept then follows the labels' shares over all labelled training rows. Without both labels every score is the
-    share of label 1. train: a condition on doc_id for the labels to learn from."""
+    share of label 1. train: a condition on doc_id for the labels to learn from. Rows with a null id, a null or empty text,
+    or another label are not learnt from; repeated labels count as often as they stand in the shares, and once in the
+    sample; of repeated documents each may be in it. The choice goes by hashes, so a second fit is the same."""
     labels = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     labels = labels if train is None else labels.where(train)
     found = docs.where(F.octet_length("text").between(1, max_bytes)).select("doc_id", "text")
@@ -86,8 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_cla
         # a share of the ids, by a hash, that gives about twice as many as needed: some have no document here
         share = min(1.0, 2 * per_class / max(1, counts.get(label, 0)))
         chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= int(share * (1 << 40))
-        some = labels.where((F.col("quality") == label) & chosen).select("doc_id").distinct().limit(3 * per_class)
-        rows = found.join(F.broadcast(some), "doc_id").limit(4 * per_class).collect()
+        some = labels.where((F.col("quality") == label) & chosen).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * per_class)
+        rows = found.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(4 * per_class).collect()
         rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))[:per_class]
         for i, r in enumerate(rows):
             halves[i % 2].append((r["text"], label))
