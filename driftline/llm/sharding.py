@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import pieces_of, stable, table
+from driftline.llm.common import pieces_of, shared_folder, stable, table
 
 
 def min_cost_flow(supply: list[int], room: list[int], cost) -> dict[tuple[int, int], int]:
@@ -64,12 +66,26 @@ def min_cost_flow(supply: list[int], room: list[int], cost) -> dict[tuple[int, i
 
 
 def transfers(sizes: dict[int, int], capacities: list[int]) -> dict[int, list[tuple[int, int]]]:
-    """For each old shard, (new shard, bytes) with the bytes that stay first; bytes that stay cost nothing."""
-    old = sorted(sizes)
-    flow = min_cost_flow([sizes[i] for i in old], capacities, lambda i, j: 0 if old[i] == j else 1)
-    out: dict[int, list[tuple[int, int]]] = {i: [] for i in old}
-    for (i, j), units in sorted(flow.items(), key=lambda x: (x[0][0], old[x[0][0]] != x[0][1], x[0][1])):
-        out[old[i]].append((j, units))
+    """For each old shard, (new shard, bytes) with the bytes that stay first: the minimum-cost flow where bytes that
+    stay cost nothing and bytes that move cost one each.
+
+    Under such costs a flow is least when as much stays as each new shard holds, wherever the rest goes: one sweep over
+    what is left of the old shards and of the room. Tests hold it against min_cost_flow.
+    """
+    if sum(sizes.values()) > sum(capacities):
+        raise ValueError("the new capacities hold less than the old shards")
+    stay = {i: min(n, capacities[i]) if i < len(capacities) else 0 for i, n in sizes.items()}
+    room = [c - stay.get(j, 0) for j, c in enumerate(capacities)]
+    out, j = {}, 0
+    for i in sorted(sizes):
+        out[i] = [(i, stay[i])] if stay[i] else []
+        left = sizes[i] - stay[i]
+        while left:
+            while not room[j]:
+                j += 1
+            units = min(left, room[j])
+            out[i].append((j, units))
+            left, room[j] = left - units, room[j] - units
     return out
 
 
@@ -77,83 +93,115 @@ def byte_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
 
 
-def reshard(docs: DataFrame, old_shard: Column, n_new: int, block_rows: int = 500, max_shards: int = 10_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, old_shard, shard, slot): each document's place in n_new shards of equal bytes.
+def _keyed(docs: DataFrame, old_shard: Column, key: str, text: str) -> DataFrame:
+    """docs with _old, _size, _crc and _at, a document's place in its old shard: large documents first, in steps of
+    size, then by a hash."""
+    crc, size = F.crc32(F.coalesce(F.col(text), F.lit(""))), byte_size(F.col(text))
+    rows = docs.withColumns({"_old": old_shard.cast("int"), "_size": size, "_crc": crc})
+    bin_ = (-F.floor(F.log2(F.col("_size").cast("double")) * 4)).cast("int")
+    return rows.withColumn("_at", F.struct(bin_.alias("bin"), F.xxhash64(key, "_crc").alias("h"), F.col(key).cast("long").alias("d"), F.col("_crc").alias("c")))
+
+
+@dataclass
+class Resharding:
+    """Where documents go. cuts: for each old shard its pieces in order, each as the place of its first document and the
+    new shard; at most as many as there are old and new shards together."""
+
+    cuts: DataFrame
+    old_shard: Column
+    key: str
+    text: str
+
+    def place(self, docs: DataFrame) -> DataFrame:
+        """docs with _old, _size, _crc and shard. The rule needs nothing but the row and the cuts."""
+        rows = _keyed(docs, self.old_shard, self.key, self.text)
+        pieces = F.broadcast(self.cuts.groupBy(F.col("old_shard").alias("_o")).agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("_pieces")))
+        rows = rows.join(pieces, F.col("_old") == F.col("_o"))
+        return rows.withColumn("shard", F.element_at(F.filter("_pieces", lambda c: c["first"] <= F.col("_at")), -1)["shard"]).drop("_at", "_o", "_pieces")
 
-    Each old shard is cut into blocks of like-sized documents, large ones first (a hash splits sizes that many rows
-    share), and only the totals of shards reach the driver, at most max_shards of them. The flow says how many bytes of
-    an old shard stay and where the rest goes; a document belongs where the middle of its bytes falls when the shard's
-    blocks are laid end to end. So cuts fall among small documents and shards differ by a few of those. All offsets are
-    sums over blocks plus a sum within one block, so no task holds a shard. A null text has no bytes; rows with a null
-    or repeated id are placed like any other. Rows keep their multiplicity. Extra columns play no part.
+
+def reshard(docs: DataFrame, old_shard: Column, n_new: int, block_rows: int = 500, max_shards: int = 10_000, key: str = "doc_id", text: str = "text") -> Resharding:
+    """How docs move from their old shards into n_new shards of equal bytes.
+
+    The totals of shards, at most max_shards of them, reach the driver, and the flow says how many bytes of an old shard
+    stay and where the rest goes. Each old shard is ordered by size, large documents first, and cut where the bytes
+    before reach those amounts, so cuts fall among small documents and shards differ by a few of those. Bytes before a
+    document are sums over blocks of about block_rows documents plus a sum within its block, so no task holds a shard;
+    a piece's first document is all that comes back. A null text has no bytes; rows with a null or repeated id are
+    placed like any other, rows that share an id and a text alike. No documents: no pieces. Extra columns play no part.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), byte_size(F.col(text)).alias("size"), F.crc32(body).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
-    bin_ = (-F.floor(F.log2(F.col("size").cast("double")) * 4)).cast("int")
-    rows = stable(rows.withColumn("bin", bin_))
-    counts = rows.groupBy("old_shard", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    rows = stable(_keyed(docs.select(key, text, old_shard.cast("int").alias("_old_shard")), F.col("_old_shard"), key, text).select(F.col("_old").alias("old_shard"), F.col("_size").alias("size"), F.col("_at").alias("at")))
+    counts = rows.groupBy("old_shard", F.col("at.bin").alias("bin")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     sizes = {r[0]: r[1] for r in counts.groupBy("old_shard").agg(F.sum("bytes")).limit(max_shards + 1).collect()}
     if len(sizes) > max_shards:
         raise ValueError(f"more than {max_shards} old shards")
     total = sum(sizes.values())
-    goes = transfers(sizes, [total // n_new + (j < total % n_new) for j in range(n_new)]) if sizes else {}
-    cuts = [(i, at, at + units, j) for i, parts in goes.items() for at, (j, units) in zip(_starts([u for _, u in parts]), parts, strict=False)]
+    goes = transfers(sizes, [total // n_new + (j < total % n_new) for j in range(n_new)])
+    plan = []
+    for i, parts in goes.items():
+        at = 0
+        for j, units in parts:
+            plan.append((i, at, at + units, j))
+            at += units
     spark = docs.sparkSession
-    plan = spark.createDataFrame(cuts, "old_shard int, lo long, hi long, shard int")
-    # one block holds about block_rows documents of one old shard and one size bin
+    plan_ = spark.createDataFrame(plan, "old_shard int, lo long, hi long, shard int")  # a row a piece
+    # blocks follow the order of places: by size, then by the hash's share of its range
     split = counts.select("old_shard", "bin", F.ceil(F.col("n") / block_rows).cast("int").alias("k"))
-    rows = rows.join(split, ["old_shard", "bin"]).withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("k")).cast("int")).drop("k")
+    share = (F.col("at.h") / F.lit(2.0**64) + 0.5) * F.col("k")
+    rows = rows.withColumn("bin", F.col("at.bin")).join(split, ["old_shard", "bin"]).withColumn("sub", F.floor(share).cast("int"))
     block = ["old_shard", "bin", "sub"]
-    totals = rows.groupBy(*block).agg(F.sum("size").alias("bytes"))
     before = Window.partitionBy("old_shard").orderBy("bin", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*block, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*block).orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = rows.groupBy(*block).agg(F.sum("size").alias("bytes")).select(*block, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*block).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("end", F.sum("size").over(inside)).join(base, block)
     # twice the middle of the document's bytes, as a whole number
-    middle = 2 * (F.col("base") + F.col("end")) - F.col("size")
-    pick = F.broadcast(plan.groupBy("old_shard").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "shard"))).alias("cuts"))) if len(cuts) <= 100_000 else plan.groupBy("old_shard").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "shard"))).alias("cuts"))
-    placed = placed.withColumn("middle", middle).join(pick, "old_shard")
-    placed = stable(placed.withColumn("shard", F.filter("cuts", lambda c: (2 * c["lo"] <= F.col("middle")) & (F.col("middle") < 2 * c["hi"]))[0]["shard"]).drop("cuts", "middle", "base", "end"))
-    number = placed.groupBy("shard", *block).agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("shard").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    number = number.select("shard", *block, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("shard", *block).orderBy("doc_id", "text_crc32", "size"))
-    out = placed.withColumn("rank", rank).join(number, ["shard", *block])
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"))
-
-
-def _starts(parts: list[int]) -> list[int]:
-    out, at = [], 0
-    for p in parts:
-        out.append(at)
-        at += p
-    return out
-
-
-def rewrite_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> list[int]:
-    """Writes docs to path/shard=N/ for the shards that gained or lost rows, and returns those shards.
-
-    A shard whose rows all stayed keeps its files. Only the rows of affected shards are read and moved; each shard's
-    rows are written in slot order by as many tasks as its size needs.
+    placed = placed.withColumn("middle", 2 * (F.col("base") + F.col("end")) - F.col("size"))
+    pieces = F.broadcast(plan_.groupBy("old_shard").agg(F.collect_list(F.struct("lo", "hi", "shard")).alias("pieces")))  # one row an old shard
+    hit = F.filter("pieces", lambda c: (2 * c["lo"] <= F.col("middle")) & (F.col("middle") < 2 * c["hi"]))[0]
+    placed = placed.join(pieces, "old_shard").select("old_shard", hit["lo"].alias("lo"), hit["shard"].alias("shard"), "at")
+    firsts = placed.groupBy("old_shard", "lo", "shard").agg(F.min("at").alias("first")).select("old_shard", "first", "shard")
+    return Resharding(stable(firsts), old_shard, key, text)
+
+
+def slots(placed: DataFrame, n_shards: int, rows_each: int = 500) -> DataFrame:
+    """placed (doc_id, text_crc32, size, shard and more) with slot: rows of a shard numbered from 0 without gaps, in the
+    order of a hash; counts of about rows_each rows and ranks among those, so no task holds a shard."""
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(pieces_of(placed.count(), n_shards * rows_each))).cast("int"))
+    number = placed.groupBy("shard", "_block").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    number = number.select("shard", "_block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("shard", "_block").orderBy("doc_id", "text_crc32", "size"))
+    out = placed.withColumn("_rank", rank).join(number, ["shard", "_block"])
+    return out.withColumn("slot", (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_block", "_rank", "_before")
+
+
+def rewrite_shards(docs: DataFrame, plan: Resharding, path: str, file_rows: int = 500_000) -> list[int]:
+    """Rewrites path/shard=N/ for the shards that gain or lose rows, from docs, and returns those shards.
+
+    A shard whose rows all stay keeps its files. A row's new shard is known where it is read, so its text moves once, to
+    the tasks of its shard, which take at most about file_rows rows each. A shard that loses all its rows loses its
+    folder, after all others are in place; until then a broken run can be run again.
     """
-    moved = placed.where("shard <> old_shard")
-    touched = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"_crc": F.crc32(body), "_size": byte_size(F.col(text))})
-    place = placed.join(touched, "shard", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_c"), F.col("size").alias("_s"), "shard", "slot")
-    # repeated rows are told apart by their turn, so that each gets one slot
-    turn = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(0)))
-    rows, place = rows.withColumn("_turn", turn(key, "_crc", "_size")), place.withColumn("_t", turn("_id", "_c", "_s"))
-    same = rows[key].eqNullSafe(place["_id"]) & (rows["_crc"] == place["_c"]) & (rows["_size"] == place["_s"]) & (rows["_turn"] == place["_t"])
-    out = rows.join(place, same).drop("_crc", "_size", "_turn", "_id", "_c", "_s", "_t")
+    placed = plan.place(docs)
+    moves = stable(placed.groupBy("_old", "shard").agg(F.count("*").alias("n")))  # a row a piece
+    found = moves.collect()
+    touched = sorted({x for r in found if r["_old"] != r["shard"] for x in (r["_old"], r["shard"])})
+    rows: dict[int, int] = {}
+    for r in found:
+        rows[r["shard"]] = rows.get(r["shard"], 0) + r["n"]
+    if not touched:
+        return []
     spark = docs.sparkSession
-    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
-    return sorted(r[0] for r in touched.collect())
+    parts = pieces_of(max(rows.values()), file_rows)
+    out = placed.join(F.broadcast(spark.createDataFrame([(x,) for x in touched], "shard int")), "shard", "left_semi").drop("_old", "_size")
+    part = F.pmod(F.xxhash64("_crc"), F.lit(parts))
+    out = out.repartition(len(rows) * parts, "shard", part).drop("_crc").sortWithinPartitions("shard")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for shard in touched:
+        if shard not in rows:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return touched
 
 
 #: The layout that op4 starts from, and the one that it makes.
@@ -161,6 +209,11 @@ OLD_SHARDS, NEW_SHARDS = 32, 40
 
 
 def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, dealt into 32 shards by a hash, rewritten as 40 shards and read from those files."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = reshard(docs, F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)), NEW_SHARDS)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    path = f"{shared_folder(spark)}/op4-{uuid.uuid4().hex}"
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int")
+    rewrite_shards(docs, reshard(docs, old, NEW_SHARDS), path)
+    back = spark.read.schema("doc_id long, text string, shard int").parquet(path)
+    placed = stable(back.select("doc_id", byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "shard"))
+    return slots(placed, NEW_SHARDS).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), old.alias("old_shard"))

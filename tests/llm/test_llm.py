@@ -224,23 +224,56 @@ def test_min_cost_flow():
         assert all(sum(u for (a, _), u in flow.items() if a == i) == s for i, s in enumerate(supply))
 
 
-def test_resharding(docs, none, spark, tmp_path):
-    few = docs.where("doc_id <> 44")
-    placed = sharding.reshard(few, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)), 6, block_rows=5)
-    p = placed.toPandas()
-    rows = [r for r in corpus() if r[0] != 44 and r[0] is not None]
-    assert len(p) == len(rows)
-    assert sorted(p["text_crc32"]) == sorted(zlib.crc32((r[1] or "").encode()) for r in rows)
-    assert (p["size"] >= 16).all() and (p.groupby("shard")["slot"].apply(sorted) == p.groupby("shard").size().map(lambda n: list(range(n)))).all()
-    by = p.groupby("shard")["size"].sum()
-    assert len(by) == 6 and by.max() - by.min() <= 2 * p["size"].max()
-    old = few.where("doc_id is not null").withColumn("shard", F.pmod("doc_id", F.lit(4)).cast("int"))
-    old.select("doc_id", "text", "shard").write.mode("overwrite").partitionBy("shard").parquet(str(tmp_path))
-    touched = sharding.rewrite_shards(few.select("doc_id", "text"), placed, str(tmp_path))
-    back = spark.read.parquet(str(tmp_path)).toPandas()
-    assert touched and sorted(map(str, back["doc_id"])) == sorted(map(str, p["doc_id"].astype(int)))
-    assert back.groupby("shard").size().to_dict() == p.groupby("shard").size().to_dict()
-    assert sharding.reshard(none, F.lit(0), 4).count() == 0
+def test_transfers():
+    """The one sweep moves as few bytes as the flow."""
+    rng = random.Random(3)
+    for n_old, n_new in ((3, 5), (5, 3), (4, 4), (1, 3), (6, 1)):
+        sizes = {i: rng.randrange(1, 40) for i in rng.sample(range(7), n_old)}
+        total = sum(sizes.values())
+        caps = [total // n_new + (j < total % n_new) for j in range(n_new)]
+        old = sorted(sizes)
+        flow = sharding.min_cost_flow([sizes[i] for i in old], caps, lambda i, j, o=old: 0 if o[i] == j else 1)
+        got = sharding.transfers(sizes, caps)
+        moved = sum(u for i, parts in got.items() for j, u in parts if i != j)
+        assert moved == sum(u for (i, j), u in flow.items() if old[i] != j)
+        assert all(sum(u for _, u in parts) == sizes[i] for i, parts in got.items())
+        assert [sum(u for parts in got.values() for k, u in parts if k == j) for j in range(n_new)] == caps
+
+
+@pytest.mark.parametrize("n_old,n_new", [(4, 6), (6, 4), (5, 5)])
+def test_resharding(docs, none, spark, tmp_path, n_old, n_new):
+    rows = corpus() + [(1000 + i, "small text " * (i % 40), "s", 7, "h", 1, "s", 2, "t") for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    old = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n_old)).cast("int")
+    df.withColumn("shard", old).write.mode("overwrite").partitionBy("shard").parquet(str(tmp_path))
+    plan = sharding.reshard(df, old, n_new, block_rows=20)
+    touched = sharding.rewrite_shards(df, plan, str(tmp_path), file_rows=100)
+    back = spark.read.parquet(str(tmp_path))
+    assert set(back.columns) == {*df.columns, "shard"}
+    p = back.toPandas()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in back.collect()) == sorted((str(r[0]), r[1] or "") for r in rows)
+    assert touched and p["shard"].nunique() == n_new
+    placed = sharding.slots(back.select("doc_id", sharding.byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "shard"), n_new, 7).toPandas()
+    assert len(placed) == len(rows) and set(placed["shard"]) <= set(range(n_new))
+    assert (placed.groupby("shard")["slot"].apply(sorted) == placed.groupby("shard").size().map(lambda n: list(range(n)))).all()
+    # shards differ by a few small documents
+    by = placed.groupby("shard")["size"].sum()
+    assert by.max() - by.min() <= 1500
+    assert sharding.reshard(none, F.lit(0), 4).cuts.count() == 0
+    assert sharding.rewrite_shards(none, sharding.reshard(none, F.lit(0), 4), str(tmp_path / "none")) == []
+
+
+def test_rewriting_leaves_the_rest(spark, tmp_path):
+    """Shards of which no row comes or goes keep their files."""
+    import os
+
+    df = spark.createDataFrame([(i, "same", i % 4) for i in range(80)], "doc_id long, text string, old int")
+    df.withColumn("shard", F.col("old")).write.mode("overwrite").partitionBy("shard").parquet(str(tmp_path))
+    files = {s: sorted(os.listdir(tmp_path / f"shard={s}")) for s in range(4)}
+    assert sharding.rewrite_shards(df, sharding.reshard(df, F.col("old"), 4), str(tmp_path)) == []
+    touched = sharding.rewrite_shards(df, sharding.reshard(df, F.when(F.col("old") == 3, 2).otherwise(F.col("old")), 3), str(tmp_path))
+    left = [s for s in range(4) if s not in touched]
+    assert all(sorted(os.listdir(tmp_path / f"shard={s}")) == files[s] for s in left)
 
 
 def test_vectors(spark):
