@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, on small tables with nulls, empty and long texts, ties and repeats."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -163,18 +164,40 @@ def test_language_model_size(spark, tmp_path, monkeypatch):
     assert (shape.words, shape.embed, shape.hidden) == (4097, 32, 32)
 
 
-def test_fingerprint_tables(spark):
+def turned_fingerprints():
     rng = random.Random(1)
     fps = {rng.getrandbits(64) - (1 << 63) for _ in range(40)}
     for f in list(fps):
-        x = f
-        for _ in range(rng.randrange(5)):
-            x ^= 1 << rng.randrange(63)
-        fps.add(x)
-    bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+        for _ in range(3):
+            x = f
+            for _ in range(rng.randrange(5)):
+                x ^= 1 << rng.randrange(63)
+            fps.add(x)
+    return sorted(fps)
+
+
+def bits(a, b):
+    return bin((a ^ b) & (2**64 - 1)).count("1")
+
+
+@pytest.mark.parametrize("blocks", [5, 6])
+def test_fingerprint_tables(spark, blocks):
+    fps = turned_fingerprints()
     want = {(a, b) for a in fps for b in fps if a < b and bits(a, b) <= 3}
-    got = [tuple(r) for r in fingerprints.near_pairs(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = [tuple(r) for r in fingerprints.near_pairs(df, fingerprints.Tables(3, blocks)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    assert fingerprints.near_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("radius,blocks,crowd", [(3, 5, 1), (3, 6, 64), (2, 4, 1)])
+def test_nearest_least(spark, radius, blocks, crowd):
+    fps = turned_fingerprints()
+    want = {a: min(b for b in fps if bits(a, b) <= radius) for a in fps}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {r["fp"]: r["least"] for r in fingerprints.nearest_least(df, fingerprints.Tables(radius, blocks), crowd).collect()}
+    assert got == {a: b for a, b in want.items() if b < a} and len(got) > 20
+    assert fingerprints.nearest_least(df.limit(0), fingerprints.Tables(radius, blocks), crowd).count() == 0
 
 
 def test_edits(docs, none, spark):
@@ -186,18 +209,38 @@ def test_edits(docs, none, spark):
     for i, (d, t, text) in enumerate(order):
         after, m = order[(i + 1) % len(order)][2], len(text) // 4
         want[(d, t)] = text[: len(text) - m] + after[:m]
-    got = fingerprints.with_edits(docs, fingerprints.neighbours(docs, pieces=5)).collect()
+    got = fingerprints.with_edits(docs, fingerprints.neighbours(docs, rows_each=5)).collect()
     assert len(got) == len(rows) and all(r["edited"] == want[(r["d"], r["t"])] for r in got)
     assert fingerprints.neighbours(none).count() == 0
     one = spark.createDataFrame([(3, "only one here")], "doc_id long, text string")
     assert fingerprints.with_edits(one, fingerprints.neighbours(one)).first()["edited"] == "only one honl"
 
 
+def plain_fingerprint(text):
+    w = words(text)
+    terms = [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+    votes, total = np.zeros(64, np.int64), 0
+    for s in terms:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        votes += len(s) * ((h >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
+        total += len(s)
+    return sum(1 << i for i in range(64) if 2 * votes[i] > total)
+
+
 def test_op3(spark, sf):
     rows = registry.queries()["op3_fingerprints"](spark, sf).toPandas()
-    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas().merge(rows, on="doc_id")
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas().merge(rows, on="doc_id").sort_values("doc_id")
     assert len(rows) == len(texts) and (texts.groupby("text")["fingerprint"].nunique() == 1).all()
     assert rows["near_edited"].mean() > rows["near_next"].mean() + 0.15
+    plain = [plain_fingerprint(t) for t in texts["text"]]
+    assert texts["fingerprint"].tolist() == [f"{f:016x}" for f in plain]
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    assert texts["near_least"].tolist() == [f"{min((g for g in plain if bits(f, g) <= 3), key=signed):016x}" for f in plain]
+    n = texts["n_chars"].tolist()
+    after = texts["text"].tolist()[1:] + texts["text"].tolist()[:1]
+    edited = [t[: k - k // 4] + a[: k // 4] for t, a, k in zip(texts["text"], after, n, strict=True)]
+    assert texts["edited_sha256"].tolist() == [hashlib.sha256(t.encode()).hexdigest() for t in edited]
+    assert texts["edited_fingerprint"].tolist() == [f"{plain_fingerprint(t):016x}" for t in edited]
 
 
 def test_min_cost_flow():
