@@ -81,15 +81,16 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Mix:
-    """sizes: doc_id, row, src, size, start (in its source). sources: src, source, source_size, target. slots: src,
+    """sizes: doc_id, row, src, size, start (in its source), step (words of its source's blocks). sources: src, source, source_size, target. slots: src,
     block, epoch, out_shard, slot. pieces: row, src, block, lo, hi (words of the document that the block holds)."""
 
-    def __init__(self, sizes: DataFrame, sources: DataFrame, slots: DataFrame, block: int):
+    def __init__(self, sizes: DataFrame, sources: DataFrame, slots: DataFrame):
         self.sizes, self.sources, self.slots = sizes, sources, slots
         self._repeated: bool | None = None
-        first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-        pieces = sizes.where("size > 0").select("row", "src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-        lo, hi = F.greatest(F.col("block") * block - F.col("start"), F.lit(0)), F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
+        step = F.col("step")
+        first, last = F.floor(F.col("start") / step), F.floor((F.col("start") + F.col("size") - 1) / step)
+        pieces = sizes.where("size > 0").select("row", "src", "start", "size", "step", F.explode(F.sequence(first, last)).alias("block"))
+        lo, hi = F.greatest(F.col("block") * step - F.col("start"), F.lit(0)), F.least((F.col("block") + 1) * step - F.col("start"), F.col("size"))
         self.pieces = pieces.select("row", "src", "block", lo.alias("lo"), hi.alias("hi"))
 
     @property
@@ -113,7 +114,8 @@ class Mix:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = 128, shards: int = 64, seed: int = 20, chunk_rows: int = 400, max_sources: int = 100_000, key: str = "doc_id", source: str = "source", text: str = "text") -> Mix:
-    """The mix of docs: which blocks of `block` words each output shard takes from each source.
+    """The mix of docs: which blocks of `block` words each output shard takes from each source; a source of fewer than 64
+    such blocks has shorter ones, a 64th of its words, so that it comes as near to its target as a large one.
 
     Only one row a source reaches the driver, at most max_sources. A source's words are the documents' words laid end to
     end in the order of a hash; offsets are sums over chunks plus a sum within one chunk, so no task holds a source.
@@ -130,20 +132,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["source_size"] for r in found]
     target = shares(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), most) if found else []
-    n_blocks = [-(-s // block) for s in sizes]
+    steps = [max(1, min(block, s // 64)) for s in sizes]
+    n_blocks = [-(-s // n) for s, n in zip(sizes, steps, strict=True)]
     slots = [min(round(t / s * b), most * b) if s else 0 for t, s, b in zip(target, sizes, n_blocks, strict=True)]
     names = spark.createDataFrame([(i, r["source"], r["source_size"], t) for i, (r, t) in enumerate(zip(found, target, strict=True))], "src int, source string, source_size long, target double")
     total = sum(r["n"] for r in found)
     chunk = F.pmod(F.xxhash64("doc_id", "t"), F.lit(pieces_of(total, chunk_rows))).cast("int")
-    names_ = F.broadcast(names.select("src", F.col("source").alias("s")))  # at most max_sources rows
-    rows = rows.join(names_, rows["source"].eqNullSafe(names_["s"])).select("doc_id", "src", "size", "t", chunk.alias("chunk"))
+    steps_ = spark.createDataFrame(list(enumerate(steps)), "src int, step long")
+    names_ = F.broadcast(names.join(steps_, "src").select("src", "step", F.col("source").alias("s")))  # at most max_sources rows
+    rows = rows.join(names_, rows["source"].eqNullSafe(names_["s"])).select("doc_id", "src", "step", "size", "t", chunk.alias("chunk"))
     base = rows.groupBy("src", "chunk").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select("src", "chunk", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
     order = Window.partitionBy("src", "chunk").orderBy("doc_id", "t")
     rows = rows.withColumns({"turn": F.row_number().over(order), "end": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
     rows = rows.join(base, ["src", "chunk"])
-    rows = rows.select("doc_id", "t", F.struct("src", "chunk", "turn").alias("row"), "src", "size", (F.col("base") + F.col("end") - F.col("size")).alias("start"))
+    rows = rows.select("doc_id", "t", F.struct("src", "chunk", "turn").alias("row"), "src", "step", "size", (F.col("base") + F.col("end") - F.col("size")).alias("start"))
     plan, at = [], np.zeros(len(found), np.int64)
     for k, counts in enumerate(draws(slots, shards, seed) if sum(slots) else []):
         where = 0
@@ -160,7 +164,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     slots_ = runs.select("out_shard", "src", "first", "at", "n_blocks", "seed", one.alias("j"))
     slots_ = slots_.select("out_shard", "src", "n_blocks", "seed", (F.col("first") + F.col("j")).alias("m"), (F.col("at") + F.col("j")).alias("slot"))
     slots_ = slots_.mapInPandas(_blocks, "src int, block long, epoch long, out_shard int, slot long")
-    return Mix(stable(rows), names, slots_, block)
+    return Mix(stable(rows), names, slots_)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -531,6 +531,10 @@ def test_mixing(docs, none):
     for s in a.sources.collect():
         got = sum(t for k, t in taken.items() if sizes[k]["src"] == s["src"])
         assert abs(got - s["target"]) <= 8
+    small = docs.sparkSession.createDataFrame([(i, f"s{i % 2}", "one two three four five") for i in range(40)], "doc_id long, source string, text string")
+    m = mixing.mix(small)
+    by = m.sizes.join(m.taken(), "row", "left").groupBy("src").agg(F.sum("taken").alias("taken")).join(m.sources, "src").collect()
+    assert len(by) == 2 and all(abs(r["taken"] - r["target"]) <= 2 for r in by)
     parts = a.parts().collect()
     assert sum(x["hi"] - x["lo"] for r in parts for x in r["spans"]) == sum(taken.values())
     assert mixing.mix(none).taken().count() == 0
