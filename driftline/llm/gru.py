@@ -45,8 +45,11 @@ def start(shape: Shape, counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarr
     return p
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
+def _tanh_gates(x: np.ndarray) -> None:
+    """In place, the sigmoid of twice x."""
+    np.tanh(x, out=x)
+    x *= F32(0.5)
+    x += F32(0.5)
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -62,50 +65,52 @@ def shaped(v: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
-
-
-def _by_class(shape: Shape, ids: np.ndarray):
-    """(class, rows) of the words with outputs of their own, row numbers grouped by class."""
-    own = np.nonzero(ids < shape.words)[0]
+def _by_class(shape: Shape, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The rows of words with outputs of their own in the order of their classes, and (class, from, to) in that order."""
+    own = np.flatnonzero(ids < shape.words)
     c = ids[own] // shape.width
     order = np.argsort(c, kind="stable")
-    own, c = own[order], c[order]
-    edges = np.searchsorted(c, np.arange(shape.classes + 1))
-    for k in np.unique(c).tolist():
-        yield k, own[edges[k] : edges[k + 1]]
+    edges = np.searchsorted(c[order], np.arange(shape.classes + 1)).tolist()
+    return own[order], [(k, i, j) for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
 
 
 def _class_of(shape: Shape, ids: np.ndarray) -> np.ndarray:
     return np.where(ids < shape.words, ids // shape.width, ids - shape.words + shape.classes)
 
 
-def log_probs(p: dict, shape: Shape, h: np.ndarray, ids: np.ndarray, rows: int = 8192) -> np.ndarray:
-    """Natural log of the probability of each id (a word, or the class of other words) after state h; some rows at a
-    time, so that they stay in the processor's cache."""
-    out = np.empty(len(ids))
-    for at in range(0, len(ids), rows):
-        part = slice(at, at + rows)
-        out[part] = _log_probs(p, shape, h[part], ids[part])
-    return out
+def _tame(w: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit can be large enough for its exponential to overflow; states lie within -1 and 1."""
+    return float(np.abs(w).sum(-2).max() + bias.max()) < 80 and float(bias.max()) > -80
 
 
-def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _picked(x: np.ndarray, at: np.ndarray, tame: bool) -> np.ndarray:
     """The log softmax of each row of x at one place."""
-    x -= x.max(1, keepdims=True)
+    if not tame:
+        x -= x.max(1, keepdims=True)
     found = x[np.arange(len(at)), at]
     np.exp(x, out=x)
-    return found - np.log(x.sum(1))
+    return found - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
-def _log_probs(p: dict, shape: Shape, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out = _picked(h @ p["Wc"] + p["bc"], _class_of(shape, ids)).astype(np.float64)
-    for k, at in _by_class(shape, ids):
-        out[at] += _picked(h[at] @ p["Wo"][k] + p["bo"][k], ids[at] % shape.width)
+def log_probs(p: dict, shape: Shape, h: np.ndarray, ids: np.ndarray, rows: int = 8192) -> np.ndarray:
+    """Natural log of the probability of each id (a word, or the class of other words) after state h; some rows at a
+    time, so that they stay in the processor's cache."""
+    out = np.empty(len(ids))
+    tame = _tame(p["Wc"], p["bc"]), _tame(p["Wo"], p["bo"])
+    for at in range(0, len(ids), rows):
+        part = slice(at, at + rows)
+        h_, ids_ = h[part], ids[part]
+        x = h_ @ p["Wc"]
+        x += p["bc"]
+        found = _picked(x, _class_of(shape, ids_), tame[0]).astype(np.float64)
+        order, classes = _by_class(shape, ids_)
+        h_, inside, own = np.take(h_, order, 0), np.empty(len(order), x.dtype), ids_[order] % shape.width
+        for k, i, j in classes:
+            x = h_[i:j] @ p["Wo"][k]
+            x += p["bo"][k]
+            inside[i:j] = _picked(x, own[i:j], tame[1])
+        found[order] += inside
+        out[part] = found
     return out
 
 
@@ -122,19 +127,28 @@ def score(p: dict, shape: Shape, docs: list[np.ndarray], end: int, window: int =
     starts = np.cumsum(n_) - n_
     ids = np.concatenate(docs_)
     total = np.zeros(len(docs))
-    table = p["E"] @ p["Wx"] + p["b"]
-    h, last = np.zeros((len(docs), shape.hidden), F32), np.full(len(docs), end)
     hid = shape.hidden
+    # gates as the sigmoid of twice their halves
+    table = p["E"] @ p["Wx"] + p["b"]
+    table_zr, table_n = table[:, : 2 * hid] * F32(0.5), np.ascontiguousarray(table[:, 2 * hid :])
+    u_zr, u_n = p["U"][:, : 2 * hid] * F32(0.5), np.ascontiguousarray(p["U"][:, 2 * hid :])
+    h, last = np.zeros((len(docs), hid), F32), np.full(len(docs), end)
     live = np.searchsorted(-n_, -np.arange(int(n_[0])), side="left")  # documents longer than each step
     for s0 in range(0, int(n_[0]), window):
         states, want, who = [], [], []
         for s in range(s0, min(s0 + window, int(n_[0]))):
             a = int(live[s])
-            g, q, hp = table[last[:a]], h[:a] @ p["U"], h[:a]
-            zr = sigmoid(g[:, : 2 * hid] + q[:, : 2 * hid])
-            z = zr[:, :hid]
-            new = np.tanh(g[:, 2 * hid :] + zr[:, hid:] * q[:, 2 * hid :])
-            h = new + z * (hp - new)
+            hp, at = h[:a], last[:a]
+            zr = np.take(table_zr, at, 0)
+            zr += hp @ u_zr
+            _tanh_gates(zr)
+            new = hp @ u_n
+            new *= zr[:, hid:]
+            new += np.take(table_n, at, 0)
+            np.tanh(new, out=new)
+            h = hp - new
+            h *= zr[:, :hid]
+            h += new
             last = ids[starts[:a] + s]
             states.append(h)
             want.append(last)
@@ -147,9 +161,10 @@ def score(p: dict, shape: Shape, docs: list[np.ndarray], end: int, window: int =
 
 class Trainer:
     """Adam over windows of `window` steps in `streams` parallel streams of documents; a state never enters the next
-    document, and gradients stop at the window's edge."""
+    document, and gradients stop at the window's edge. Arrays of a window have a row a feature and a column for each
+    step and stream, step by step."""
 
-    def __init__(self, p: dict, shape: Shape, rate: float, window: int = 20, streams: int = 128):
+    def __init__(self, p: dict, shape: Shape, rate: float, window: int = 20, streams: int = 256):
         self.p, self.shape, self.rate, self.window, self.streams = {k: v.copy() for k, v in p.items()}, shape, rate, window, streams
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
@@ -164,8 +179,8 @@ class Trainer:
         length = -(-len(ids) // b)
         fill = np.full(b * length, -1)
         fill[: len(ids)] = ids
-        fill = fill.reshape(b, length).T  # steps x streams
-        h = np.zeros((b, self.shape.hidden), F32)
+        fill = np.ascontiguousarray(fill.reshape(b, length).T)  # steps x streams
+        h = np.zeros((self.shape.hidden, b), F32)
         last = np.full(b, end)
         for s in range(0, length, self.window):
             want = fill[s : s + self.window]
@@ -174,63 +189,119 @@ class Trainer:
             last = want[-1]
 
     def step(self, before: np.ndarray, want: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """Learns from one window; returns the streams' states at its end."""
         p, sh = self.p, self.shape
         hid, (steps, b) = sh.hidden, before.shape
-        e = p["E"][before.ravel()]
-        x = (e @ p["Wx"] + p["b"]).reshape(steps, b, -1)
-        keep = (~fresh).astype(F32)[..., None]
-        hp, zs, rs, ns, qs, hs = (np.empty((steps, b, hid), F32) for _ in range(6))
-        for s in range(steps):
-            hp[s] = h * keep[s]
-            q = hp[s] @ p["U"]
-            zr = sigmoid(x[s][:, : 2 * hid] + q[:, : 2 * hid])
-            zs[s], rs[s], qs[s] = zr[:, :hid], zr[:, hid:], q[:, 2 * hid :]
-            ns[s] = np.tanh(x[s][:, 2 * hid :] + rs[s] * qs[s])
-            h = hs[s] = ns[s] + zs[s] * (hp[s] - ns[s])
-        ids = want.ravel()
-        use = np.nonzero(ids >= 0)[0]
-        ids, out = ids[use], hs.reshape(-1, hid)[use]
-        n = F32(1 / max(1, len(ids)))
-        grad = {k: np.zeros_like(v) for k, v in p.items() if k in ("E", "Wo", "bo")}
-        d = _softmax(out @ p["Wc"] + p["bc"])
-        d[np.arange(len(ids)), _class_of(sh, ids)] -= 1
-        d *= n
-        grad["Wc"], grad["bc"] = out.T @ d, d.sum(0)
-        dout = d @ p["Wc"].T
-        for k, at in _by_class(sh, ids):
-            d = _softmax(out[at] @ p["Wo"][k] + p["bo"][k])
-            d[np.arange(len(at)), ids[at] % sh.width] -= 1
-            d *= n
-            grad["Wo"][k], grad["bo"][k] = out[at].T @ d, d.sum(0)
-            dout[at] += d @ p["Wo"][k].T
-        dh_out = np.zeros((steps * b, hid), F32)
-        dh_out[use] = dout
-        dh_out = dh_out.reshape(steps, b, hid)
-        dx, dg = np.empty((steps, b, 3 * hid), F32), np.empty((steps, b, 3 * hid), F32)
-        dh = np.zeros((b, hid), F32)
+        cols = [slice(s * b, (s + 1) * b) for s in range(steps)]
+        half = np.ones((3 * hid, 1), F32)
+        half[: 2 * hid] = 0.5  # gates as the sigmoid of twice their halves
+        e = np.take(p["E"], before.ravel(), 0)
+        x = (p["Wx"].T * half) @ e.T
+        x += p["b"][:, None] * half
+        z, r, zr, n = x[:hid], x[hid : 2 * hid], x[: 2 * hid], x[2 * hid :]
+        keep = (~fresh).astype(F32)
+        u = p["U"].T * half
+        hp, hs, qs = (np.empty((hid, steps * b), F32) for _ in range(3))
+        for s, c in enumerate(cols):
+            np.multiply(h, keep[s], out=hp[:, c])
+            q = u @ hp[:, c]
+            zr[:, c] += q[: 2 * hid]
+            _tanh_gates(zr[:, c])
+            qs[:, c] = q[2 * hid :]
+            q = q[2 * hid :]
+            q *= r[:, c]
+            n[:, c] += q
+            np.tanh(n[:, c], out=n[:, c])
+            h = hp[:, c] - n[:, c]
+            h *= z[:, c]
+            h += n[:, c]
+            hs[:, c] = h
+        grad, dout = self.output_gradients(hs, want.ravel())
+        # what a change of the state does to the gates before their functions
+        one = F32(1)
+        to_n = (one - z) * (one - n * n)
+        to_z = (hp - n) * z * (one - z)
+        to_r = qs * r * (one - r)
+        dx, dg = np.empty_like(x), np.empty_like(x)
+        dh = np.zeros((hid, b), F32)
         for s in range(steps - 1, -1, -1):
-            dh = dh + dh_out[s]
-            z, r, new, q = zs[s], rs[s], ns[s], qs[s]
-            dn = dh * (1 - z) * (1 - new * new)
-            dx[s][:, :hid] = dg[s][:, :hid] = dh * (hp[s] - new) * z * (1 - z)
-            dx[s][:, hid : 2 * hid] = dg[s][:, hid : 2 * hid] = dn * q * r * (1 - r)
-            dx[s][:, 2 * hid :] = dn
-            dg[s][:, 2 * hid :] = dn * r
-            dh = (dh * z + dg[s] @ p["U"].T) * keep[s]
-        dx, dg = dx.reshape(-1, 3 * hid), dg.reshape(-1, 3 * hid)
-        grad["U"], grad["Wx"], grad["b"] = hp.reshape(-1, hid).T @ dg, e.T @ dx, dx.sum(0)
-        np.add.at(grad["E"], before.ravel(), dx @ p["Wx"].T)
-        size = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        self.adam(grad, F32(min(1.0, 1.0 / max(size, 1e-9))))
+            c = cols[s]
+            dh += dout[:, c]
+            g = dg[:, c]
+            dn = dh * to_n[:, c]
+            np.multiply(dh, to_z[:, c], out=g[:hid])
+            np.multiply(dn, to_r[:, c], out=g[hid : 2 * hid])
+            np.multiply(dn, r[:, c], out=g[2 * hid :])
+            dx[2 * hid :, c] = dn
+            dh *= z[:, c]
+            dh += p["U"] @ g
+            dh *= keep[s]
+        dx[: 2 * hid] = dg[: 2 * hid]
+        grad["U"], grad["Wx"], grad["b"] = hp @ dg.T, (dx @ e).T, dx.sum(1)
+        ids = before.ravel()
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        de = np.take(dx.T @ p["Wx"].T, order, 0)
+        grad["E"] = np.add.reduceat(de, first, axis=0)
+        self.update(grad, ids[order][first])
         return h
 
-    def adam(self, grad: dict, scale: F32, b1: float = 0.9, b2: float = 0.99) -> None:
+    def output_gradients(self, hs: np.ndarray, ids: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Gradients of the output weights, and of the states hs (a column each), of the mean loss over ids of 0 or more."""
+        p, sh = self.p, self.shape
+        use = ids >= 0
+        n = F32(1 / max(1, int(use.sum())))
+        ids = np.where(use, ids, 0)
+        at = np.arange(len(ids))
+        d = p["Wc"].T @ hs
+        d += p["bc"][:, None]
+        if not _tame(p["Wc"], p["bc"]):
+            d -= d.max(0)
+        np.exp(d, out=d)
+        weight = n * use
+        d *= weight / d.sum(0)
+        d[_class_of(sh, ids), at] -= weight
+        grad = {"Wc": hs @ d.T, "bc": d.sum(1), "Wo": np.zeros_like(p["Wo"]), "bo": np.zeros_like(p["bo"])}
+        dout = p["Wc"] @ d
+        rows, classes = _by_class(sh, np.where(use, ids, sh.words))
+        out, inside = np.take(np.ascontiguousarray(hs.T), rows, 0), ids[rows] % sh.width
+        back, tame = np.empty_like(out), _tame(p["Wo"], p["bo"])
+        ones = np.ones(sh.width, hs.dtype)
+        for k, i, j in classes:
+            d = out[i:j] @ p["Wo"][k]
+            d += p["bo"][k]
+            if not tame:
+                d -= d.max(1, keepdims=True)
+            np.exp(d, out=d)
+            d *= (n / (d @ ones))[:, None]
+            d[at[: j - i], inside[i:j]] -= n
+            grad["Wo"][k], grad["bo"][k] = out[i:j].T @ d, d.sum(0)
+            np.matmul(d, p["Wo"][k].T, out=back[i:j])
+        spread = np.zeros((len(ids), sh.hidden), hs.dtype)
+        spread[rows] = back
+        dout += spread.T
+        return grad, dout
+
+    def update(self, grad: dict, words: np.ndarray, b1: float = 0.9, b2: float = 0.99) -> None:
+        """One step of Adam; of the embedding only the rows of `words` move."""
         self.t += 1
         rate = F32(self.rate * math.sqrt(1 - b2**self.t) / (1 - b1**self.t))
+        size = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
+        scale = F32(min(1.0, 1.0 / max(size, 1e-9)))
         for k, g in grad.items():
-            m, v = self.m[k], self.v[k]
+            at = words if k == "E" else slice(None)
+            m, v = self.m[k][at], self.v[k][at]
             g *= scale
-            m += F32(1 - b1) * (g - m)
+            m *= F32(b1)
+            m += F32(1 - b1) * g
             g *= g
-            v += F32(1 - b2) * (g - v)
-            self.p[k] -= rate * m / (np.sqrt(v) + F32(1e-6))
+            g *= F32(1 - b2)
+            v *= F32(b2)
+            v += g
+            if k == "E":
+                self.m[k][at], self.v[k][at] = m, v
+            np.sqrt(v, out=g)
+            g += F32(1e-6)
+            np.divide(m, g, out=g)
+            g *= rate
+            self.p[k][at] -= g

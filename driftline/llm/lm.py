@@ -167,7 +167,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 3, warm_docs: int =
         return sum(r["n"] / total * np.frombuffer(r["w"], "<f4").astype(np.float64) for r in found).astype(np.float32) if found else weights
 
     some = min(1.0, warm_docs / max(1, vocab.ends))
-    weights = averaged(source.where((place() < some) & (F.octet_length("text") <= 20_000)).repartition(1), rate)
+    weights = averaged(source.where(place() < some).repartition(1), rate)
     for r, part in enumerate(dealt(source, rounds)):
         weights = averaged(part, rate / (r + 1))
     return weights
