@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,20 @@ def shingles(text: Column, k: int) -> Column:
     return let(words(text), runs)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in slices of about so many bytes (or items) of a column: only a slice at a time becomes
+    Python objects."""
+    for batch in batches:
+        x = batch.column(column)
+        length = pc.list_value_length(x) if pa.types.is_list(x.type) else pc.binary_length(x)
+        size = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(size):
+            to = int(np.searchsorted(size, (size[at - 1] if at else 0) + most)) + 1
+            yield batch.slice(at, to - at)
+            at = to
+
+
 #: One bit in the lower and one in the upper half of a 64-bit word: two counters share each sum.
 _PAIR = (1 << 32) | 1
 

@@ -12,11 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import pieces_of, stable, table
+from driftline.llm.common import pieces_of, slices, stable, table
 
 _ENCODERS: dict = {}
 
@@ -84,17 +83,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches, in slices of about so many bytes of text: only a slice at a time becomes Python strings."""
-    for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(size):
-            to = int(np.searchsorted(size, (size[at - 1] if at else 0) + most)) + 1
-            yield batch.slice(at, to - at)
-            at = to
-
-
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 

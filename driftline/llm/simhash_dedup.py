@@ -8,10 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import ascii_lower, components, hex16, local_roots, pieces_of, shingles, split_join, stable, table, vote_sums, voted, words
+from driftline.llm.common import ascii_lower, components, hex16, local_roots, pieces_of, shingles, slices, split_join, stable, table, vote_sums, voted, words
 
 
 def fingerprints(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,18 +145,22 @@ def _wide(k: int, hashes: int, bands: int, rows: int):
                 keys = _mixed(keys * np.uint64(0x9FB21C651E98DF25) + x)
         return np.packbits(2 * votes > len(h), bitorder="little").view(np.int64).tolist(), keys.view(np.int64).tolist() if len(h) else []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f"f{i}" for i in range(hashes)]
-        for pdf in batches:
-            sets = [_runs(x, k) for x in pdf["w"]]
-            found = [sketch(h) for h in sets]
-            bits = pd.DataFrame(np.asarray([f[0] for f in found], np.int64).reshape(-1, hashes), columns=names)
-            out = pd.concat([pdf[["d", "t"]].reset_index(drop=True), bits], axis=1).astype({"d": "Int64"})
-            with np.errstate(over="ignore"):
-                out["node"] = np.asarray([_mixed(h + np.uint64(len(h))).sum(dtype=np.uint64) for h in sets], np.uint64).view(np.int64)
-            out["n"] = [len(h) for h in sets]
-            out["keys"] = [f[1] for f in found]
-            yield out[["d", "t", "node", "n", *names, "keys"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["d", "t", "node", "n", *[f"f{i}" for i in range(hashes)], "keys"]
+        for part in slices(batches, "w", 1 << 20):
+            w = part.column("w")
+            edges, words_ = w.offsets.to_numpy(), w.values.to_numpy()
+            node, n, bits, keys = [], [], [], []
+            for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+                h = _runs(words_[a:b], k)
+                with np.errstate(over="ignore"):
+                    node.append(_mixed(h + np.uint64(len(h))).sum(dtype=np.uint64))
+                n.append(len(h))
+                f, own = sketch(h)
+                bits.append(f)
+                keys.append(own)
+            columns = [np.asarray(node, np.uint64).view(np.int64), np.asarray(n, np.int64), *np.asarray(bits, np.int64).reshape(-1, hashes).T]
+            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(keys, pa.list_(pa.int64()))], names)
 
     return run
 
@@ -183,7 +188,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes:
     names = [f"f{i}" for i in range(hashes)]
     body = F.coalesce(F.col(text), F.lit(""))
     hashed = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(body).alias("t"), F.transform(words(ascii_lower(body)), lambda w: F.xxhash64(w)).alias("w"))
-    made = stable(hashed.mapInPandas(_wide(k, hashes, bands, rows), "d long, t long, node long, n long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"))
+    made = stable(hashed.mapInArrow(_wide(k, hashes, bands, rows), "d long, t long, node long, n long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"))
     fps = made.groupBy("d", "t", "node").agg(F.count("*").alias("copies"))
     n = 64 * hashes
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
