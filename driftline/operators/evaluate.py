@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,12 @@ def level(k: Column) -> Column:
 def sequences(series: DataFrame, label: str = "is_anomaly") -> DataFrame:
     """(series_id, k, s, e): the maximal runs of label 1, numbered from 0. Only the ends of runs are ranked."""
     ends = rolling(series.select("series_id", "t", label), 1, {"before": lambda w: F.lag(label, 1, 0).over(w), "behind": lambda w: F.lead(label, 1, 0).over(w)}, after=1)
-    ends = ends.where(F.col(label) == 1)
-    rank = F.row_number().over(Window.partitionBy("series_id").orderBy("t")) - 1
-    starts = ends.where("before <> 1").select("series_id", F.col("t").alias("s"), rank.alias("k"))
-    stops = ends.where("behind <> 1").select("series_id", F.col("t").alias("e"), rank.alias("k"))
-    return starts.join(stops, ["series_id", "k"]).select("series_id", F.col("k").cast("long").alias("k"), "s", "e")
+    # of the rows where a run starts or ends, each start is followed by its end
+    first, last = F.col("before") != 1, F.col("behind") != 1
+    each = ends.where((F.col(label) == 1) & (first | last))
+    by = Window.partitionBy("series_id").orderBy("t")
+    each = each.select("series_id", F.col("t").alias("s"), F.when(last, F.col("t")).otherwise(F.lead("t").over(by)).alias("e"), first.alias("first")).where("first")
+    return each.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("s")) - 1).cast("long").alias("k"), "s", "e")
 
 
 SEQUENCES_SQL = """k AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY min(t)) - 1 AS k, min(t) AS s, max(t) AS e FROM
@@ -35,10 +38,10 @@ def detections(scored: DataFrame, levels: list[int] | None = None) -> DataFrame:
     ends = rolling(scored.select("series_id", "t", "score"), 1, {"before": lambda w: F.lag("score", 1).over(w), "behind": lambda w: F.lead("score", 1).over(w)}, after=1)
     some = F.array(*[F.lit(k) for k in (range(LEVELS) if levels is None else levels)])
     each = ends.select("series_id", "t", "before", "behind", F.explode(F.filter(some, lambda k: (F.col("score") > level(k)) & (F.coalesce(F.col("before") <= level(k), F.lit(True)) | F.coalesce(F.col("behind") <= level(k), F.lit(True))))).alias("lv"))
-    rank = F.row_number().over(Window.partitionBy("series_id", "lv").orderBy("t"))
-    starts = each.where(F.coalesce(F.col("before") <= level(F.col("lv")), F.lit(True))).select("series_id", "lv", F.col("t").alias("s"), rank.alias("n"))
-    stops = each.where(F.coalesce(F.col("behind") <= level(F.col("lv")), F.lit(True))).select("series_id", "lv", F.col("t").alias("e"), rank.alias("n"))
-    return starts.join(stops, ["series_id", "lv", "n"]).drop("n")
+    first, last = (F.coalesce(F.col(c) <= level(F.col("lv")), F.lit(True)) for c in ("before", "behind"))
+    by = Window.partitionBy("series_id", "lv").orderBy("t")
+    each = each.select("series_id", "lv", F.col("t").alias("s"), F.when(last, F.col("t")).otherwise(F.lead("t").over(by)).alias("e"), first.alias("first"))
+    return each.where("first").drop("first")
 
 
 DETECTIONS_SQL = """lv AS (SELECT unnest(range(100))::INTEGER AS lv),
@@ -63,7 +66,7 @@ def counts(found: DataFrame, true: DataFrame, extra: list[str] | None = None, wi
     cut = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))
     goals = true.select("series_id", *extra, F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("k").alias("k2"), cut("s", "e").alias("_cut"))
     totals = true.groupBy("series_id", *extra).agg(F.count("*").alias("n"))
-    all_ = found.join(F.broadcast(totals.select("series_id", *extra)), "series_id") if extra else found
+    all_ = found.join(totals.select("series_id", *extra), "series_id") if extra else found
     pairs = all_.withColumn("_cut", cut("s", "e")).join(goals, ["series_id", *extra, "_cut"], "left")
     hit = F.when((F.col("s") <= F.col("e2")) & (F.col("s2") <= F.col("e")), F.col("k2"))
     to = pairs.groupBy("series_id", *extra, "lv", "s", "e").agg(F.min(hit).alias("goal"))
@@ -101,7 +104,7 @@ def widened(true: DataFrame, scored: DataFrame) -> DataFrame:
     last = scored.groupBy("series_id").agg(F.max("t").alias("last"), F.min("t").alias("first"))
     half = (F.col("buffer") / 2).cast("int")
     b = F.explode(F.array(*[F.lit(x) for x in BUFFERS])).alias("buffer")
-    return true.select("*", b).join(F.broadcast(last), "series_id").select("series_id", "buffer", "k", F.greatest(F.col("s") - half, "first").alias("s"), F.least(F.col("e") + half, "last").alias("e"))
+    return true.select("*", b).join(last, "series_id").select("series_id", "buffer", "k", F.greatest(F.col("s") - half, "first").alias("s"), F.least(F.col("e") + half, "last").alias("e"))
 
 
 def soft_labels(scored: DataFrame, true: DataFrame) -> DataFrame:
@@ -109,7 +112,7 @@ def soft_labels(scored: DataFrame, true: DataFrame) -> DataFrame:
     into each other the later one counts. Only rows near an interval are joined."""
     ends = scored.groupBy("series_id").agg(F.max("t").alias("last"), F.min("t").alias("first"))
     b = F.explode(F.array(*[F.lit(x) for x in BUFFERS])).alias("buffer")
-    near = true.select("*", b).where("buffer > 0").withColumn("h", (F.col("buffer") / 2).cast("int")).join(F.broadcast(ends), "series_id")
+    near = true.select("*", b).where("buffer > 0").withColumn("h", (F.col("buffer") / 2).cast("int")).join(ends, "series_id")
     left = near.select("series_id", "buffer", "k", F.explode(F.when(F.greatest(F.col("s") - F.col("h"), "first") < F.col("s"), F.sequence(F.greatest(F.col("s") - F.col("h"), "first"), F.col("s") - 1))).alias("t"), "s", "e")
     left = left.select("series_id", "buffer", "k", "t", F.sqrt(1 - (F.col("s") - F.col("t")) / F.col("buffer")).alias("v"))
     stop = F.least(F.col("last"), F.col("e") + F.col("h"))
@@ -152,7 +155,7 @@ def nab_rewards(scored: DataFrame, true: DataFrame) -> DataFrame:
     """(series_id, t, score, reward, seq): -1 outside; from the start of an interval over twice its length a falling
     sigmoid; seq: the interval that holds the row."""
     last = scored.groupBy("series_id").agg(F.max("t").alias("last"))
-    long = true.where("e > s").join(F.broadcast(last), "series_id").withColumn("len", F.col("e") - F.col("s"))
+    long = true.where("e > s").join(last, "series_id").withColumn("len", F.col("e") - F.col("s"))
     each = long.select("series_id", "k", "s", "e", "len", "last", F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.col("len") - 1)).alias("i"))
     each = each.select("series_id", "k", "i", F.least(F.col("s") + F.col("i"), "last").alias("t"), nab_sigmoid(F.lit(3.0) * F.col("i") / F.col("len") - 3).alias("r"))
     marks = each.groupBy("series_id", "t").agg(F.max_by("r", F.struct("k", "i")).alias("r"))
@@ -174,3 +177,32 @@ def nab_scores(rewards: DataFrame, true: DataFrame) -> DataFrame:
     sums = out.unionByName(first).groupBy("series_id", "lv").agg(F.sum("r").alias("r"))
     grid = n.crossJoin(F.broadcast(rewards.sparkSession.range(LEVELS).select(F.col("id").cast("int").alias("lv"))))
     return grid.join(sums, ["series_id", "lv"], "left").select("series_id", "lv", F.round(F.coalesce("r", F.lit(0.0)) / F.col("n"), 6).alias("nab"))
+
+
+KEYS = ("dataset", "model", "strategy", "score_kind")
+
+
+def aligned(scored: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(series_id, t, score, is_anomaly) of written scores (keys, t, score) and labels (dataset, t, is_anomaly), for the
+    functions above; series_id is the struct of the keys.
+
+    Scores meet the labels of the same row from their first one on, as far as both go. Approaches that score by
+    confidence levels and data sets whose labels are all equal are left out; so are rows without a score.
+    """
+    varied = labels.groupBy("dataset").agg(F.min("is_anomaly").alias("lo"), F.max("is_anomaly").alias("hi")).where("lo < hi").select("dataset")
+    rows = scored.where((F.col("score_kind") != "cl") & F.col("score").isNotNull() & ~F.isnan("score"))
+    rows = rows.join(labels.join(varied, "dataset", "left_semi").select("dataset", "t", "is_anomaly"), ["dataset", "t"])
+    return rows.select(F.struct(*keys).alias("series_id"), "t", "score", "is_anomaly")
+
+
+def approach_results(rows: DataFrame, write: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, area, best, vus, nab, nab_level: every approach's curve, buffered volume and early-detection score over all
+    its aligned rows. write keeps rows and their runs, which several measures read."""
+    rows = write(rows)
+    true = write(sequences(rows))
+    found = write(detections(rows))
+    curve = area(precision_recall(counts(found, true)), ["series_id"])
+    wide = volume(area(precision_recall(counts(found, widened(true, rows), ["buffer"])), ["series_id", "buffer"], 1.0))
+    nab = nab_scores(nab_rewards(rows, true), true).groupBy("series_id").agg(F.max("nab").alias("nab"), F.max_by("lv", F.struct("nab", -F.col("lv"))).alias("nab_level"))
+    out = curve.join(wide, "series_id").join(nab, "series_id")
+    return out.select(*[F.col(f"series_id.{k}").alias(k) for k in keys], "area", "best", "vus", "nab", "nab_level")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from driftline.functions.math import difference_factors
+from driftline.functions.math import cosine_distance, difference_factors, euclidean, mean_abs_diff
 
 CHUNK = 8192
 
@@ -33,7 +33,7 @@ def feature_vectors(series: DataFrame, length: int, lag: int = 0, value: str = "
 def last_windows(vectors: DataFrame, n: int) -> DataFrame:
     """The training set of a sliding window: the last n feature vectors of each series."""
     last = vectors.groupBy("series_id").agg(F.max("t").alias("_last"))
-    return vectors.join(F.broadcast(last), "series_id").where(F.col("t") > F.col("_last") - n).drop("_last")
+    return vectors.join(last, "series_id").where(F.col("t") > F.col("_last") - n).drop("_last")
 
 
 def difference_forecast(series: DataFrame, d: int) -> DataFrame:
@@ -63,3 +63,54 @@ def running_max_normalised(series: DataFrame, start: int = 100, step: int = 50)
     upto = Window.partitionBy("series_id").orderBy("batch_id")
     tops = tops.select("series_id", "batch_id", F.greatest(F.lit(1.0), F.max("top").over(upto)).alias("running_max"))
     return b.join(tops, ["series_id", "batch_id"]).withColumn("normalised", F.col("nc") / F.col("running_max"))
+
+
+# vectors of several channels: fv is an array of rows, each an array of channels
+
+
+def flat(fv: Column) -> Column:
+    return F.flatten(fv)
+
+
+def input_rows(fv: Column) -> Column:
+    """What a forecaster reads: all rows but the last."""
+    return F.slice(fv, 1, F.size(fv) - 1)
+
+
+def target_row(fv: Column) -> Column:
+    """What it predicts: the last row."""
+    return F.element_at(fv, -1)
+
+
+def first_row(fv: Column) -> Column:
+    return F.element_at(fv, 1)
+
+
+def by_channel(fv: Column) -> Column:
+    """fv with channels outside and rows inside."""
+    return F.transform(first_row(fv), lambda _, c: F.transform(fv, lambda r: F.get(r, c)))
+
+
+def points(vectors: DataFrame) -> DataFrame:
+    """The rows of all vectors as one bag of points: series_id, t (of the vector), i (the row in it), point."""
+    return vectors.select("series_id", "t", F.posexplode("fv").alias("i", "point"))
+
+
+def model_nonconformity(vectors: DataFrame, kind: str, measure: str, channels: int) -> DataFrame:
+    """nc of vectors (fv and prediction, arrays of rows) by the kind of model: a reconstruction is measured as a whole, a
+    forecast by its last row and, with one channel, always by the mean absolute difference; a forest's own score
+    (in prediction, one number) passes."""
+    if kind == "iforest":
+        return vectors.withColumn("nc", F.col("prediction"))
+    x, p = F.col("fv"), F.col("prediction")
+    if kind == "forecasting":
+        x, p = F.array(target_row(x)), F.array(target_row(p))
+        measure = measure if channels > 1 else "mean_abs_diff"
+    by = {"euclidean": euclidean, "mean_abs_diff": mean_abs_diff, "cosine_sim": cosine_distance}
+    return vectors.withColumn("nc", by[measure](flat(x), flat(p)))
+
+
+def over_own_maximum(nc: DataFrame) -> DataFrame:
+    """The scores of a forecaster's first training set, over their maximum."""
+    tops = nc.groupBy("series_id").agg(F.max("nc").alias("_top"))
+    return nc.join(tops, "series_id").withColumn("nc", F.try_divide(F.col("nc"), F.col("_top"))).drop("_top")

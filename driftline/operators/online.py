@@ -145,7 +145,9 @@ class Approach:
             else:
                 scores.append(self._confidence(float((self.nc_train >= v).sum() / s.training)))
         version = self.version
-        drifted = self._learn(w, nc, np.asarray([0.0 if a is None else a for a in scores]))
+        known = np.asarray([np.nan if a is None else a for a in scores], float)
+        # a score-aware set takes no row without a score
+        drifted = self._learn(w, nc, known) if s.update != "aware" else self._learn(w[~np.isnan(known)], nc[~np.isnan(known)], known[~np.isnan(known)])
         out = [(self.t + i, float(nc[i]), scores[i], version, drifted and i == len(x) - 1) for i in range(len(x))]
         self.history, self.t = rows[-(s.length - 1) :].copy(), self.t + len(x)
         return out

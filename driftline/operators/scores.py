@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.math import clip, normal_cdf, normal_cdf_sql
-from driftline.operators.frames import NC_SQL, batches, rolling
+from driftline.operators.frames import NC_SQL, rolling
 
 SHORT, LONG, FLOOR = 10, 50, 0.5
 
@@ -40,7 +40,7 @@ def likelihood_of_batches(nc: DataFrame, start: int = 100, long: int = LONG, sho
     before = sums.select("series_id", (F.col("batch") + 1).alias("batch"), F.col("whole").alias("last"))
     warm = sums.where("batch = -1").select("series_id", (F.col("squares") - F.col("whole") * F.col("whole")).alias("c0"))
     earlier = b.select("series_id", (F.col("batch") + 1).alias("batch"), "i", F.col("prefix").alias("earlier"))
-    out = b.where("batch >= 0").join(before, ["series_id", "batch"]).join(earlier, ["series_id", "batch", "i"]).join(F.broadcast(warm), "series_id")
+    out = b.where("batch >= 0").join(before, ["series_id", "batch"]).join(earlier, ["series_id", "batch", "i"]).join(warm, "series_id")
     sum2 = F.col("c0") + F.col("last") * F.col("last") + F.col("prefix") * F.col("prefix") - F.col("earlier") * F.col("earlier")
     s_long = F.col("last") + F.col("prefix") - F.col("earlier")
     means = rolling(nc, short - 1, {"m_short": lambda w: F.avg("nc").over(w.rowsBetween(-(short - 1), 0))}).select("series_id", "t", "m_short")
@@ -95,7 +95,3 @@ def uniform_statistic(conf: DataFrame, window: int = 100, every: int = 50, first
     n = F.size("c")
     far = F.transform("c", lambda x, i: F.greatest((i + 1) / n - x, x - i / n))
     return out.select("series_id", "t", n.cast("long").alias("n"), F.array_max(far).alias("d"))
-
-
-def with_batches(nc: DataFrame, start: int, step: int) -> DataFrame:
-    return batches(nc, start, step)

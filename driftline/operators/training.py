@@ -24,7 +24,8 @@ def uniform_reservoir(series: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def priority_reservoir(scored: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """The n rows of each series with the highest priorities."""
+    """The n rows of each series with the highest priorities; rows without a score (null or NaN) are never taken."""
+    scored = scored.where(F.col("score").isNotNull() & ~F.isnan("score"))
     u = hash_uniform(seed, F.col("series_id"), F.col("t"))
     rows = scored.withColumn("priority", F.round(priority(F.col("score"), u), 9))
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("priority"), "t"))
@@ -48,7 +49,7 @@ def mu_sigma(series: DataFrame, n: int = 100, length: int = 10, every: int = 50)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(total(F.transform(a, lambda v: clip(v, 1e-6, 1e20))))
     shift = F.sqrt(total(F.zip_with("mus", "mus0", lambda a, b: (a - b) * (a - b))))
-    out = sets.join(F.broadcast(start), "series_id")
+    out = sets.join(start, "series_id")
     return out.select("series_id", "t", shift.alias("mu_shift"), norm(F.col("vars")).alias("sigma"), norm(F.col("ref")).alias("sigma0"))
 
 
@@ -103,18 +104,36 @@ def versions_asof(rows: DataFrame, versions: DataFrame) -> DataFrame:
     return both.withColumn("version", F.last("version", ignorenulls=True).over(over)).where("is_row = 1").drop("is_row")
 
 
-def artificial_anomaly(series: DataFrame, at: int, goal: float = 10.0, seed: int = 42) -> DataFrame:
-    """(series_id, t, replacement) for the rows at - 10 .. at + 9: eight noisy steps up to about `goal` above the local
-    mean and twelve down again. Seeded; normal steps come from two uniforms."""
-    local = series.where(F.col("t").between(at - 10, at + 9))
-    stats = local.groupBy("series_id").agg(F.avg("value").alias("mean"))
-    u, v = (hash_uniform(seed + i, F.col("series_id"), F.col("t")) for i in (0, 1))
+#: Rows of an artificial anomaly, how many of them rise, and how far it lies ahead and from the end.
+ANOMALY, RISE, AHEAD = 20, 8, 100
+
+
+def artificial_anomaly(series: DataFrame, at: int, goal: float = 10.0, seed: int = 42, channels: int | None = None) -> DataFrame:
+    """(series_id, t, replacement) for 20 rows of each series around row at + 100, or around the last row that leaves
+    12 + 100 after it: an error is added to each value that rises in eight noisy steps and falls in twelve.
+
+    A rising step is normal around goal / 8 plus the local mean, with a deviation of goal / 16 plus the local one; a
+    falling step takes goal / 12 and goal / 24 and counts down. Mean and deviation are those of the 20 rows. Steps are
+    seeded by series, row and channel, from two uniforms. With channels, `values` is an array of so many, and so is the
+    replacement.
+    """
+    n = series.groupBy("series_id").agg((F.max("t") + 1).alias("_n"))
+    pos = F.least(F.col("_n") - (ANOMALY - RISE + AHEAD), F.lit(at + AHEAD))
+    first = pos - ANOMALY // 2
+    local = series.join(n, "series_id").where(F.col("t").between(first, first + ANOMALY - 1))
+    value = F.array("value") if channels is None else F.col("values")
+    each = local.select("series_id", "t", (F.col("t") - first).alias("_i"), F.posexplode(value).alias("ch", "x"))
+    whole = Window.partitionBy("series_id", "ch")
+    each = each.withColumns({"mean": F.avg("x").over(whole), "std": F.stddev_pop("x").over(whole)})
+    u, v = (hash_uniform(seed + i, F.col("series_id"), F.col("t") * 1000 + F.col("ch")) for i in (0, 1))
     noise = F.sqrt(F.lit(-2.0) * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(F.lit(2 * math.pi) * v)
-    up = F.col("t") < at - 2
-    step = F.when(up, F.lit(goal / 8)).otherwise(F.lit(-goal / 12)) + noise * F.when(up, F.lit(goal / 16)).otherwise(F.lit(goal / 24))
-    over = Window.partitionBy("series_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return local.join(F.broadcast(stats), "series_id").select("series_id", "t", (F.col("mean") + F.sum(step).over(over)).alias("replacement"))
+    part = F.when(F.col("_i") < RISE, F.lit(goal / RISE)).otherwise(F.lit(goal / (ANOMALY - RISE)))
+    step = part + F.col("mean") + noise * (part / 2 + F.col("std"))
+    error = F.sum(F.when(F.col("_i") < RISE, step).otherwise(-step)).over(whole.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    out = each.select("series_id", "t", "ch", (F.col("x") + error).alias("r")).groupBy("series_id", "t").agg(F.array_sort(F.collect_list(F.struct("ch", "r"))).alias("r"))
+    r = F.transform("r", lambda c: c["r"])
+    return out.select("series_id", "t", (r[0] if channels is None else r).alias("replacement"))
 
 
-def overlaid(series: DataFrame, overlay: DataFrame) -> DataFrame:
-    return series.join(overlay, ["series_id", "t"], "left").withColumn("value", F.coalesce("replacement", "value")).drop("replacement")
+def overlaid(series: DataFrame, overlay: DataFrame, value: str = "value") -> DataFrame:
+    return series.join(overlay, ["series_id", "t"], "left").withColumn(value, F.coalesce("replacement", value)).drop("replacement")

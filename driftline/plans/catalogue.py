@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -318,8 +319,8 @@ def anomaly_sequences_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _at_60(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    s = _scored(spark, sf)
-    return ev.detections(s, [60]), ev.sequences(s)
+    s = store.written(_scored(spark, sf))
+    return store.written(ev.detections(s, [60])), store.written(ev.sequences(s))
 
 
 TOUCH = "p.series_id = k.series_id AND p.s <= k.e AND k.s <= p.e"
@@ -353,8 +354,8 @@ AREA_SQL = """, w AS (SELECT *, (precision + lag(precision) OVER o) * (recall -
 
 
 def _curve(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scored(spark, sf)
-    return ev.precision_recall(ev.counts(ev.detections(s), ev.sequences(s)))
+    s = store.written(_scored(spark, sf))
+    return ev.precision_recall(ev.counts(ev.detections(s), store.written(ev.sequences(s))))
 
 
 @query(f"{COUNT_SQL} SELECT series_id, lv, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(precision, 6) AS precision, round(recall, 6) AS recall FROM q")
@@ -386,8 +387,8 @@ t AS (SELECT series_id, buffer, count(*) AS n FROM kb GROUP BY ALL),
 h AS (SELECT t.series_id, t.buffer, lv.lv, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, n - coalesce(tp, 0) AS fn FROM t CROSS JOIN lv LEFT JOIN c ON c.series_id = t.series_id AND c.buffer = t.buffer AND c.lv = lv.lv),
 q AS (SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall FROM h){VOLUME_SQL}""")
 def pr_vus_buffered(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scored(spark, sf)
-    curve = ev.precision_recall(ev.counts(ev.detections(s), ev.widened(ev.sequences(s), s), ["buffer"]))
+    s = store.written(_scored(spark, sf))
+    curve = ev.precision_recall(ev.counts(ev.detections(s), store.written(ev.widened(ev.sequences(s), s)), ["buffer"]))
     return ev.volume(ev.area(curve, ["series_id", "buffer"], 1.0)).select("series_id", r6("vus"))
 
 
@@ -401,8 +402,8 @@ ex AS (SELECT series_id, lv, avg((peak > lv * 0.01::DOUBLE)::INTEGER) AS existen
 q AS (SELECT pl.series_id, pl.buffer, ex.lv, round(coalesce(tp, 0) / greatest(coalesce(al, 0), 1), 9) AS precision, round(coalesce(tp, 0) / greatest(pl, 1) * existence, 9) AS recall
   FROM pl JOIN ex USING (series_id) LEFT JOIN tp ON tp.series_id = pl.series_id AND tp.buffer = pl.buffer AND tp.lv = ex.lv){VOLUME_SQL}""")
 def pr_vus_soft(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scored(spark, sf).persist()
-    true = ev.sequences(s).persist()
+    s = store.written(_scored(spark, sf))
+    true = store.written(ev.sequences(s))
     curve = ev.soft_curve(ev.soft_labels(s, true), s, true)
     return ev.volume(ev.area(curve, ["series_id", "buffer"], 1.0)).select("series_id", r6("vus"))
 
@@ -410,7 +411,7 @@ def pr_vus_soft(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{SOFT} SELECT series_id, round(sum(soft) FILTER (score > 0.5), 4) AS tp, round(sum(1 - soft) FILTER (score > 0.5), 4) AS fp, round(sum(soft) FILTER (score <= 0.5), 4) AS fn,
 round(sum(1 - soft) FILTER (score <= 0.5), 4) AS tn FROM y WHERE buffer = 100 GROUP BY series_id""")
 def confusion_soft(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scored(spark, sf)
+    s = store.written(_scored(spark, sf))
     soft = ev.soft_labels(s, ev.sequences(s)).where("buffer = 100")
     total = lambda c, hit, name: F.round(F.sum(F.when(hit, c)), 4).alias(name)
     hit = F.col("score") > 0.5
@@ -425,9 +426,9 @@ w AS (SELECT a.series_id, a.t, a.score, coalesce(m.r, -1.0::DOUBLE) AS reward, k
 
 
 def _nab(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    s = scores.anomaly_likelihood(frames.nonconformity(src.all_events(spark, sf))).withColumn("score", F.round("score", 6)).persist()
-    true = ev.sequences(s).persist()
-    return ev.nab_rewards(s, true).persist(), true
+    s = store.written(scores.anomaly_likelihood(frames.nonconformity(src.all_events(spark, sf))).withColumn("score", F.round("score", 6)))
+    true = store.written(ev.sequences(s))
+    return store.written(ev.nab_rewards(s, true)), true
 
 
 @query(f"{NAB_SQL} SELECT series_id, t, round(reward, 6) AS reward, coalesce(seq, -1) AS seq FROM w")
@@ -476,18 +477,97 @@ def summary_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _uniform_at(i: int) -> str:
-    return fm.hash_uniform_sql(42 + i, "series_id", "t")
+    return fm.hash_uniform_sql(42 + i, "series_id", "(t * 1000)")
 
 
-@query(f"""{E}, l AS (SELECT *, {_uniform_at(0)} AS u, {_uniform_at(1)} AS v, avg(value) OVER (PARTITION BY series_id) AS mean FROM e WHERE t BETWEEN 90 AND 109),
+@query(f"""{E}, n AS (SELECT series_id, least(max(t) + 1 - 112, 200) - 10 AS first FROM e GROUP BY series_id),
+l AS (SELECT e.*, t - first AS i, {_uniform_at(0)} AS u, {_uniform_at(1)} AS v, avg(value) OVER (PARTITION BY series_id) AS mean, stddev_pop(value) OVER (PARTITION BY series_id) AS sd FROM e JOIN n USING (series_id) WHERE t BETWEEN first AND first + 19),
 z AS (SELECT *, sqrt(-2.0::DOUBLE * ln(greatest(u, 1e-12))) * cos({2 * math.pi!r}::DOUBLE * v) AS noise FROM l),
-o AS (SELECT series_id, t, mean + sum(CASE WHEN t < 98 THEN {10 / 8!r}::DOUBLE + noise * {10 / 16!r}::DOUBLE ELSE {-10 / 12!r}::DOUBLE + noise * {10 / 24!r}::DOUBLE END) OVER (PARTITION BY series_id ORDER BY t) AS r FROM z)
+o AS (SELECT series_id, t, value + sum(CASE WHEN i < 8 THEN {10 / 8!r}::DOUBLE + mean + noise * ({10 / 16!r}::DOUBLE + sd) ELSE -({10 / 12!r}::DOUBLE + mean + noise * ({10 / 24!r}::DOUBLE + sd)) END) OVER (PARTITION BY series_id ORDER BY t) AS r FROM z)
 SELECT e.series_id, e.t, round(coalesce(r, value), 6) AS value FROM e LEFT JOIN o ON o.series_id = e.series_id AND o.t = e.t""")
 def anomaly_overlay(spark: SparkSession, sf: str) -> DataFrame:
     e = src.events(spark, sf)
     return training.overlaid(e, training.artificial_anomaly(e, 100)).select("series_id", "t", r6("value"))
 
 
+# several channels
+
+WINDOW_SQL = f"""{D}, w AS (SELECT *, lag(c0, 9) OVER o AS first0, sum(c0) OVER p AS before0, sum(c1) OVER p AS before1, avg(c0) OVER f AS m0, avg(c1) OVER f AS m1, avg(c2) OVER f AS m2, avg(c3) OVER f AS m3,
+  list(c0) OVER f AS l0, list(c1) OVER f AS l1, list(c2) OVER f AS l2, list(c3) OVER f AS l3
+  FROM d WINDOW o AS (ORDER BY t), p AS (ORDER BY t ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING), f AS (ORDER BY t ROWS 9 PRECEDING))"""
+
+
+def _channel_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.feature_vectors(src.shipments(spark, sf), 10, value="values")
+
+
+@query(f"{WINDOW_SQL} SELECT 'lineitem' AS series_id, t, round(before0, 4) AS input0, round(before1, 4) AS input1, c0 AS target0, c3 AS target3, first0, round(list_max(l2), 6) AS top2, 40 AS n FROM w WHERE t >= 9")
+def channel_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of ten rows and four channels: what a forecaster reads and predicts, the first row, and the channels."""
+    fv = F.col("fv")
+    total = lambda c: F.round(F.aggregate(F.transform(frames.input_rows(fv), lambda r: r[c]), F.lit(0.0), lambda s, x: s + x), 4)
+    return _channel_vectors(spark, sf).select("series_id", "t", total(0).alias("input0"), total(1).alias("input1"), frames.target_row(fv)[0].alias("target0"), frames.target_row(fv)[3].alias("target3"),
+        frames.first_row(fv)[0].alias("first0"), F.round(F.array_max(frames.by_channel(fv)[2]), 6).alias("top2"), F.size(frames.flat(fv)).alias("n"))
+
+
+@query(f"{WINDOW_SQL}, b AS (SELECT unnest(l2) AS x, unnest(l3) AS y FROM w WHERE t >= 9) SELECT round(x, 6) AS x, count(*) AS n, round(avg(y), 6) AS y FROM b GROUP BY round(x, 6)")
+def channel_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of all vectors as points, counted by one channel."""
+    p = frames.points(_channel_vectors(spark, sf))
+    return p.groupBy(F.round(F.col("point")[2], 6).alias("x")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("point")[3]), 6).alias("y"))
+
+
+def _over(what: str) -> str:
+    """A sum over all rows and channels of a vector, of x and its channel's mean m."""
+    return " + ".join(f"list_sum(list_transform(l{i}, lambda x: {what.replace('m', f'm{i}')}))" for i in range(4))
+
+
+@query(f"""{WINDOW_SQL} SELECT 'lineitem' AS series_id, t, round(1 - ({_over("x * m")}) / (sqrt({_over("x * x")}) * sqrt({_over("m * m")})), 6) AS whole,
+round(ln(1 + sqrt(pow(c0 - m0, 2) + pow(c1 - m1, 2) + pow(c2 - m2, 2) + pow(c3 - m3, 2))), 6) AS last, round(ln(1 + (abs(c0 - m0) + abs(c1 - m1) + abs(c2 - m2) + abs(c3 - m3)) / 4), 6) AS mean_last FROM w WHERE t >= 9""")
+def channel_nonconformity(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors against their channels' means: as a reconstruction by cosine, as a forecast by the last row (logarithms)."""
+    fv = F.col("fv")
+    mean = F.transform(frames.by_channel(fv), lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c))
+    v = _channel_vectors(spark, sf).withColumn("_mean", mean).withColumn("prediction", F.transform("fv", lambda _: F.col("_mean")))
+    v = frames.model_nonconformity(v, "reconstruction", "cosine_sim", 4).withColumnRenamed("nc", "whole")
+    v = frames.model_nonconformity(v, "forecasting", "euclidean", 4).withColumnRenamed("nc", "last")
+    v = frames.model_nonconformity(v, "forecasting", "mean_abs_diff", 4)
+    return v.select("series_id", "t", r6("whole"), F.round(F.log1p("last"), 6).alias("last"), F.round(F.log1p("nc"), 6).alias("mean_last"))
+
+
+@query(f"{NC} SELECT series_id, t, round(nc / max(nc) OVER (PARTITION BY series_id), 6) AS nc FROM n WHERE t < 100")
+def nc_warm_up(spark: SparkSession, sf: str) -> DataFrame:
+    """A forecaster's scores of the first training set."""
+    return frames.over_own_maximum(_nc(spark, sf).where("t < 100")).select("series_id", "t", r6("nc"))
+
+
+# all approaches at once
+
+_LIKELY = scores.likelihood_sql()
+APPROACH_SQL = f"""{E}, {_LIKELY.replace("a AS (SELECT series_id", "al AS (SELECT series_id")},
+av AS (SELECT series_id, t, avg(nc) OVER (PARTITION BY series_id ORDER BY t ROWS 49 PRECEDING) AS score FROM n),
+a AS (SELECT 'diff-sw_ks-al/' || series_id AS series_id, t, round(score, 6) AS score, is_anomaly FROM al
+  UNION ALL SELECT 'diff-ures_ks-avg/' || e.series_id, e.t, round(score / 100, 6), e.is_anomaly FROM av JOIN e ON e.series_id = av.series_id AND e.t = av.t WHERE e.t >= 49)"""
+_APPROACH_CURVES = COUNT_SQL[len(EVAL) :]
+
+
+@query(f"""{APPROACH_SQL}, {ev.SEQUENCES_SQL}, {ev.DETECTIONS_SQL}{_APPROACH_CURVES}{AREA_SQL}, ar AS (SELECT series_id, coalesce(sum(step), 0) / 2 AS area FROM w GROUP BY series_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(precision * precision + recall * recall, 9) DESC, lv) AS o FROM q)
+SELECT split_part(ar.series_id, '/', 2) AS dataset, split_part(ar.series_id, '-', 1) AS model, split_part(ar.series_id, '-', 2) AS strategy, split_part(split_part(ar.series_id, '/', 1), '-', 3) AS score_kind,
+  round(area, 6) AS area, b.lv AS best FROM ar JOIN b ON b.series_id = ar.series_id AND o = 1""")
+def evaluate_approaches(spark: SparkSession, sf: str) -> DataFrame:
+    """Two approaches' scores, written by series and approach, read again, met with the labels and evaluated together."""
+    path = f"{store.shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    nc = _nc(spark, sf)
+    both = {("sw_ks", "al"): scores.anomaly_likelihood(nc), ("ures_ks", "avg"): scores.average_of_window(nc).withColumn("score", F.col("score") / 100)}
+    for (strategy, kind), s in both.items():
+        store.write_scores(s.select("series_id", "t", F.round("score", 6).alias("score")), path, "diff", strategy, kind, "run1", "parquet")
+    read = store.read_scores(spark, path, "parquet").withColumnRenamed("series_id", "dataset")
+    rows = ev.aligned(read, src.events(spark, sf).select(F.col("series_id").alias("dataset"), "t", "is_anomaly"))
+    out = ev.approach_results(rows, store.written)
+    return out.select(*ev.KEYS, r6("area"), "best")
+
+
 # sequential detection and models
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Training-set updates, drift tests and scores that make up the approaches.
@@ -29,7 +29,7 @@ def read_scores(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     df = spark.read.format(fmt).options(**({"header": "true", "inferSchema": "true"} if fmt == "csv" else {})).load(path)
     keys = ["series_id", "model", "strategy", "score_kind"]
     first = df.groupBy(*keys).agg(F.min(F.col("run").cast("string")).alias("_run"))
-    return df.join(F.broadcast(first), keys).where(F.col("run").cast("string") == F.col("_run")).drop("_run")
+    return df.join(first, keys).where(F.col("run").cast("string") == F.col("_run")).drop("_run")
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -64,8 +64,29 @@ def model_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a temporary one where none is set, as in tests on one machine."""
+    """The checkpoint folder that the session names; where none is set, a temporary one on one machine, an error on a
+    cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftline-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="driftline-"))
     return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder once for all that read it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def fan_out(nonconformity: DataFrame, names: DataFrame) -> DataFrame:
+    """A model's nonconformity for every approach that follows it: names has model, strategy and score."""
+    return nonconformity.join(names.withColumnRenamed("score", "score_kind"), "model")
+
+
+def approach_parts(name: Column) -> list[Column]:
+    """model, strategy and score of an approach's name, which joins them by hyphens."""
+    parts = F.split(name, "-")
+    return [parts[i].alias(k) for i, k in enumerate(("model", "strategy", "score_kind"))]

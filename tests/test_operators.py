@@ -143,6 +143,8 @@ def test_reservoirs(spark):
     got = [r["t"] for r in training.uniform_reservoir(s, 100).collect()]
     assert len(set(got)) == 100 and 150 < np.mean(got) < 350
     assert training.priority_reservoir(s, 1000).count() == 500
+    some = s.withColumn("score", F.when(F.col("t") % 10 == 0, F.lit(float("nan"))).when(F.col("t") % 10 == 5, F.col("score")))
+    assert {r["t"] % 10 for r in training.priority_reservoir(some, 100).collect()} == {5}
 
 
 def test_ks_two_sample(spark):
@@ -164,10 +166,56 @@ def test_versions(spark):
     assert [r["version"] for r in training.versions_asof(s, v).orderBy("t").collect()] == [None, None, 1, 1, 1, 2]
 
 
-def test_overlay(spark):
-    s = series(spark, [0.0] * 40)
-    got = [r["value"] for r in training.overlaid(s, training.artificial_anomaly(s, 20)).orderBy("t").collect()]
-    assert not any(got[:10]) and not any(got[30:]) and max(got) > 5
+@pytest.mark.parametrize("at,first", [(100, 190), (350, 278)])
+def test_overlay(spark, at, first):
+    """Against a plain loop over rows and channels, on the same noise."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(3, 2, (400, 2))
+    df = spark.createDataFrame([("s", i, [float(v) for v in r]) for i, r in enumerate(x)], "series_id string, t long, values array<double>")
+    noise = {}
+    for ch in range(2):
+        u = [F.col("t") * 1000 + ch]
+        for r in df.select("t", *[training.hash_uniform(42 + i, F.col("series_id"), *u).alias(f"u{i}") for i in (0, 1)]).collect():
+            noise[r["t"], ch] = math.sqrt(-2 * math.log(r["u0"])) * math.cos(2 * math.pi * r["u1"])
+    want = x.copy()
+    part = x[first : first + 20]
+    mean, std = part.mean(0), part.std(0)
+    for ch in range(2):
+        error = 0.0
+        for i in range(20):
+            steps = 8 if i < 8 else 12
+            change = 10 / steps + mean[ch] + noise[first + i, ch] * (10 / (2 * steps) + std[ch])
+            error += change if i < 8 else -change
+            want[first + i, ch] += error
+    out = training.overlaid(df, training.artificial_anomaly(df, at, channels=2), "values").orderBy("t").collect()
+    assert np.allclose([r["values"] for r in out], want)
+    one = df.select("series_id", "t", F.col("values")[0].alias("value"))
+    got = [r["value"] for r in training.overlaid(one, training.artificial_anomaly(one, at)).orderBy("t").collect()]
+    assert np.allclose(got, want[:, 0])
+
+
+def test_aligned(spark):
+    labels = spark.createDataFrame([("a", t, int(t == 3)) for t in range(8)] + [("b", t, 1) for t in range(8)], "dataset string, t long, is_anomaly int")
+    rows = [(d, "m", "s", k, t, float("nan") if t == 4 else t / 10) for d in "ab" for k in ("al", "cl", "avg") for t in range(2, 10)]
+    scored = spark.createDataFrame(rows, "dataset string, model string, strategy string, score_kind string, t long, score double")
+    got = ev.aligned(scored, labels).collect()
+    assert {(r["series_id"]["dataset"], r["series_id"]["score_kind"]) for r in got} == {("a", "al"), ("a", "avg")}
+    assert sorted(r["t"] for r in got if r["series_id"]["score_kind"] == "al") == [2, 3, 5, 6, 7]
+    out = {r["score_kind"]: r for r in ev.approach_results(ev.aligned(scored, labels), store.written).collect()}
+    rows = ev.aligned(scored, labels).where("series_id.score_kind = 'al'").select(F.lit("x").alias("series_id"), "t", "score", "is_anomaly")
+    true = ev.sequences(rows)
+    alone = ev.area(ev.precision_recall(ev.counts(ev.detections(rows), true)), ["series_id"]).first()
+    assert (out["al"]["area"], out["al"]["best"]) == (alone["area"], alone["best"]) and out["al"]["vus"] == out["avg"]["vus"]
+    best = max(r["nab"] for r in ev.nab_scores(ev.nab_rewards(rows, true), true).collect())
+    assert out["al"]["nab"] == best
+
+
+def test_fan_out(spark):
+    names = store.approaches(spark).withColumn("model", F.lit("m"))
+    nc = spark.createDataFrame([("m", i, 0.1 * i) for i in range(3)], "model string, t long, nc double")
+    assert store.fan_out(nc, names).count() == 3 * names.count()
+    one = spark.createDataFrame([("usad-ares_al_ks-al",)], "name string").select(*store.approach_parts(F.col("name"))).first()
+    assert tuple(one) == ("usad", "ares_al_ks", "al")
 
 
 def test_priority_admission():
