@@ -175,7 +175,7 @@ def slots(placed: DataFrame, n_shards: int, rows_each: int = 500) -> DataFrame:
     return out.withColumn("slot", (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_block", "_rank", "_before")
 
 
-def rewrite_shards(docs: DataFrame, plan: Resharding, path: str, file_rows: int = 500_000) -> list[int]:
+def rewrite_shards(docs: DataFrame, plan: Resharding, path: str, file_rows: int = 50_000) -> list[int]:
     """Rewrites path/shard=N/ for the shards that gain or lose rows, from docs, and returns those shards.
 
     A shard whose rows all stay keeps its files. A row's new shard is known where it is read, so its text moves once, to
