@@ -204,7 +204,7 @@ def score(docs: DataFrame, vocab: Vocabulary, counted: DataFrame, weights: np.nd
         of_kind = np.log10([n + v + 1 for n, v in vocab.kinds])
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for at in _sliced(texts, 4_000_000):
+            for at in _sliced(texts, 16_000_000):
                 ids, rows = [], []
                 for i in at:
                     w = tokens(texts[i])
