@@ -174,7 +174,7 @@ def mark_repeats(docs: DataFrame, length: int = 35, k: int = 5, key: str = "doc_
     only. The windows left, at the ends of repeated passages and where copies differ, are compared one by one by their
     own labels, with each other and with those of one place of each repeated path, and all come back to their documents
     by source coordinates. A path or k-mer in a third of all documents
-    is one row a task when counted, and joins that Spark can split bring the counts back.
+    is one row a task when counted, and the join that brings the k-mers' counts back is one that Spark can split.
 
     A null text has no words. Equal windows count wherever they start, in the same document too. A row is known by its
     id and a hash of its text; rows that share both are places of their own and get the same marks. A null id reads -2**63
@@ -189,12 +189,12 @@ def mark_repeats(docs: DataFrame, length: int = 35, k: int = 5, key: str = "doc_
     twice = paths.where("own > 0").groupBy("label", "check").agg(F.count("*").alias("n"), F.min(F.xxhash64("d", "t", "pos")).alias("first")).where("n > 1").drop("n")
     held = F.when((F.col("own") > 0) & F.col("first").isNotNull(), F.when(F.xxhash64("d", "t", "pos") == F.col("first"), 3).otherwise(1)).otherwise(0)
     mark = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("own") * 4 + held
-    marks = split_join(paths, twice, ["label", "check"], "left").select("d", "t", mark.alias("mark")).groupBy("d", "t").agg(F.collect_set("mark").alias("marks"))
+    marks = paths.join(twice, ["label", "check"], "left").select("d", "t", mark.alias("mark")).groupBy("d", "t").agg(F.collect_set("mark").alias("marks"))
     marked = rows.join(marks, ["d", "t"], "left")
     left = marked.where(F.col("marks").isNotNull()).select("d", "t", hashed, "marks")
     left = left.mapInPandas(_open_windows(length, k), "label long, check int, d long, t long, pos int, open boolean")
     same = left.groupBy("label", "check").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = split_join(left.where("open"), same, ["label", "check"]).groupBy("d", "t").agg(F.collect_set("pos").alias("starts"))
+    starts = left.where("open").join(same, ["label", "check"]).groupBy("d", "t").agg(F.collect_set("pos").alias("starts"))
     return marked.join(starts, ["d", "t"], "left")
 
 
