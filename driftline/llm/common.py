@@ -64,6 +64,14 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(stable(right), on, how)
 
 
+def hot_keys(rows: DataFrame, on: list[str], share: int = 1000, one_in: int = 64) -> DataFrame:
+    """The keys that hold more than 1 / share of the rows sampled, one in `one_in` by a hash of all columns: fewer than
+    `share` keys whatever the rows hold, so that they may be broadcast. Which they are decides only how rows are joined."""
+    some = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(one_in)) == 0)
+    counts = some.groupBy(on).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(some.agg(F.count("*").alias("all"))), F.col("n") * share > F.col("all")).select(on)
+
+
 def pieces_of(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import split_join, stable, table, words
+from driftline.llm.common import hot_keys, split_join, stable, table, words
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSE = tuple(pow(b, -1, 1 << 64) for b in _BASES)
@@ -174,7 +174,8 @@ def mark_repeats(docs: DataFrame, length: int = 35, k: int = 5, key: str = "doc_
     only. The windows left, at the ends of repeated passages and where copies differ, are compared one by one by their
     own labels, with each other and with those of one place of each repeated path, and all come back to their documents
     by source coordinates. A path or k-mer in a third of all documents
-    is one row a task when counted, and the join that brings the k-mers' counts back is one that Spark can split.
+    is one row a task when counted; the join that brings the k-mers' counts back is one that Spark can split, and what is
+    counted of the few hottest paths comes back without a shuffle.
 
     A null text has no words. Equal windows count wherever they start, in the same document too. A row is known by its
     id and a hash of its text; rows that share both are places of their own and get the same marks. A null id reads -2**63
@@ -186,10 +187,15 @@ def mark_repeats(docs: DataFrame, length: int = 35, k: int = 5, key: str = "doc_
     paths = rows.select("d", "t", hashed).mapInPandas(_paths(length, k), "h long, d long, t long, pos int, own int, label long, check int")
     again = paths.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     paths = stable(split_join(paths, again, ["h"]).drop("h"))
-    twice = paths.where("own > 0").groupBy("label", "check").agg(F.count("*").alias("n"), F.min(F.xxhash64("d", "t", "pos")).alias("first")).where("n > 1").drop("n")
+    on = ["label", "check"]
+    counted = lambda some: some.where("own > 0").groupBy(on).agg(F.count("*").alias("n"), F.min(F.xxhash64("d", "t", "pos")).alias("first")).where("n > 1").drop("n")
+    hot = F.broadcast(hot_keys(paths, on))
+    rest = paths.join(hot, on, "left_anti")
+    often = counted(paths.join(hot, on, "left_semi"))
+    found = rest.join(counted(rest), on, "left").unionByName(paths.join(hot, on, "left_semi").join(F.broadcast(often), on, "left"))
     held = F.when((F.col("own") > 0) & F.col("first").isNotNull(), F.when(F.xxhash64("d", "t", "pos") == F.col("first"), 3).otherwise(1)).otherwise(0)
     mark = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("own") * 4 + held
-    marks = paths.join(twice, ["label", "check"], "left").select("d", "t", mark.alias("mark")).groupBy("d", "t").agg(F.collect_set("mark").alias("marks"))
+    marks = found.select("d", "t", mark.alias("mark")).groupBy("d", "t").agg(F.collect_set("mark").alias("marks"))
     marked = rows.join(marks, ["d", "t"], "left")
     left = marked.where(F.col("marks").isNotNull()).select("d", "t", hashed, "marks")
     left = left.mapInPandas(_open_windows(length, k), "label long, check int, d long, t long, pos int, open boolean")
