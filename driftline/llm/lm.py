@@ -188,8 +188,8 @@ def score(docs: DataFrame, vocab: Vocabulary, counted: DataFrame, weights: np.nd
 
     A token's probability is that of its class by the state, times that in its class: by the state for words with
     outputs of their own, by training counts plus one for the others of its kind, all unseen ones together counting as
-    one. Counts of frequent words are looked up in the task; the other words are joined with the counts of all training
-    words, and only sums come back. A null text is an empty one and has its end only. Rows keep their multiplicity.
+    one. Counts of frequent words are looked up in the task; the other words come back from it, one after another in a
+    string, and are joined with the counts of all training words. A null text is an empty one and has its end only. Rows keep their multiplicity.
     """
     spark = docs.sparkSession
     both = spark.sparkContext.broadcast((vocab, weights))
@@ -215,17 +215,16 @@ def score(docs: DataFrame, vocab: Vocabulary, counted: DataFrame, weights: np.nd
                     other = x[:-1] > vocab.own
                     count = logs[ranks[found]].sum()
                     inside = logs[ranks[found & other]].sum() - of_kind[x[:-1][other] - vocab.own - 1].sum()
-                    rows.append((len(x), int(found.sum()) + (vocab.ends > 0), count + logs[0] - all_ * len(x), inside))
-                n, known, base, inside = zip(*rows, strict=True)
+                    rare = b" ".join([w[j] for j in np.flatnonzero(~found).tolist()]).decode("utf-8", "surrogatepass")
+                    rows.append((len(x), int(found.sum()) + (vocab.ends > 0), count + logs[0] - all_ * len(x), inside, rare))
+                n, known, base, inside, rare = zip(*rows, strict=True)
                 lm = gru.score(p, vocab.shape, ids, 0) / np.log(10)
                 part = pdf.iloc[at]
-                yield pd.DataFrame({"d": part["d"].astype("Int64"), "t": part["t"], "n_tokens": n, "n_known": known, "base": base, "lm": lm + np.asarray(inside)})
+                yield pd.DataFrame({"d": part["d"].astype("Int64"), "t": part["t"], "n_tokens": n, "n_known": known, "base": base, "lm": lm + np.asarray(inside), "rare": rare})
 
-    scored = source.mapInPandas(run, "d long, t long, n_tokens long, n_known long, base double, lm double")
-    scored = scored.groupBy("d", "t").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_tokens", "n_known", "base", "lm")])
-    frequent = spark.createDataFrame([(w.decode("utf-8", "surrogatepass"),) for w in vocab.words], "word string")
-    rare = source.select("d", "t", F.explode(words(ascii_lower(F.col("text")))).alias("word"))
-    rare = rare.join(F.broadcast(frequent), "word", "left_anti")  # bounded by the vocabulary's size
+    read = stable(source.mapInPandas(run, "d long, t long, n_tokens long, n_known long, base double, lm double, rare string"))
+    scored = read.groupBy("d", "t").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_tokens", "n_known", "base", "lm")])
+    rare = read.where("rare <> ''").select("d", "t", F.explode(F.split("rare", " ")).alias("word"))
     rare = rare.join(counted, "word").groupBy("d", "t").agg(F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("logs"), F.count("*").alias("n"))
     out = scored.join(rare.withColumnsRenamed({"d": "_d", "t": "_t"}), F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left")
     more, n = F.coalesce(F.col("logs") / F.col("copies"), F.lit(0.0)), F.coalesce((F.col("n") / F.col("copies")).cast("long"), F.lit(0))
