@@ -1,9 +1,10 @@
 """The sequential part of detection: training sets that depend on scores, drift, and retraining. One series and one
-approach run in order; Spark runs many of them side by side, in batch or as a stream."""
+approach run in order, over rows that Spark has sorted; many of them run side by side."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -190,16 +191,37 @@ ONLINE = "series_id string, t long, nonconformity double, score double, version
 
 
 def detect(series: DataFrame, settings: Settings, warm_up: int = 300) -> DataFrame:
-    """The scores of each series (series_id, t, value) after its warm-up rows, by one approach."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["value"].to_numpy(float)
-        rows: list[tuple] = []
-        if len(x) > warm_up:
-            a = Approach(settings)
-            a.start(x[:warm_up])
-            for at in range(warm_up, len(x), settings.step):
-                rows += a.step(x[at : at + settings.step])
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["series_id", "t", "nonconformity", "score", "version", "drifted"]).astype({"score": "float64"})
-
-    return series.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, ONLINE)
+    """The scores of each series (series_id, t, value) after its warm-up rows, by one approach.
+
+    Spark sorts each partition by series and row, spilling where it must; a task reads it batch by batch and holds the
+    approach's state and the rows of a tick, or of the warm-up, however long a series is. A null series_id is one series.
+    """
+    columns = ["series_id", "t", "nonconformity", "score", "version", "drifted"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, approach, x = None, None, np.zeros(0)
+
+        def ticks(last: bool) -> pd.DataFrame:
+            nonlocal approach, x
+            if approach is None and len(x) > warm_up:
+                approach = Approach(settings)
+                approach.start(x[:warm_up])
+                x = x[warm_up:]
+            rows: list[tuple] = []
+            while approach is not None and len(x) and (last or len(x) >= settings.step):
+                rows += approach.step(x[: settings.step])
+                x = x[settings.step :]
+            return pd.DataFrame([(name, *r) for r in rows], columns=columns).astype({"score": "float64"})
+
+        for pdf in batches:
+            for key, part in pdf.groupby("series_id", sort=False, dropna=False):
+                key = None if pd.isna(key) else key
+                if key != name:
+                    yield ticks(True)
+                    name, approach, x = key, None, np.zeros(0)
+                x = np.concatenate([x, part["value"].to_numpy(float)])
+                yield ticks(False)
+        yield ticks(True)
+
+    ordered = series.select("series_id", "t", "value").repartition("series_id").sortWithinPartitions("series_id", "t")
+    return ordered.mapInPandas(run, ONLINE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -585,76 +585,83 @@ _online_query("online_aware_al_ks", online.Settings(training=100, update="aware"
 _online_query("confidence_levels_full", online.Settings(training=100, update="sliding", drift="ks", score="confidence", score_rows=10))
 
 
-def _by_series(spark: SparkSession, sf: str, fit, schema: str) -> DataFrame:
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["value"].to_numpy(float)
-        return pd.DataFrame([(key[0], *r) for r in fit(x)], columns=[c.split()[0] for c in schema.split(", ")])
+#: Rows at the start of a series that its model learns from; of shipments, days.
+FIRST, FIRST_DAYS = 150, 1250
+
 
-    return src.events(spark, sf).select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, schema)
+def _forest(x: np.ndarray) -> models.Forest:
+    """A forest on points, whose trees vote and are renewed once."""
+    forest = models.Forest(x[:, None], 200, max(10, min(len(x) // 10, 256)), 7)
+    forest.vote(x[:, None], 0.5)
+    forest.renew(x[:, None])
+    return forest
 
 
 @query()
 def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """A forest on the first rows' points, whose trees vote and are renewed once, and scores of the rest."""
+    """A forest on the first rows' points, and its scores of the rest."""
+    e = src.events(spark, sf)
 
-    def fit(x: np.ndarray) -> Iterator[tuple]:
-        train, rest = x[:150, None], x[150:, None]
-        if len(rest):
-            forest = models.Forest(train, 200, max(10, min(len(train) // 10, 256)), 7)
-            forest.vote(train, 0.5)
-            forest.renew(train)
-            yield from ((150 + i, float(v)) for i, v in enumerate(forest.scores(rest)))
+    def scores_of(t: np.ndarray, x: np.ndarray, forest: models.Forest) -> dict:
+        return {"t": t[t >= FIRST], "score": forest.scores(x[t >= FIRST, None])}
 
-    return _by_series(spark, sf, fit, "series_id string, t long, score double")
+    return registry.predicted(e, registry.fit_first(e, FIRST, _forest), 0, scores_of, "series_id string, t long, score double")
 
 
 @query()
 def usad_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Cosine distance of vectors of 20 rows to their reconstruction by two competing decoders."""
+    """Cosine distance of vectors of 20 rows to their reconstruction by two competing decoders, learnt from the first."""
+    e = src.events(spark, sf)
+
+    def fit(x: np.ndarray) -> tuple:
+        mean, sd, model = x.mean(), x.std() or 1.0, models.Usad(20, 2, 7)
+        model.fit(np.lib.stride_tricks.sliding_window_view((x - mean) / sd, 20)[:130], 5)
+        return mean, sd, model
 
-    def fit(x: np.ndarray) -> Iterator[tuple]:
-        if len(x) < 60:
-            return
-        w = np.lib.stride_tricks.sliding_window_view((x - x[:150].mean()) / (x[:150].std() or 1), 20)
-        model = models.Usad(20, 2, 7)
-        model.fit(w[:130], 5)
-        p = model.predict(w)
-        norm = np.linalg.norm(w, axis=1) * np.linalg.norm(p, axis=1)
-        for i, v in enumerate(1 - (w * p).sum(1) / np.maximum(norm, 1e-12)):
-            yield 19 + i, float(v)
+    def distances(t: np.ndarray, x: np.ndarray, fitted: tuple) -> dict:
+        mean, sd, model = fitted
+        if len(x) < 20:
+            return {"t": t[:0], "nonconformity": x[:0]}
+        w = np.lib.stride_tricks.sliding_window_view((x - mean) / sd, 20)
+        return {"t": t[19:], "nonconformity": registry.cosine_distances(w, model.predict(w))}
 
-    return _by_series(spark, sf, fit, "series_id string, t long, nonconformity double")
+    return registry.predicted(e, registry.fit_first(e, FIRST, fit, 60), 19, distances, "series_id string, t long, nonconformity double")
 
 
 @query()
 def arima_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """Differences plus a least-squares weight for each past difference."""
+    """Differences plus a weight for each past difference, which least squares finds in the first rows; the forecasts are
+    sums over frames."""
+    e = src.events(spark, sf)
 
-    def fit(x: np.ndarray) -> Iterator[tuple]:
-        if len(x) < 60:
-            return
-        gamma = models.fit_gamma(x[:150], 1, 8)
-        diff = np.diff(x)
-        for t in range(9, len(x)):
-            yield t, float(x[t - 1] + gamma @ diff[t - 9 : t - 1][::-1])
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("t")["value"].to_numpy(float)
+        return pd.DataFrame([(key[0], models.fit_gamma(x, 1, 8))] if len(x) >= 60 else [], columns=["series_id", "gamma"], dtype=object)
 
-    return _by_series(spark, sf, fit, "series_id string, t long, pred double")
+    gamma = e.where(F.col("t") < FIRST).select("series_id", "t", "value").groupBy("series_id").applyInPandas(fit, "series_id string, gamma array<double>")
+    past = frames.rolling(e, 9, {"past": lambda w: F.collect_list("value").over(w.rowsBetween(-9, -1))}).where("t >= 9")
+    change = sum((F.col("gamma")[i] * (F.col("past")[8 - i] - F.col("past")[7 - i]) for i in range(1, 8)), F.col("gamma")[0] * (F.col("past")[8] - F.col("past")[7]))
+    return past.join(gamma, "series_id").select("series_id", "t", (F.col("past")[8] + change).alias("pred"))
 
 
 @query()
 def var_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    """One-step forecasts of the four shipment channels."""
+    """One-step forecasts of the four shipment channels, by lags that the first days choose and weigh."""
+    s = src.shipments(spark, sf)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x = np.stack(pdf["values"].to_numpy()).astype(float)
-        x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
-        model = models.Var(x[: max(60, len(x) // 2)])
-        p = model.predict(x)
-        return pd.DataFrame({"t": pdf["t"].to_numpy()[model.lag :], "lag": model.lag, "error": np.abs(x[model.lag :] - p).mean(1)})
+    def fit(x: np.ndarray) -> tuple:
+        mean, sd = x.mean(0), np.maximum(x.std(0), 1e-12)
+        return mean, sd, models.Var((x - mean) / sd)
 
-    s = src.shipments(spark, sf)
-    return s.groupBy("series_id").applyInPandas(run, "t long, lag int, error double")
+    def errors(t: np.ndarray, x: np.ndarray, fitted: tuple) -> dict:
+        mean, sd, model = fitted
+        x = (x - mean) / sd
+        if len(x) <= model.lag:
+            return {"t": t[:0], "lag": t[:0], "error": x[:0, 0]}
+        return {"t": t[model.lag :], "lag": model.lag, "error": np.abs(x[model.lag :] - model.predict(x)).mean(1)}
+
+    model = registry.fit_first(s, FIRST_DAYS, fit, 60, "values")
+    return registry.predicted(s, model, 50, errors, "series_id string, t long, lag int, error double", "values").drop("series_id")
 
 
 @query()

@@ -1,4 +1,5 @@
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import math as fm
 from driftline.operators import evaluate as ev
-from driftline.operators import frames, models, online, scores, training
+from driftline.operators import frames, models, online, registry, scores, training
 from driftline.sources import series as src
 from driftline.sources import store
 
@@ -290,15 +291,59 @@ def test_var_finds_a_weekly_lag():
     assert np.abs(v.coef[13:15] - 0.8 * np.eye(2)).max() < 0.1
 
 
-def test_iforest_query_builds_200_trees(monkeypatch):
+def test_iforest_query_builds_200_trees():
     from driftline.plans import catalogue
 
-    class Seen(models.Forest):
-        def __init__(self, x, trees, sample, seed):
-            asked.append(trees)
-            super().__init__(x, trees, sample, seed)
-
-    asked = []
-    monkeypatch.setattr(models, "Forest", Seen)
-    monkeypatch.setattr(catalogue, "_by_series", lambda spark, sf, fit, schema: list(fit(np.sin(np.arange(200.0)))))
-    assert len(catalogue.iforest_scores(None, None)) == 50 and asked == [200]
+    assert len(catalogue._forest(np.sin(np.arange(150.0))).trees) == 200
+
+
+def _three_series(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, t, float(v)) for k, n in (("a", 700), ("b", 130), (None, 400)) for t, v in enumerate(rng.normal(0, 1, n))]
+    return spark.createDataFrame(rows, "series_id string, t long, value double")
+
+
+def test_detect_like_one_series_after_the_other(spark):
+    s = online.Settings(training=100, update="aware", check_every=1)
+    want = []
+    series = _three_series(spark)
+    for key, pdf in series.toPandas().groupby("series_id", dropna=False):
+        x = pdf.sort_values("t")["value"].to_numpy()
+        if len(x) > 150:
+            a = online.Approach(s)
+            a.start(x[:150])
+            want += [(str(key), *r) for at in range(150, len(x), s.step) for r in a.step(x[at : at + s.step])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # batches end within ticks
+    try:
+        got = [(str(r["series_id"] if r["series_id"] is not None else np.nan), *r[1:]) for r in online.detect(series, s, 150).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(want) and len(got) == 550 + 250
+    assert online.detect(series.where("false"), s, 150).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [32, 100, 10_000])
+def test_models_score_chunks_like_whole_series(spark, chunk):
+    series = _three_series(spark)
+    fitted = registry.fit_models(series, "autoencoder", [100, 150])
+    want = []
+    for r in fitted.orderBy("from_t").collect():
+        x = series.where(F.col("series_id").eqNullSafe(F.lit(r["series_id"]))).orderBy("t").toPandas()["value"].to_numpy()
+        mean, sd, model = pickle.loads(r["weights"])
+        w = (np.lib.stride_tricks.sliding_window_view(x, 20) - mean) / sd
+        p = model.predict(w)
+        nc = 1 - (w * p).sum(1) / np.linalg.norm(w, axis=1) / np.linalg.norm(p, axis=1)
+        want += [(str(r["series_id"]), t + 19, r["version"], round(float(v), 9)) for t, v in enumerate(nc) if (100 <= t + 19 < 150 if r["version"] == 0 else t + 19 >= 150)]
+    got = [(str(r["series_id"]), r["t"], r["version"], round(r["nc"], 9)) for r in registry.score_with(series, fitted, chunk=chunk).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_models_of_first_rows_meet_chunks(spark):
+    series = _three_series(spark)
+    fitted = registry.fit_first(series, 50, lambda x: x.sum(), 50)
+    got = registry.predicted(series, fitted, 3, lambda t, x, m: {"t": t, "s": np.convolve(x, np.ones(4))[: len(x)] + m}, "series_id string, t long, s double", chunk=64).toPandas()
+    for key, pdf in series.toPandas().groupby("series_id", dropna=False):
+        x = pdf.sort_values("t")["value"].to_numpy()
+        mine = got[got["series_id"].isna()] if pd.isna(key) else got[got["series_id"] == key]
+        assert np.allclose(mine.sort_values("t")["s"], np.convolve(x, np.ones(4))[: len(x)] + x[:50].sum())
+    assert registry.fit_first(series, 50, len, 51).count() == 0
