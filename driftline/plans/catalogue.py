@@ -681,4 +681,4 @@ def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{NC}, s AS (SELECT series_id, t, avg(nc) OVER (PARTITION BY series_id ORDER BY t ROWS 49 PRECEDING) AS score FROM n) SELECT series_id, t, round(score, 6) AS score FROM s WHERE t >= 49")
 def stream_stateful_score(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.finished(jobs.rolling_scores(jobs.event_stream(spark, sf)), store.shared_folder(spark)).select("series_id", "t", r6("score"))
+    return jobs.rolling_scores(jobs.event_stream(spark, sf), store.shared_folder(spark)).select("series_id", "t", r6("score"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.operators import frames
+from driftline.sources import series as src
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -24,24 +25,36 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hou
     return by.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).select(F.col("window.start").alias("start"), "event_type", "n", "mean")
 
 
-def rolling_scores(events: DataFrame, length: int = 50) -> DataFrame:
+SCORES, TAIL = "series_id string, t long, score double", "series_id string, t long, value double"
+
+
+def rolling_scores(events: DataFrame, folder: str, length: int = 50) -> DataFrame:
     """By type, the mean of the last `length` absolute changes of the value, with the rows of a trigger in time order.
-    State: the last value and the last changes."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, last, recent = state.get if state.exists else (0, None, [])
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        recent, out = list(recent), []
-        for v in pdf["value"].tolist():
-            recent = [*recent, 0.0 if last is None else abs(v - last)][-length:]
-            last = v
-            if len(recent) == length:
-                out.append((key[0], seen, sum(recent) / length))
-            seen += 1
-        state.update((seen, last, recent))
-        yield pd.DataFrame(out, columns=["series_id", "t", "score"])
-
-    return events.groupBy("event_type").applyInPandasWithState(run, "series_id string, t long, score double", "seen long, last double, recent array<double>", "append", "NoTimeout")
+
+    Runs the stream over what there is and returns all scores. Each trigger is scored as a table, in chunks of rows, so
+    a trigger with a long series is many tasks. State: the last `length` rows of each series, a small table for each
+    trigger, under the trigger's number, as are its scores; a trigger that runs again replaces both. Rows that come in a
+    later trigger count as later. The folder must be one that all executors share.
+    """
+    spark, at = events.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+
+    def trigger(df: DataFrame, number: int) -> None:
+        session = df.sparkSession
+        e = df.select(F.col("event_type").alias("series_id"), "ts", "event_id", "value")
+        new = src.numbered(e, "series_id", ["ts", "event_id"], F.date_trunc("day", "ts")).select("series_id", "t", "value")
+        # the empty table stands before the first trigger
+        tail = session.read.schema(TAIL).parquet(f"{at}/tail/{number - 1}") if number else session.createDataFrame([], TAIL)
+        seen = tail.groupBy("series_id").agg((F.max("t") + 1).alias("_seen"))
+        new = new.join(seen, "series_id", "left").withColumn("t", F.col("t") + F.coalesce("_seen", F.lit(0))).drop("_seen")
+        both = new.withColumn("_new", F.lit(True)).unionByName(tail.withColumn("_new", F.lit(False)))
+        changes = frames.nonconformity(both)
+        scored = frames.rolling(changes, length - 1, {"score": lambda w: F.avg("nc").over(w.rowsBetween(-(length - 1), 0))})
+        scored.where((F.col("t") >= length - 1) & F.col("_new")).select("series_id", "t", "score").write.mode("overwrite").parquet(f"{at}/scores/trigger={number}")
+        frames.last_windows(both, length).select("series_id", "t", "value").coalesce(1).write.mode("overwrite").parquet(f"{at}/tail/{number}")
+
+    spark.createDataFrame([], SCORES).write.parquet(f"{at}/scores/trigger=-1")
+    events.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(trigger).start().awaitTermination()
+    return spark.read.schema(f"{SCORES}, trigger long").parquet(f"{at}/scores").drop("trigger")
 
 
 def finished(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

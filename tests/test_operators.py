@@ -1,4 +1,5 @@
 import math
+import os
 import pickle
 
 import numpy as np
@@ -13,6 +14,7 @@ from driftline.operators import evaluate as ev
 from driftline.operators import frames, models, online, registry, scores, training
 from driftline.sources import series as src
 from driftline.sources import store
+from driftline.streaming import jobs
 
 
 def series(spark, values, labels=None, name="s"):
@@ -347,3 +349,21 @@ def test_models_of_first_rows_meet_chunks(spark):
         mine = got[got["series_id"].isna()] if pd.isna(key) else got[got["series_id"] == key]
         assert np.allclose(mine.sort_values("t")["s"], np.convolve(x, np.ones(4))[: len(x)] + x[:50].sum())
     assert registry.fit_first(series, 50, len, 51).count() == 0
+
+
+def test_stream_scores_go_on_from_trigger_to_trigger(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=37 * i), 1, "ab"[int(rng.integers(2))] if i % 90 else "rare", float(rng.normal()), "") for i in range(600)]
+    for k, (at, to) in enumerate([(0, 30), (30, 200), (200, 205), (205, 600)]):
+        path = tmp_path / "in" / f"events{k}.parquet"
+        path.parent.mkdir(exist_ok=True)
+        pd.DataFrame(rows[at:to], columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"ts": "datetime64[us]"}).sample(frac=1, random_state=k).to_parquet(path, index=False)
+        os.utime(path, (1e9 + k, 1e9 + k))  # files come in the order of their times
+    stream = spark.readStream.schema(jobs.SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {(r["series_id"], r["t"]): r["score"] for r in jobs.rolling_scores(stream, str(tmp_path / "out"), 20).collect()}
+    want = {}
+    for kind in ("a", "b", "rare"):
+        x = np.asarray([r[4] for r in rows if r[3] == kind])
+        nc = np.abs(np.diff(x, prepend=x[:1]))
+        want |= {(kind, t): nc[t - 19 : t + 1].mean() for t in range(19, len(x))}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
