@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.frames import rolling
+from driftline.operators.frames import CHUNK, rolling
 
 LEVELS = 100
 BUFFERS = tuple(range(0, 201, 20))
@@ -17,15 +17,19 @@ def level(k: Column) -> Column:
     return k * F.lit(0.01)
 
 
-def sequences(series: DataFrame, label: str = "is_anomaly") -> DataFrame:
-    """(series_id, k, s, e): the maximal runs of label 1, numbered from 0. Only the ends of runs are ranked."""
+def sequences(series: DataFrame, label: str = "is_anomaly", chunk: int = CHUNK) -> DataFrame:
+    """(series_id, k, s, e): the maximal runs of label 1, numbered from 0. Only the ends of runs are put in order, in
+    chunks of a series; what a chunk needs of the others is one row a chunk."""
     ends = rolling(series.select("series_id", "t", label), 1, {"before": lambda w: F.lag(label, 1, 0).over(w), "behind": lambda w: F.lead(label, 1, 0).over(w)}, after=1)
     # of the rows where a run starts or ends, each start is followed by its end
     first, last = F.col("before") != 1, F.col("behind") != 1
-    each = ends.where((F.col(label) == 1) & (first | last))
-    by = Window.partitionBy("series_id").orderBy("t")
-    each = each.select("series_id", F.col("t").alias("s"), F.when(last, F.col("t")).otherwise(F.lead("t").over(by)).alias("e"), first.alias("first")).where("first")
-    return each.select("series_id", (F.row_number().over(Window.partitionBy("series_id").orderBy("s")) - 1).cast("long").alias("k"), "s", "e")
+    each = ends.where((F.col(label) == 1) & (first | last)).select("series_id", "t", first.alias("first"), last.alias("last"), F.floor(F.col("t") / chunk).alias("_chunk"))
+    upto = Window.partitionBy("series_id").orderBy("_chunk")
+    chunks = each.groupBy("series_id", "_chunk").agg(F.count_if("first").alias("_n"), F.min("t").alias("_t"))
+    chunks = chunks.select("series_id", "_chunk", (F.sum("_n").over(upto) - F.col("_n")).alias("_ahead"), F.lead("_t").over(upto).alias("_next"))
+    by = Window.partitionBy("series_id", "_chunk").orderBy("t")
+    each = each.withColumns({"e": F.when(F.col("last"), F.col("t")).otherwise(F.lead("t").over(by)), "k": F.count_if("first").over(by) - 1}).where("first")
+    return each.join(chunks, ["series_id", "_chunk"]).select("series_id", (F.col("_ahead") + F.col("k")).alias("k"), F.col("t").alias("s"), F.coalesce("e", "_next").alias("e"))
 
 
 SEQUENCES_SQL = """k AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY min(t)) - 1 AS k, min(t) AS s, max(t) AS e FROM

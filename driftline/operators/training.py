@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.math import clip, hash_uniform
-from driftline.operators.frames import rolling
+from driftline.operators.frames import CHUNK, rolling
+from driftline.sources.series import numbered
 
 
 def priority(score: Column, u: Column, lam: float = 3.0, num: float = 3.0) -> Column:
@@ -92,16 +93,24 @@ def vector_multiplicity(i: Column, length: int, n: int) -> Column:
 
 def every_k(flags: DataFrame, k: int) -> DataFrame:
     """no: the running count of the rows where `flag` holds, kept where it is a multiple of k."""
-    n = F.row_number().over(Window.partitionBy("series_id").orderBy("t"))
-    return flags.where("flag").withColumn("no", n).where(F.pmod(F.col("no"), F.lit(k)) == 0)
+    counted = numbered(flags.where("flag"), "series_id", ["t"], F.floor(F.col("t") / CHUNK), "no")
+    return counted.withColumn("no", F.col("no") + 1).where(F.pmod(F.col("no"), F.lit(k)) == 0)
 
 
-def versions_asof(rows: DataFrame, versions: DataFrame) -> DataFrame:
+def versions_asof(rows: DataFrame, versions: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """rows with the version in force: the last of versions (series_id, from_t, version) with from_t <= t. Both are put in
-    order together, so no row meets all versions."""
+    order together, in chunks of a series, so no row meets all versions; each chunk starts with the last version of those
+    before it."""
     both = rows.select("series_id", "t", F.lit(None).cast("int").alias("version"), F.lit(1).alias("is_row")).unionByName(versions.select("series_id", F.col("from_t").alias("t"), "version", F.lit(0).alias("is_row")))
-    over = Window.partitionBy("series_id").orderBy("t", "is_row").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("version", F.last("version", ignorenulls=True).over(over)).where("is_row = 1").drop("is_row")
+    both = both.withColumn("_chunk", F.floor(F.col("t") / chunk))
+    lasts = versions.groupBy("series_id", F.floor(F.col("from_t") / chunk).alias("_from")).agg(F.max_by("version", "from_t").alias("version"))
+    # the chunks from the next on for which the last version of a chunk is the start
+    until = F.lead("_from").over(Window.partitionBy("series_id").orderBy("_from"))
+    ends = rows.groupBy("series_id").agg(F.floor(F.max("t") / chunk).alias("_end"))
+    starts = lasts.withColumn("_until", until).join(ends, "series_id").withColumn("_until", F.least("_until", "_end")).where(F.col("_until") > F.col("_from"))
+    starts = starts.select("series_id", F.explode(F.sequence(F.col("_from") + 1, "_until")).alias("_chunk"), (F.col("_chunk") * chunk).alias("t"), "version", F.lit(-1).alias("is_row"))
+    over = Window.partitionBy("series_id", "_chunk").orderBy("t", "is_row").rowsBetween(Window.unboundedPreceding, 0)
+    return both.unionByName(starts).withColumn("version", F.last("version", ignorenulls=True).over(over)).where("is_row = 1").drop("is_row", "_chunk")
 
 
 #: Rows of an artificial anomaly, how many of them rise, and how far it lies ahead and from the end.

@@ -4,32 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, key: str, order: list[str], bucket: Column) -> DataFrame:
-    """df with t, the position from 0 in each series by `order`. bucket must rise with the order: rows are ranked in
+def numbered(df: DataFrame, key: str, order: list[str], bucket: Column, name: str = "t") -> DataFrame:
+    """df with t (or `name`), the position from 0 in each series by `order`. bucket must rise with the order: rows are ranked in
     buckets, and counts of buckets added up, so a long series is not sorted in one task."""
     df = df.withColumn("_b", bucket)
     ahead = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(key, "_b").agg(F.count("*").alias("_n"))
     first = counts.select(key, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first"))
     rank = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order))
-    return df.withColumn("_rank", rank).join(first, [key, "_b"]).withColumn("t", F.col("_first") + F.col("_rank") - 1).drop("_b", "_rank", "_first")
+    return df.withColumn("_rank", rank).join(first, [key, "_b"]).withColumn(name, F.col("_first") + F.col("_rank") - 1).drop("_b", "_rank", "_first")
 
 
-def read_series(spark: SparkSession, path: str, time_column: str, label_column: str, channels: list[str] | None = None, fmt: str = "csv", **options) -> DataFrame:
+def read_series(spark: SparkSession, path: str, time_column: str, label_column: str, channels: list[str] | None = None, fmt: str = "csv", schema: str | None = None, bucket: Column | None = None, **options) -> DataFrame:
     """(series_id, t, values, is_anomaly) from files whose first column is a position and last a label; series_id is the
-    file's name. channels default to all other columns, in order."""
-    df = spark.read.format(fmt).options(**({"header": "true", "inferSchema": "true"} if fmt == "csv" else {}), **options).load(path)
+    file's name. channels default to all other columns, in order. Without a schema a CSV file is read once more to find
+    its types. bucket, which must rise with the position, parts long files for their numbering; by default 8,192 units of
+    a number, or a day; other positions are not parted."""
+    reader = spark.read.format(fmt).options(**({"header": "true", "inferSchema": str(schema is None)} if fmt == "csv" else {}), **options)
+    df = (reader.schema(schema) if schema else reader).load(path)
+    if bucket is None:
+        kind = df.schema[time_column].dataType
+        at = F.col(time_column)
+        bucket = F.floor(at / 8192) if isinstance(kind, T.NumericType) else F.date_trunc("day", at) if isinstance(kind, T.DatetimeType | T.TimestampNTZType) else F.lit(0)
     channels = channels or [c for c in df.columns if c not in (time_column, label_column)]
     values = F.array(*[F.col(c).cast("double") for c in channels])
-    df = df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("series_id"), F.col(time_column).alias("_at"), values.alias("values"), F.col(label_column).cast("int").alias("is_anomaly"))
-    over = Window.partitionBy("series_id").orderBy("_at")
-    return df.withColumn("t", F.row_number().over(over).cast("long") - 1).select("series_id", "t", "values", "is_anomaly")
+    df = df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("series_id"), F.col(time_column).alias("_at"), bucket.alias("_part"), values.alias("values"), F.col(label_column).cast("int").alias("is_anomaly"))
+    return numbered(df, "series_id", ["_at"], F.col("_part")).select("series_id", F.col("t").cast("long").alias("t"), "values", "is_anomaly")
 
 
 def train_or_prefix(series: DataFrame, train: DataFrame | None, rows: int) -> DataFrame:

@@ -169,6 +169,21 @@ def test_versions(spark):
     assert [r["version"] for r in training.versions_asof(s, v).orderBy("t").collect()] == [None, None, 1, 1, 1, 2]
 
 
+@pytest.mark.parametrize("chunk", [3, 7, 1000])
+def test_chunks_know_what_is_ahead(spark, chunk):
+    rng = np.random.default_rng(chunk)
+    y = (rng.random(120) < 0.5).astype(int).tolist()
+    y[30:60] = [1] * 30
+    s = series(spark, y, y)
+    at = sorted(rng.choice(120, 9, replace=False).tolist())
+    v = spark.createDataFrame([("s", t, i) for i, t in enumerate(at)], "series_id string, from_t long, version int")
+    got = [r["version"] for r in training.versions_asof(s, v, chunk).orderBy("t").collect()]
+    assert got == [max((i for i, f in enumerate(at) if f <= t), default=None) for t in range(120)]
+    starts = [t for t in range(120) if y[t] and not (t and y[t - 1])]
+    want = [(k, t, next(e for e in range(t, 120) if e == 119 or not y[e + 1])) for k, t in enumerate(starts)]
+    assert [(r["k"], r["s"], r["e"]) for r in ev.sequences(s, chunk=chunk).orderBy("k").collect()] == want
+
+
 @pytest.mark.parametrize("at,first", [(100, 190), (350, 278)])
 def test_overlay(spark, at, first):
     """Against a plain loop over rows and channels, on the same noise."""
