@@ -113,19 +113,28 @@ def widened(true: DataFrame, scored: DataFrame) -> DataFrame:
 
 def soft_labels(scored: DataFrame, true: DataFrame) -> DataFrame:
     """(series_id, buffer, t, y, soft, score): labels that fall off on both sides of each interval; where intervals reach
-    into each other the later one counts. Only rows near an interval are joined."""
-    ends = scored.groupBy("series_id").agg(F.max("t").alias("last"), F.min("t").alias("first"))
-    b = F.explode(F.array(*[F.lit(x) for x in BUFFERS])).alias("buffer")
-    near = true.select("*", b).where("buffer > 0").withColumn("h", (F.col("buffer") / 2).cast("int")).join(ends, "series_id")
-    left = near.select("series_id", "buffer", "k", F.explode(F.when(F.greatest(F.col("s") - F.col("h"), "first") < F.col("s"), F.sequence(F.greatest(F.col("s") - F.col("h"), "first"), F.col("s") - 1))).alias("t"), "s", "e")
-    left = left.select("series_id", "buffer", "k", "t", F.sqrt(1 - (F.col("s") - F.col("t")) / F.col("buffer")).alias("v"))
-    stop = F.least(F.col("last"), F.col("e") + F.col("h"))
-    right = near.select("series_id", "buffer", "k", F.explode(F.when(F.col("e") < stop, F.sequence(F.col("e"), stop - 1))).alias("t"), "s", "e")
-    right = right.select("series_id", "buffer", "k", "t", F.sqrt(1 - (F.col("t") - F.col("e")) / F.col("buffer")).alias("v"))
-    marks = left.unionByName(right).groupBy("series_id", "buffer", "t").agg(F.max_by("v", "k").alias("v"))
-    rows = scored.select("series_id", "t", "score", F.col("is_anomaly").alias("y"), b)
-    out = rows.join(marks, ["series_id", "buffer", "t"], "left")
-    return out.select("series_id", "buffer", "t", "y", F.coalesce("v", F.col("y").cast("double")).alias("soft"), "score")
+    into each other the later one counts.
+
+    The later one is that with the last start at most half a buffer ahead, or, without one, that with the last end at or
+    behind the row: frames over rows find both, so nothing is spread by buffers before the sums. t must have no gaps.
+    """
+    mark = lambda at, name: F.struct(F.col(at).alias("t"), F.lit(name).alias("what"))
+    marks = true.select("series_id", F.explode(F.array(mark("s", "s"), mark("e", "e"))).alias("x")).groupBy("series_id", F.col("x.t").alias("t"))
+    marks = marks.agg(*[F.bool_or(F.col("x.what") == c).alias(f"_{c}") for c in "se"])
+    rows = scored.select("series_id", "t", "score", F.col("is_anomaly").alias("y")).join(marks, ["series_id", "t"], "left")
+    found = {"_more": lambda w: F.lead("t").over(w), "_end": lambda w: F.max(F.when(F.col("_e"), F.col("t"))).over(w.rowsBetween(1 - BUFFERS[-1] // 2, 0))}
+    found |= {f"_start{b}": lambda w, b=b: F.max(F.when(F.col("_s"), F.col("t"))).over(w.rowsBetween(1, b // 2)) for b in BUFFERS if b}
+
+    def soft(b: int) -> Column:
+        y, t, start, end = F.col("y").cast("double"), F.col("t"), F.col(f"_start{b}"), F.col("_end")
+        if not b:
+            return y
+        behind = F.col("_more").isNotNull() & (t < end + b // 2)
+        return F.when(start.isNotNull(), F.sqrt(1 - (start - t) / F.lit(b))).when(behind, F.sqrt(1 - (t - end) / F.lit(b))).otherwise(y)
+
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("buffer"), soft(b).alias("soft")) for b in BUFFERS])).alias("x")
+    out = rolling(rows, BUFFERS[-1] // 2, found, BUFFERS[-1] // 2).select("series_id", "t", "y", "score", each)
+    return out.select("series_id", "x.buffer", "t", "y", "x.soft", "score")
 
 
 SOFT_SQL = """bu AS (SELECT unnest(range(0, 201, 20))::INTEGER AS b), g AS (SELECT series_id, max(t) AS last, min(t) AS first FROM a GROUP BY series_id),

@@ -120,6 +120,24 @@ def test_soft_labels(spark):
         assert np.allclose(got, brute_soft(y, b) if b else y)
 
 
+def test_soft_labels_like_marks_set_one_after_the_other(spark):
+    rng = np.random.default_rng(8)
+    y = np.zeros(900, int)
+    for at in (3, 40, 60, 61, 200, 290, 300, 500, 890):
+        y[at : at + int(rng.integers(1, 25))] = 1
+    s = series(spark, y.tolist(), y.tolist()).withColumn("score", F.col("value"))
+    runs = sorted((r["k"], r["s"], r["e"]) for r in ev.sequences(s).collect())
+    got = {(r["buffer"], r["t"]): r["soft"] for r in ev.soft_labels(s, ev.sequences(s)).collect()}
+    for b in ev.BUFFERS:
+        soft = y.astype(float)
+        for _, start, end in runs if b else []:
+            for t in range(max(0, start - b // 2), start):
+                soft[t] = math.sqrt(1 - (start - t) / b)
+            for t in range(end, min(len(y) - 1, end + b // 2)):
+                soft[t] = math.sqrt(1 - (t - end) / b)
+        assert np.allclose([got[b, t] for t in range(len(y))], soft), b
+
+
 def test_nab_like_the_procedure(spark):
     rng = np.random.default_rng(1)
     y = [int(c) for c in "0001111100000000111000000001000000111111"]
