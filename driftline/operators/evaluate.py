@@ -143,16 +143,23 @@ m AS (SELECT a.series_id, b, a.t, max_by(CASE WHEN a.t < s THEN sqrt(1 - (s - a.
 y AS (SELECT a.series_id, bu.b AS buffer, a.t, a.is_anomaly AS y, coalesce(m.v, a.is_anomaly::DOUBLE) AS soft, a.score FROM a CROSS JOIN bu LEFT JOIN m ON m.series_id = a.series_id AND m.b = bu.b AND m.t = a.t)"""
 
 
+def levels_below(score: str) -> Column:
+    """How many levels a score is above; 0 for none, all for NaN."""
+    near = F.greatest(F.ceil(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(2.0)) * LEVELS) - 1, F.lit(0))
+    above = near + sum((F.col(score) > level(near + i)).cast("int") for i in (0, 1))
+    return F.when(F.col(score).isNull(), 0).otherwise(F.least(above, F.lit(LEVELS))).cast("int")
+
+
 def soft_curve(soft: DataFrame, scored: DataFrame, true: DataFrame) -> DataFrame:
     """(series_id, buffer, lv, tp, fp, precision, recall) of soft labels. A row is predicted at the levels below its
     score, so sums by the number of those levels, cumulated from above, give all 100 levels without spreading rows."""
-    spark = scored.sparkSession
-    m = F.size(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.col("score") > level(k)))
-    by = soft.groupBy("series_id", "buffer", m.alias("m")).agg(F.sum("soft").alias("ys"), F.count("*").alias("n"), F.sum(F.col("y") + F.col("soft")).alias("both"))
-    p = by.groupBy("series_id", "buffer").agg(F.floor(F.round(F.sum("both") / 2, 9)).alias("pl"))
-    grid = p.crossJoin(F.broadcast(spark.range(1, LEVELS + 1).select(F.col("id").cast("int").alias("m"))))
+    by = soft.groupBy("series_id", "buffer", levels_below("score").alias("m")).agg(F.sum("soft").alias("ys"), F.count("*").alias("n"), F.sum(F.col("y") + F.col("soft")).alias("both"))
+    # at most one entry a level
+    sums = F.map_from_entries(F.collect_list(F.struct("m", F.struct("ys", "n")))).alias("sums")
+    p = by.groupBy("series_id", "buffer").agg(F.floor(F.round(F.sum("both") / 2, 9)).alias("pl"), sums)
+    grid = p.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(LEVELS)))).withColumn("at", F.try_element_at("sums", F.col("m"))).drop("sums")
     above = Window.partitionBy("series_id", "buffer").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
-    c = grid.join(by.drop("both"), ["series_id", "buffer", "m"], "left").withColumns({"tp": F.coalesce(F.sum("ys").over(above), F.lit(0.0)), "all": F.coalesce(F.sum("n").over(above), F.lit(0))})
+    c = grid.withColumns({"tp": F.coalesce(F.sum("at.ys").over(above), F.lit(0.0)), "all": F.coalesce(F.sum("at.n").over(above), F.lit(0))})
     peak = overlaps(scored.select("series_id", F.col("t").alias("s"), F.col("t").alias("e"), "score"), true).groupBy("series_id", "k2").agg(F.max("score").alias("peak"))
     lv = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("lv")
     exist = peak.select("series_id", "peak", lv).groupBy("series_id", "lv").agg(F.avg((F.col("peak") > level(F.col("lv"))).cast("double")).alias("existence"))

@@ -138,6 +138,14 @@ def test_soft_labels_like_marks_set_one_after_the_other(spark):
         assert np.allclose([got[b, t] for t in range(len(y))], soft), b
 
 
+def test_levels_below(spark):
+    x = [None, math.nan, math.inf, -math.inf, -0.5, 0.0, 1.0, 1.5, *[k * 0.01 for k in range(101)], *[math.nextafter(k * 0.01, 9) for k in range(101)], *np.random.default_rng(1).random(500).tolist()]
+    got = spark.createDataFrame([(v,) for v in x], "score double").select("score", ev.levels_below("score").alias("m")).collect()
+    for r in got:
+        v = r["score"]
+        assert r["m"] == (0 if v is None else 100 if math.isnan(v) else sum(v > k * 0.01 for k in range(100))), v
+
+
 def test_nab_like_the_procedure(spark):
     rng = np.random.default_rng(1)
     y = [int(c) for c in "0001111100000000111000000001000000111111"]
