@@ -74,7 +74,7 @@ def transfers(sizes: dict[int, int], capacities: list[int]) -> dict[int, list[tu
     """
     if sum(sizes.values()) > sum(capacities):
         raise ValueError("the new capacities hold less than the old shards")
-    stay = {i: min(n, capacities[i]) if i < len(capacities) else 0 for i, n in sizes.items()}
+    stay = {i: min(n, capacities[i]) if 0 <= i < len(capacities) else 0 for i, n in sizes.items()}
     room = [c - stay.get(j, 0) for j, c in enumerate(capacities)]
     out, j = {}, 0
     for i in sorted(sizes):
@@ -95,9 +95,9 @@ def byte_size(text: Column) -> Column:
 
 def _keyed(docs: DataFrame, old_shard: Column, key: str, text: str) -> DataFrame:
     """docs with _old, _size, _crc and _at, a document's place in its old shard: large documents first, in steps of
-    size, then by a hash."""
+    size, then by a hash. A row without an old shard counts to the shard -1, which no layout has, so it moves."""
     crc, size = F.crc32(F.coalesce(F.col(text), F.lit(""))), byte_size(F.col(text))
-    rows = docs.withColumns({"_old": old_shard.cast("int"), "_size": size, "_crc": crc})
+    rows = docs.withColumns({"_old": F.coalesce(old_shard.cast("int"), F.lit(-1)), "_size": size, "_crc": crc})
     bin_ = (-F.floor(F.log2(F.col("_size").cast("double")) * 4)).cast("int")
     return rows.withColumn("_at", F.struct(bin_.alias("bin"), F.xxhash64(key, "_crc").alias("h"), F.col(key).cast("long").alias("d"), F.col("_crc").alias("c")))
 
@@ -113,7 +113,9 @@ class Resharding:
     text: str
 
     def place(self, docs: DataFrame) -> DataFrame:
-        """docs with _old, _size, _crc and shard. The rule needs nothing but the row and the cuts."""
+        """docs with _old, _size, _crc and shard. The rule needs nothing but the row and the cuts. docs are the rows that
+        the cuts were made from, each as often as it is there, a null id or text like any other; columns of these names are
+        replaced, others stay. No rows give none."""
         rows = _keyed(docs, self.old_shard, self.key, self.text)
         pieces = F.broadcast(self.cuts.groupBy(F.col("old_shard").alias("_o")).agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("_pieces")))
         rows = rows.join(pieces, F.col("_old") == F.col("_o"))
@@ -165,7 +167,8 @@ def reshard(docs: DataFrame, old_shard: Column, n_new: int, block_rows: int = 50
 
 def slots(placed: DataFrame, n_shards: int, rows_each: int = 500) -> DataFrame:
     """placed (doc_id, text_crc32, size, shard and more) with slot: rows of a shard numbered from 0 without gaps, in the
-    order of a hash; counts of about rows_each rows and ranks among those, so no task holds a shard."""
+    order of a hash; counts of about rows_each rows and ranks among those, so no task holds a shard. Rows that share an id
+    and a text, null or not, are numbered like any other, one after the other; other columns stay, no rows give none."""
     placed = placed.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(pieces_of(placed.count(), n_shards * rows_each))).cast("int"))
     number = placed.groupBy("shard", "_block").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,23 +178,37 @@ def slots(placed: DataFrame, n_shards: int, rows_each: int = 500) -> DataFrame:
     return out.withColumn("slot", (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_block", "_rank", "_before")
 
 
-def rewrite_shards(docs: DataFrame, plan: Resharding, path: str, file_rows: int = 50_000) -> list[int]:
-    """Rewrites path/shard=N/ for the shards that gain or lose rows, from docs, and returns those shards.
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
 
-    A shard whose rows all stay keeps its files. A row's new shard is known where it is read, so its text moves once, to
-    the tasks of its shard, which take at most about file_rows rows each. A shard that loses all its rows loses its
-    folder, after all others are in place; until then a broken run can be run again.
+def rewrite_shards(docs: DataFrame, plan: Resharding, path: str, file_rows: int = 50_000) -> list[int]:
+    """Writes path/shard=N/ from docs for the shards that gain or lose rows and for those that path lacks, and returns
+    those shards.
+
+    A shard that is there and whose rows all stay keeps its files. A row's new shard is known where it is read, so its
+    text moves once, to the tasks of its shard, which take at most about file_rows rows each. A shard that loses all its
+    rows loses its folder, after all others are in place; until then a broken run can be run again. Null ids and texts and
+    repeated rows are written as they are, each as often as it is there; other columns too, but for _old, _size, _crc and
+    shard. Without rows nothing is written, so path may not exist then.
     """
     placed = plan.place(docs)
-    moves = stable(placed.groupBy("_old", "shard").agg(F.count("*").alias("n")))  # a row a piece
-    found = moves.collect()
-    touched = sorted({x for r in found if r["_old"] != r["shard"] for x in (r["_old"], r["shard"])})
+    found = stable(placed.groupBy("_old", "shard").agg(F.count("*").alias("n"))).collect()  # a row a piece
     rows: dict[int, int] = {}
     for r in found:
         rows[r["shard"]] = rows.get(r["shard"], 0) + r["n"]
+    spark = docs.sparkSession
+
+    def lacks(shard: int) -> bool:
+        files, at = _folder(spark, f"{path}/shard={shard}")
+        return not files.exists(at)
+
+    moved = {x for r in found if r["_old"] != r["shard"] for x in (r["_old"], r["shard"]) if x >= 0}
+    touched = sorted(moved | {x for x in rows if lacks(x)})
     if not touched:
         return []
-    spark = docs.sparkSession
     parts = pieces_of(max(rows.values()), file_rows)
     out = placed.join(F.broadcast(spark.createDataFrame([(x,) for x in touched], "shard int")), "shard", "left_semi").drop("_old", "_size")
     part = F.pmod(F.xxhash64("_crc"), F.lit(parts))
@@ -199,8 +216,8 @@ def rewrite_shards(docs: DataFrame, plan: Resharding, path: str, file_rows: int
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     for shard in touched:
         if shard not in rows:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            files, at = _folder(spark, f"{path}/shard={shard}")
+            files.delete(at, True)
     return touched
 
 
@@ -209,11 +226,17 @@ OLD_SHARDS, NEW_SHARDS = 32, 40
 
 
 def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, dealt into 32 shards by a hash, rewritten as 40 shards and read from those files."""
+    """All documents, dealt into 32 shards by a hash, written as 40 shards and read from those files, which go once their
+    rows are counted: as many must come back as there were."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = f"{shared_folder(spark)}/op4-{uuid.uuid4().hex}"
     old = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)).cast("int")
-    rewrite_shards(docs, reshard(docs, old, NEW_SHARDS), path)
-    back = spark.read.schema("doc_id long, text string, shard int").parquet(path)
+    schema = "doc_id long, text string, shard int"
+    back = spark.read.schema(schema).parquet(path) if rewrite_shards(docs, reshard(docs, old, NEW_SHARDS), path) else spark.createDataFrame([], schema)
     placed = stable(back.select("doc_id", byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "shard"))
+    before, after = docs.count(), placed.count()
+    if before != after:
+        raise RuntimeError(f"{after} of {before} rows came back from {path}")
+    files, at = _folder(spark, path)
+    files.delete(at, True)
     return slots(placed, NEW_SHARDS).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), old.alias("old_shard"))

@@ -296,6 +296,7 @@ def test_resharding(docs, none, spark, tmp_path, n_old, n_new):
     df.withColumn("shard", old).write.mode("overwrite").partitionBy("shard").parquet(str(tmp_path))
     plan = sharding.reshard(df, old, n_new, block_rows=20)
     touched = sharding.rewrite_shards(df, plan, str(tmp_path), file_rows=100)
+    assert len(touched) <= max(n_old, n_new)
     back = spark.read.parquet(str(tmp_path))
     assert set(back.columns) == {*df.columns, "shard"}
     p = back.toPandas()
@@ -324,6 +325,34 @@ def test_rewriting_leaves_the_rest(spark, tmp_path):
     assert all(sorted(os.listdir(tmp_path / f"shard={s}")) == files[s] for s in left)
 
 
+@pytest.mark.parametrize("n", [0, 1, 40, 100, 400, None])
+def test_op4(spark, sf, tmp_path, n):
+    """As registered: every row comes back, in shards of nearly equal bytes, with slots from 0 and no gaps."""
+    if n is None:
+        rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    else:
+        rng = random.Random(n)
+        rows = [(None if i % 50 == 7 else i // (1 + i % 2), rng.choice([None, "", "é", "word " * rng.randrange(300)])) for i in range(n)]
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        sf = str(tmp_path)
+    out = registry.queries()["op4_resharding"](spark, sf).toPandas()
+    say = lambda d: "" if d is None else str(int(d))
+    size = lambda t: len((t or "").encode()) + 16
+    want = sorted((say(d), size(t), zlib.crc32((t or "").encode())) for d, t in rows)
+    assert sorted((say(None if d != d else d), s, c) for d, s, c in zip(out["doc_id"], out["size"], out["text_crc32"], strict=True)) == want
+    assert set(out["law"]) <= {"bytes"} and out["grown_shard"].isna().all() and set(out["shard"]) <= set(range(40))
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+    if len(rows) >= 100:
+        by = out.groupby("shard")["size"].sum().reindex(range(40), fill_value=0)
+        assert (abs(by - by.mean()) <= 2 * out["size"].max()).all()
+
+
+def test_rows_without_a_shard_move(spark, tmp_path):
+    df = spark.createDataFrame([(i, "some text", i % 4 if i % 3 else None) for i in range(80)], "doc_id long, text string, old int")
+    assert sharding.rewrite_shards(df, sharding.reshard(df, F.col("old"), 4), str(tmp_path / "x"))
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "x")).select("doc_id").collect()) == list(range(80))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 16))
