@@ -510,11 +510,11 @@ def channel_vectors(spark: SparkSession, sf: str) -> DataFrame:
         frames.first_row(fv)[0].alias("first0"), F.round(F.array_max(frames.by_channel(fv)[2]), 6).alias("top2"), F.size(frames.flat(fv)).alias("n"))
 
 
-@query(f"{WINDOW_SQL}, b AS (SELECT unnest(l2) AS x, unnest(l3) AS y FROM w WHERE t >= 9) SELECT round(x, 6) AS x, count(*) AS n, round(avg(y), 6) AS y FROM b GROUP BY round(x, 6)")
+@query(f"{WINDOW_SQL}, b AS (SELECT unnest(l2) AS x, unnest(l3) AS y FROM w WHERE t >= 9) SELECT round(x, 6) AS x, count(*) AS n, round(sum(y), 6) AS total FROM b GROUP BY round(x, 6)")
 def channel_points(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of all vectors as points, counted by one channel."""
+    """The rows of all vectors as points, counted and summed by one channel; sums of values of six digits round alike."""
     p = frames.points(_channel_vectors(spark, sf))
-    return p.groupBy(F.round(F.col("point")[2], 6).alias("x")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("point")[3]), 6).alias("y"))
+    return p.groupBy(F.round(F.col("point")[2], 6).alias("x")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("point")[3]), 6).alias("total"))
 
 
 def _over(what: str) -> str:

@@ -36,7 +36,7 @@ def duck():
 
 
 def same(a, b) -> None:
-    """Equal rows in any order; floats to 1e-6."""
+    """Equal rows in any order; floats, which queries round to six digits or more, must round alike."""
     import pandas as pd
 
     assert sorted(a.columns) == sorted(b.columns)
@@ -45,6 +45,6 @@ def same(a, b) -> None:
     assert len(a) == len(b)
     for c in cols:
         if pd.api.types.is_float_dtype(a[c]) or pd.api.types.is_float_dtype(b[c]):
-            pd.testing.assert_series_equal(a[c].astype(float), b[c].astype(float), atol=2e-6, rtol=1e-9, check_dtype=False)
+            pd.testing.assert_series_equal(a[c].astype(float), b[c].astype(float), atol=1e-9, rtol=1e-12, check_dtype=False)
         else:
             assert a[c].astype(str).tolist() == b[c].astype(str).tolist(), c
