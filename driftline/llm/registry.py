@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import fingerprints, line_dedup, lm, mixing, packing, quality, sharding, simhash_dedup, substring_dedup, vector_dedup
+from driftline.llm import filter_audit, fingerprints, line_dedup, lm, mixing, packing, quality, sharding, simhash_dedup, substring_dedup, vector_dedup
 
 _QUERIES = (
     line_dedup.op1_line_dedup,
@@ -19,6 +19,7 @@ _QUERIES = (
     substring_dedup.op8_substring_dedup,
     mixing.op9_mixing,
     packing.op10_packing,
+    filter_audit.op13_filter_audit,
 )
 
 
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_vector_near_dedup": vector_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_vector_near_dedup": vector_dedup.SQL, "op8_substring_dedup": substring_dedup.SQL, "op13_filter_audit": filter_audit.SQL}
