@@ -7,6 +7,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,21 +21,32 @@ from driftline.llm.packing import LONG_GAP, PRINTABLE, encoder, tokenizer_path
 
 #: One blank between characters that are none: neither vocabulary has a token that reaches over it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Units of a text kept with their groups, over all blocks of a task, and the longest that are.
-CACHED, CACHED_CHARS = 200_000, 64
+#: Where there is nothing of this, every blank is such a one.
+NOT_ALONE = re.compile(r" \s|\s |^ | $")
+#: Units of at most so many characters are encoded together, in strings of about so many.
+SHORT, JOINED = 1000, 100_000
 
 
-class Unit:
-    """The groups of a stretch of text, each ((a ids), (b ids)), and what they add to a document."""
+@dataclass
+class Groups:
+    """The groups of a list of units. Group g holds the tokens a[from_a[g]:from_a[g + 1]] and b[from_b[g]:from_b[g + 1]];
+    unit u has the groups from start[u] to start[u + 1], or none where its tokens don't give back its bytes."""
 
-    __slots__ = ("groups", "n_a", "n_b", "n_links", "said")
+    a: np.ndarray
+    b: np.ndarray
+    from_a: np.ndarray
+    from_b: np.ndarray
+    start: np.ndarray
 
-    def __init__(self, groups: list[tuple[tuple[int, ...], tuple[int, ...]]]):
-        self.groups = groups
-        self.n_a = sum(len(a) for a, _ in groups)
-        self.n_b = sum(len(b) for _, b in groups)
-        self.n_links = sum(len(a) * len(b) for a, b in groups)
-        self.said = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+    @staticmethod
+    def together(parts: list[Groups]) -> Groups:
+        def joined(name: str) -> np.ndarray:
+            each = [getattr(p, name) for p in parts]
+            ends = np.cumsum([0, *[x[-1] for x in each]])
+            return np.concatenate([[0], *[x[1:] + at for x, at in zip(each, ends, strict=False)]]).astype(np.int64)
+
+        cat = lambda xs: np.concatenate([np.empty(0, np.int64), *xs])
+        return Groups(cat([p.a for p in parts]), cat([p.b for p in parts]), joined("from_a"), joined("from_b"), joined("start"))
 
 
 class Aligner:
@@ -42,7 +54,8 @@ class Aligner:
 
     A plain byte-level file parts texts before merging, and a blank goes with what follows it; where no piece of the model
     has a blank behind another character, its merges don't reach over one either. Then the text between two single blanks
-    is encoded alike wherever it stands, and each such unit is encoded once. Under other files a text is one unit.
+    is encoded alike wherever it stands: each such unit is encoded once a block, many of them in one string. Under other
+    files a text is one unit.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -55,49 +68,60 @@ class Aligner:
         with open(path_a, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         written = {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
-        self.bytes_a = {i: bytes(written[c] for c in w) for w, i in vocab.items() if all(c in written for c in w)}
+        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        for w, i in vocab.items():
+            self.bytes_a[i] = bytes(written[c] for c in w) if all(c in written for c in w) else b""
         self.model = SentencePieceProcessor(model_file=path_b)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.long_a, self.long_b = (np.asarray([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.separable = self.fast is not None and not any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, Unit | None] = {}
 
     def units(self, text: str) -> list[str]:
-        return CUT.split(text) if self.separable else [text]
+        if not self.separable:
+            return [text]
+        return CUT.split(text) if NOT_ALONE.search(text) else text.split(" ")
 
     def encode_a(self, text: str) -> list[int]:
         if self.fast is None or (len(text) > 10_000 and LONG_GAP.search(text)):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast(text)
 
-    def align(self, text: str) -> Unit | None:
-        """The groups of blank + text; None if the tokens' bytes are not those of the text."""
-        if text in self.known:
-            return self.known[text]
-        found = self._align(text)
-        if len(text) <= CACHED_CHARS:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[text] = found
-        return found
-
-    def _align(self, text: str) -> Unit | None:
-        a, b, whole = self.encode_a(" " + text), self.model.encode(text), (" " + text).encode()
-        bytes_a, bytes_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
-            return None
-        groups, i, j, at_a, at_b, from_i, from_j = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if j >= len(b) or (i < len(a) and at_a <= at_b):
-                at_a += len(bytes_a[i])
-                i += 1
+    def align(self, units: list[str]) -> Groups:
+        """The groups of blank + unit for each unit, which must be able to stand one after the other if there are several.
+        A unit whose bytes the tokens don't give back is found by halves."""
+        text = " ".join(units)
+        a, b, whole = self.fast(" " + text) if len(units) > 1 else self.encode_a(" " + text), self.model.encode(text), (" " + text).encode()
+        empty = np.empty(0, np.int64)
+        if b"".join(map(self.bytes_b.__getitem__, b)) != whole or b"".join([self.bytes_a[i] if i < len(self.bytes_a) else b"" for i in a]) != whole:
+            if len(units) == 1:
+                return Groups(empty, empty, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(2, np.int64))
+            half = len(units) // 2
+            return Groups.together([self.align(units[:half]), self.align(units[half:])])
+        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
+        both = np.intersect1d(ends_a, ends_b)
+        after = lambda ends: np.concatenate([[0], np.searchsorted(ends, both, "right")])
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        start = np.searchsorted(both, ends)
+        if start[-1] >= len(both) or (both[start] != ends).any():
+            raise RuntimeError("a token reaches over the blank between two units")
+        return Groups(a, b, after(ends_a), after(ends_b), np.concatenate([[0], start + 1]))
+
+    def align_all(self, units: list[str]) -> Groups:
+        """The groups of all units, in their order."""
+        parts, some, size = [], [], 0
+        for u in units:
+            alone = not self.separable or len(u) > SHORT or u[0].isspace() or u[-1].isspace()
+            if some and (alone or size > JOINED):
+                parts.append(self.align(some))
+                some, size = [], 0
+            if alone:
+                parts.append(self.align([u]))
             else:
-                at_b += len(bytes_b[j])
-                j += 1
-            if at_a == at_b and i > from_i and j > from_j:
-                groups.append((tuple(a[from_i:i]), tuple(b[from_j:j])))
-                from_i, from_j = i, j
-        return Unit(groups)
+                some.append(u)
+                size += len(u) + 1
+        return Groups.together([*parts, self.align(some)] if some else parts)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -132,54 +156,52 @@ class Block:
     """Documents of a task until their texts have some megabytes, with a dictionary of the groups that they hold."""
 
     def __init__(self, number: int):
-        self.number, self.bytes = number, 0
+        self.number, self.chars = number, 0
         self.units: dict[str, int] = {}
-        self.found: list[Unit | None] = []
-        self.docs: list[tuple] = []
+        self.ids: list[int | None] = []
         self.held: list[np.ndarray] = []
 
     def add(self, doc_id: int | None, text: str, align: Aligner) -> None:
-        units, at, found = align.units(text) if text else [], self.units, self.found
-        for u in units:
-            if u not in at:
-                at[u] = len(found)
-                found.append(align.align(u))
-        ids = [at[u] for u in units]
-        mine = [found[i] for i in ids]
-        if not ids or None in mine:
-            self.docs.append((doc_id, 0, 0, 0, 0, ""))
-            self.held.append(np.empty(0, np.int64))
-        else:
-            said = ";".join([u.said for u in mine])
-            self.docs.append((doc_id, sum(u.n_a for u in mine), sum(u.n_b for u in mine), sum(len(u.groups) for u in mine), sum(u.n_links for u in mine), hashlib.sha256(said.encode()).hexdigest()))
-            self.held.append(np.asarray(ids))
-        self.bytes += len(text)
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        local: dict[tuple, int] = {}
-        start, of_unit = [0], []
-        for u in self.found:
-            of_unit += [local.setdefault(g, len(local)) for g in (u.groups if u else ())]
-            start.append(len(of_unit))
-        start, of_unit, n = np.asarray(start), np.asarray(of_unit, np.int64), len(local)
+        at = self.units
+        self.ids.append(doc_id)
+        self.held.append(np.asarray([at.setdefault(u, len(at)) for u in align.units(text)] if text else [], np.int32))
+        self.chars += len(text)
+
+    def rows(self, align: Aligner) -> Iterator[pa.RecordBatch]:
+        g, n_docs, n_units = align.align_all(list(self.units)), len(self.ids), len(self.units)
+        n_a, n_b = np.diff(g.from_a), np.diff(g.from_b)
+        local, of = _interned(g, n_a, n_b)
+        said = [f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in local]
+        # documents with a unit that has no groups have no tokens
+        doc, unit = np.repeat(np.arange(n_docs), [len(h) for h in self.held]), np.concatenate([np.empty(0, np.int32), *self.held])
+        bad = np.bincount(doc, np.diff(g.start)[unit] == 0, n_docs) > 0
+        doc, unit = doc[~bad[doc]], unit[~bad[doc]].astype(np.int64)
+
+        def total(of_group: np.ndarray) -> np.ndarray:
+            upto = np.concatenate([[0], np.cumsum(of_group)])
+            return np.bincount(doc, (upto[g.start[1:]] - upto[g.start[:-1]])[unit], n_docs).astype(np.int64)
+
+        at = of.tolist()
+        of_unit = [";".join([said[k] for k in at[i:j]]) for i, j in zip(g.start.tolist(), g.start[1:].tolist(), strict=False)]
+        sha = ["" if b or not len(h) else hashlib.sha256(";".join([of_unit[u] for u in h.tolist()]).encode()).hexdigest() for h, b in zip(self.held, bad, strict=True)]
+        del of_unit, said, at
         # how often each document holds each group of the block
-        doc = np.repeat(np.arange(len(self.docs)), [len(h) for h in self.held])
-        some, times = np.unique(doc * len(self.found) + np.concatenate(self.held), return_counts=True)
-        doc, unit = np.divmod(some, max(1, len(self.found)))
-        group, which = _spread(unit, start, of_unit)
-        key, inverse = np.unique(doc[which] * max(1, n) + group, return_inverse=True)
+        some, times = np.unique(doc * max(1, n_units) + unit, return_counts=True)
+        doc_, unit_ = np.divmod(some, max(1, n_units))
+        group, which = _spread(unit_, g.start, of)
+        key, inverse = np.unique(doc_[which] * max(1, len(local)) + group, return_inverse=True)
         times = np.bincount(inverse, times[which]).astype(np.int64)
-        doc, group = np.divmod(key, max(1, n))
-        first = np.searchsorted(doc, np.arange(len(self.docs) + 1))
+        holder, group = np.divmod(key, max(1, len(local)))
+        first = np.searchsorted(holder, np.arange(n_docs + 1))
         held, often = group.astype("<u4"), times.astype("<u4")
         yield _rows(
-            len(self.docs), block=np.full(len(self.docs), self.number), **dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"), zip(*self.docs, strict=True), strict=True)),
+            n_docs, block=np.full(n_docs, self.number), doc_id=self.ids, n_a=total(n_a), n_b=total(n_b), n_groups=total(np.ones(len(n_a), np.int64)), n_links=total(n_a * n_b), groups_sha256=sha,
             held=[_planes(held[i:j]) for i, j in zip(first, first[1:], strict=False)], times=[_planes(often[i:j]) for i, j in zip(first, first[1:], strict=False)],
         )
-        if n:
-            docs = np.bincount(group, minlength=n)
-            yield _rows(n, block=np.full(n, self.number), local=np.arange(n, dtype=np.int32), a=[a for a, _ in local], b=[b for _, b in local], docs=docs)
-            yield from self._excess(list(local), doc, group)
+        if local:
+            n = len(local)
+            yield _rows(n, block=np.full(n, self.number), local=np.arange(n, dtype=np.int32), a=[a for a, _ in local], b=[b for _, b in local], docs=np.bincount(group, minlength=n))
+            yield from self._excess(local, holder, group)
 
     def _excess(self, local: list[tuple], doc: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         pairs, start = [], [0]
@@ -198,6 +220,21 @@ class Block:
             yield _rows(len(some), block=np.full(len(some), self.number), x=(pair[some] >> 32).astype(np.int32), y=(pair[some] & 0xFFFFFFFF).astype(np.int32), excess=excess[some])
 
 
+def _interned(g: Groups, n_a: np.ndarray, n_b: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """The distinct groups, each ((a ids), (b ids)), and the number among them of every group."""
+    one = (n_a == 1) & (n_b == 1)
+    pair, inverse = np.unique(g.a[g.from_a[:-1][one]] << 32 | g.b[g.from_b[:-1][one]], return_inverse=True)
+    local = [((x >> 32,), (x & 0xFFFFFFFF,)) for x in pair.tolist()]
+    of = np.empty(len(n_a), np.int64)
+    of[one] = inverse
+    a, b = g.a.astype("<u4").tobytes(), g.b.astype("<u4").tobytes()
+    many = np.flatnonzero(~one)
+    known: dict[tuple[bytes, bytes], int] = {}
+    bounds = [(4 * x).tolist() for x in (g.from_a[many], g.from_a[many + 1], g.from_b[many], g.from_b[many + 1])]
+    of[many] = [known.setdefault((a[i:j], b[k:m]), len(local) + len(known)) for i, j, k, m in zip(*bounds, strict=True)]
+    return local + [(tuple(np.frombuffer(x, "<u4").tolist()), tuple(np.frombuffer(y, "<u4").tolist())) for x, y in known], of
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Four-byte numbers, all first bytes before all second ones and so on, which packs well."""
     return x.view("u1").reshape(-1, 4).T.tobytes()
@@ -207,8 +244,8 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def encoded(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 16_000_000) -> DataFrame:
-    """The rows ENCODED of docs (doc_id, text), in blocks of about block_bytes characters of text."""
+def encoded(docs: DataFrame, path_a: str, path_b: str, block_chars: int = 8_000_000) -> DataFrame:
+    """The rows ENCODED of docs (doc_id, text), in blocks of about block_chars characters of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align, number = aligner(path_a, path_b), TaskContext.get().partitionId() << 32
@@ -216,11 +253,11 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 16_000
         for part in slices(batches):
             for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 block.add(d, text, align)
-                if block.bytes >= block_bytes:
-                    yield from block.rows()
+                if block.chars >= block_chars:
+                    yield from block.rows(align)
                     block = Block(block.number + 1)
-        if block.docs:
-            yield from block.rows()
+        if block.ids:
+            yield from block.rows(align)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ENCODED)
 
@@ -260,7 +297,7 @@ def pair_counts(links: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(top), "x").select("x", "y", "count", (F.col("count") == F.col("top")).alias("best"))
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 16_000_000) -> DataFrame:
+def align_documents(docs: DataFrame, path_a: str, path_b: str, block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of docs (doc_id, text).
 
     Tasks encode texts in blocks and intern the groups of a block, so a document becomes numbers of groups and how often it
@@ -273,7 +310,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, block_bytes: int
     """
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
-    encoded(docs, path_a, path_b, block_bytes).write.parquet(path)
+    encoded(docs, path_a, path_b, block_chars).write.parquet(path)
     rows = spark.read.schema(ENCODED).parquet(path)
     groups = dictionary(rows)
     links = groups.mapInArrow(_links, "group_id long, x int, y int, times long, docs long")

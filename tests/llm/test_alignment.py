@@ -74,17 +74,19 @@ def test_aligned_as_plain(spark, sf):
     want = plain(rows)
     df = spark.createDataFrame([(*r, 1, [2], 3, "x") for r in rows], "doc_id long, text string, block int, a array<int>, n_best int, held string").repartition(3)
     assert got(alignment.align_documents(df, A, B)) == want
-    assert got(alignment.align_documents(df, A, B, block_bytes=3000)) == want
+    assert got(alignment.align_documents(df, A, B, block_chars=3000)) == want
     assert got(alignment.align_documents(df.limit(0), A, B)) == []
 
 
-def test_whole_texts_where_units_are_not_safe(monkeypatch):
+def test_whole_texts_where_units_are_not_safe():
     one = alignment.Aligner(A, B)
     assert one.separable
     text = "these words and  those"
-    cut = [one.align(u) for u in one.units(text)]
-    one.separable, one.known = False, {}
-    assert one.units(text) == [text] and one.align(text).groups == [g for u in cut for g in u.groups]
+    cut, parts = one.align_all(one.units(text)), one.units(text)
+    one.separable = False
+    whole = one.align_all(one.units(text))
+    assert one.units(text) == [text] and len(parts) == 3
+    assert all((getattr(cut, n) == getattr(whole, n)).all() for n in ("a", "b", "from_a", "from_b")) and cut.start[-1] == whole.start[-1]
 
 
 @pytest.mark.parametrize("n", [None, 0])
