@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import alignment, filter_audit, fingerprints, line_dedup, lm, mixing, packing, quality, sharding, simhash_dedup, substring_dedup, vector_dedup
+from driftline.llm import alignment, filter_audit, fingerprints, line_dedup, lm, mixing, packing, pii, quality, sharding, simhash_dedup, substring_dedup, vector_dedup
 
 _QUERIES = (
     line_dedup.op1_line_dedup,
@@ -19,6 +19,7 @@ _QUERIES = (
     substring_dedup.op8_substring_dedup,
     mixing.op9_mixing,
     packing.op10_packing,
+    pii.op11_personal_data,
     alignment.op12_token_alignment,
     filter_audit.op13_filter_audit,
 )
