@@ -16,7 +16,7 @@ from driftline.operators import evaluate as ev
 from driftline.operators import frames, models, online, registry, scores, training
 from driftline.sources import series as src
 from driftline.sources import store
-from driftline.streaming import jobs
+from driftline.streaming import jobs, loop
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -682,3 +682,43 @@ def stream_tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{NC}, s AS (SELECT series_id, t, avg(nc) OVER (PARTITION BY series_id ORDER BY t ROWS 49 PRECEDING) AS score FROM n) SELECT series_id, t, round(score, 6) AS score FROM s WHERE t >= 49")
 def stream_stateful_score(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.rolling_scores(jobs.event_stream(spark, sf), store.shared_folder(spark)).select("series_id", "t", r6("score"))
+
+
+#: Triggers of the replayed streams: days of events each, and how much later than its own a row may come.
+REPLAY_DAYS, REPLAY_LATE = 5, 20
+LOOP = loop.Settings(training=100, shift=0.1, pull=1 / 3)
+
+
+def _of_days(days: int) -> F.Column:
+    return F.floor(F.unix_date(F.to_date("ts")) / days)
+
+
+@query(f"""WITH RECURSIVE {src.EVENTS_SQL.replace("FROM events", ", ts FROM events")}, {loop.version_tree_sql(f"floor(date_diff('day', DATE '1970-01-01', ts::DATE) / {REPLAY_DAYS}.0)", LOOP)}""")
+def version_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Events replayed in triggers of five days: every model version that drift has made, what it descends from, and what
+    it has scored."""
+    run = loop.VersionLoop(spark, store.shared_folder(spark), LOOP)
+    loop.replay(src.table(spark, sf, "events"), _of_days(REPLAY_DAYS), f"{run.at}/in", run.run)
+    out = loop.tree_report(run)
+    return out.select("series_id", "strategy", "version", F.coalesce("parent", F.lit(-1)).alias("parent"), "from_t", "depth", "lineage", r6("mu"), "n", F.round("total_nc", 4).alias("total_nc"))
+
+
+@query(f"{NC}, s AS (SELECT series_id, t, avg(nc) OVER (PARTITION BY series_id ORDER BY t ROWS 49 PRECEDING) AS score FROM n) SELECT series_id, t, round(score, 6) AS score FROM s WHERE t >= 49")
+def stream_late_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of which a third come a trigger late, put in order by state and timers, then scored as they leave it."""
+    folder = f"{store.shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    e = src.table(spark, sf, "events")
+    last = loop.end_of_stream(e, REPLAY_LATE)
+    spark.createDataFrame([], jobs.SCHEMA).write.parquet(folder)
+    stream = spark.readStream.schema(jobs.SCHEMA).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def run(start: Callable[[], None]) -> None:
+        def each(_: str, done: bool) -> None:
+            if done:
+                last.write.mode("append").parquet(folder)
+            start()
+
+        loop.replay(e, _of_days(REPLAY_LATE // 2) + F.when(F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0, 1).otherwise(0), folder, each)
+
+    with loop.rocks(spark):
+        return jobs.rolling_scores(loop.in_order(stream, f"{REPLAY_LATE} days"), store.shared_folder(spark), run=run).select("series_id", "t", r6("score"))
