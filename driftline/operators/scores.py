@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.math import clip, normal_cdf, normal_cdf_sql
-from driftline.operators.frames import NC_SQL, rolling
+from driftline.functions.math import clip, normal_cdf, normal_cdf_sql, uniform_p_value
+from driftline.operators.frames import CHUNK, NC_SQL, rolling
+from driftline.sources.series import numbered
 
 SHORT, LONG, FLOOR = 10, 50, 0.5
 
@@ -95,3 +98,79 @@ def uniform_statistic(conf: DataFrame, window: int = 100, every: int = 50, first
     n = F.size("c")
     far = F.transform("c", lambda x, i: F.greatest((i + 1) / n - x, x - i / n))
     return out.select("series_id", "t", n.cast("long").alias("n"), F.array_max(far).alias("d"))
+
+
+def p_values(statistics: DataFrame, least: int = 31) -> DataFrame:
+    """statistics (n, d and more) with p_value, null under `least` distinct values. The distribution is worked out once for
+    each n and d that occur, however many rows share them."""
+    pairs = statistics.where(F.col("n") >= least).select("n", "d").distinct()
+    return statistics.join(pairs.withColumn("p_value", uniform_p_value(F.col("n"), F.col("d"))), ["n", "d"], "left")
+
+
+#: What p-values are cut to before their logarithm, the first scale of scores, and how it is moved.
+LEAST_P, FIRST_SCALE, NEAR, BEYOND = 1e-40, 1.0, 0.9, 5.0
+
+
+def scale_steps(x: np.ndarray, scale: float) -> np.ndarray:
+    """The scale in force at each value, and last the one behind them: a value over 0.9 times the scale moves it to 5 above
+    that value, from the next one on."""
+    out = np.empty(len(x) + 1)
+    for i, v in enumerate(x.tolist()):
+        out[i] = scale
+        if v > NEAR * scale:
+            scale = v + BEYOND
+    out[-1] = scale
+    return out
+
+
+def scale_function(x: np.ndarray) -> tuple[list[float], list[float]]:
+    """What a run of values makes of any scale: the scale behind it is ends[i] for the first i with tops[i] > 0.9 times the
+    scale before, and that scale itself if there is none. Only a value above all before it can be the first to move a
+    scale, so tops are those, a few of many; from there on all is fixed. Such functions follow one another."""
+    tops = np.flatnonzero(x > np.concatenate([[-np.inf], np.maximum.accumulate(x)[:-1]])) if len(x) else np.empty(0, int)
+    return x[tops].tolist(), [float(scale_steps(x[i + 1 :], float(x[i]) + BEYOND)[-1]) for i in tops]
+
+
+def unified(pvalues: DataFrame, window: int = 25, chunk: int = CHUNK) -> DataFrame:
+    """pvalues (series_id, t, p_value) with score: the negative logarithm of the p-value between the least and the largest
+    of the last `window` ones, or the scale so far if that is larger. Rows without a p-value have no score and don't count.
+
+    The scale is a state that each row may move, and depends on all rows before. Chunks of a series are made functions of
+    the scale that they start with, side by side; a fold over those, a row a chunk, gives each chunk its start; then
+    chunks are scored side by side. No task holds a series.
+    """
+    rows = numbered(pvalues.where("p_value is not null"), "series_id", ["t"], F.floor(F.col("t") / chunk), "i")
+    rows = rows.select("series_id", F.col("i").alias("t"), F.col("t").alias("_t"), "p_value", (-F.log(clip(F.col("p_value"), LEAST_P, 1.0))).alias("nl"))
+    over = lambda f: lambda w: f("nl").over(w.rowsBetween(-(window - 1), 0))
+    rows = rolling(rows, window - 1, {"least": over(F.min), "most": over(F.max)}).withColumn("chunk", F.floor(F.col("t") / chunk))
+
+    def summary(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tops, ends = scale_function(pdf.sort_values("t")["most"].to_numpy())
+        return pd.DataFrame({"series_id": [key[0]], "chunk": [key[1]], "tops": [tops], "ends": [ends]})
+
+    def starts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        scale, out = FIRST_SCALE, []
+        for chunk_, tops, ends in pdf.sort_values("chunk")[["chunk", "tops", "ends"]].itertuples(index=False):
+            out.append((key[0], chunk_, scale))
+            scale = next((e for t, e in zip(tops, ends, strict=True) if t > NEAR * scale), scale)
+        return pd.DataFrame(out, columns=["series_id", "chunk", "start"])
+
+    def scored(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        scale = scale_steps(pdf["most"].to_numpy(), float(pdf["start"].iloc[0]))[:-1]
+        low = pdf["least"].to_numpy()
+        score = (pdf["nl"].to_numpy() - low) / np.clip(np.maximum(scale, pdf["most"].to_numpy()) - low, 1e-6, 1e6)
+        return pd.DataFrame({"series_id": key[0], "t": pdf["_t"], "p_value": pdf["p_value"], "scale": scale, "score": score})
+
+    each = rows.groupBy("series_id", "chunk").applyInPandas(summary, "series_id string, chunk long, tops array<double>, ends array<double>")
+    first = each.groupBy("series_id").applyInPandas(starts, "series_id string, chunk long, start double")
+    return rows.join(first, ["series_id", "chunk"]).groupBy("series_id", "chunk").applyInPandas(scored, "series_id string, t long, p_value double, scale double, score double")
+
+
+def unified_sql(window: int = 25) -> str:
+    """From pt (series_id, t, p): the same by a recursive query, a row of each series a step."""
+    return f"""un AS (SELECT series_id, t, p, row_number() OVER o AS i, -ln(greatest(least(p, 1.0), {LEAST_P}::DOUBLE)) AS nl FROM pt WINDOW o AS (PARTITION BY series_id ORDER BY t)),
+ux AS (SELECT *, min(nl) OVER w AS low, max(nl) OVER w AS top FROM un WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS {window - 1} PRECEDING)),
+us AS (SELECT series_id, t, p, i, nl, low, top, {FIRST_SCALE}::DOUBLE AS scale FROM ux WHERE i = 1
+  UNION ALL SELECT x.series_id, x.t, x.p, x.i, x.nl, x.low, x.top, CASE WHEN us.top > {NEAR}::DOUBLE * us.scale THEN us.top + {BEYOND} ELSE us.scale END FROM us JOIN ux x ON x.series_id = us.series_id AND x.i = us.i + 1)
+SELECT series_id, t, round(p, 9) AS p_value, round(scale, 6) AS scale, round((nl - low) / greatest(least(greatest(scale, top) - low, 1e6), 1e-6), 6) AS score FROM us"""

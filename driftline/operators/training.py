@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.math import clip, hash_uniform
+from driftline.functions.math import clip, hash_uniform, hash_uniform_sql
 from driftline.operators.frames import CHUNK, rolling
 from driftline.sources.series import numbered
 
@@ -24,6 +24,50 @@ def uniform_reservoir(series: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return rows.withColumn("slot", rank).where(F.col("slot") <= n)
 
 
+def reservoir_writes(series: DataFrame, n: int, step: int, seed: int = 42) -> DataFrame:
+    """(series_id, slot, t, from_t, until_t): the rows that a uniform reservoir of n slots holds, and from which row of the
+    series to before which other one it holds them (until_t is null for what stays). t must have no gaps; extra columns go.
+
+    The first n rows fill the slots, and hold from row n - 1 on. Each later batch of `step` rows, once it is whole, is let
+    in with the chance n / (its last row); its rows then take that many different slots, a random one first and then
+    others at a random stride that shares no factor with n. Whether a batch comes in and where its rows go are hashes of
+    seed, series and batch, so nothing depends on what came before: a slot's content is its last writer, and a row leaves
+    when the next one takes its slot. A slot is written about log(rows / n) times, so no window is long.
+    """
+    if step > n:
+        raise ValueError("a batch must fit into the reservoir")
+    strides = F.array(*[F.lit(x) for x in coprimes(n)])
+    key, k = F.col("series_id"), F.col("_k")
+    ends = series.groupBy("series_id").agg((F.max("t") + 1).alias("_n"))
+    batch = series.select("series_id", "t", F.when(F.col("t") >= n, F.floor((F.col("t") - n) / step)).alias("_k"))
+    batch = batch.withColumn("from_t", F.when(k.isNull(), n - 1).otherwise(n + (k + 1) * step - 1).cast("long"))
+    admitted = k.isNull() | (hash_uniform(seed, key, k) < F.lit(float(n)) / F.col("from_t"))
+    at = F.floor(hash_uniform(seed + 1, key, k) * n) + (F.col("t") - n - k * step) * F.get(strides, F.floor(hash_uniform(seed + 2, key, k) * len(coprimes(n))).cast("int"))
+    writes = batch.where(admitted).join(ends, "series_id").where(F.col("from_t") < F.col("_n"))
+    writes = writes.select("series_id", F.when(k.isNull(), F.col("t")).otherwise(F.pmod(at, F.lit(n))).cast("int").alias("slot"), "t", "from_t")
+    return writes.withColumn("until_t", F.lead("from_t").over(Window.partitionBy("series_id", "slot").orderBy("from_t")))
+
+
+def coprimes(n: int) -> list[int]:
+    return [x for x in range(1, max(n, 2)) if math.gcd(x, n) == 1]
+
+
+def reservoir_at(writes: DataFrame, every: int, last: DataFrame) -> DataFrame:
+    """(series_id, at, slot, t): the reservoir's contents at every `every`-th row, all rows side by side: each write is
+    spread over the rows at which it is in force. last: (series_id, n) with the length of each series."""
+    until = F.least(F.coalesce("until_t", "n"), F.col("n")) - 1
+    span = writes.join(last, "series_id").withColumns({"_lo": F.ceil(F.col("from_t") / every), "_hi": F.floor(until / every)}).where("_lo <= _hi")
+    return span.select("series_id", F.explode(F.transform(F.sequence("_lo", "_hi"), lambda k: k * every)).alias("at"), "slot", "t")
+
+
+def reservoir_writes_sql(n: int, step: int, seed: int = 42) -> str:
+    u = lambda i: hash_uniform_sql(seed + i, "series_id", "k")
+    return f"""b AS (SELECT series_id, t, value, CASE WHEN t >= {n} THEN (t - {n}) // {step} END AS k, max(t) OVER (PARTITION BY series_id) + 1 AS n FROM e),
+f AS (SELECT *, CASE WHEN k IS NULL THEN {n - 1} ELSE {n} + (k + 1) * {step} - 1 END AS from_t FROM b),
+wr AS (SELECT series_id, t, value, n, from_t, CASE WHEN k IS NULL THEN t ELSE (floor({u(1)} * {n})::BIGINT + (t - {n} - k * {step}) * {coprimes(n)}[floor({u(2)} * {len(coprimes(n))})::BIGINT + 1]) % {n} END AS slot
+  FROM f WHERE from_t < n AND (k IS NULL OR {u(0)} < {float(n)}::DOUBLE / from_t))"""
+
+
 def priority_reservoir(scored: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """The n rows of each series with the highest priorities; rows without a score (null or NaN) are never taken."""
     scored = scored.where(F.col("score").isNotNull() & ~F.isnan("score"))

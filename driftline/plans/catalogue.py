@@ -211,6 +211,35 @@ def ks_uniform_statistic(spark: SparkSession, sf: str) -> DataFrame:
     return scores.uniform_statistic(scores.confidence(_nc(spark, sf))).select("series_id", "t", "n", r6("d"))
 
 
+P_SQL = f"""{CONFIDENCE_SQL.replace("WITH", "WITH RECURSIVE", 1)}, w AS (SELECT series_id, t, list(confidence) OVER (PARTITION BY series_id ORDER BY t ROWS 99 PRECEDING) AS c FROM f),
+u AS (SELECT series_id, t, list_sort(list_distinct(c)) AS c FROM w WHERE len(c) = 100), x AS (SELECT series_id, t, len(c) AS n, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM u),
+ks AS (SELECT series_id, t, n, max(greatest(i / n::DOUBLE - x, x - (i - 1) / n::DOUBLE)) AS d FROM x GROUP BY ALL), pp AS (SELECT DISTINCT n, d FROM ks WHERE n > 30), {fm.uniform_p_value_sql("pp")}"""
+
+
+def _p_values(spark: SparkSession, sf: str) -> DataFrame:
+    return scores.p_values(store.written(scores.uniform_statistic(scores.confidence(_nc(spark, sf)), every=1)))
+
+
+@query(f"""{P_SQL} SELECT 'diff' AS model, 'sw_ks' AS strategy, 'cl' AS score_kind, 'run1' AS run, f.series_id, f.t, round(confidence, 6) AS confidence, round(p, 9) AS p_value
+FROM f LEFT JOIN ks ON ks.series_id = f.series_id AND ks.t = f.t LEFT JOIN pv ON pv.n = ks.n AND pv.d = ks.d""")
+def p_value_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Confidence levels and p-values, each written as files of their approach and read again; rows whose window has too
+    few distinct levels have no p-value."""
+    path = f"{store.shared_folder(spark)}/levels-{uuid.uuid4().hex}"
+    store.write_scores(scores.confidence(_nc(spark, sf)).select("series_id", "t", "confidence"), f"{path}/{store.LEVELS}", "diff", "sw_ks", "cl", "run1")
+    store.write_scores(_p_values(spark, sf).where("p_value is not null").select("series_id", "t", "p_value"), f"{path}/{store.P_VALUES}", "diff", "sw_ks", "cl", "run1")
+    keys = ["series_id", "model", "strategy", "score_kind", "run"]
+    read = lambda name, column: store.read_scores(spark, f"{path}/{name}", schema=f"t long, {column} double")
+    both = read(store.LEVELS, "confidence").join(read(store.P_VALUES, "p_value"), [*keys, "t"], "left")
+    return both.select(*keys, "t", r6("confidence"), F.round("p_value", 9).alias("p_value"))
+
+
+@query(f"""{P_SQL}, pt AS (SELECT series_id, t, p FROM ks JOIN pv ON pv.n = ks.n AND pv.d = ks.d), {scores.unified_sql()}""")
+def unified_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """p-values of whole series on a common scale, which large ones stretch for all that follow."""
+    return scores.unified(_p_values(spark, sf)).select("series_id", "t", F.round("p_value", 9).alias("p_value"), r6("scale"), r6("score"))
+
+
 # training sets
 
 SCORED = f"{E}, {scores.likelihood_sql()}".replace("AS score FROM z", "AS raw FROM z").replace("a AS (SELECT series_id", "a0 AS (SELECT series_id") + ", a AS (SELECT series_id, t, value, is_anomaly, nc, round(raw, 6) AS score FROM a0)"
@@ -228,6 +257,17 @@ def reservoir_uniform_topn(spark: SparkSession, sf: str) -> DataFrame:
     return training.uniform_reservoir(src.events(spark, sf), 100).select("series_id", "t", F.round("u", 9).alias("u"), "slot")
 
 
+@query(f"""{E}, {training.reservoir_writes_sql(100, 20)}, u AS (SELECT *, lead(from_t) OVER (PARTITION BY series_id, slot ORDER BY from_t) AS until_t FROM wr),
+c AS (SELECT series_id, t, value, unnest(range(0, n, 50)) AS upto, from_t, least(coalesce(until_t, n), n) AS until_t FROM u)
+SELECT series_id, upto, count(*) AS n, min(t) AS first, max(t) AS last, sum(t)::BIGINT AS places, round(sum(value), 4) AS total FROM c WHERE upto >= from_t AND upto < until_t GROUP BY ALL""")
+def reservoir_over_time(spark: SparkSession, sf: str) -> DataFrame:
+    """What a uniform reservoir of 100 rows, fed by batches of 20, holds at every fiftieth row."""
+    e = src.events(spark, sf)
+    held = training.reservoir_at(training.reservoir_writes(e, 100, 20), 50, e.groupBy("series_id").agg((F.max("t") + 1).alias("n")))
+    held = held.join(e.select("series_id", "t", "value"), ["series_id", "t"])
+    return held.groupBy("series_id", F.col("at").alias("upto")).agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), F.sum("t").alias("places"), F.round(F.sum("value"), 4).alias("total"))
+
+
 PRIORITY_SQL = f"{SCORED}, p AS (SELECT series_id, t, score, round(pow(0.7::DOUBLE + 0.2::DOUBLE * {U_SQL}, 3.0::DOUBLE / exp(-3.0::DOUBLE * score)), 9) AS priority FROM a)"
 
 

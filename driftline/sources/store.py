@@ -24,9 +24,15 @@ def write_scores(scores: DataFrame, path: str, model: str, strategy: str, score:
     (writer.option("header", "true").csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
-def read_scores(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """All runs; partitions are columns. Of several runs of an approach the first counts."""
-    df = spark.read.format(fmt).options(**({"header": "true", "inferSchema": "true"} if fmt == "csv" else {})).load(path)
+#: Folders of confidence levels and of p-values, beside those of scores.
+LEVELS, P_VALUES = "confidence_levels", "pvalues"
+
+
+def read_scores(spark: SparkSession, path: str, fmt: str = "csv", schema: str | None = None) -> DataFrame:
+    """All runs; partitions are columns. Of several runs of an approach the first counts. A schema spares the reading that
+    finds the types of a CSV file."""
+    reader = spark.read.format(fmt).options(**({"header": "true", "inferSchema": str(schema is None)} if fmt == "csv" else {}))
+    df = (reader.schema(f"{schema}, series_id string, model string, strategy string, score_kind string, run string") if schema else reader).load(path)
     keys = ["series_id", "model", "strategy", "score_kind"]
     first = df.groupBy(*keys).agg(F.min(F.col("run").cast("string")).alias("_run"))
     return df.join(first, keys).where(F.col("run").cast("string") == F.col("_run")).drop("_run")
