@@ -21,31 +21,36 @@ def sequences(series: DataFrame, label: str = "is_anomaly", chunk: int = CHUNK)
     """(series_id, k, s, e): the maximal runs of label 1, numbered from 0. Only the ends of runs are put in order, in
     chunks of a series; what a chunk needs of the others is one row a chunk."""
     ends = rolling(series.select("series_id", "t", label), 1, {"before": lambda w: F.lag(label, 1, 0).over(w), "behind": lambda w: F.lead(label, 1, 0).over(w)}, after=1)
-    # of the rows where a run starts or ends, each start is followed by its end
     first, last = F.col("before") != 1, F.col("behind") != 1
-    each = ends.where((F.col(label) == 1) & (first | last)).select("series_id", "t", first.alias("first"), last.alias("last"), F.floor(F.col("t") / chunk).alias("_chunk"))
-    upto = Window.partitionBy("series_id").orderBy("_chunk")
-    chunks = each.groupBy("series_id", "_chunk").agg(F.count_if("first").alias("_n"), F.min("t").alias("_t"))
-    chunks = chunks.select("series_id", "_chunk", (F.sum("_n").over(upto) - F.col("_n")).alias("_ahead"), F.lead("_t").over(upto).alias("_next"))
-    by = Window.partitionBy("series_id", "_chunk").orderBy("t")
+    each = ends.where((F.col(label) == 1) & (first | last)).select("series_id", "t", first.alias("first"), last.alias("last"))
+    return runs(each, ["series_id"], chunk).select("series_id", "k", "s", "e")
+
+
+def runs(each: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+    """(keys, k, s, e): runs from the rows (keys, t, first, last) where one starts or ends, numbered from 0 by their start.
+    Each start is followed by its end; rows are put in order in chunks of t, and of the other chunks each needs how many
+    runs start before it and the first row behind it."""
+    each = each.withColumn("_chunk", F.floor(F.col("t") / chunk))
+    upto = Window.partitionBy(*keys).orderBy("_chunk")
+    chunks = each.groupBy(*keys, "_chunk").agg(F.count_if("first").alias("_n"), F.min("t").alias("_t"))
+    chunks = chunks.select(*keys, "_chunk", (F.sum("_n").over(upto) - F.col("_n")).alias("_ahead"), F.lead("_t").over(upto).alias("_next"))
+    by = Window.partitionBy(*keys, "_chunk").orderBy("t")
     each = each.withColumns({"e": F.when(F.col("last"), F.col("t")).otherwise(F.lead("t").over(by)), "k": F.count_if("first").over(by) - 1}).where("first")
-    return each.join(chunks, ["series_id", "_chunk"]).select("series_id", (F.col("_ahead") + F.col("k")).alias("k"), F.col("t").alias("s"), F.coalesce("e", "_next").alias("e"))
+    return each.join(chunks, [*keys, "_chunk"]).select(*keys, (F.col("_ahead") + F.col("k")).alias("k"), F.col("t").alias("s"), F.coalesce("e", "_next").alias("e"))
 
 
 SEQUENCES_SQL = """k AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY min(t)) - 1 AS k, min(t) AS s, max(t) AS e FROM
   (SELECT series_id, t, t - row_number() OVER (PARTITION BY series_id ORDER BY t) AS g FROM a WHERE is_anomaly = 1) GROUP BY series_id, g)"""
 
 
-def detections(scored: DataFrame, levels: list[int] | None = None) -> DataFrame:
+def detections(scored: DataFrame, levels: list[int] | None = None, chunk: int = CHUNK) -> DataFrame:
     """(series_id, lv, s, e): the maximal runs of score > lv * 0.01, for each level. A row is spread over the levels at
-    which a run starts or ends there only."""
+    which a run starts or ends there only, and those are put in order in chunks of a series."""
     ends = rolling(scored.select("series_id", "t", "score"), 1, {"before": lambda w: F.lag("score", 1).over(w), "behind": lambda w: F.lead("score", 1).over(w)}, after=1)
     some = F.array(*[F.lit(k) for k in (range(LEVELS) if levels is None else levels)])
     each = ends.select("series_id", "t", "before", "behind", F.explode(F.filter(some, lambda k: (F.col("score") > level(k)) & (F.coalesce(F.col("before") <= level(k), F.lit(True)) | F.coalesce(F.col("behind") <= level(k), F.lit(True))))).alias("lv"))
     first, last = (F.coalesce(F.col(c) <= level(F.col("lv")), F.lit(True)) for c in ("before", "behind"))
-    by = Window.partitionBy("series_id", "lv").orderBy("t")
-    each = each.select("series_id", "lv", F.col("t").alias("s"), F.when(last, F.col("t")).otherwise(F.lead("t").over(by)).alias("e"), first.alias("first"))
-    return each.where("first").drop("first")
+    return runs(each.select("series_id", "lv", "t", first.alias("first"), last.alias("last")), ["series_id", "lv"], chunk).drop("k")
 
 
 DETECTIONS_SQL = """lv AS (SELECT unnest(range(100))::INTEGER AS lv),

@@ -40,7 +40,7 @@ def uniform_p_value(c: np.ndarray) -> tuple[float, float]:
     for i in range(m):
         for j in range(m):
             if i - j + 1 > 0:
-                a[i, j] /= math.gamma(i - j + 2)
+                a[i, j] *= math.exp(-math.lgamma(i - j + 2))
     q = np.linalg.matrix_power(a, n)[k - 1, k - 1]
     return d, float(min(1.0, max(0.0, 1 - q * math.exp(math.lgamma(n + 1) - n * math.log(n)))))
 

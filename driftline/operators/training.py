@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline.functions.math import clip, hash_uniform, hash_uniform_sql
 from driftline.operators.frames import CHUNK, rolling
 from driftline.sources.series import numbered
+from driftline.sources.store import written
 
 
 def priority(score: Column, u: Column, lam: float = 3.0, num: float = 3.0) -> Column:
@@ -116,13 +117,23 @@ s AS (SELECT series_id, t, sqrt(sum((mu - mu0) * (mu - mu0))) AS mu_shift, sqrt(
 
 def ks_two_sample(samples: DataFrame, keys: list[str], side: str = "side", value: str = "x", weight: Column | None = None) -> DataFrame:
     """keys, n1, n2, d: the two-sample Kolmogorov-Smirnov statistic of the values with side 0 and 1. Rows weigh 1 or
-    `weight`. Equal values are summed first, so ties cost one row."""
+    `weight`. Rows without a value play no part.
+
+    Equal values are summed first, so ties cost one row. The sums are dealt by ranges of keys and value and written, so
+    that ranges stay; sums of ranges, a row a key and range, give each range what lies below it, and only a range is put
+    in order. A key with a third of all values is a third of the ranges.
+    """
     w = F.lit(1) if weight is None else weight
-    by = samples.groupBy(*keys, value).agg(F.sum(F.when(F.col(side) == 0, w).otherwise(0)).alias("a"), F.sum(F.when(F.col(side) == 1, w).otherwise(0)).alias("b"))
-    all_ = Window.partitionBy(*keys)
-    upto = all_.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    far = by.withColumns({"n1": F.sum("a").over(all_), "n2": F.sum("b").over(all_), "fa": F.sum("a").over(upto), "fb": F.sum("b").over(upto)})
-    return far.groupBy(*keys).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(F.abs(F.col("fa") / F.col("n1") - F.col("fb") / F.col("n2"))).alias("d"))
+    by = samples.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.when(F.col(side) == 0, w).otherwise(0)).alias("a"), F.sum(F.when(F.col(side) == 1, w).otherwise(0)).alias("b"))
+    dealt = written(by.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
+    of_key = Window.partitionBy(*keys)
+    below = of_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
+    sums = sums.select(*keys, "_range", *[F.sum(f"_{c}").over(of_key).alias(n) for c, n in (("a", "n1"), ("b", "n2"))], *[F.coalesce(F.sum(f"_{c}").over(below), F.lit(0)).alias(f"_below_{c}") for c in "ab"])
+    upto = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    share = lambda c, n: (F.col(f"_below_{c}") + F.sum(c).over(upto)) / F.col(n)
+    far = dealt.join(sums, [*keys, "_range"]).withColumn("_far", F.abs(share("a", "n1") - share("b", "n2")))
+    return far.groupBy(*keys).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max("_far").alias("d"))
 
 
 def ks_bound(r: Column, alpha: float = 0.05) -> Column:

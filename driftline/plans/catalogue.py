@@ -333,10 +333,10 @@ def drift_every_k(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{E}, {training.mu_sigma_sql(20, 5, 10)}, v AS (SELECT series_id, t AS from_t, row_number() OVER (PARTITION BY series_id ORDER BY t) AS version FROM s WHERE mu_shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2)
 SELECT series_id, t, coalesce((SELECT max(version) FROM v WHERE v.series_id = e.series_id AND v.from_t <= e.t), 0)::INTEGER AS version FROM e""")
 def model_version_asof(spark: SparkSession, sf: str) -> DataFrame:
-    e = src.events(spark, sf)
-    drift = training.mu_sigma_drift(training.mu_sigma(e, 20, 5, 10)).where("drift")
-    version = F.row_number().over(Window.partitionBy("series_id").orderBy("t"))
-    out = training.versions_asof(e, drift.select("series_id", F.col("t").alias("from_t"), version.alias("version")))
+    e = store.written(src.events(spark, sf))
+    drift = store.written(training.mu_sigma_drift(training.mu_sigma(e, 20, 5, 10)).where("drift").select("series_id", "t"))
+    versions = src.numbered(drift, "series_id", ["t"], F.floor(F.col("t") / frames.CHUNK), "version")
+    out = training.versions_asof(e, versions.select("series_id", F.col("t").alias("from_t"), (F.col("version") + 1).cast("int").alias("version")))
     return out.select("series_id", "t", F.coalesce("version", F.lit(0)).alias("version"))
 
 
