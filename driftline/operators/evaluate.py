@@ -204,7 +204,8 @@ def nab_scores(rewards: DataFrame, true: DataFrame) -> DataFrame:
     return grid.join(sums, ["series_id", "lv"], "left").select("series_id", "lv", F.round(F.coalesce("r", F.lit(0.0)) / F.col("n"), 6).alias("nab"))
 
 
-KEYS = ("dataset", "model", "strategy", "score_kind")
+#: An approach's keys, and which of its results is evaluated.
+KEYS = ("dataset", "model", "strategy", "score_kind", "result")
 
 
 def aligned(scored: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -221,13 +222,13 @@ def aligned(scored: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS)
 
 
 def approach_results(rows: DataFrame, write: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, area, best, vus, nab, nab_level: every approach's curve, buffered volume and early-detection score over all
-    its aligned rows. write keeps rows and their runs, which several measures read."""
+    """keys, area, best, vus, nab, nab_level: every approach's curve, volume under the curves of soft labels and
+    early-detection score, over all its aligned rows and for each of its results (anomaly and nonconformity scores), all at
+    once. write keeps rows and their runs, which several measures read."""
     rows = write(rows)
     true = write(sequences(rows))
-    found = write(detections(rows))
-    curve = area(precision_recall(counts(found, true)), ["series_id"])
-    wide = volume(area(precision_recall(counts(found, widened(true, rows), ["buffer"])), ["series_id", "buffer"], 1.0))
+    curve = area(precision_recall(counts(detections(rows), true)), ["series_id"])
+    soft = volume(area(soft_curve(soft_labels(rows, true), rows, true), ["series_id", "buffer"], 1.0))
     nab = nab_scores(nab_rewards(rows, true), true).groupBy("series_id").agg(F.max("nab").alias("nab"), F.max_by("lv", F.struct("nab", -F.col("lv"))).alias("nab_level"))
-    out = curve.join(wide, "series_id").join(nab, "series_id")
+    out = curve.join(soft, "series_id").join(nab, "series_id")
     return out.select(*[F.col(f"series_id.{k}").alias(k) for k in keys], "area", "best", "vus", "nab", "nab_level")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -43,6 +45,32 @@ def difference_forecast(series: DataFrame, d: int) -> DataFrame:
     return rolling(series, d, {"pred": pred})
 
 
+def online_forecast(series: DataFrame, taps: int, chunk: int = CHUNK, ridge: float = 1.0) -> DataFrame:
+    """pred: the row before plus its last `taps` differences, each with a weight, from row taps + 1 on; weights: those in
+    force in the row's chunk, by least squares (with a ridge) over all rows of the series before that chunk, 0 at first.
+
+    The normal equations are sums of products, so each chunk gives its own, and a running sum over chunks, a row a chunk,
+    gives what is known at the start of each; one small system a chunk is solved, wherever the chunk is. No task holds a
+    series, and no row waits for those before it. t must have no gaps.
+    """
+    past = rolling(series, taps + 1, {"_past": lambda w: F.collect_list("value").over(w.rowsBetween(-taps - 1, 0))}).where(F.size("_past") == taps + 2)
+    x = F.transform(F.sequence(F.lit(1), F.lit(taps)), lambda i: F.get("_past", taps + 1 - i) - F.get("_past", taps - i))
+    rows = past.select("series_id", "t", F.get("_past", F.lit(taps)).alias("_before"), (F.col("value") - F.get("_past", F.lit(taps))).alias("_y"), x.alias("_x"), F.floor(F.col("t") / chunk).alias("_chunk"))
+    cells = [(i, j) for i in range(taps) for j in range(i, taps)]
+    sums = rows.groupBy("series_id", "_chunk").agg(*[F.sum(F.col("_x")[i] * F.col("_x")[j]).alias(f"_a{i}_{j}") for i, j in cells], *[F.sum(F.col("_x")[i] * F.col("_y")).alias(f"_b{i}") for i in range(taps)])
+    before = Window.partitionBy("series_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    cell = lambda i, j: so_far(f"_a{min(i, j)}_{max(i, j)}") + (ridge if i == j else 0.0)
+    known = sums.select("series_id", "_chunk", F.flatten(F.array(*[F.array(*[cell(i, j) for j in range(taps)]) for i in range(taps)])).alias("_a"), F.array(*[so_far(f"_b{i}") for i in range(taps)]).alias("_b"))
+
+    @F.pandas_udf("array<double>")
+    def solved(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(list(np.linalg.solve(np.stack(a.to_list()).reshape(-1, taps, taps), np.stack(b.to_list())[:, :, None])[:, :, 0]) if len(a) else [])
+
+    out = rows.join(known.select("series_id", "_chunk", solved("_a", "_b").alias("weights")), ["series_id", "_chunk"])
+    return out.select("series_id", "t", "weights", (F.col("_before") + F.aggregate(F.zip_with("weights", "_x", lambda g, v: g * v), F.lit(0.0), lambda s, v: s + v)).alias("pred"))
+
+
 def nonconformity(series: DataFrame) -> DataFrame:
     """nc: the absolute difference to the row before, 0 for the first."""
     return rolling(series, 1, {"nc": lambda w: F.coalesce(F.abs(F.col("value") - F.lag("value", 1).over(w)), F.lit(0.0))})

@@ -199,5 +199,28 @@ def artificial_anomaly(series: DataFrame, at: int, goal: float = 10.0, seed: int
     return out.select("series_id", "t", (r[0] if channels is None else r).alias("replacement"))
 
 
+def anomalies_after(series: DataFrame, events: DataFrame, goal: float = 10.0, seed: int = 42) -> DataFrame:
+    """(series_id, at, first, t, replacement): an artificial anomaly after each event (series_id, at), as artificial_anomaly
+    makes it after one row, of the series as it was before any; steps are seeded by the event too. Each event is spread
+    over its 20 rows and meets those, so nothing but them is read of a long series twice."""
+    n = series.groupBy("series_id").agg((F.max("t") + 1).alias("_n"))
+    first = F.least(F.col("_n") - (ANOMALY - RISE + AHEAD), F.col("at") + AHEAD) - ANOMALY // 2
+    spread = events.join(n, "series_id").withColumn("first", first).select("series_id", "at", "first", F.explode(F.sequence("first", F.col("first") + ANOMALY - 1)).alias("t"))
+    local = spread.join(series.select("series_id", "t", "value"), ["series_id", "t"]).withColumn("_i", F.col("t") - F.col("first"))
+    whole = Window.partitionBy("series_id", "at")
+    local = local.withColumns({"mean": F.avg("value").over(whole), "std": F.stddev_pop("value").over(whole)})
+    u, v = (hash_uniform(seed + i, F.col("series_id"), F.col("at"), F.col("t") * 1000) for i in (0, 1))
+    noise = F.sqrt(F.lit(-2.0) * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(F.lit(2 * math.pi) * v)
+    part = F.when(F.col("_i") < RISE, F.lit(goal / RISE)).otherwise(F.lit(goal / (ANOMALY - RISE)))
+    step = part + F.col("mean") + noise * (part / 2 + F.col("std"))
+    error = F.sum(F.when(F.col("_i") < RISE, step).otherwise(-step)).over(whole.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    return local.select("series_id", "at", "first", "t", (F.col("value") + error).alias("replacement"))
+
+
+def last_overlay(overlays: DataFrame) -> DataFrame:
+    """(series_id, t, replacement): where overlays reach into each other, that of the last event."""
+    return overlays.groupBy("series_id", "t").agg(F.max_by("replacement", "at").alias("replacement"))
+
+
 def overlaid(series: DataFrame, overlay: DataFrame, value: str = "value") -> DataFrame:
     return series.join(overlay, ["series_id", "t"], "left").withColumn(value, F.coalesce("replacement", value)).drop("replacement")

@@ -435,12 +435,15 @@ def pr_vus_buffered(spark: SparkSession, sf: str) -> DataFrame:
 SOFT = f"{EVAL}, {ev.SOFT_SQL}"
 
 
-@query(f"""{SOFT}, pl AS (SELECT series_id, buffer, floor(round(sum(y + soft) / 2, 9)) AS pl FROM y GROUP BY ALL),
+SOFT_CURVE_SQL = """pl AS (SELECT series_id, buffer, floor(round(sum(y + soft) / 2, 9)) AS pl FROM y GROUP BY ALL),
 tp AS (SELECT series_id, buffer, lv.lv, sum(soft) AS tp, count(*) AS al FROM y JOIN lv ON score > lv.lv * 0.01::DOUBLE GROUP BY ALL),
 pk AS (SELECT k.series_id, k.k, max(score) AS peak FROM k JOIN a ON a.series_id = k.series_id AND a.t BETWEEN k.s AND k.e GROUP BY ALL),
 ex AS (SELECT series_id, lv, avg((peak > lv * 0.01::DOUBLE)::INTEGER) AS existence FROM pk CROSS JOIN lv GROUP BY ALL),
 q AS (SELECT pl.series_id, pl.buffer, ex.lv, round(coalesce(tp, 0) / greatest(coalesce(al, 0), 1), 9) AS precision, round(coalesce(tp, 0) / greatest(pl, 1) * existence, 9) AS recall
-  FROM pl JOIN ex USING (series_id) LEFT JOIN tp ON tp.series_id = pl.series_id AND tp.buffer = pl.buffer AND tp.lv = ex.lv){VOLUME_SQL}""")
+  FROM pl JOIN ex USING (series_id) LEFT JOIN tp ON tp.series_id = pl.series_id AND tp.buffer = pl.buffer AND tp.lv = ex.lv)"""
+
+
+@query(f"{SOFT}, {SOFT_CURVE_SQL}{VOLUME_SQL}")
 def pr_vus_soft(spark: SparkSession, sf: str) -> DataFrame:
     s = store.written(_scored(spark, sf))
     true = store.written(ev.sequences(s))
@@ -586,26 +589,85 @@ def nc_warm_up(spark: SparkSession, sf: str) -> DataFrame:
 _LIKELY = scores.likelihood_sql()
 APPROACH_SQL = f"""{E}, {_LIKELY.replace("a AS (SELECT series_id", "al AS (SELECT series_id")},
 av AS (SELECT series_id, t, avg(nc) OVER (PARTITION BY series_id ORDER BY t ROWS 49 PRECEDING) AS score FROM n),
-a AS (SELECT 'diff-sw_ks-al/' || series_id AS series_id, t, round(score, 6) AS score, is_anomaly FROM al
-  UNION ALL SELECT 'diff-ures_ks-avg/' || e.series_id, e.t, round(score / 100, 6), e.is_anomaly FROM av JOIN e ON e.series_id = av.series_id AND e.t = av.t WHERE e.t >= 49)"""
+a AS (SELECT 'diff-sw_ks-al-anomaly_scores/' || series_id AS series_id, t, round(score, 6) AS score, is_anomaly FROM al
+  UNION ALL SELECT 'diff-ures_ks-avg-anomaly_scores/' || e.series_id, e.t, round(score / 100, 6), e.is_anomaly FROM av JOIN e ON e.series_id = av.series_id AND e.t = av.t WHERE e.t >= 49
+  UNION ALL SELECT unnest(['diff-sw_ks-al', 'diff-ures_ks-avg']) || '-nonconformity_scores/' || series_id, t, round(nc / 500, 6), is_anomaly FROM n WHERE t >= 49)"""
 _APPROACH_CURVES = COUNT_SQL[len(EVAL) :]
+_APPROACH_NAB = """la AS (SELECT series_id, max(t) AS last FROM a GROUP BY series_id), i AS (SELECT series_id, k, s, e - s AS len, unnest(range(0, 2 * (e - s))) AS i FROM k WHERE e > s),
+m AS (SELECT series_id, least(s + i, last) AS t, arg_max(2.0::DOUBLE / (1.0 + exp(5.0::DOUBLE * (3.0::DOUBLE * i / len - 3))) - 1, k * 1000000 + i) AS r FROM i JOIN la USING (series_id) GROUP BY ALL),
+w AS (SELECT a.series_id, a.t, a.score, coalesce(m.r, -1.0::DOUBLE) AS reward, k.k AS seq FROM a LEFT JOIN m ON m.series_id = a.series_id AND m.t = a.t LEFT JOIN k ON k.series_id = a.series_id AND a.t BETWEEN k.s AND k.e),
+o AS (SELECT series_id, lv, sum(reward) AS r FROM w JOIN lv ON seq IS NULL AND score > lv.lv * 0.01::DOUBLE GROUP BY ALL),
+f AS (SELECT series_id, lv, seq, arg_min(reward, t) AS r FROM w JOIN lv ON seq IS NOT NULL AND reward > 0 AND score > lv.lv * 0.01::DOUBLE GROUP BY ALL),
+x AS (SELECT series_id, lv, sum(r) AS r FROM (SELECT * FROM o UNION ALL SELECT series_id, lv, r FROM f) GROUP BY ALL),
+nk AS (SELECT series_id, count(*) AS n FROM k GROUP BY series_id),
+nn AS (SELECT nk.series_id, lv.lv, round(coalesce(r, 0.0::DOUBLE) / n, 6) AS nab FROM nk CROSS JOIN lv LEFT JOIN x ON x.series_id = nk.series_id AND x.lv = lv.lv)
+SELECT series_id, nab, lv AS nab_level FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY nab DESC, lv) AS o FROM nn) WHERE o = 1"""
 
 
 @query(f"""{APPROACH_SQL}, {ev.SEQUENCES_SQL}, {ev.DETECTIONS_SQL}{_APPROACH_CURVES}{AREA_SQL}, ar AS (SELECT series_id, coalesce(sum(step), 0) / 2 AS area FROM w GROUP BY series_id),
-b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(precision * precision + recall * recall, 9) DESC, lv) AS o FROM q)
-SELECT split_part(ar.series_id, '/', 2) AS dataset, split_part(ar.series_id, '-', 1) AS model, split_part(ar.series_id, '-', 2) AS strategy, split_part(split_part(ar.series_id, '/', 1), '-', 3) AS score_kind,
-  round(area, 6) AS area, b.lv AS best FROM ar JOIN b ON b.series_id = ar.series_id AND o = 1""")
+b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(precision * precision + recall * recall, 9) DESC, lv) AS o FROM q),
+vs AS (WITH {ev.SOFT_SQL}, {SOFT_CURVE_SQL}{VOLUME_SQL}), nb AS (WITH {_APPROACH_NAB})
+SELECT split_part(ar.series_id, '/', 2) AS dataset, split_part(ar.series_id, '-', 1) AS model, split_part(ar.series_id, '-', 2) AS strategy, split_part(ar.series_id, '-', 3) AS score_kind, split_part(split_part(ar.series_id, '/', 1), '-', 4) AS result,
+  round(area, 6) AS area, b.lv AS best, vus, nab, nab_level FROM ar JOIN b ON b.series_id = ar.series_id AND o = 1 JOIN vs ON vs.series_id = ar.series_id JOIN nb ON nb.series_id = ar.series_id""")
 def evaluate_approaches(spark: SparkSession, sf: str) -> DataFrame:
-    """Two approaches' scores, written by series and approach, read again, met with the labels and evaluated together."""
+    """Two approaches' anomaly scores and the nonconformity that both follow, written by series and approach, read again,
+    met with the labels and evaluated together."""
     path = f"{store.shared_folder(spark)}/scores-{uuid.uuid4().hex}"
     nc = _nc(spark, sf)
     both = {("sw_ks", "al"): scores.anomaly_likelihood(nc), ("ures_ks", "avg"): scores.average_of_window(nc).withColumn("score", F.col("score") / 100)}
+    kinds = ("anomaly_scores", "nonconformity_scores")
     for (strategy, kind), s in both.items():
-        store.write_scores(s.select("series_id", "t", F.round("score", 6).alias("score")), path, "diff", strategy, kind, "run1", "parquet")
-    read = store.read_scores(spark, path, "parquet").withColumnRenamed("series_id", "dataset")
-    rows = ev.aligned(read, src.events(spark, sf).select(F.col("series_id").alias("dataset"), "t", "is_anomaly"))
+        each = {kinds[0]: s, kinds[1]: nc.where("t >= 49").withColumn("score", F.col("nc") / 500)}
+        for result, x in each.items():
+            store.write_scores(x.select("series_id", "t", F.round("score", 6).alias("score")), f"{path}/{result}", "diff", strategy, kind, "run1", "parquet")
+    read = [store.read_scores(spark, f"{path}/{result}", "parquet").withColumn("result", F.lit(result)) for result in kinds]
+    rows = ev.aligned(read[0].unionByName(read[1]).withColumnRenamed("series_id", "dataset"), src.events(spark, sf).select(F.col("series_id").alias("dataset"), "t", "is_anomaly"))
     out = ev.approach_results(rows, store.written)
-    return out.select(*ev.KEYS, r6("area"), "best")
+    return out.select(*ev.KEYS, r6("area"), "best", r6("vus"), "nab", "nab_level")
+
+
+# weights that are learnt on the way
+
+
+@query(f"""{E}, x AS (SELECT series_id, t, value, lag(value) OVER o AS x1, value - lag(value) OVER o AS y, lag(value) OVER o - lag(value, 2) OVER o AS a, lag(value, 2) OVER o - lag(value, 3) OVER o AS b FROM e WINDOW o AS (PARTITION BY series_id ORDER BY t)),
+s AS (SELECT series_id, t // 64 AS c, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS b_y FROM x WHERE b IS NOT NULL GROUP BY ALL),
+w AS (SELECT series_id, c, coalesce(sum(aa) OVER o, 0) + 1 AS aa, coalesce(sum(ab) OVER o, 0) AS ab, coalesce(sum(bb) OVER o, 0) + 1 AS bb, coalesce(sum(ay) OVER o, 0) AS ay, coalesce(sum(b_y) OVER o, 0) AS b_y
+  FROM s WINDOW o AS (PARTITION BY series_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT series_id, c, (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS g1, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS g2 FROM w)
+SELECT x.series_id, x.t, round(x1 + g1 * a + g2 * b, 6) AS pred, round(g1, 6) AS weight1, round(g2, 6) AS weight2 FROM x JOIN g ON g.series_id = x.series_id AND g.c = x.t // 64 WHERE b IS NOT NULL""")
+def arima_online(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts by the last value and two past differences, weighed by what all chunks before have taught."""
+    f = frames.online_forecast(src.events(spark, sf), 2, 64)
+    return f.select("series_id", "t", r6("pred"), F.round(F.col("weights")[0], 6).alias("weight1"), F.round(F.col("weights")[1], 6).alias("weight2"))
+
+
+# anomalies put in after each retraining
+
+INJECTED = f"""{E}, {training.mu_sigma_sql(20, 5, 10)}, ev AS (SELECT series_id, t AS at FROM s WHERE mu_shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2),
+po AS (SELECT ev.series_id, ev.at, least(n - 112, ev.at + 100) - 10 AS first FROM ev JOIN (SELECT series_id, max(t) + 1 AS n FROM e GROUP BY series_id) USING (series_id)),
+lo AS (SELECT po.series_id, po.at, po.first, e.t, e.t - po.first AS i, e.value, {fm.hash_uniform_sql(42, "po.series_id", "po.at", "(e.t * 1000)")} AS u, {fm.hash_uniform_sql(43, "po.series_id", "po.at", "(e.t * 1000)")} AS v,
+  avg(e.value) OVER q AS mean, stddev_pop(e.value) OVER q AS sd FROM po JOIN e ON e.series_id = po.series_id AND e.t BETWEEN po.first AND po.first + 19 WINDOW q AS (PARTITION BY po.series_id, po.at)),
+z AS (SELECT *, sqrt(-2.0::DOUBLE * ln(greatest(u, 1e-12))) * cos({2 * math.pi!r}::DOUBLE * v) AS noise FROM lo),
+r AS (SELECT series_id, at, first, t, value + sum(CASE WHEN i < 8 THEN {10 / 8!r}::DOUBLE + mean + noise * ({10 / 16!r}::DOUBLE + sd) ELSE -({10 / 12!r}::DOUBLE + mean + noise * ({10 / 24!r}::DOUBLE + sd)) END) OVER (PARTITION BY series_id, at ORDER BY t) AS r FROM z),
+o AS (SELECT series_id, t, arg_max(r, at) AS r FROM r GROUP BY ALL),
+b AS (SELECT e.series_id, e.t, e.value, coalesce(o.r, e.value) AS patched FROM e LEFT JOIN o ON o.series_id = e.series_id AND o.t = e.t),
+c AS (SELECT series_id, t, patched, abs(value - lag(value) OVER w) AS before, abs(patched - lag(patched) OVER w) AS after FROM b WINDOW w AS (PARTITION BY series_id ORDER BY t))"""
+
+
+@query(f"""{INJECTED} SELECT po.series_id, po.at, po.first, po.first + 19 AS last, count(*) AS n, round(max(c.before), 6) AS top_before, round(max(c.after), 6) AS top_after, round(sum(c.patched), 4) AS total
+FROM po JOIN c ON c.series_id = po.series_id AND c.t BETWEEN po.first AND po.first + 69 GROUP BY ALL""")
+def anomalies_after_retraining(spark: SparkSession, sf: str) -> DataFrame:
+    """Each drift of a training set retrains, and puts an artificial anomaly into the rows ahead: where it lies, and the
+    largest changes from it to fifty rows behind it, as the series was and as all anomalies have made it."""
+    e = store.written(src.events(spark, sf))
+    events = store.written(training.mu_sigma_drift(training.mu_sigma(e, 20, 5, 10)).where("drift").select("series_id", F.col("t").alias("at")))
+    overlays = store.written(training.anomalies_after(e, events))
+    patched = training.overlaid(e.select("series_id", "t", "value", F.col("value").alias("was")), training.last_overlay(overlays))
+    change = lambda c: lambda w: F.abs(F.col(c) - F.lag(c, 1).over(w))
+    both = frames.rolling(patched, 1, {"before": change("was"), "after": change("value")})
+    around = overlays.groupBy("series_id", "at", "first").agg(F.lit(1)).select("series_id", "at", "first", F.explode(F.sequence("first", F.col("first") + 69)).alias("t"))
+    out = around.join(both, ["series_id", "t"]).groupBy("series_id", "at", "first").agg(F.count("*").alias("n"), F.max("before").alias("before"), F.max("after").alias("after"), F.sum("value").alias("total"))
+    return out.select("series_id", "at", "first", (F.col("first") + 19).alias("last"), "n", F.round("before", 6).alias("top_before"), F.round("after", 6).alias("top_after"), F.round("total", 4).alias("total"))
 
 
 # sequential detection and models
