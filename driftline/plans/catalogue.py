@@ -643,19 +643,19 @@ def arima_online(spark: SparkSession, sf: str) -> DataFrame:
 
 # anomalies put in after each retraining
 
-INJECTED = f"""{E}, {training.mu_sigma_sql(20, 5, 10)}, ev AS (SELECT series_id, t AS at FROM s WHERE mu_shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2),
-po AS (SELECT ev.series_id, ev.at, least(n - 112, ev.at + 100) - 10 AS first FROM ev JOIN (SELECT series_id, max(t) + 1 AS n FROM e GROUP BY series_id) USING (series_id)),
-lo AS (SELECT po.series_id, po.at, po.first, e.t, e.t - po.first AS i, e.value, {fm.hash_uniform_sql(42, "po.series_id", "po.at", "(e.t * 1000)")} AS u, {fm.hash_uniform_sql(43, "po.series_id", "po.at", "(e.t * 1000)")} AS v,
-  avg(e.value) OVER q AS mean, stddev_pop(e.value) OVER q AS sd FROM po JOIN e ON e.series_id = po.series_id AND e.t BETWEEN po.first AND po.first + 19 WINDOW q AS (PARTITION BY po.series_id, po.at)),
+INJECTED = f"""{E}, {training.mu_sigma_sql(20, 5, 10)}, ev AS (SELECT series_id, t AS rt FROM s WHERE mu_shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2),
+po AS (SELECT ev.series_id, ev.rt, least(n - 112, ev.rt + 100) - 10 AS first FROM ev JOIN (SELECT series_id, max(t) + 1 AS n FROM e GROUP BY series_id) USING (series_id)),
+lo AS (SELECT po.series_id, po.rt, po.first, e.t, e.t - po.first AS i, e.value, {fm.hash_uniform_sql(42, "po.series_id", "po.rt", "(e.t * 1000)")} AS u, {fm.hash_uniform_sql(43, "po.series_id", "po.rt", "(e.t * 1000)")} AS v,
+  avg(e.value) OVER q AS mean, stddev_pop(e.value) OVER q AS sd FROM po JOIN e ON e.series_id = po.series_id AND e.t BETWEEN po.first AND po.first + 19 WINDOW q AS (PARTITION BY po.series_id, po.rt)),
 z AS (SELECT *, sqrt(-2.0::DOUBLE * ln(greatest(u, 1e-12))) * cos({2 * math.pi!r}::DOUBLE * v) AS noise FROM lo),
-r AS (SELECT series_id, at, first, t, value + sum(CASE WHEN i < 8 THEN {10 / 8!r}::DOUBLE + mean + noise * ({10 / 16!r}::DOUBLE + sd) ELSE -({10 / 12!r}::DOUBLE + mean + noise * ({10 / 24!r}::DOUBLE + sd)) END) OVER (PARTITION BY series_id, at ORDER BY t) AS r FROM z),
-o AS (SELECT series_id, t, arg_max(r, at) AS r FROM r GROUP BY ALL),
+r AS (SELECT series_id, rt, first, t, value + sum(CASE WHEN i < 8 THEN {10 / 8!r}::DOUBLE + mean + noise * ({10 / 16!r}::DOUBLE + sd) ELSE -({10 / 12!r}::DOUBLE + mean + noise * ({10 / 24!r}::DOUBLE + sd)) END) OVER (PARTITION BY series_id, rt ORDER BY t) AS r FROM z),
+o AS (SELECT series_id, t, arg_max(r, rt) AS r FROM r GROUP BY ALL),
 b AS (SELECT e.series_id, e.t, e.value, coalesce(o.r, e.value) AS patched FROM e LEFT JOIN o ON o.series_id = e.series_id AND o.t = e.t),
-c AS (SELECT series_id, t, patched, abs(value - lag(value) OVER w) AS before, abs(patched - lag(patched) OVER w) AS after FROM b WINDOW w AS (PARTITION BY series_id ORDER BY t))"""
+chg AS (SELECT series_id, t, patched, abs(value - lag(value) OVER w) AS before, abs(patched - lag(patched) OVER w) AS after FROM b WINDOW w AS (PARTITION BY series_id ORDER BY t))"""
 
 
-@query(f"""{INJECTED} SELECT po.series_id, po.at, po.first, po.first + 19 AS last, count(*) AS n, round(max(c.before), 6) AS top_before, round(max(c.after), 6) AS top_after, round(sum(c.patched), 4) AS total
-FROM po JOIN c ON c.series_id = po.series_id AND c.t BETWEEN po.first AND po.first + 69 GROUP BY ALL""")
+@query(f"""{INJECTED} SELECT po.series_id, po.rt AS retrained, po.first, po.first + 19 AS last, count(*) AS n, round(max(chg.before), 6) AS top_before, round(max(chg.after), 6) AS top_after, round(sum(chg.patched), 4) AS total
+FROM po JOIN chg ON chg.series_id = po.series_id AND chg.t BETWEEN po.first AND po.first + 69 GROUP BY ALL""")
 def anomalies_after_retraining(spark: SparkSession, sf: str) -> DataFrame:
     """Each drift of a training set retrains, and puts an artificial anomaly into the rows ahead: where it lies, and the
     largest changes from it to fifty rows behind it, as the series was and as all anomalies have made it."""
@@ -667,7 +667,7 @@ def anomalies_after_retraining(spark: SparkSession, sf: str) -> DataFrame:
     both = frames.rolling(patched, 1, {"before": change("was"), "after": change("value")})
     around = overlays.groupBy("series_id", "at", "first").agg(F.lit(1)).select("series_id", "at", "first", F.explode(F.sequence("first", F.col("first") + 69)).alias("t"))
     out = around.join(both, ["series_id", "t"]).groupBy("series_id", "at", "first").agg(F.count("*").alias("n"), F.max("before").alias("before"), F.max("after").alias("after"), F.sum("value").alias("total"))
-    return out.select("series_id", "at", "first", (F.col("first") + 19).alias("last"), "n", F.round("before", 6).alias("top_before"), F.round("after", 6).alias("top_after"), F.round("total", 4).alias("total"))
+    return out.select("series_id", F.col("at").alias("retrained"), "first", (F.col("first") + 19).alias("last"), "n", F.round("before", 6).alias("top_before"), F.round("after", 6).alias("top_after"), F.round("total", 4).alias("total"))
 
 
 # sequential detection and models
