@@ -99,6 +99,14 @@ def mu_sigma(series: DataFrame, n: int = 100, length: int = 10, every: int = 50)
     return out.select("series_id", "t", shift.alias("mu_shift"), norm(F.col("vars")).alias("sigma"), norm(F.col("ref")).alias("sigma0"))
 
 
+def mu_sigma_channels(series: DataFrame, n: int = 100, length: int = 10, every: int = 50) -> DataFrame:
+    """mu_sigma of vectors of several channels (values): the norms run over all cells, so they are those of the channels,
+    each taken as a series, put together."""
+    long = series.select("series_id", "t", F.posexplode("values").alias("ch", "value")).select(F.struct("series_id", "ch").alias("series_id"), "t", "value")
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c))).alias(c)
+    return mu_sigma(long, n, length, every).groupBy(F.col("series_id.series_id").alias("series_id"), "t").agg(*[norm(c) for c in ("mu_shift", "sigma", "sigma0")])
+
+
 def mu_sigma_drift(checks: DataFrame) -> DataFrame:
     drift = (F.col("mu_shift") > F.col("sigma0")) | (F.col("sigma") < F.col("sigma0") / 2) | (F.col("sigma") > F.col("sigma0") * 2)
     return checks.withColumn("drift", drift)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import math as fm
 from driftline.operators import evaluate as ev
-from driftline.operators import frames, models, online, registry, scores, training
+from driftline.operators import frames, lags, models, online, registry, scores, training
 from driftline.sources import series as src
 from driftline.sources import store
 from driftline.streaming import jobs, loop
@@ -287,6 +287,17 @@ def musigma_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
     return training.mu_sigma(src.events(spark, sf)).select("series_id", "t", r6("mu_shift"), r6("sigma"), r6("sigma0"))
 
 
+CHANNELS = f"{D}, e AS (SELECT t, unnest([0, 1, 2, 3]) AS series_id, unnest([c0, c1, c2, c3]) AS value FROM d), {training.mu_sigma_sql()}"
+
+
+@query(f"""{CHANNELS}, y AS (SELECT t, sqrt(sum(mu_shift * mu_shift)) AS shift, sqrt(sum(sigma * sigma)) AS sigma, sqrt(sum(sigma0 * sigma0)) AS sigma0 FROM s GROUP BY t)
+SELECT 'lineitem' AS series_id, t, round(shift, 3) AS mu_shift, round(sigma, 3) AS sigma, round(sigma0, 3) AS sigma0, shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2 AS drift FROM y""")
+def musigma_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Drift of training sets of vectors of ten rows and four channels, over all their cells."""
+    checks = training.mu_sigma_drift(training.mu_sigma_channels(src.shipments(spark, sf)))
+    return checks.select("series_id", "t", *[F.round(c, 3).alias(c) for c in ("mu_shift", "sigma", "sigma0")], "drift")
+
+
 @query(f"{E}, {training.mu_sigma_sql(20, 5, 10)} SELECT series_id, t, mu_shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2 AS drift FROM s")
 def musigma_drift_flags(spark: SparkSession, sf: str) -> DataFrame:
     return training.mu_sigma_drift(training.mu_sigma(src.events(spark, sf), 20, 5, 10)).select("series_id", "t", "drift")
@@ -641,6 +652,18 @@ def arima_online(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("series_id", "t", r6("pred"), F.round(F.col("weights")[0], 6).alias("weight1"), F.round(F.col("weights")[1], 6).alias("weight2"))
 
 
+VAR_LAGS = 50
+
+
+@query(f"""WITH RECURSIVE {src.SHIPMENTS_SQL}, {lags.lag_criteria_sql(VAR_LAGS)}
+SELECT lag::INTEGER AS lag, round(rss, 5) AS rss, round(aic, 6) AS aic, row_number() OVER (ORDER BY aic, lag) = 1 AS chosen FROM cr""")
+def var_lags(spark: SparkSession, sf: str) -> DataFrame:
+    """The residuals and criteria of all lags up to 50 of the four shipment channels, from one matrix over the whole
+    series."""
+    z = lags.standardised(src.shipments(spark, sf), 4)
+    return lags.lag_criteria(lags.lag_products(z, VAR_LAGS), VAR_LAGS, 4).select("lag", F.round("rss", 5).alias("rss"), r6("aic"), "chosen")
+
+
 # anomalies put in after each retraining
 
 INJECTED = f"""{E}, {training.mu_sigma_sql(20, 5, 10)}, ev AS (SELECT series_id, t AS rt FROM s WHERE mu_shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2),

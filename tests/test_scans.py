@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import math as fm
-from driftline.operators import evaluate, frames, online, scores, training
+from driftline.operators import evaluate, frames, lags, online, scores, training
 from driftline.streaming import jobs, loop
 
 
@@ -156,3 +156,56 @@ def test_late_rows_come_in_order(spark, tmp_path):
     # the last file comes behind the watermark
     assert sorted(r["event_id"] for r in got) == sorted({r[0] for f in files[:3] for r in f})
     assert {r["event_id"]: r["value"] for r in got}[9] is None
+
+
+def test_lags_from_one_matrix(spark):
+    """Residual sums are those of least squares on the same rows, in chunks or not; forecasts leave those residuals."""
+    rng = np.random.default_rng(8)
+    x = np.zeros((300, 2))
+    for t in range(2, 300):
+        x[t] = x[t - 1] @ [[0.5, 0.2], [-0.3, 0.1]] + x[t - 2] @ [[0.0, 0.3], [0.2, 0.0]] + rng.normal(0, 0.5, 2)
+    df = spark.createDataFrame([("s", t, v.tolist()) for t, v in enumerate(x)] + [("flat", t, [1.0, float(t % 2)]) for t in range(60)], "series_id string, t long, values array<double>")
+    z = lags.standardised(df, 2)
+    out = {}
+    for chunk in (37, 8192):
+        c = lags.lag_criteria(lags.lag_products(z, 5, chunk), 5, 2)
+        out[chunk] = {(r["series_id"], r["lag"]): r for r in c.collect()}
+    assert out[37].keys() == out[8192].keys() and not any(s == "flat" for s, _ in out[37])
+    y = (x - x.mean(0)) / x.std(0)
+    for p in range(6):
+        design = np.concatenate([np.ones((295, 1)), *[y[5 - i : 300 - i] for i in range(1, p + 1)]], 1)
+        rest = y[5:] - design @ np.linalg.lstsq(design, y[5:], rcond=None)[0]
+        aic = np.linalg.slogdet(rest.T @ rest / 295)[1] + 2 * (4 * p + 2) / 295
+        for chunk in out:
+            r = out[chunk]["s", p]
+            assert r["rss"] == pytest.approx((rest**2).sum()) and r["aic"] == pytest.approx(aic)
+    best = next(r for r in out[37].values() if r["chosen"])
+    assert best["lag"] == min(range(6), key=lambda p: out[37]["s", p]["aic"])
+    c = spark.createDataFrame(list(out[37].values()), "series_id string, lag int, rss double, aic double, chosen boolean, weights array<array<double>>")
+    errors = lags.lag_forecast(z, c, 5).select("error").collect()
+    assert len(errors) == 295 and sum(v * v for r in errors for v in r["error"]) == pytest.approx(best["rss"])
+
+
+def test_online_weights(spark):
+    rng = random.Random(9)
+    x = [rng.gauss(0, 1) for _ in range(120)]
+    df = spark.createDataFrame([("a", t, v) for t, v in enumerate(x)] + [("b", 0, 1.0)], "series_id string, t long, value double")
+    got = {r["t"]: (r["pred"], r["weights"]) for r in frames.online_forecast(df, 3, 16).collect()}
+    d = [None, *[b - a for a, b in zip(x, x[1:], strict=False)]]
+    for t in range(4, 120):
+        past = [u for u in range(4, t // 16 * 16)]
+        m = np.asarray([[d[u - i] for i in (1, 2, 3)] for u in past]).reshape(-1, 3)
+        w = np.linalg.solve(m.T @ m + np.eye(3), m.T @ np.asarray([d[u] for u in past]))
+        assert got[t][1] == pytest.approx(w.tolist()) and got[t][0] == pytest.approx(x[t - 1] + sum(w[i - 1] * d[t - i] for i in (1, 2, 3)))
+    assert sorted(got) == list(range(4, 120))
+
+
+def test_later_anomalies_win(spark):
+    df = spark.createDataFrame([("a", t, float(t % 5)) for t in range(400)], "series_id string, t long, value double")
+    events = spark.createDataFrame([("a", 50), ("a", 60), ("b", 10)], "series_id string, at long")
+    each = training.anomalies_after(df, events)
+    assert {(r["at"], r["first"]): r["count"] for r in each.groupBy("at", "first").count().collect()} == {(50, 140): 20, (60, 150): 20}
+    last = {r["t"]: r["replacement"] for r in training.last_overlay(each).collect()}
+    made = {(r["at"], r["t"]): r["replacement"] for r in each.collect()}
+    assert last == {t: made[60 if t >= 150 else 50, t] for t in range(140, 170)}
+    assert {r["t"]: r["value"] for r in training.overlaid(df, training.last_overlay(each)).collect()} == {t: last.get(t, float(t % 5)) for t in range(400)}
