@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import math as fm
 from driftline.operators import evaluate as ev
-from driftline.operators import frames, lags, models, online, registry, scores, training
+from driftline.operators import forest, frames, lags, models, online, registry, scores, training
 from driftline.sources import series as src
 from driftline.sources import store
 from driftline.streaming import jobs, loop
@@ -664,6 +664,33 @@ def var_lags(spark: SparkSession, sf: str) -> DataFrame:
     return lags.lag_criteria(lags.lag_products(z, VAR_LAGS), VAR_LAGS, 4).select("lag", F.round("rss", 5).alias("rss"), r6("aic"), "chosen")
 
 
+#: Trees of the forest, points that each takes, and the score over which a point is odd.
+TREES, TREE_POINTS, ODD = 100, 128, 0.5
+FOREST_SQL = f"""WITH RECURSIVE {src.SHIPMENTS_SQL}, me AS (SELECT {", ".join(f"avg(c{i}) AS m{i}, stddev_pop(c{i}) AS s{i}" for i in range(4))} FROM d),
+p AS (SELECT t, {", ".join(f"(c{i} - m{i}) / s{i} AS z{i}" for i in range(4))} FROM d, me), {forest.forest_sql(TREES, TREE_POINTS)}"""
+
+
+def _forest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    points = store.written(lags.standardised(src.shipments(spark, sf), 4).withColumnRenamed("values", "x"))
+    nodes = forest.grow(points, forest.first_trees(points, TREES), 4, TREE_POINTS)
+    return forest.tree_scores(forest.depths(points, nodes, TREE_POINTS), TREE_POINTS)
+
+
+@query(f"{FOREST_SQL} SELECT 'lineitem' AS series_id, t, round(avg(score), 6) AS score FROM sc GROUP BY t")
+def forest_rows_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """How far each day of shipments stands apart, by trees that are rows."""
+    return forest.forest_scores(_forest_scores(spark, sf)).select("series_id", "t", r6("score"))
+
+
+@query(f"""{FOREST_SQL}, al AS (SELECT t, round(avg(score), 9) > {ODD}::DOUBLE AS o FROM sc GROUP BY t)
+SELECT 'lineitem' AS series_id, tree::INTEGER AS tree, sum(CASE WHEN (round(score, 9) > {ODD}::DOUBLE) = o THEN 1 ELSE -1 END)::BIGINT AS votes, round(sum(depth), 4) AS depth FROM sc JOIN al USING (t) GROUP BY tree""")
+def forest_rows_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each tree agrees with the forest, less how often it doesn't, and its depths in all."""
+    scored = store.written(_forest_scores(spark, sf))
+    deep = scored.groupBy("series_id", "tree").agg(F.round(F.sum("depth"), 4).alias("depth"))
+    return forest.tree_votes(scored, ODD).join(deep, ["series_id", "tree"]).select("series_id", "tree", "votes", "depth")
+
+
 # anomalies put in after each retraining
 
 INJECTED = f"""{E}, {training.mu_sigma_sql(20, 5, 10)}, ev AS (SELECT series_id, t AS rt FROM s WHERE mu_shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2),

@@ -28,11 +28,12 @@ def write_scores(scores: DataFrame, path: str, model: str, strategy: str, score:
 LEVELS, P_VALUES = "confidence_levels", "pvalues"
 
 
-def read_scores(spark: SparkSession, path: str, fmt: str = "csv", schema: str | None = None) -> DataFrame:
+def read_scores(spark: SparkSession, path: str, fmt: str = "csv", schema: str | None = None, keep: Column | None = None) -> DataFrame:
     """All runs; partitions are columns. Of several runs of an approach the first counts. A schema spares the reading that
-    finds the types of a CSV file."""
+    finds the types of a CSV file. keep: a condition on series, model, strategy, score and run; other folders are not read."""
     reader = spark.read.format(fmt).options(**({"header": "true", "inferSchema": str(schema is None)} if fmt == "csv" else {}))
     df = (reader.schema(f"{schema}, series_id string, model string, strategy string, score_kind string, run string") if schema else reader).load(path)
+    df = df if keep is None else df.where(keep)
     keys = ["series_id", "model", "strategy", "score_kind"]
     first = df.groupBy(*keys).agg(F.min(F.col("run").cast("string")).alias("_run"))
     return df.join(first, keys).where(F.col("run").cast("string") == F.col("_run")).drop("_run")
@@ -51,6 +52,14 @@ def save_models(models: DataFrame, path: str) -> None:
     models.write.mode("append").partitionBy("approach").parquet(path)
 
 
+def weight_folders(names: DataFrame, path: str) -> DataFrame:
+    """names (series_id, model, strategy, score_kind, run) with folder, where an approach's weights are written; a null score
+    stands for each score that follows the strategy."""
+    each = names.join(approaches(names.sparkSession), "strategy").where(F.col("score_kind").isNull() | (F.col("score_kind") == F.col("score")))
+    folder = F.concat_ws("/", F.lit(path), "series_id", F.concat_ws("-", "model", "strategy", "score"), "run")
+    return each.select("series_id", "model", "strategy", F.col("score").alias("score_kind"), "run", folder.alias("folder"))
+
+
 def write_overlay(overlay: DataFrame, path: str, first: int, last: int) -> None:
     """The replaced rows of an artificial anomaly, in a folder that names its first and last row."""
     overlay.write.mode("overwrite").option("header", "true").csv(f"{path}/anomaly_{first}-{last}")

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import math as fm
-from driftline.operators import evaluate, frames, lags, online, scores, training
+from driftline.operators import evaluate, forest, frames, lags, online, scores, training
+from driftline.sources import store
 from driftline.streaming import jobs, loop
 
 
@@ -209,3 +210,49 @@ def test_later_anomalies_win(spark):
     made = {(r["at"], r["t"]): r["replacement"] for r in each.collect()}
     assert last == {t: made[60 if t >= 150 else 50, t] for t in range(140, 170)}
     assert {r["t"]: r["value"] for r in training.overlaid(df, training.last_overlay(each)).collect()} == {t: last.get(t, float(t % 5)) for t in range(400)}
+
+
+def test_forest_rows(spark):
+    """Walks follow the node table, a far point scores highest, and only trees that are voted out are grown anew."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (200, 2))
+    x[77] = (9, -9)
+    points = spark.createDataFrame([("s", t, v.tolist()) for t, v in enumerate(x)] + [("one", 0, [1.0, 1.0])], "series_id string, t long, x array<double>")
+    nodes = forest.grow(points, forest.first_trees(points, 20), 2, 32)
+    table = {(r["series_id"], r["tree"], r["node"]): r for r in nodes.collect()}
+    depth = forest.depths(points, nodes, 32)
+    c = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    got = {(r["series_id"], r["tree"], r["t"]): r["depth"] for r in depth.collect()}
+    assert len(got) == 20 * 201
+    for (s, tree, t), d in got.items():
+        node, passed, v = 1, 0, x[t] if s == "s" else (1.0, 1.0)
+        while (s, tree, node) in table and table[s, tree, node]["normal"] is not None:
+            r = table[s, tree, node]
+            node, passed = 2 * node + (r["normal"][0] * v[0] + r["normal"][1] * v[1] > r["threshold"]), passed + 1
+        assert d == pytest.approx(passed + c(table[s, tree, node]["n"] if (s, tree, node) in table else 0))
+    for (s, tree, node), r in table.items():
+        if r["normal"] is not None:
+            assert r["n"] == sum(table[s, tree, k]["n"] for k in (2 * node, 2 * node + 1) if (s, tree, k) in table)
+    scored = forest.tree_scores(depth, 32)
+    top = forest.forest_scores(scored).where("series_id = 's'").orderBy(F.desc("score")).first()
+    assert top["t"] == 77
+    votes = forest.tree_votes(scored, 0.5)
+    total = {r["tree"]: r["votes"] for r in votes.where("series_id = 's'").collect()}
+    assert set(total) == set(range(20)) and all(abs(v) <= 200 for v in total.values())
+    bad = spark.createDataFrame([("s", 3, 0, -1), ("s", 4, 0, 5)], "series_id string, tree int, generation int, votes long")
+    new = forest.renew(points, nodes, bad, 2, 32)
+    kinds = {(r["series_id"], r["tree"], r["generation"]) for r in new.select(*forest.TREE).distinct().collect()}
+    assert kinds == {(s, k, int(s == "s" and k == 3)) for s in ("s", "one") for k in range(20)}
+
+
+def test_folders_and_switches(spark, tmp_path):
+    s = spark.createDataFrame([("a", 0, 0.5), ("b", 0, 0.6)], "series_id string, t long, confidence double")
+    for run in ("r2", "r1"):
+        store.write_scores(s, str(tmp_path / "x"), "diff", "sw_ks", "cl", run)
+    got = store.read_scores(spark, str(tmp_path / "x"), schema="t long, confidence double", keep=F.col("series_id") == "b").collect()
+    assert [(r["series_id"], r["run"], r["confidence"]) for r in got] == [("b", "r1", 0.6)]
+    names = spark.createDataFrame([("a", "usad", "sw_ks", None, "r1"), ("a", "usad", "ares_al_ks", None, "r1"), ("a", "usad", "sw_ks", "al", "r2")], "series_id string, model string, strategy string, score_kind string, run string")
+    folders = sorted(r["folder"] for r in store.weight_folders(names, "/w").collect())
+    assert folders == ["/w/a/usad-ares_al_ks-al/r1", "/w/a/usad-sw_ks-al/r1", "/w/a/usad-sw_ks-al/r2", "/w/a/usad-sw_ks-avg/r1", "/w/a/usad-sw_ks-cl/r1"]
+    checks = spark.createDataFrame([("a", 1, 0.0, 1.0, 1.0)], "series_id string, t long, mu_shift double, sigma double, sigma0 double")
+    assert not training.mu_sigma_drift(checks).first()["drift"] and training.mu_sigma_drift(checks, force=True).first()["drift"]
