@@ -46,7 +46,7 @@ def plain(rows, labels):
     return sorted((*r, sums[r[0], r[1][r[2] - 1]]) for r in out)
 
 
-@pytest.mark.parametrize("n", [0, 1, 60])
+@pytest.mark.parametrize("n", [0, 60])
 def test_audit(spark, tmp_path, n):
     rows, labels = corpus(n)
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")

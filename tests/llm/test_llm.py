@@ -325,7 +325,7 @@ def test_rewriting_leaves_the_rest(spark, tmp_path):
     assert all(sorted(os.listdir(tmp_path / f"shard={s}")) == files[s] for s in left)
 
 
-@pytest.mark.parametrize("n", [0, 1, 40, 100, 400, None])
+@pytest.mark.parametrize("n", [0, 100, None])
 def test_op4(spark, sf, tmp_path, n):
     """As registered: every row comes back, in shards of nearly equal bytes, with slots from 0 and no gaps."""
     if n is None:
