@@ -204,8 +204,9 @@ def nab_scores(rewards: DataFrame, true: DataFrame) -> DataFrame:
     return grid.join(sums, ["series_id", "lv"], "left").select("series_id", "lv", F.round(F.coalesce("r", F.lit(0.0)) / F.col("n"), 6).alias("nab"))
 
 
-#: An approach's keys, and which of its results is evaluated.
-KEYS = ("dataset", "model", "strategy", "score_kind", "result")
+#: An approach's keys, and those with which of its results is evaluated.
+KEYS = ("dataset", "model", "strategy", "score_kind")
+RESULT_KEYS = (*KEYS, "result")
 
 
 def aligned(scored: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -223,8 +224,8 @@ def aligned(scored: DataFrame, labels: DataFrame, keys: tuple[str, ...] = KEYS)
 
 def approach_results(rows: DataFrame, write: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = KEYS) -> DataFrame:
     """keys, area, best, vus, nab, nab_level: every approach's curve, volume under the curves of soft labels and
-    early-detection score, over all its aligned rows and for each of its results (anomaly and nonconformity scores), all at
-    once. write keeps rows and their runs, which several measures read."""
+    early-detection score, over all its aligned rows, all at once; with RESULT_KEYS for anomaly and nonconformity scores
+    side by side. write keeps rows and their runs, which several measures read."""
     rows = write(rows)
     true = write(sequences(rows))
     curve = area(precision_recall(counts(detections(rows), true)), ["series_id"])

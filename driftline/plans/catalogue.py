@@ -632,9 +632,9 @@ def evaluate_approaches(spark: SparkSession, sf: str) -> DataFrame:
         for result, x in each.items():
             store.write_scores(x.select("series_id", "t", F.round("score", 6).alias("score")), f"{path}/{result}", "diff", strategy, kind, "run1", "parquet")
     read = [store.read_scores(spark, f"{path}/{result}", "parquet").withColumn("result", F.lit(result)) for result in kinds]
-    rows = ev.aligned(read[0].unionByName(read[1]).withColumnRenamed("series_id", "dataset"), src.events(spark, sf).select(F.col("series_id").alias("dataset"), "t", "is_anomaly"))
-    out = ev.approach_results(rows, store.written)
-    return out.select(*ev.KEYS, r6("area"), "best", r6("vus"), "nab", "nab_level")
+    rows = ev.aligned(read[0].unionByName(read[1]).withColumnRenamed("series_id", "dataset"), src.events(spark, sf).select(F.col("series_id").alias("dataset"), "t", "is_anomaly"), ev.RESULT_KEYS)
+    out = ev.approach_results(rows, store.written, ev.RESULT_KEYS)
+    return out.select(*ev.RESULT_KEYS, r6("area"), "best", r6("vus"), "nab", "nab_level")
 
 
 # weights that are learnt on the way
