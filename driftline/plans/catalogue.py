@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import math as fm
 from driftline.operators import evaluate as ev
-from driftline.operators import forest, frames, lags, models, online, registry, scores, training
+from driftline.operators import forest, frames, held, lags, models, online, registry, scores, training
 from driftline.sources import series as src
 from driftline.sources import store
 from driftline.streaming import jobs, loop
@@ -211,9 +211,11 @@ def ks_uniform_statistic(spark: SparkSession, sf: str) -> DataFrame:
     return scores.uniform_statistic(scores.confidence(_nc(spark, sf))).select("series_id", "t", "n", r6("d"))
 
 
-P_SQL = f"""{CONFIDENCE_SQL.replace("WITH", "WITH RECURSIVE", 1)}, w AS (SELECT series_id, t, list(confidence) OVER (PARTITION BY series_id ORDER BY t ROWS 99 PRECEDING) AS c FROM f),
+P_OF_F = f"""w AS (SELECT series_id, t, list(confidence) OVER (PARTITION BY series_id ORDER BY t ROWS 99 PRECEDING) AS c FROM f),
 u AS (SELECT series_id, t, list_sort(list_distinct(c)) AS c FROM w WHERE len(c) = 100), x AS (SELECT series_id, t, len(c) AS n, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM u),
 ks AS (SELECT series_id, t, n, max(greatest(i / n::DOUBLE - x, x - (i - 1) / n::DOUBLE)) AS d FROM x GROUP BY ALL), pp AS (SELECT DISTINCT n, d FROM ks WHERE n > 30), {fm.uniform_p_value_sql("pp")}"""
+P_SQL = f"""{CONFIDENCE_SQL.replace("WITH", "WITH RECURSIVE", 1)}, {P_OF_F}"""
+UNIFIED = f"pt AS (SELECT series_id, t, p FROM ks JOIN pv ON pv.n = ks.n AND pv.d = ks.d), {scores.unified_sql()}"
 
 
 def _p_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,7 +236,7 @@ def p_value_files(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(*keys, "t", r6("confidence"), F.round("p_value", 9).alias("p_value"))
 
 
-@query(f"""{P_SQL}, pt AS (SELECT series_id, t, p FROM ks JOIN pv ON pv.n = ks.n AND pv.d = ks.d), {scores.unified_sql()}""")
+@query(f"{P_SQL}, {UNIFIED}")
 def unified_scores(spark: SparkSession, sf: str) -> DataFrame:
     """p-values of whole series on a common scale, which large ones stretch for all that follow."""
     return scores.unified(_p_values(spark, sf)).select("series_id", "t", F.round("p_value", 9).alias("p_value"), r6("scale"), r6("score"))
@@ -282,6 +284,32 @@ def reservoir_priority_topn(spark: SparkSession, sf: str) -> DataFrame:
     return training.priority_reservoir(_scored(spark, sf), 100).select("series_id", "t", "priority", "slot")
 
 
+AWARE_SQL = f"{PRIORITY_SQL.replace('WITH', 'WITH RECURSIVE', 1)}, {held.aware_writes_sql(100, 20)}"
+
+
+@query(f"{AWARE_SQL} SELECT series_id, t, priority, from_t, coalesce(until_t, -1) AS until_t FROM aw")
+def aware_reservoir_over_time(spark: SparkSession, sf: str) -> DataFrame:
+    """What a score-aware reservoir of 100 rows, fed by batches of 20 and their likelihoods, holds from when to when."""
+    return held.aware_writes(_scored(spark, sf), 100, 20).withColumn("until_t", F.coalesce("until_t", F.lit(-1).cast("long")))
+
+
+@query(f"""{NC}, {training.reservoir_writes_sql(100, 20)}, uw AS (SELECT *, lead(from_t) OVER (PARTITION BY series_id, slot ORDER BY from_t) AS until_t FROM wr),
+{held.confidence_of_held_sql("uw", 100, "cu")} SELECT series_id, t, round(confidence, 6) AS confidence FROM cu""")
+def confidence_uniform_reservoir(spark: SparkSession, sf: str) -> DataFrame:
+    """Confidence levels by what a uniform reservoir holds when a row comes."""
+    nc = _nc(spark, sf)
+    return held.confidence_of_held(nc, training.reservoir_writes(nc, 100, 20), 100).select("series_id", "t", r6("confidence"))
+
+
+@query(f"""{AWARE_SQL}, {held.confidence_of_held_sql("aw", 100)}, {P_OF_F}, {UNIFIED}""")
+def confidence_aware_reservoir(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain: likelihoods fill a score-aware reservoir, confidence levels follow what it holds, their windows
+    are tested for being uniform, and the p-values go on a common scale."""
+    levels = held.confidence_of_held(_nc(spark, sf), held.aware_writes(_scored(spark, sf), 100, 20), 100)
+    p = scores.p_values(store.written(scores.uniform_statistic(levels.select("series_id", "t", "confidence"), every=1, first=100)))
+    return scores.unified(p).select("series_id", "t", F.round("p_value", 9).alias("p_value"), r6("scale"), r6("score"))
+
+
 @query(f"{E}, {training.mu_sigma_sql()} SELECT series_id, t, round(mu_shift, 6) AS mu_shift, round(sigma, 6) AS sigma, round(sigma0, 6) AS sigma0 FROM s")
 def musigma_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
     return training.mu_sigma(src.events(spark, sf)).select("series_id", "t", r6("mu_shift"), r6("sigma"), r6("sigma0"))

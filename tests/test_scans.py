@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import math as fm
-from driftline.operators import evaluate, forest, frames, lags, online, scores, training
+from driftline.operators import evaluate, forest, frames, held, lags, online, scores, training
 from driftline.sources import store
 from driftline.streaming import jobs, loop
 
@@ -256,3 +256,73 @@ def test_folders_and_switches(spark, tmp_path):
     assert folders == ["/w/a/usad-ares_al_ks-al/r1", "/w/a/usad-sw_ks-al/r1", "/w/a/usad-sw_ks-al/r2", "/w/a/usad-sw_ks-avg/r1", "/w/a/usad-sw_ks-cl/r1"]
     checks = spark.createDataFrame([("a", 1, 0.0, 1.0, 1.0)], "series_id string, t long, mu_shift double, sigma double, sigma0 double")
     assert not training.mu_sigma_drift(checks).first()["drift"] and training.mu_sigma_drift(checks, force=True).first()["drift"]
+
+
+def _aware_plainly(first, scores_, n, step):
+    """One batch after the other, as lists: (row, from, until)."""
+    reservoir, out = dict(first), {t: [n - 1, None] for t in first}
+    for k in range((len(scores_) - n) // step):
+        rows = [t for t in range(n + k * step, n + (k + 1) * step) if scores_[t] is not None]
+        old, at, come = sorted(reservoir, key=lambda t: (reservoir[t], t)), n + (k + 1) * step - 1, []
+        for t in rows:
+            if len(come) < n and scores_[t] > reservoir[old[len(come)]]:
+                come.append(t)
+        for gone, t in zip(old, come, strict=False):
+            out[gone][1] = at
+            out[t] = [at, None]
+        reservoir = {t: reservoir[t] for t in old[len(come) :]} | {t: scores_[t] for t in come}
+    return {(t, a, b) for t, (a, b) in out.items()}
+
+
+@pytest.mark.parametrize(("chunk", "fan"), [(16, 2), (40, 3), (8192, 16)])
+def test_aware_reservoir_as_one_batch_after_the_other(spark, chunk, fan):
+    n, step, rng = 12, 5, random.Random(8)
+    raw = {
+        "mixed": [rng.choice([None, float("nan"), 0.1, 0.5, rng.random(), rng.random()]) for _ in range(203)],
+        "falling": [1 - i / 300 for i in range(300)],  # priorities rise, so much is let in
+        "alike": [0.5] * 100,
+        "short": [0.5] * 11,
+        "just": [0.5] * 12,
+        "unscored": [None] * 60,
+    }
+    df = spark.createDataFrame([(s, t, x, "extra") for s, xs in raw.items() for t, x in enumerate(xs)] + [(None, 0, 0.5, "extra")], "series_id string, t long, score double, k string")
+    got = held.aware_writes(df, n, step, chunk=chunk, fan=fan).collect()
+    u = lambda seed, s, k: int(__import__("hashlib").md5(f"{seed}|{s}|{k}".encode()).hexdigest()[:8], 16) / 2**32
+    priority = lambda s, t, x: round((0.7 + 0.2 * u(42, s, t)) ** (3 / math.exp(-3 * x)), 9)
+    assert {r["series_id"] for r in got} == set(raw) - {"short"}
+    for s in set(raw) - {"short"}:
+        first = {t: priority(s, t, u(43, s, t)) for t in range(n)}
+        later = [None if x is None or math.isnan(x) else priority(s, t, x) for t, x in enumerate(raw[s])]
+        assert {(r["t"], r["from_t"], r["until_t"]) for r in got if r["series_id"] == s} == _aware_plainly(first, later, n, step), s
+    assert not held.aware_writes(df.limit(0), n, step).count()
+    with pytest.raises(ValueError, match="batch"):
+        held.aware_writes(df, 4, 5)
+
+
+def test_a_lower_reservoir_stays_lower():
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        n, rows = int(rng.integers(1, 7)), int(rng.integers(1, 30))
+        low = rng.integers(0, 9, n).astype(float)
+        high = np.sort(low) + rng.integers(0, 4, n)
+        p, t, k = rng.integers(0, 12, rows).astype(float), np.arange(rows), np.arange(rows) // n
+        bounds = [[least for _, _, least, _, _ in held.through_batches(p, t, k, x, np.arange(-n, 0))] for x in (np.full(n, -np.inf), low, high)]
+        assert all(a <= b <= c for a, b, c in zip(*bounds, strict=True))
+
+
+@pytest.mark.parametrize("chunk", [16, 65_536])
+def test_confidence_of_held(spark, chunk):
+    rng, n = random.Random(9), 10
+    nc = [(s, t, None if rng.random() < 0.05 and t > 40 else float(rng.randrange(6))) for s in "ab" for t in range(90)] + [("short", t, 1.0) for t in range(5)]
+    df = spark.createDataFrame(nc, "series_id string, t long, nc double")
+    writes = training.reservoir_writes(df, n, 4)
+    value, spans = {(s, t): x for s, t, x in nc}, writes.collect()
+    want = {}
+    for s, t, x in nc:
+        now = [value[w["series_id"], w["t"]] for w in spans if w["series_id"] == s and w["from_t"] < t and (w["until_t"] is None or t <= w["until_t"])]
+        if now:
+            assert len(now) == n
+            want[s, t] = None if x is None else sum(y is not None and y >= x for y in now) / n
+    got = held.confidence_of_held(df, writes, n, chunk=chunk).collect()
+    assert {(r["series_id"], r["t"]): r["confidence"] for r in got} == want and len(got) == len(want) == 160
+    assert not held.confidence_of_held(df.limit(0), writes.limit(0), n).count()
