@@ -143,3 +143,65 @@ def confidence_of_held_sql(writes: str, n: int, into: str = "f") -> str:
     """Table `into` (series_id, t, confidence) from n (series_id, t, nc) and a table of writes."""
     return f"""hd AS (SELECT w.series_id, w.from_t, w.until_t, n.nc FROM {writes} w JOIN n ON n.series_id = w.series_id AND n.t = w.t),
 {into} AS (SELECT n.series_id, n.t, count(*) FILTER (hd.nc >= n.nc) / {float(n)}::DOUBLE AS confidence FROM n JOIN hd ON hd.series_id = n.series_id AND n.t > hd.from_t AND n.t <= coalesce(hd.until_t, n.t) GROUP BY n.series_id, n.t)"""
+
+
+def two_sample(a: np.ndarray, b: np.ndarray) -> float:
+    """The largest distance between the distributions of two samples."""
+    a, b = np.sort(a, axis=None), np.sort(b, axis=None)
+    x = np.concatenate([a, b])
+    return float(np.abs(np.searchsorted(a, x, side="right") / len(a) - np.searchsorted(b, x, side="right") / len(b)).max())
+
+
+def drift_of_held(vectors: DataFrame, writes: DataFrame, n: int, every: int, kind: str = "ks", alpha: float = 0.05, force: bool = False) -> DataFrame:
+    """(series_id, upto, nth, d, mu_shift, sigma, sigma0, drift, version): at every `every`-th change of a training set over
+    time, its distance from the set at the last drift, or the first full one; version counts the drifts up to there.
+    vectors: series_id, t, fv (an array of channels, each an array of values; none null); writes as for confidence_of_held.
+
+    d is the largest two-sample statistic of the channels, over all their values; mu_shift the norm of the difference of
+    cell means, sigma and sigma0 those of the cells' deviations now and then. kind "ks" holds d against the critical
+    value, "mu_sigma" mu_shift against sigma0 and sigma against half and twice of it; force: every check is a drift.
+
+    Each check depends on the one before, so a series is one task; but it reads only the rows that were ever held, whose
+    number grows with the logarithm of a series, and holds those. A series whose set never changes has no checks.
+    """
+    if kind not in ("ks", "mu_sigma"):
+        raise ValueError(f"no such kind of drift: {kind}")
+    bound = float(np.sqrt(2 / n * np.log(2 / alpha)))
+    norm = lambda v: float(np.sqrt(np.clip(v, 1e-6, 1e20).sum()))
+
+    def checks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.stack(v) for v in pdf["fv"]])
+        start, until = pdf["from_t"].to_numpy(), pdf["until_t"].fillna(np.inf).to_numpy(float)
+        set_at = lambda at: x[(start <= at) & (until > at)]
+        changes, out, version = np.unique(start)[1:], [], 0
+        then = set_at(start.min())
+        for no in range(every, len(changes) + 1, every):
+            now = set_at(changes[no - 1])
+            d = max(two_sample(now[:, c], then[:, c]) for c in range(x.shape[1]))
+            shift, sigma, sigma0 = float(np.linalg.norm(now.mean(0) - then.mean(0))), norm(now.var(0, ddof=1)), norm(then.var(0))
+            drift = force or (d > bound if kind == "ks" else shift > sigma0 or sigma < sigma0 / 2 or sigma > 2 * sigma0)
+            if drift:
+                then, version = now, version + 1
+            out.append((key[0], int(changes[no - 1]), no, d, shift, sigma, sigma0, drift, version))
+        return pd.DataFrame(out, columns=["series_id", "upto", "nth", "d", "mu_shift", "sigma", "sigma0", "drift", "version"])
+
+    held = writes.select("series_id", "t", "from_t", "until_t").join(vectors.select("series_id", "t", "fv"), ["series_id", "t"])
+    return held.groupBy("series_id").applyInPandas(checks, "series_id string, upto long, nth int, d double, mu_shift double, sigma double, sigma0 double, drift boolean, version int")
+
+
+def drift_of_held_sql(writes: str, n: int, every: int, kind: str = "ks", alpha: float = 0.05) -> str:
+    """From e (series_id, t, fv: one channel's values) and a table of writes, in a recursive query: tables up to dr."""
+    drift = f"d > {float(np.sqrt(2 / n * np.log(2 / alpha)))!r}::DOUBLE" if kind == "ks" else "mu_shift > sigma0 OR sigma < sigma0 / 2 OR sigma > sigma0 * 2"
+    norm = lambda v: f"sqrt(list_sum(list_transform({v}, lambda z: greatest(least(z, 1e20), 1e-6))))"
+    below = lambda v: f"len(list_filter({v}, lambda q: q <= z)) / len({v})::DOUBLE"
+    return f"""hw AS (SELECT w.series_id, w.t, w.from_t, w.until_t, e.fv, min(w.from_t) OVER (PARTITION BY w.series_id) AS full_t FROM {writes} w JOIN e ON e.series_id = w.series_id AND e.t = w.t),
+hc AS (SELECT series_id, from_t AS upto, row_number() OVER (PARTITION BY series_id ORDER BY from_t)::INTEGER - 1 AS nth FROM (SELECT DISTINCT series_id, from_t FROM hw)),
+hm AS (SELECT c.series_id, c.upto, c.nth, c.nth // {every} AS i, w.fv FROM hc c JOIN hw w ON w.series_id = c.series_id AND w.from_t <= c.upto AND coalesce(w.until_t > c.upto, true) WHERE c.nth % {every} = 0),
+hj AS (SELECT series_id, i, j, avg(x) AS mu, var_samp(x) AS v, var_pop(x) AS v0 FROM (SELECT series_id, i, unnest(fv) AS x, generate_subscripts(fv, 1) AS j FROM hm) GROUP BY ALL),
+hx AS (SELECT * FROM (SELECT series_id, upto, nth, i, flatten(list(fv)) AS a FROM hm GROUP BY ALL) JOIN (SELECT series_id, i, list(mu ORDER BY j) AS mu, list(v ORDER BY j) AS v, list(v0 ORDER BY j) AS v0 FROM hj GROUP BY ALL) USING (series_id, i)),
+dr AS (SELECT series_id, i, upto, nth, NULL::DOUBLE AS d, NULL::DOUBLE AS mu_shift, NULL::DOUBLE AS sigma, NULL::DOUBLE AS sigma0, false AS drift, 0 AS version, a, mu, v0 FROM hx WHERE i = 0
+  UNION ALL SELECT series_id, i, upto, nth, d, mu_shift, sigma, sigma0, drift, version + drift::INTEGER, CASE WHEN drift THEN a ELSE ra END, CASE WHEN drift THEN mu ELSE rmu END, CASE WHEN drift THEN v0 ELSE rv END
+  FROM (SELECT *, {drift} AS drift FROM (SELECT s.series_id, s.i, s.upto, s.nth, dr.version, s.a, s.mu, s.v0, dr.a AS ra, dr.mu AS rmu, dr.v0 AS rv,
+    list_max(list_transform(list_concat(s.a, dr.a), lambda z: abs({below("s.a")} - {below("dr.a")}))) AS d,
+    sqrt(list_sum(list_transform(list_zip(s.mu, dr.mu), lambda z: pow(z[1] - z[2], 2)))) AS mu_shift, {norm("s.v")} AS sigma, {norm("dr.v0")} AS sigma0
+    FROM dr JOIN hx s ON s.series_id = dr.series_id AND s.i = dr.i + 1)))"""

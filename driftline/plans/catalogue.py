@@ -310,6 +310,37 @@ def confidence_aware_reservoir(spark: SparkSession, sf: str) -> DataFrame:
     return scores.unified(p).select("series_id", "t", F.round("p_value", 9).alias("p_value"), r6("scale"), r6("score"))
 
 
+#: The series of vectors of ten values, each named by its last one.
+VECTOR_SERIES = f"""WITH RECURSIVE {src.EVENTS_SQL.replace("e AS", "ew AS", 1)}, ev AS (SELECT *, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS 9 PRECEDING) AS fv FROM ew),
+e AS (SELECT series_id, t - 9 AS t, value, is_anomaly, fv FROM ev WHERE t >= 9)"""
+DRIFTED = "SELECT series_id, upto, nth, round(d, 6) AS d, round(mu_shift, 6) AS mu_shift, round(sigma, 6) AS sigma, round(sigma0, 6) AS sigma0, drift, version FROM dr WHERE i > 0"
+
+
+def _vector_series(spark: SparkSession, sf: str) -> DataFrame:
+    v = frames.feature_vectors(src.events(spark, sf), 10)
+    return v.select("series_id", (F.col("t") - 9).alias("t"), "value", F.array("fv").alias("fv"))
+
+
+def _drifted(checks: DataFrame) -> DataFrame:
+    return checks.select("series_id", "upto", "nth", *[r6(c) for c in ("d", "mu_shift", "sigma", "sigma0")], "drift", "version")
+
+
+@query(f"""{VECTOR_SERIES}, {training.reservoir_writes_sql(100, 20)}, uw AS (SELECT *, lead(from_t) OVER (PARTITION BY series_id, slot ORDER BY from_t) AS until_t FROM wr),
+{held.drift_of_held_sql("uw", 100, 3)} {DRIFTED}""")
+def drift_uniform_reservoir(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third change of a uniform reservoir of vectors is tested for drift since the last one, by Kolmogorov-Smirnov."""
+    v = _vector_series(spark, sf)
+    return _drifted(held.drift_of_held(v, training.reservoir_writes(v, 100, 20), 100, 3))
+
+
+@query(f"""{VECTOR_SERIES}, {PRIORITY_SQL.removeprefix(f"WITH {src.EVENTS_SQL}, ")}, {held.aware_writes_sql(100, 20)}, {held.drift_of_held_sql("aw", 100, 5, "mu_sigma")} {DRIFTED}""")
+def drift_aware_reservoir(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth change of a score-aware reservoir of vectors is tested for drift, by mean and deviation."""
+    v = _vector_series(spark, sf)
+    scored = scores.anomaly_likelihood(frames.nonconformity(v.select("series_id", "t", "value"))).withColumn("score", F.round("score", 6))
+    return _drifted(held.drift_of_held(v, held.aware_writes(scored, 100, 20), 100, 5, "mu_sigma"))
+
+
 @query(f"{E}, {training.mu_sigma_sql()} SELECT series_id, t, round(mu_shift, 6) AS mu_shift, round(sigma, 6) AS sigma, round(sigma0, 6) AS sigma0 FROM s")
 def musigma_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
     return training.mu_sigma(src.events(spark, sf)).select("series_id", "t", r6("mu_shift"), r6("sigma"), r6("sigma0"))

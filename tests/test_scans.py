@@ -326,3 +326,36 @@ def test_confidence_of_held(spark, chunk):
     got = held.confidence_of_held(df, writes, n, chunk=chunk).collect()
     assert {(r["series_id"], r["t"]): r["confidence"] for r in got} == want and len(got) == len(want) == 160
     assert not held.confidence_of_held(df.limit(0), writes.limit(0), n).count()
+
+
+@pytest.mark.parametrize("kind", ["ks", "mu_sigma", "forced"])
+def test_drift_of_held_sets(spark, kind):
+    n, length, every, rng = 30, 4, 2, np.random.default_rng(12)
+    x = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(3, 1, (150, 2)), rng.normal(3, [1, 6], (300, 2))])
+    series = {"moves": x, "stays": np.ones((200, 2)), "short": x[:20], "once full": x[: n + length - 1]}
+    vectors = {s: [v[i : i + length].T for i in range(len(v) - length + 1)] for s, v in series.items()}
+    df = spark.createDataFrame([(s, t, v.tolist(), "extra") for s, vs in vectors.items() for t, v in enumerate(vs)], "series_id string, t long, fv array<array<double>>, d string")
+    writes = training.reservoir_writes(df, n, 10)
+    rows, want = writes.collect(), []
+    bound = math.sqrt(2 / n * math.log(2 / 0.05))
+    for s in vectors:
+        mine = [w for w in rows if w["series_id"] == s]
+        at = sorted({w["from_t"] for w in mine})
+        held_at = lambda a: np.stack([vectors[s][w["t"]] for w in mine if w["from_t"] <= a and (w["until_t"] is None or w["until_t"] > a)])
+        then, version = held_at(at[0]) if at else None, 0
+        for nth, a in list(enumerate(at))[every::every]:
+            now = held_at(a)
+            assert len(now) == n
+            d = max(online.ks_statistic(now[:, c].ravel(), then[:, c].ravel()) for c in (0, 1))
+            norm = lambda v: math.sqrt(np.maximum(v, 1e-6).sum())
+            shift, sigma, sigma0 = np.sqrt(((now.mean(0) - then.mean(0)) ** 2).sum()), norm(now.var(0, ddof=1)), norm(then.var(0))
+            drift = {"ks": d > bound, "mu_sigma": bool(shift > sigma0 or not sigma0 / 2 <= sigma <= 2 * sigma0), "forced": True}[kind]
+            version += drift
+            want.append((s, a, nth, pytest.approx(d), pytest.approx(shift), pytest.approx(sigma), pytest.approx(sigma0), drift, version))
+            then = now if drift else then
+    got = held.drift_of_held(df, writes, n, every, "ks" if kind == "forced" else kind, force=kind == "forced")
+    assert [tuple(r) for r in got.orderBy("series_id", "upto").collect()] == sorted(want, key=lambda r: r[:2])
+    assert {"moves", "stays"} == {r[0] for r in want} and any(r[7] for r in want)
+    assert not held.drift_of_held(df.limit(0), writes.limit(0), n, every).count()
+    with pytest.raises(ValueError, match="kind"):
+        held.drift_of_held(df, writes, n, every, "other")
