@@ -112,15 +112,16 @@ aw AS (SELECT i.*, g.until_t FROM (SELECT series_id, t, priority, {n - 1}::BIGIN
   LEFT JOIN (SELECT series_id, gone, {whole} AS until_t FROM wk WHERE gone IS NOT NULL) g ON g.series_id = i.series_id AND g.gone = i.t)"""
 
 
-def confidence_of_held(nc: DataFrame, writes: DataFrame, n: int, chunk: int = 65_536) -> DataFrame:
+def confidence_of_held(nc: DataFrame, writes: DataFrame, n: int, chunk: int | None = None) -> DataFrame:
     """(series_id, t, nc, confidence) of each row that comes when the training set is full: the share of the n rows held
     before it whose nonconformity is no less than its own; null for a null nc. writes: series_id, t, from_t, until_t, as
     aware_writes or reservoir_writes give them; a row counts as held by rows after from_t up to until_t.
 
     Between two changes a set is fixed, and there are few changes, so sets are spread by change. In each such span, and
     each chunk of a long one, held rows and coming rows are put in order together, and one count runs through them; no row
-    is paired with the rows of a set.
+    is paired with the rows of a set. A chunk has 16 times as many rows as a set, or CHUNK, so that sets are few beside rows.
     """
+    chunk = chunk or max(CHUNK, 16 * n)
     writes = written(writes.select("series_id", "t", "from_t", "until_t"))
     changes = writes.select("series_id", "from_t").distinct()
     changes = changes.withColumn("version", F.row_number().over(Window.partitionBy("series_id").orderBy("from_t")))
