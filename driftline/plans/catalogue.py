@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import math as fm
 from driftline.operators import evaluate as ev
-from driftline.operators import forest, frames, held, lags, models, online, registry, scores, training
+from driftline.operators import forest, frames, held, lags, models, nets, online, registry, scores, training
 from driftline.sources import series as src
 from driftline.sources import store
 from driftline.streaming import jobs, loop
@@ -882,6 +882,45 @@ def model_registry_scores(spark: SparkSession, sf: str) -> DataFrame:
     return registry.score_with(e, registry.fit_models(e, "autoencoder", [100, 150]))
 
 
+# networks as rows
+
+_LENGTH, _TAUGHT, _EPOCHS, _BATCHES, _RATE = 20, 100, 5, 1, 0.01
+
+
+def _net_sql(net: nets.Net) -> str:
+    return f"""{E}, wd AS MATERIALIZED (SELECT series_id, t, x FROM (SELECT series_id, t, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS {_LENGTH - 1} PRECEDING) AS x FROM e) WHERE t >= {_LENGTH - 1}),
+ver AS MATERIALIZED (SELECT series_id, version, floor(n * share)::BIGINT AS from_t, version = 2 AS fork FROM (SELECT series_id, count(*) AS n FROM e GROUP BY series_id), (VALUES (0, 0.5::DOUBLE), (1, 0.75::DOUBLE), (2, 0.875::DOUBLE)) v(version, share)),
+mb AS MATERIALIZED (SELECT v.series_id, v.version, w.t, w.x FROM ver v JOIN wd w ON w.series_id = v.series_id AND w.t >= v.from_t - {_TAUGHT} AND w.t < v.from_t),
+{nets.fit_sql(net, 3, _EPOCHS, _BATCHES, _RATE)}, {nets.score_sql(net)} SELECT series_id, t, version, round(nc, 6) AS nc FROM nn"""
+
+
+def _net_scores(spark: SparkSession, sf: str, net: nets.Net) -> DataFrame:
+    e = src.events(spark, sf)
+    vectors = store.written(frames.feature_vectors(e, _LENGTH).select("series_id", "t", "fv"))
+    n = e.groupBy("series_id").agg(F.count("*").alias("_n"))
+    share = F.explode(F.array(*[F.struct(F.lit(i).alias("version"), F.lit(s).alias("share")) for i, s in enumerate((0.5, 0.75, 0.875))])).alias("_v")
+    versions = n.select("series_id", "_n", share).select("series_id", "_v.version", F.floor(F.col("_n") * F.col("_v.share")).alias("from_t"), (F.col("_v.version") == 2).alias("fork"))
+    versions = store.written(versions)
+    fitted = nets.fit(vectors, versions, nets.sliding_members(versions, _TAUGHT), net, _EPOCHS, _BATCHES, _RATE)
+    return nets.score(vectors, versions, fitted, net).select("series_id", "t", "version", r6("nc"))
+
+
+AUTOENCODER, USAD = nets.autoencoder(_LENGTH), nets.usad(_LENGTH, _LENGTH // 10)
+
+
+@query(_net_sql(AUTOENCODER))
+def autoencoder_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of 20 rows against an autoencoder that learns from the last 100 before the half of each series, goes on
+    learning at three quarters, and is replaced at seven eighths by a fork with fresh weights."""
+    return _net_scores(spark, sf, AUTOENCODER)
+
+
+@query(_net_sql(USAD))
+def usad_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with two decoders on one encoder; the output that fits best is the one scored against."""
+    return _net_scores(spark, sf, USAD)
+
+
 # streaming
 
 
