@@ -14,9 +14,12 @@ def normal_cdf(z: Column) -> Column:
     """The standard normal distribution function by its series at 0, exact to double precision for |z| <= 4; 0 or 1
     beyond 8. z should be a column, not an expression: it is used in every term."""
     z2 = z * z
-    inner = F.lit(1.0)
-    for k in range(TERMS, 0, -1):
-        inner = F.lit(1.0) + z2 / F.lit(2.0 * k + 1) * inner
+    factors = [1.0]
+    for k in range(1, TERMS + 1):
+        factors.append(factors[-1] / (2 * k + 1))
+    inner = F.lit(factors[-1])
+    for c in reversed(factors[:-1]):
+        inner = z2 * inner + c
     value = F.lit(0.5) + F.exp(z2 * F.lit(-0.5)) / F.lit(math.sqrt(2 * math.pi)) * z * inner
     return F.when(z > 8, 1.0).when(z < -8, 0.0).otherwise(value)
 

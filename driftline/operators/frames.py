@@ -14,8 +14,12 @@ from driftline.functions.math import cosine_distance, difference_factors, euclid
 CHUNK = 8192
 
 
-def rolling(df: DataFrame, before: int, columns: dict[str, Callable[[WindowSpec], Column]], after: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """df with columns over row frames of at most `before` rows back and `after` rows ahead.
+Frames = dict[str, Callable[[WindowSpec], Column]]
+
+
+def rolling(df: DataFrame, before: int, columns: Frames | list[Frames], after: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """df with columns over row frames of at most `before` rows back and `after` rows ahead; in a list, later columns may
+    use earlier ones, and `before` and `after` are what their frames reach together.
 
     A series is cut into chunks of `chunk` rows, and each chunk also gets the few rows around it that its frames reach
     into. So the tasks are as many as chunks, not as series, and no task holds a long series. t must have no gaps.
@@ -23,7 +27,10 @@ def rolling(df: DataFrame, before: int, columns: dict[str, Callable[[WindowSpec]
     at = F.floor(F.col("t") / chunk)
     reach = F.sequence(F.greatest(F.floor((F.col("t") - after) / chunk), F.lit(0)), F.floor((F.col("t") + before) / chunk))
     w = Window.partitionBy("series_id", "_chunk").orderBy("t")
-    return df.withColumn("_chunk", F.explode(reach)).withColumns({k: f(w) for k, f in columns.items()}).where(F.col("_chunk") == at).drop("_chunk")
+    df = df.withColumn("_chunk", F.explode(reach))
+    for layer in columns if isinstance(columns, list) else [columns]:
+        df = df.withColumns({k: f(w) for k, f in layer.items()})
+    return df.where(F.col("_chunk") == at).drop("_chunk")
 
 
 def feature_vectors(series: DataFrame, length: int, lag: int = 0, value: str = "value") -> DataFrame:
@@ -71,9 +78,13 @@ def online_forecast(series: DataFrame, taps: int, chunk: int = CHUNK, ridge: flo
     return out.select("series_id", "t", "weights", (F.col("_before") + F.aggregate(F.zip_with("weights", "_x", lambda g, v: g * v), F.lit(0.0), lambda s, v: s + v)).alias("pred"))
 
 
+#: Columns of nonconformity, whose frames reach one row back.
+NC: Frames = {"nc": lambda w: F.coalesce(F.abs(F.col("value") - F.lag("value", 1).over(w)), F.lit(0.0))}
+
+
 def nonconformity(series: DataFrame) -> DataFrame:
     """nc: the absolute difference to the row before, 0 for the first."""
-    return rolling(series, 1, {"nc": lambda w: F.coalesce(F.abs(F.col("value") - F.lag("value", 1).over(w)), F.lit(0.0))})
+    return rolling(series, 1, NC)
 
 
 NC_SQL = "n AS (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY series_id ORDER BY t)), 0.0::DOUBLE) AS nc FROM e)"

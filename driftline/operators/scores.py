@@ -8,21 +8,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.math import clip, normal_cdf, normal_cdf_sql, uniform_p_value
-from driftline.operators.frames import CHUNK, NC_SQL, rolling
+from driftline.operators.frames import CHUNK, NC, NC_SQL, Frames, rolling
 from driftline.sources.series import numbered
 
 SHORT, LONG, FLOOR = 10, 50, 0.5
 
 
+def _over_nonconformity(rows: DataFrame, length: int, columns: Frames) -> DataFrame:
+    """columns over frames of nc, of at most `length` rows. Rows of values only get their nonconformity in the same frames,
+    one row longer, so that both take one shuffle and one sort."""
+    return rolling(rows, length - 1, columns) if "nc" in rows.columns else rolling(rows, length, [NC, columns])
+
+
 def average_of_window(nc: DataFrame, length: int = 50) -> DataFrame:
-    return rolling(nc, length - 1, {"score": lambda w: F.avg("nc").over(w.rowsBetween(-(length - 1), 0))}).where(F.col("t") >= length - 1)
+    """score: the mean of nc over the last `length` rows; from the first full window on. Without a column nc it is that of
+    the values."""
+    return _over_nonconformity(nc, length, {"score": lambda w: F.avg("nc").over(w.rowsBetween(-(length - 1), 0))}).where(F.col("t") >= length - 1)
 
 
 def anomaly_likelihood(nc: DataFrame, short: int = SHORT, long: int = LONG, floor: float = FLOOR) -> DataFrame:
     """score: the normal distribution function of how far the short mean is above the long mean, in deviations of the
-    long window or `floor` if they are smaller; from the first full long window on."""
+    long window or `floor` if they are smaller; from the first full long window on. Without a column nc it is that of the
+    values."""
     over = lambda w, n: w.rowsBetween(-(n - 1), 0)
-    out = rolling(nc, long - 1, {"m_short": lambda w: F.avg("nc").over(over(w, short)), "m_long": lambda w: F.avg("nc").over(over(w, long)), "sd": lambda w: F.stddev_samp("nc").over(over(w, long))})
+    out = _over_nonconformity(nc, long, {"m_short": lambda w: F.avg("nc").over(over(w, short)), "m_long": lambda w: F.avg("nc").over(over(w, long)), "sd": lambda w: F.stddev_samp("nc").over(over(w, long))})
     out = out.where(F.col("t") >= long - 1).withColumn("z", (F.col("m_short") - F.col("m_long")) / F.greatest("sd", F.lit(floor)))
     return out.withColumn("score", normal_cdf(F.col("z"))).drop("m_short", "m_long", "sd", "z")
 

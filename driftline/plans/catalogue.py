@@ -176,12 +176,12 @@ def nc_running_max_norm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{NC}, s AS (SELECT series_id, t, avg(nc) OVER (PARTITION BY series_id ORDER BY t ROWS 49 PRECEDING) AS score FROM n) SELECT series_id, t, round(score, 6) AS score FROM s WHERE t >= 49")
 def score_average_of_window(spark: SparkSession, sf: str) -> DataFrame:
-    return scores.average_of_window(_nc(spark, sf)).select("series_id", "t", r6("score"))
+    return scores.average_of_window(src.events(spark, sf)).select("series_id", "t", r6("score"))
 
 
 @query(f"{E}, {scores.likelihood_sql()} SELECT series_id, t, round(score, 6) AS score FROM a")
 def score_anomaly_likelihood(spark: SparkSession, sf: str) -> DataFrame:
-    return scores.anomaly_likelihood(_nc(spark, sf)).select("series_id", "t", r6("score"))
+    return scores.anomaly_likelihood(src.events(spark, sf)).select("series_id", "t", r6("score"))
 
 
 @query(f"{E}, {scores.likelihood_of_batches_sql()}")
