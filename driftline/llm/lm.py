@@ -61,7 +61,8 @@ class Vocabulary:
 
 
 def count_words(train: DataFrame, text: str = "text") -> DataFrame:
-    """(word, c): the count of every word of the training texts."""
+    """(word, c): the count of every word of the training texts. Null and empty texts have none, repeated rows count as
+    often, no rows give none; only the text's column is read."""
     each = train.select(F.explode(words(ascii_lower(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
     return stable(each.groupBy("word").agg(F.count("*").alias("c")))
 
@@ -126,6 +127,9 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 3, warm_docs: int =
     every task learns from its own documents, starting from the common weights, and the tasks' weights are averaged by
     the tokens they saw: summed in a few tasks, then on the driver, so that the driver holds a few copies however many
     tasks there are.
+
+    A null text is an empty one, of which only the end is learnt; null and repeated ids and rows are learnt from as often
+    as they are there. Without training words the weights stay as they start. Other columns play no part.
     """
     spark = docs.sparkSession
     shape = vocab.shape
@@ -174,7 +178,8 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 3, warm_docs: int =
 
 
 def place() -> Column:
-    """A document's place from 0 to 1, by a hash."""
+    """A document's place from 0 to 1, by a hash of its id and text; a null id has a place too, repeated rows have one
+    place."""
     return F.pmod(F.xxhash64("d", F.xxhash64("text")), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 

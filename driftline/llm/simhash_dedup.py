@@ -75,6 +75,8 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = 64, segments: int | None
     turned bits all within j less. Any two that share a pattern differ in at most radius bits, and any two that link
     through this key share one; so each is tied to the smallest that shares its pattern, in a number of rows that grows
     with the group and not with its square.
+
+    Fingerprints come once each; none give no edges, other columns play no part.
     """
     if radius < 2 or radius % 2:
         raise ValueError("radius must be even and at least 2")
@@ -107,6 +109,7 @@ def groups(docs: DataFrame, k: int, radius: int = 4, key: str = "doc_id", text:
     Equal fingerprints are one node, so copies cost one row each and no pairs. A null text has no words; texts without
     words share the fingerprint zero and link like any others. A null id takes part in its group and is never its
     smallest id, unless there is no other. Rows that share an id and a text are one row with their number in copies.
+    An empty table has no groups; other columns do not come back, whatever they are called.
     """
     fps = stable(fingerprints(docs, k, key, text))
     nodes = fps.groupBy("fp").agg(F.min("d").alias("least"))

@@ -206,7 +206,8 @@ def mark_repeats(docs: DataFrame, length: int = 35, k: int = 5, key: str = "doc_
 
 def remove_repeats(docs: DataFrame, length: int = 35, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_words, n_removed): the texts without the words of windows of `length` words that start anywhere
-    else too, the kept words joined by one space."""
+    else too, the kept words joined by one space. A null text has no words and comes back empty, repeated rows repeat
+    each other's windows, a null id keeps its row; an empty table gives no rows, other columns do not come back."""
     schema = "doc_id long, text string, n_words long, n_removed long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

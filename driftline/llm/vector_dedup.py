@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import components, local_roots, stable, table
 
+#: Cells of a table of vectors against lists: 8 MB.
+CELLS = 1 << 20
+
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
@@ -47,14 +50,23 @@ class Index:
 
     def probes(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Home list of each unit vector, and (row, list) of the other lists to look into: those whose border is within
-        the margin."""
-        d = np.maximum((u * u).sum(1)[:, None] + (self.lists**2).sum(1)[None, :] - 2 * (u @ self.lists.T), 0)
-        home = d.argmin(1)
-        apart = np.sqrt(np.maximum((self.lists**2).sum(1)[:, None] + (self.lists**2).sum(1)[None, :] - 2 * self.lists @ self.lists.T, 0))
-        border = d - d[np.arange(len(u)), home][:, None] <= 2 * self.margin * apart[home]
-        border[np.arange(len(u)), home] = False
-        row, other = np.nonzero(border)
-        return home, row, other
+        the margin. So many vectors at a time that their tables against all lists have about CELLS cells."""
+        squares = (self.lists**2).sum(1)
+        homes, rows, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        each = max(1, CELLS // len(self.lists))
+        for at in range(0, len(u), each):
+            part = u[at : at + each]
+            d = np.maximum((part * part).sum(1)[:, None] + squares[None, :] - 2 * (part @ self.lists.T), 0)
+            home = d.argmin(1)
+            seen, where = np.unique(home, return_inverse=True)
+            apart = np.sqrt(np.maximum(squares[seen][:, None] + squares[None, :] - 2 * self.lists[seen] @ self.lists.T, 0))
+            border = d - d[np.arange(len(part)), home][:, None] <= 2 * self.margin * apart[where]
+            border[np.arange(len(part)), home] = False
+            row, other = np.nonzero(border)
+            homes.append(home)
+            rows.append(row + at)
+            others.append(other)
+        return np.concatenate(homes), np.concatenate(rows), np.concatenate(others)
 
     def asks(self, u: np.ndarray, home: int, other: np.ndarray) -> np.ndarray:
         """Whether unit vectors at home in one list look into the other lists, by the rule of probes."""

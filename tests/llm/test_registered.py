@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 from test_llm import LOWER, SCHEMA, corpus, words
 
-from driftline.llm import quality, registry
+from driftline.llm import quality, registry, vector_dedup
 from driftline.llm.packing import tokenizer_path
 
 #: op4, op12 and op13 have such tests of their own, op5 reads another table.
@@ -124,3 +124,46 @@ def test_op10(spark, sf, small):
                 at += n
             assert at == len(ids[k]) if most is None else at <= most
     assert set(seen) == set(ids) and sum(map(len, ids.values())) / (2048 * len(fill)) > 0.9
+
+
+def test_pipeline_of_no_rows_and_odd_rows(spark, folders, tmp_path):
+    """Stages make nothing of nothing; of odd rows with clashing columns they lose no id, null ones included, but those
+    that they reject, merge or leave out of the mix."""
+    import corpus_pipeline as cp
+
+    odd = spark.read.parquet(f"{folders['odd']}/documents.parquet").withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")})
+    odd.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folders['empty']}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    clash = odd.withColumns({c: F.lit("x") for c in ("row", "size", "spans", "epoch", "_d", "_t", "_hash", "d", "t", "root", "copies")})
+    ids = lambda df: collections.Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    all_ids = ids(odd)
+    for name, stage in cp.STAGES:
+        assert stage(spark, odd.limit(0), folders["empty"]).count() == 0, name
+        out = stage(spark, clash, folders["odd"])
+        if name == "packing":
+            assert ids(out.where("start = 0")) == all_ids
+            continue
+        assert out.columns == list(cp.COLUMNS), name
+        got = ids(out)
+        if name.startswith("line"):
+            assert got == all_ids
+        elif name.startswith("simhash"):
+            assert got <= all_ids and out.where("text is null").count() <= 1
+        else:
+            assert set(got) <= set(all_ids), name
+    mixed = cp.mixing_stage(spark, clash, folders["odd"])
+    total = sum(len(words(r["text"] or "")) for r in odd.collect())
+    assert sum(len(words(r["text"])) for r in mixed.collect()) == pytest.approx(1.5 * total, rel=0.02, abs=128)
+
+
+def test_op5_probes_part_by_part(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = vector_dedup.fit(x, 500, 0.9, 20, 4, 16, 0.5)
+    whole = index.probes(x)
+    monkeypatch.setattr(vector_dedup, "CELLS", 70)
+    parts = index.probes(x)
+    assert len(whole[1]) and all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert all(len(a) == 0 for a in index.probes(x[:0]))
