@@ -955,7 +955,7 @@ def version_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{NC}, s AS (SELECT series_id, t, avg(nc) OVER (PARTITION BY series_id ORDER BY t ROWS 49 PRECEDING) AS score FROM n) SELECT series_id, t, round(score, 6) AS score FROM s WHERE t >= 49")
 def stream_late_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Events of which a third come a trigger late, put in order by state and timers, then scored as they leave it."""
+    """Events of which a third come a trigger late, put in order by state and watermark, then scored as they leave it."""
     folder = f"{store.shared_folder(spark)}/late-{uuid.uuid4().hex}"
     e = src.table(spark, sf, "events")
     last = loop.end_of_stream(e, REPLAY_LATE)

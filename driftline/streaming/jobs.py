@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import frames
 from driftline.sources import series as src
+from driftline.sources import store
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -57,7 +58,12 @@ def rolling_scores(events: DataFrame, folder: str, length: int = 50, run: Callab
         session = df.sparkSession
         # the empty table stands before the first trigger
         tail = session.read.schema(TAIL).parquet(f"{at}/tail/{number - 1}") if number else session.createDataFrame([], TAIL)
-        new = continued(df.select(F.col("event_type").alias("series_id"), "ts", "event_id", "value"), tail)
+        # once: each reading of a trigger goes through the stream's state again
+        new = store.written(df.select(F.col("event_type").alias("series_id"), "ts", "event_id", "value"))
+        if number and new.isEmpty():  # the watermark has passed nothing; the next trigger reads the same tail
+            tail.write.mode("overwrite").parquet(f"{at}/tail/{number}")
+            return
+        new = store.written(continued(new, tail))
         both = new.withColumn("_new", F.lit(True)).unionByName(tail.withColumn("_new", F.lit(False)))
         changes = frames.nonconformity(both)
         scored = frames.rolling(changes, length - 1, {"score": lambda w: F.avg("nc").over(w.rowsBetween(-(length - 1), 0))})

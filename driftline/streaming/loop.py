@@ -1,4 +1,4 @@
-"""Streams whose drift decides which model scores them next, and rows that state and timers put in order."""
+"""Streams whose drift decides which model scores them next, and rows that state and watermark put in order."""
 
 from __future__ import annotations
 
@@ -7,16 +7,14 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftline.operators import frames
 from driftline.sources import store
 from driftline.streaming.jobs import SCHEMA, continued, last_rows
 
-DAY = 86_400_000_000
+HOUR = 3_600_000_000
 
 
 def replay(events: DataFrame, part: Column, folder: str, run) -> None:
@@ -144,57 +142,38 @@ SELECT u.series_id, u.strategy, u.version, u.parent, u.from_t, line.depth, line.
 FROM u JOIN line USING (series_id, strategy, version) LEFT JOIN e ON e.series_id = u.series_id AND e.t >= u.from_t AND (until IS NULL OR e.t < until) GROUP BY ALL"""
 
 
-ROWS = "at long, event_id long, value double"
-
-
-class InOrder(StatefulProcessor):
-    """Keeps the rows of a series and a stretch of time until the watermark has passed its end, then gives them out in
-    order. The key holds the stretch, so a hot series is many keys; rows that come later than that Spark drops itself."""
-
-    def __init__(self, width: int):
-        self.width = width
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", ROWS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.rows.exists():
-            self.handle.registerTimer((key[1] + 1) * self.width // 1000)
-        for pdf in rows:
-            values = pdf["value"].astype(object).where(pdf["value"].notna(), None)
-            self.rows.appendList(list(zip(pdf["at"].tolist(), pdf["event_id"].tolist(), values.tolist(), strict=True)))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        kept = sorted(self.rows.get(), key=lambda r: (r[0], r[1]))
-        self.rows.clear()
-        yield pd.DataFrame({"series_id": [key[0]] * len(kept), **{c: [r[i] for r in kept] for i, c in enumerate(("at", "event_id", "value"))}})
-
-    def close(self) -> None:
-        pass
+#: Where streams within `rocks` keep their state, and that a trigger saves what it has changed, not all that there is.
+ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextlib.contextmanager
 def rocks(spark: SparkSession) -> Iterator[None]:
     """Streams that start within keep their state in RocksDB; the session's own choice comes back after."""
-    key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key)
-    spark.conf.set(key, kind)
+    before = {k: spark.conf.get(k, None) for k in ROCKS}
+    for k, v in ROCKS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def in_order(events: DataFrame, late: str, width: int = DAY) -> DataFrame:
+def in_order(events: DataFrame, late: str, width: int = HOUR) -> DataFrame:
     """The events of a stream (event_type, ts, event_id, value), each stretch of `width` microseconds of a series given out
     once the watermark has passed it, so that no later trigger brings rows before it. Rows may be `late`; rows that are
-    later go. Needs the RocksDB state store. Rows without a type or a time play no part."""
+    later go. Rows without a type or a time play no part.
+
+    The state is a list of rows for each series and stretch, which Spark keeps, gives out and clears by itself, so no
+    trigger starts Python; a hot series is many keys. Many rows need the RocksDB state store.
+    """
     e = events.where("event_type is not null and ts is not null").withWatermark("ts", late)
-    e = e.select(F.col("event_type").alias("series_id"), F.floor(F.unix_micros("ts") / width).alias("part"), "ts", F.unix_micros("ts").alias("at"), F.coalesce("event_id", F.lit(0)).alias("event_id"), "value")
-    out = e.groupBy("series_id", "part").transformWithStateInPandas(InOrder(width), f"series_id string, {ROWS}", "Append", "EventTime")
-    return out.select(F.col("series_id").alias("event_type"), F.timestamp_micros("at").alias("ts"), "event_id", "value")
+    row = F.struct("ts", F.coalesce("event_id", F.lit(0)).alias("event_id"), "value")
+    kept = e.groupBy("event_type", F.window("ts", f"{width} microseconds").alias("stretch")).agg(F.collect_list(row).alias("rows"))
+    return kept.select("event_type", F.explode("rows").alias("row")).select("event_type", "row.*")
 
 
 def end_of_stream(events: DataFrame, late_days: int) -> DataFrame:

@@ -159,6 +159,21 @@ def test_late_rows_come_in_order(spark, tmp_path):
     assert {r["event_id"]: r["value"] for r in got}[9] is None
 
 
+def test_a_trigger_reads_the_stream_once(spark, tmp_path):
+    """Whatever stands behind a trigger's rows, state included, runs once, however many tables are made of them."""
+    t0, seen = datetime.datetime(2024, 1, 1), spark.sparkContext.accumulator(0)
+    spark.createDataFrame([(i, t0 + datetime.timedelta(hours=i), 1, "s", float(i), None) for i in range(80)], jobs.SCHEMA).write.parquet(str(tmp_path / "events.parquet"))
+
+    @F.udf("double")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    stream = jobs.event_stream(spark, str(tmp_path)).withColumn("value", noted("value"))
+    assert jobs.rolling_scores(stream, str(tmp_path), 10).count() == 71
+    assert seen.value == 80
+
+
 def test_lags_from_one_matrix(spark):
     """Residual sums are those of least squares on the same rows, in chunks or not; forecasts leave those residuals."""
     rng = np.random.default_rng(8)
