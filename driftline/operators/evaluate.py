@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,46 @@ def counts(found: DataFrame, true: DataFrame, extra: list[str] | None = None, wi
     return out.withColumn("fn", F.col("n") - F.col("tp")).drop("n")
 
 
+def counts_buffered(found: DataFrame, true: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(series_id, buffer, lv, tp, fp, fn): counts of detections against true intervals (as sequences gives them) with each
+    buffer's half added on both sides. Detections lie within the rows of the series, so the ends of the series do not cut.
+
+    Ends of true intervals rise with their numbers, so what a detection goes to is the first one that ends at or behind
+    the detection's start less the half, if that one starts early enough: a look-up in the ends, for all buffers at once,
+    so no detection is spread by buffers or cuts. Chunks of detections meet the few intervals that they can go to, side by
+    side. Goals rise with the detections, so of a chunk only the first goal can be one of the chunks before.
+    """
+    far, key = np.iinfo(np.int64).max, f"series_id {found.schema['series_id'].dataType.simpleString()}"
+    ends = rolling(true.select("series_id", F.col("k").alias("t"), "s", "e"), 1, {"_before": lambda w: F.lag("e", 1, -1).over(w)}, chunk=chunk)
+    reach = F.sequence(F.floor((F.col("_before") + 1) / chunk), F.floor((F.col("e") + BUFFERS[-1] // 2) / chunk))
+    goals = ends.select(F.col("series_id").alias("_of"), F.explode(reach).alias("_cut"), F.col("t").alias("k"), "s", "e")
+
+    def tallies(key: tuple, own: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        own, met, out = own.sort_values(["lv", "s"]), met.sort_values("k"), []
+        lv, s, e = (own[c].to_numpy() for c in ("lv", "s", "e"))
+        k, s2, e2 = (np.append(met[c].to_numpy(np.int64), x) for c, x in (("k", -1), ("s", far), ("e", far)))
+        starts = np.flatnonzero(np.diff(lv, prepend=-1)).tolist()
+        for b in BUFFERS:
+            at = np.searchsorted(e2, s - b // 2)
+            goal = np.where(s2[at] <= e + b // 2, k[at], -1)
+            for lo, hi in zip(starts, [*starts[1:], len(lv)], strict=False):
+                hit = goal[lo:hi][goal[lo:hi] >= 0]
+                ends_ = (int(hit[0]), int(hit[-1])) if len(hit) else (-1, -1)
+                out.append((key[0], key[1], b, int(lv[lo]), len(np.unique(hit)), hi - lo - len(hit), *ends_))
+        return pd.DataFrame(out, columns=["series_id", "_chunk", "buffer", "lv", "tp", "fp", "_first", "_last"])
+
+    each = found.select("series_id", F.floor(F.col("s") / chunk).alias("_chunk"), "lv", "s", "e").groupBy("series_id", "_chunk").cogroup(goals.groupBy("_of", "_cut"))
+    each = each.applyInPandas(tallies, f"{key}, _chunk long, buffer int, lv int, tp long, fp long, _first long, _last long")
+    before = Window.partitionBy("series_id", "buffer", "lv").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    again = F.when((F.col("tp") > 0) & (F.col("_first") == F.max("_last").over(before)), 1).otherwise(0)
+    sums = each.withColumn("tp", F.col("tp") - again).groupBy("series_id", "buffer", "lv").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    n = true.groupBy("series_id").agg(F.count("*").alias("n"))
+    spread = lambda values, name: F.explode(F.array(*[F.lit(x) for x in values])).alias(name)
+    grid = n.select("*", spread(BUFFERS, "buffer")).select("*", spread(range(LEVELS), "lv"))
+    out = grid.join(sums, ["series_id", "buffer", "lv"], "left").fillna(0, ["tp", "fp"])
+    return out.withColumn("fn", F.col("n") - F.col("tp")).drop("n")
+
+
 def precision_recall(counted: DataFrame) -> DataFrame:
     one = lambda c: F.greatest(c, F.lit(1))
     return counted.withColumns({"precision": F.col("tp") / one(F.col("tp") + F.col("fp")), "recall": F.col("tp") / one(F.col("tp") + F.col("fn"))})
@@ -121,24 +163,27 @@ def soft_labels(scored: DataFrame, true: DataFrame) -> DataFrame:
     into each other the later one counts.
 
     The later one is that with the last start at most half a buffer ahead, or, without one, that with the last end at or
-    behind the row: frames over rows find both, so nothing is spread by buffers before the sums. t must have no gaps.
+    behind the row: running maxima over rows, looked up that far ahead, find both, so nothing is spread by buffers before
+    the sums and no frame is gone through for each row. t must have no gaps.
     """
     mark = lambda at, name: F.struct(F.col(at).alias("t"), F.lit(name).alias("what"))
     marks = true.select("series_id", F.explode(F.array(mark("s", "s"), mark("e", "e"))).alias("x")).groupBy("series_id", F.col("x.t").alias("t"))
     marks = marks.agg(*[F.bool_or(F.col("x.what") == c).alias(f"_{c}") for c in "se"])
     rows = scored.select("series_id", "t", "score", F.col("is_anomaly").alias("y")).join(marks, ["series_id", "t"], "left")
-    found = {"_more": lambda w: F.lead("t").over(w), "_end": lambda w: F.max(F.when(F.col("_e"), F.col("t"))).over(w.rowsBetween(1 - BUFFERS[-1] // 2, 0))}
-    found |= {f"_start{b}": lambda w, b=b: F.max(F.when(F.col("_s"), F.col("t"))).over(w.rowsBetween(1, b // 2)) for b in BUFFERS if b}
+    upto, whole = lambda w: w.rowsBetween(Window.unboundedPreceding, 0), lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    start = F.when(F.col("_s"), F.col("t"))
+    so_far = {"_more": lambda w: F.lead("t").over(w), "_end": lambda w: F.max(F.when(F.col("_e"), F.col("t"))).over(upto(w)), "_start": lambda w: F.max(start).over(upto(w)), "_top": lambda w: F.max(start).over(whole(w))}
+    ahead = {f"_start{b}": lambda w, b=b: F.when(F.lead("t", b // 2).over(w).isNull(), F.col("_top")).otherwise(F.lead("_start", b // 2).over(w)) for b in BUFFERS if b}
 
     def soft(b: int) -> Column:
         y, t, start, end = F.col("y").cast("double"), F.col("t"), F.col(f"_start{b}"), F.col("_end")
         if not b:
             return y
         behind = F.col("_more").isNotNull() & (t < end + b // 2)
-        return F.when(start.isNotNull(), F.sqrt(1 - (start - t) / F.lit(b))).when(behind, F.sqrt(1 - (t - end) / F.lit(b))).otherwise(y)
+        return F.when(start > t, F.sqrt(1 - (start - t) / F.lit(b))).when(behind, F.sqrt(1 - (t - end) / F.lit(b))).otherwise(y)
 
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("buffer"), soft(b).alias("soft")) for b in BUFFERS])).alias("x")
-    out = rolling(rows, BUFFERS[-1] // 2, found, BUFFERS[-1] // 2).select("series_id", "t", "y", "score", each)
+    out = rolling(rows, BUFFERS[-1] // 2, [so_far, ahead], BUFFERS[-1] // 2).select("series_id", "t", "y", "score", each)
     return out.select("series_id", "x.buffer", "t", "y", "x.soft", "score")
 
 

@@ -498,7 +498,7 @@ h AS (SELECT t.series_id, t.buffer, lv.lv, coalesce(tp, 0) AS tp, coalesce(fp, 0
 q AS (SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall FROM h){VOLUME_SQL}""")
 def pr_vus_buffered(spark: SparkSession, sf: str) -> DataFrame:
     s = store.written(_scored(spark, sf))
-    curve = ev.precision_recall(ev.counts(ev.detections(s), store.written(ev.widened(ev.sequences(s), s)), ["buffer"]))
+    curve = ev.precision_recall(ev.counts_buffered(ev.detections(s), store.written(ev.sequences(s))))
     return ev.volume(ev.area(curve, ["series_id", "buffer"], 1.0)).select("series_id", r6("vus"))
 
 

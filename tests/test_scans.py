@@ -127,6 +127,18 @@ def test_detections_in_chunks(spark):
     assert whole == want
 
 
+@pytest.mark.parametrize("chunk", [8, 64, 8192])
+def test_counts_of_all_buffers(spark, chunk):
+    """Look-ups by chunks count what intervals widened by each buffer do."""
+    rng = random.Random(chunk)
+    rows = [(s, t, rng.choice((0.05, 0.1, 0.5, 0.9)) if rng.random() < 0.7 else rng.random(), int(rng.random() < share)) for s, n, share in (("a", 400, 0.02), ("b", 150, 0.4), ("c", 90, 0.0), ("d", 700, 0.004)) for t in range(n)]
+    s = spark.createDataFrame([*rows, ("e", 0, 0.5, 1)], "series_id string, t long, score double, is_anomaly int")
+    true, found = evaluate.sequences(s).localCheckpoint(), evaluate.detections(s).localCheckpoint()
+    as_rows = lambda df: sorted((r["series_id"], r["buffer"], r["lv"], r["tp"], r["fp"], r["fn"]) for r in df.collect())
+    got = evaluate.counts_buffered(found, true, chunk)
+    assert as_rows(got) == as_rows(evaluate.counts(found, evaluate.widened(true, s), ["buffer"]))
+
+
 def test_a_trigger_that_runs_again(spark, tmp_path):
     """The loop's tables stay the same when its last trigger is run a second time; short series wait for their rows."""
     t0 = datetime.datetime(2024, 1, 1)
