@@ -48,10 +48,13 @@ SEQUENCES_SQL = """k AS (SELECT series_id, row_number() OVER (PARTITION BY serie
 def detections(scored: DataFrame, levels: list[int] | None = None, chunk: int = CHUNK) -> DataFrame:
     """(series_id, lv, s, e): the maximal runs of score > lv * 0.01, for each level. A row is spread over the levels at
     which a run starts or ends there only, and those are put in order in chunks of a series."""
-    ends = rolling(scored.select("series_id", "t", "score"), 1, {"before": lambda w: F.lag("score", 1).over(w), "behind": lambda w: F.lead("score", 1).over(w)}, after=1)
-    some = F.array(*[F.lit(k) for k in (range(LEVELS) if levels is None else levels)])
-    each = ends.select("series_id", "t", "before", "behind", F.explode(F.filter(some, lambda k: (F.col("score") > level(k)) & (F.coalesce(F.col("before") <= level(k), F.lit(True)) | F.coalesce(F.col("behind") <= level(k), F.lit(True))))).alias("lv"))
-    first, last = (F.coalesce(F.col(c) <= level(F.col("lv")), F.lit(True)) for c in ("before", "behind"))
+    # the numbers of levels below a score and below its neighbours' tell where runs start and end; none is tried for each row
+    rows = scored.select("series_id", "t", levels_below("score").alias("m"))
+    ends = rolling(rows, 1, {"before": lambda w: F.lag("m", 1, 0).over(w), "behind": lambda w: F.lead("m", 1, 0).over(w)}, after=1)
+    ends = ends.withColumn("least", F.least("before", "behind")).where("least < m")
+    found = F.sequence("least", F.col("m") - 1)
+    each = ends.select("series_id", "t", "before", "behind", F.explode(found if levels is None else F.filter(found, lambda k: k.isin(levels))).alias("lv"))
+    first, last = (F.col(c) <= F.col("lv") for c in ("before", "behind"))
     return runs(each.select("series_id", "lv", "t", first.alias("first"), last.alias("last")), ["series_id", "lv"], chunk).drop("k")
 
 
@@ -237,11 +240,11 @@ def nab_rewards(scored: DataFrame, true: DataFrame) -> DataFrame:
 def nab_scores(rewards: DataFrame, true: DataFrame) -> DataFrame:
     """(series_id, lv, nab): per level, the rewards of predicted rows outside intervals and of the first rewarded row
     inside each, over the number of intervals."""
-    below = F.explode(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.col("score") > level(k))).alias("lv")
-    m = F.size(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.col("score") > level(k)))
-    out = rewards.where("seq is null").groupBy("series_id", m.alias("m")).agg(F.sum("reward").alias("r"))
+    rewards = rewards.withColumn("m", levels_below("score"))
+    below = F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("lv")
+    out = rewards.where("seq is null").groupBy("series_id", "m").agg(F.sum("reward").alias("r"))
     out = out.where("m > 0").select("series_id", "r", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("lv")).groupBy("series_id", "lv").agg(F.sum("r").alias("r"))
-    first = rewards.where("seq is not null and reward > 0").select("series_id", "seq", "t", "reward", below).groupBy("series_id", "seq", "lv").agg(F.min_by("reward", "t").alias("r"))
+    first = rewards.where("seq is not null and reward > 0 and m > 0").select("series_id", "seq", "t", "reward", below).groupBy("series_id", "seq", "lv").agg(F.min_by("reward", "t").alias("r"))
     first = first.groupBy("series_id", "lv").agg(F.sum("r").alias("r"))
     n = true.groupBy("series_id").agg(F.count("*").alias("n"))
     sums = out.unionByName(first).groupBy("series_id", "lv").agg(F.sum("r").alias("r"))
