@@ -3,6 +3,7 @@ approach run in order, over rows that Spark has sorted; many of them run side by
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,19 +31,24 @@ def uniform_p_value(c: np.ndarray) -> tuple[float, float]:
     if n > 250:
         z = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
         return d, float(min(1.0, max(0.0, 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * z * z) for j in range(1, 101)))))
+    return d, _uniform_tail(n, d)
+
+
+@functools.lru_cache(1 << 14)
+def _uniform_tail(n: int, d: float) -> float:
+    """The p-value of d by the matrix method; shares of a training set give the same few d again and again."""
     k = int(n * d) + 1
     m, h = 2 * k - 1, k - n * d
-    a = np.array([[0.0 if i - j + 1 < 0 else 1.0 for j in range(m)] for i in range(m)])
-    for i in range(m):
-        a[i, 0] -= h ** (i + 1)
-        a[m - 1, i] -= h ** (m - i)
+    behind = np.subtract.outer(np.arange(m), np.arange(m)) + 1
+    a = (behind >= 0).astype(float)
+    powers = np.asarray([h ** (i + 1) for i in range(m)])
+    a[:, 0] -= powers
+    a[m - 1] -= powers[::-1]
     a[m - 1, 0] += max(2 * h - 1, 0) ** m
-    for i in range(m):
-        for j in range(m):
-            if i - j + 1 > 0:
-                a[i, j] *= math.exp(-math.lgamma(i - j + 2))
+    shares = np.asarray([1.0, *[math.exp(-math.lgamma(i + 1)) for i in range(1, m + 1)]])
+    a *= shares[np.maximum(behind, 0)]
     q = np.linalg.matrix_power(a, n)[k - 1, k - 1]
-    return d, float(min(1.0, max(0.0, 1 - q * math.exp(math.lgamma(n + 1) - n * math.log(n)))))
+    return float(min(1.0, max(0.0, 1 - q * math.exp(math.lgamma(n + 1) - n * math.log(n)))))
 
 
 @dataclass
@@ -120,10 +126,10 @@ class Approach:
         if len(self.conf) <= 5 * self.s.score_rows:
             return None
         self.conf.pop(0)
-        distinct = np.unique(self.conf)
+        distinct = sorted(set(self.conf))
         if len(distinct) <= 30:
             return None
-        self.logs = [*self.logs, -math.log(min(1.0, max(1e-40, uniform_p_value(distinct)[1])))][-max(1, len(self.conf) // 10) :]
+        self.logs = [*self.logs, -math.log(min(1.0, max(1e-40, uniform_p_value(np.asarray(distinct))[1])))][-max(1, len(self.conf) // 10) :]
         if max(self.logs) > 0.9 * self.top:
             self.top = max(self.logs) + 5
         low = min(self.logs)
@@ -136,15 +142,15 @@ class Approach:
         w = np.lib.stride_tricks.sliding_window_view(rows, s.length)
         nc = self._nonconformity(w)
         scores: list[float | None] = []
-        for v in nc:
+        if s.score == "confidence":  # the training set stands for the whole tick
+            scores = [self._confidence(c) for c in ((self.nc_train >= nc[:, None]).sum(1) / s.training).tolist()]
+        for v in nc if s.score != "confidence" else ():
             self.recent = np.append(self.recent[1:], v)
             if s.score == "average":
                 scores.append(float(self.recent.mean()))
-            elif s.score == "likelihood":
+            else:
                 sd = max(float(self.recent.std(ddof=1)), 0.5)
                 scores.append(phi((self.recent[-max(1, s.score_rows // 5) :].mean() - self.recent.mean()) / sd))
-            else:
-                scores.append(self._confidence(float((self.nc_train >= v).sum() / s.training)))
         version = self.version
         known = np.asarray([np.nan if a is None else a for a in scores], float)
         # a score-aware set takes no row without a score

@@ -42,6 +42,14 @@ def test_p_values_are_those_of_the_matrix(spark):
     assert tiny == pytest.approx(exact, rel=1e-9) and 0 < tiny < 1e-40
 
 
+def test_one_matrix_for_equal_distances():
+    """The matrix is worked out once for a number of values and a distance."""
+    online._uniform_tail.cache_clear()
+    c = np.arange(40) / 100 + 0.3
+    assert online.uniform_p_value(c) == online.uniform_p_value(c[::-1])
+    assert online._uniform_tail.cache_info()[:2] == (1, 1)
+
+
 def test_scale_functions_follow_one_another():
     rng = np.random.default_rng(3)
     for _ in range(300):
