@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,20 +195,23 @@ def score(vectors: DataFrame, versions: DataFrame, fitted: DataFrame, net: Net)
     version in force at its end. Windows with a null or infinite value, and those before a series' first version, have no
     row."""
     rows = versions_asof(vectors, versions).where("version is not null").join(vectors.select("series_id", "t", F.col("fv").alias("x")), ["series_id", "t"])
-    blocks = rows.where(_finite(F.col("x"))).groupBy("series_id", "version", F.floor(F.col("t") / BLOCK).alias("_block")).agg(F.collect_list(F.struct("t", "x")).alias("rows"))
-    blocks = written(blocks.withColumn("_salt", F.floor(F.col("_block") / SPREAD)))
-    reach = blocks.groupBy("series_id", "version").agg(F.min("_salt").alias("_first"), F.max("_salt").alias("_last"))
-    models = _spread(fitted.join(reach, ["series_id", "version"]), "version", "mean", "sd", "p", "best")
-
-    def distances(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for key, version, rows, mean, sd, p, best in zip(*[pdf[c] for c in ("series_id", "version", "rows", "mean", "sd", "p", "best")], strict=True):
-                x = (np.stack([r["x"] for r in rows]) - mean) / sd
-                nc = cosine_distances(x, net.forward(np.asarray(p), x, int(best))[-1])
-                yield pd.DataFrame({"series_id": key, "t": [r["t"] for r in rows], "version": version, "nc": nc})
-
-    met = blocks.join(models, ["series_id", "version", "_salt"]).select("series_id", "version", "rows", "mean", "sd", "p", "best")
-    return met.mapInPandas(distances, "series_id string, t long, version int, nc double")
+    rows = written(rows.where(_finite(F.col("x"))).select("series_id", "version", F.floor(F.col("t") / (BLOCK * SPREAD)).alias("_salt"), "t", "x"))
+    reach = rows.groupBy("series_id", "version").agg(F.min("_salt").alias("_first"), F.max("_salt").alias("_last"))
+    models = _spread(fitted.join(reach, ["series_id", "version"]), F.col("version").alias("_version"), "mean", "sd", "p", "best").withColumnsRenamed({"series_id": "_of", "_salt": "_group"})
+    columns = pa.schema([("series_id", pa.string()), ("t", pa.int64()), ("version", pa.int32()), ("nc", pa.float64())])
+
+    def distances(key: tuple, own: pa.Table, model: pa.Table) -> pa.Table:
+        """Some windows that meet their model once: at most BLOCK * SPREAD, however long a series is."""
+        if not (own.num_rows and model.num_rows):
+            return columns.empty_table()
+        mean, sd, p, best = (model.column(c)[0].as_py() for c in ("mean", "sd", "p", "best"))
+        x = (own.column("x").combine_chunks().flatten().to_numpy().reshape(own.num_rows, -1) - mean) / sd
+        nc = cosine_distances(x, net.forward(np.asarray(p), x, best)[-1])
+        same = lambda v, kind: pa.repeat(pa.scalar(v.as_py(), kind), own.num_rows)
+        return pa.table([same(key[0], pa.string()), own.column("t"), same(key[1], pa.int32()), pa.array(nc)], schema=columns)
+
+    met = rows.groupBy("series_id", "version", "_salt").cogroup(models.groupBy("_of", "_version", "_group"))
+    return met.applyInArrow(distances, "series_id string, t long, version int, nc double")
 
 
 def _forward_sql(net: Net, output: int, source: str) -> str:
