@@ -305,7 +305,9 @@ def confidence_uniform_reservoir(spark: SparkSession, sf: str) -> DataFrame:
 def confidence_aware_reservoir(spark: SparkSession, sf: str) -> DataFrame:
     """The whole chain: likelihoods fill a score-aware reservoir, confidence levels follow what it holds, their windows
     are tested for being uniform, and the p-values go on a common scale."""
-    levels = held.confidence_of_held(_nc(spark, sf), held.aware_writes(_scored(spark, sf), 100, 20), 100)
+    nc = store.written(_nc(spark, sf))  # read by five jobs
+    scored = store.written(scores.anomaly_likelihood(nc).select("series_id", "t", F.round("score", 6).alias("score")))
+    levels = held.confidence_of_held(nc, held.aware_writes(scored, 100, 20), 100)
     p = scores.p_values(store.written(scores.uniform_statistic(levels.select("series_id", "t", "confidence"), every=1, first=100)))
     return scores.unified(p).select("series_id", "t", F.round("p_value", 9).alias("p_value"), r6("scale"), r6("score"))
 
