@@ -40,17 +40,17 @@ class Segments:
         rest = max(0, radius - n + 1)
         self.radii = [rest // n + (i < rest % n) for i in range(n)]
 
-    def table(self, fps: DataFrame) -> DataFrame:
-        """(fp, s, j, key): the value of segment s with j of its bits turned, for j up to the segment's radius; j = 0 is
-        the table entry, the others probe for entries. Of two values that differ, the one that has the lowest differing
+    def table(self, fps: DataFrame, *also: str) -> DataFrame:
+        """(fp, also, s, j, key): the value of segment s with j of its bits turned, for j up to the segment's radius; j = 0
+        is the table entry, the others probe for entries. Of two values that differ, the one that has the lowest differing
         bit set probes for the other, so half a ball meets every pair once."""
         balls = []
         for s, (bits, r) in enumerate(zip(self.bits, self.radii, strict=True)):
             for j in range(r + 1):
                 balls += [(s, j, _mask(list(c)), _mask(list(c[:1])), _mask(bits), bits[0]) for c in combinations(bits, j)]
         ball = "array(" + ",".join(f"named_struct('s',{s},'j',{j},'m',{_sql(m)},'low',{_sql(low)},'own',{_sql(own)},'at',{at})" for s, j, m, low, own, at in balls) + ")"
-        each = fps.select("fp", F.explode(F.expr(ball)).alias("x")).where("x.j = 0 or (fp & x.low) <> 0")
-        return each.select("fp", "x.s", "x.j", F.expr("(cast(x.s as long) << 40) + shiftrightunsigned((fp ^ x.m) & x.own, x.at)").alias("key"))
+        each = fps.select("fp", *also, F.explode(F.expr(ball)).alias("x")).where("x.j = 0 or (fp & x.low) <> 0")
+        return each.select("fp", *also, "x.s", "x.j", F.expr("(cast(x.s as long) << 40) + shiftrightunsigned((fp ^ x.m) & x.own, x.at)").alias("key"))
 
     def ball(self, s: int, radius: int) -> list[int]:
         """Masks of at most radius bits outside segment s."""
@@ -130,44 +130,72 @@ def _runs(x: np.ndarray, k: int) -> np.ndarray:
     return np.unique(runs)
 
 
-def _wide(k: int, hashes: int, bands: int, rows: int):
-    """Per text, over its distinct k-word shingles: the hash of their set, their number, `hashes` words of majority
-    bits, and `bands` keys of `rows` least hashes each; no keys for no word."""
+#: Sets of few shingles stand this many times in their votes: by so many votes the bits of two sets differ as the angle
+#: between the sets says, which single votes of four or five shingles don't.
+COPIES = 16
+
+
+def _majority(votes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Bits set in more than half of the votes' hashes under each seed, a word a seed."""
+    total = np.zeros(64 * len(seeds), np.int64)
+    for at in range(0, len(votes), 255):  # as many as single bytes can count
+        bits = np.unpackbits(_mixed(votes[at : at + 255, None] + seeds).view(np.uint8), axis=1, bitorder="little")
+        total += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(votes), bitorder="little").view(np.int64)
+
+
+def _wide(k: int, hashes: int, fingerprints: int, few: int, most_few: int):
+    """Per text, over its distinct k-word shingles: the hash of their set, their number, `hashes` words of majority bits,
+    and its fingerprints, `fingerprints` words of one form, of which the first has number `first`. Sets of at most `few`
+    shingles have the form of few ones, whose numbers begin at `fingerprints`, larger ones the other; those of at most
+    `most_few` have both. None for no word."""
     seeds = lambda n, first: np.asarray([(first + i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(n)], np.uint64)
-    of_bits, of_least = seeds(hashes, 0), seeds(bands * rows, 1000)
-
-    def sketch(h: np.ndarray) -> tuple[list[int], list[int]]:
-        votes, least = np.zeros(64 * hashes, np.int64), np.full(bands * rows, 2**64 - 1, np.uint64)
-        for at in range(0, len(h), 1024):
-            part = h[at : at + 1024, None]
-            votes += np.unpackbits(_mixed(part + of_bits).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            least = np.minimum(least, _mixed(part ^ of_least).min(0))
-        keys = np.arange(bands, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for x in least.reshape(bands, rows).T:
-                keys = _mixed(keys * np.uint64(0x9FB21C651E98DF25) + x)
-        return np.packbits(2 * votes > len(h), bitorder="little").view(np.int64).tolist(), keys.view(np.int64).tolist() if len(h) else []
+    of_bits, of_few, of_copies = seeds(max(hashes, fingerprints), 0), seeds(fingerprints, 1000), seeds(COPIES, 2000)
+
+    def sketch(h: np.ndarray) -> tuple[list[int], int, list[int]]:
+        own = _majority(h, of_bits if len(h) > few else of_bits[:hashes])
+        found = [own[:fingerprints]] if len(h) > few else []
+        if 0 < len(h) <= most_few:
+            found.append(_majority(_mixed(h[:, None] ^ of_copies).ravel(), of_few))
+        return own[:hashes].tolist(), 0 if len(h) > few else fingerprints, np.concatenate([own[:0], *found]).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "t", "node", "n", *[f"f{i}" for i in range(hashes)], "keys"]
+        names = ["d", "t", "node", "n", *[f"f{i}" for i in range(hashes)], "first", "fps"]
         for part in slices(batches, "w", 1 << 20):
             w = part.column("w")
             edges, words_ = w.offsets.to_numpy(), w.values.to_numpy()
-            node, n, bits, keys = [], [], [], []
+            node, n, bits, first, fps = [], [], [], [], []
             for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
                 h = _runs(words_[a:b], k)
                 with np.errstate(over="ignore"):
                     node.append(_mixed(h + np.uint64(len(h))).sum(dtype=np.uint64))
                 n.append(len(h))
-                f, own = sketch(h)
+                f, at, own = sketch(h)
                 bits.append(f)
-                keys.append(own)
-            columns = [np.asarray(node, np.uint64).view(np.int64), np.asarray(n, np.int64), *np.asarray(bits, np.int64).reshape(-1, hashes).T]
-            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(keys, pa.list_(pa.int64()))], names)
+                first.append(at)
+                fps.append(own)
+            columns = [np.asarray(node, np.uint64).view(np.int64), np.asarray(n, np.int64), *np.asarray(bits, np.int64).reshape(-1, hashes).T, np.asarray(first, np.int64)]
+            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), *[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(fps, pa.list_(pa.int64()))], names)
 
     return run
 
 
+def _share(similarity: float) -> float:
+    """The share of SimHash bits that differ between sets of equal size and this similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _most(bits: int, share: float) -> int:
+    """Differing bits, four standard deviations above what the share gives."""
+    return math.floor(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
+
+
+def independent(similarity: float, segments: int, missed: float = 3e-6) -> int:
+    """The number of 64-bit fingerprints of which pairs of the similarity have a segment in common, all but `missed`."""
+    meets = (1 - _share(similarity)) ** max(map(len, Segments(segments - 1, segments).bits))
+    return math.ceil(math.log(missed) / math.log1p(-meets) / segments)
+
+
 def _mixed(z: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -175,52 +203,51 @@ def _mixed(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes: int = 4, bands: int = 24, rows: int = 4, crowd: int = 2, block: int = 1024, few_shingles: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes: int = 4, segments: int | None = None, crowd: int = 1024, block: int = 1024, few_shingles: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, t, copies, component_id, root): groups of texts linked by a Jaccard similarity of at least `similarity` of
-    their sets of k-word shingles, found by SimHash; A-Z count as lower case.
-
-    Candidates share one of `bands` keys, each made of the least of the shingles under `rows` hash functions. A pair of
-    similarity J shares a key with probability 1 - (1 - J ** rows) ** bands, however its differences lie: at 0.8 all but
-    3 in a million. They form coarse groups by the distance of 64 * hashes bits over the shingles: at that similarity the
-    angle between two sets is known, and four standard deviations above the distance it gives still join; sets of at most
-    `few_shingles` join by size alone. A key under which more than `crowd` nodes stand is compared in blocks, from which
-    only a tree of the links comes back, never a pair a link. Inside the coarse groups, in blocks again, only pairs whose
-    shingle hashes have the similarity link. Texts with equal sets are one node, named by the set's hash. Null texts and
-    ids as in `groups`.
+    their sets of k-word shingles, found by SimHash and multi-index hashing; A-Z count as lower case.
+
+    A text has a number of independent 64-bit SimHash fingerprints of its shingles, each cut into segments, and stands in
+    a table under each segment's value. Pairs that share a value are verified by the distance of 128 bits. So pairs with
+    less than `segments` differing bits in any fingerprint are sure to meet, and there are so many fingerprints that of
+    all pairs of the similarity, wherever their differences lie, all but 3 in a million share a segment; by default
+    segments have 16 bits, and 21 where there are so many texts that these would be crowded by chance. Sets of at most
+    `few_shingles` meet under fingerprints of their own, in which each shingle votes more often (COPIES).
+
+    A value under which more than about `crowd` texts stand is compared in blocks, and only a tree of the links comes
+    back, never a pair a link. The coarse groups that these trees make are by distance: at the similarity the angle
+    between two sets is known, and four standard deviations above the distance it gives still join. Inside the coarse
+    groups, in blocks again, only pairs whose shingle hashes have the similarity link. Texts with equal sets are one
+    node, named by the set's hash. Null texts and ids as in `groups`.
     """
     names = [f"f{i}" for i in range(hashes)]
     body = F.coalesce(F.col(text), F.lit(""))
     hashed = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(body).alias("t"), F.transform(words(ascii_lower(body)), lambda w: F.xxhash64(w)).alias("w"))
-    made = stable(hashed.mapInArrow(_wide(k, hashes, bands, rows), "d long, t long, node long, n long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"))
+    if segments is None:
+        segments = 4 if docs.count() <= 1 << 24 else 3
+    number = independent(similarity, segments)
+    sketched = _wide(k, hashes, number, few_shingles, math.floor(few_shingles / similarity + 1e-9))
+    made = stable(hashed.mapInArrow(sketched, "d long, t long, node long, n long, " + ", ".join(f"{c} long" for c in names) + ", first long, fps array<long>"))
     fps = made.groupBy("d", "t", "node").agg(F.count("*").alias("copies"))
-    n = 64 * hashes
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = math.floor(n * share + 4 * math.sqrt(n * share * (1 - share)))
-    each = made.select("node", "n", *names, F.explode("keys").alias("key")).distinct()
-    counts = stable(each.groupBy("key").agg(F.count("*").alias("e")).where("e > 1"))
-    few = each.join(counts.where(F.col("e") <= crowd).select("key"), "key")
-    other = few.withColumnsRenamed({c: f"_{c}" for c in ("key", "node", "n", *names)})
-    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in names), F.lit(0))
-    alike = F.least("n", "_n") >= F.greatest("n", "_n") * similarity - 1e-9
-    near = alike & ((far <= most) | (F.least("n", "_n") <= few_shingles))
-    pairs = few.join(other, (F.col("key") == F.col("_key")) & (F.col("node") < F.col("_node")) & near).select(F.col("node").alias("a"), F.col("_node").alias("b"))
-    sizes = counts.where(F.col("e") > crowd).select("key", F.ceil(F.col("e") / block).cast("int").alias("blocks"))
-    many = in_block_pairs(each.join(sizes, "key"), "key")
+    most = _most(64 * hashes, _share(similarity))
+    # two words of the same form go along to verify by
+    form = F.floor(F.col("at") / number) * number
+    nodes = made.select("node", "first", "fps").where("size(fps) > 0").dropDuplicates(["node"])
+    each = nodes.select("node", "first", "fps", F.posexplode("fps").alias("at", "fp"))
+    each = each.select("fp", "node", (F.col("first") + F.col("at")).alias("i"), F.get("fps", form.cast("int")).alias("u"), F.get("fps", (form + 1).cast("int")).alias("v"))
+    each = Segments(segments - 1, segments).table(each, "node", "i", "u", "v")
+    each = each.select("node", "u", "v", F.shiftleft("i", 44).bitwiseOR(F.col("key")).alias("key"))
+    many = in_block_pairs(each.join(crowded(each, crowd, block), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "key")
+    # some ten thousand rows of many values at a time
+    frames = pieces_of(made.count() * number * segments, 50_000)
+    frame = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(frames))
+    trees = many.groupBy(frame.alias("frame")).applyInPandas(_meetings(_most(128, _share(similarity))), "a long, b long")
 
     def nodes_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
         pdf = pdf.drop_duplicates("node").sort_values("node")
         # unsigned: bitwise_count counts the bits of the absolute value
         return np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64), pdf["n"].to_numpy(), pdf["node"].to_numpy(), pdf
 
-    def coarse(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Near nodes under one key, as each node's smallest joined one."""
-        x, size, node, _ = nodes_of(pdf)
-        root = np.arange(len(node))
-        for i, j in near_rows(x, size, most, similarity, few_shingles):
-            root = local_roots(root[i], root[j], len(node))[root]
-        keep = root != np.arange(len(node))
-        return node[keep], node[root[keep]]
-
     def exact(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """A tree of the links between the nodes of one coarse group."""
         x, size, node, pdf = nodes_of(pdf)
@@ -233,9 +260,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes:
         for pdf in batches:
             yield pdf.drop(columns="w").assign(shingles=[_runs(x, k).tobytes() for x in pdf["w"]])
 
-    # some thousand rows of one or more keys' blocks at a time
-    trees = in_frames(many, "key", coarse, pieces_of(made.count(), 200))
-    group = components(pairs.unionByName(trees))
+    group = components(trees)
     # one text of each node that a coarse group holds
     nodes = made.groupBy("node").agg(F.min(F.struct(F.col("d").isNull().alias("no"), "d", "t")).alias("x"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in names])
     chosen = stable(nodes.join(group, "node").select("node", "root", F.col("x.d").alias("_d"), F.col("x.t").alias("_t"), "n", *names))
@@ -249,6 +274,44 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes:
     return labelled(fps, components(links_))
 
 
+def crowded(rows: DataFrame, crowd: int, block: int, one_in: int = 16) -> DataFrame:
+    """(key, blocks) of the keys with more than about `crowd` nodes, counted from one node in `one_in` by its hash: which
+    they are decides only how many tasks compare a key's nodes. Checked to be few before they are broadcast."""
+    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    found = stable(some.where(F.col("n") * one_in > crowd).select("key", F.ceil(F.col("n") * one_in / block).cast("int").alias("blocks")))
+    return F.broadcast(found) if found.count() <= 100_000 else found
+
+
+def _meetings(most: int):
+    """Of rows of many keys' blocks, a tree of the pairs of nodes under one key whose u and v differ in at most `most`
+    bits. Each row is compared with the next one, the second next and so on, as long as any has the same key."""
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = [pdf[c].to_numpy(np.int64) for c in ("key", "lo", "hi")]
+        order = np.lexsort(at)
+        # equal numbers for one key's pair of blocks
+        group = np.cumsum(np.logical_or.reduce([np.diff(c[order], prepend=c[order[:1]]) != 0 for c in at]))
+        node, u, v = (pdf[c].to_numpy(np.int64)[order] for c in ("node", "u", "v"))
+        u, v = u.view(np.uint64), v.view(np.uint64)
+        root = np.arange(len(node))
+        i, step = root, 0
+        while len(i):
+            step += 1
+            i = i[i + step < len(node)]
+            i = i[group[i] == group[i + step]]
+            near = np.bitwise_count(u[i] ^ u[i + step]) + np.bitwise_count(v[i] ^ v[i + step]) <= most  # at most 128, a byte
+            j = i[near]
+            j = j[root[j] != root[j + step]]
+            if len(j):
+                root = local_roots(root[j], root[j + step], len(node))[root]
+        keep = root != np.arange(len(node))
+        ends = np.stack([node[keep], node[root[keep]]], 1)
+        ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
+        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return tree
+
+
 def linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Those of the pairs (i, j) with i < j and at least the similarity that make a forest with the same components as
     all such pairs: pairs inside a component known so far are not compared."""

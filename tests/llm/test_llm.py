@@ -505,6 +505,27 @@ def test_similar_groups_are_exact(spark, crowd):
     assert len({root[10_000 + i] for i in range(20)}) == 1
 
 
+def test_near_duplicate_stage_meets_in_segments(spark, docs, monkeypatch):
+    """All near copies of the pipeline's stage come through the table of segments: none is found without it."""
+    import corpus_pipeline
+
+    texts = docs.where("doc_id < 40").selectExpr("doc_id", "text", "'en' as lang", "source", "0L as n_chars")
+    whole, kept = texts.count(), corpus_pipeline.near_duplicate_stage(spark, texts, "").count()
+    table = simhash_dedup.Segments.table
+    monkeypatch.setattr(simhash_dedup.Segments, "table", lambda self, *a: table(self, *a).where("false"))
+    sets = {frozenset(zip(*[words(r[1].translate(LOWER))[i:] for i in range(5)], strict=False)) for r in texts.select("doc_id", "text").collect()}
+    assert kept == 8 and corpus_pipeline.near_duplicate_stage(spark, texts, "").count() == len(sets) <= whole
+
+
+@pytest.mark.parametrize("segments", [3, 4])
+def test_similar_groups_of_few_shingles(spark, segments):
+    """Texts that lack their last word: 4 of 5 to 44 of 45 shingles, across the bound of few ones."""
+    rows = [(2 * i + j, " ".join(f"t{i}w{w}" for w in range(9 + i % 41 - j))) for i in range(205) for j in (0, 1)]
+    found = simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), segments=segments).collect()
+    root = {r["d"]: r["root"] for r in found}
+    assert all(root[2 * i] == root[2 * i + 1] for i in range(205)) and len(set(root.values())) == 205
+
+
 def test_quality(spark, docs, none):
     d = "/root/testdata/sf0.01"
     rows = registry.queries()["op7_quality_classifier"](spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
