@@ -260,7 +260,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes:
         for pdf in batches:
             yield pdf.drop(columns="w").assign(shingles=[_runs(x, k).tobytes() for x in pdf["w"]])
 
-    group = components(trees)
+    group = components(thinned(thinned(trees)))
     # one text of each node that a coarse group holds
     nodes = made.groupBy("node").agg(F.min(F.struct(F.col("d").isNull().alias("no"), "d", "t")).alias("x"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in names])
     chosen = stable(nodes.join(group, "node").select("node", "root", F.col("x.d").alias("_d"), F.col("x.t").alias("_t"), "n", *names))
@@ -282,13 +282,21 @@ def crowded(rows: DataFrame, crowd: int, block: int, one_in: int = 16) -> DataFr
     return F.broadcast(found) if found.count() <= 100_000 else found
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges with the same components and never more of them: a node keeps that to the smallest of its smaller neighbours,
+    and the others hang on that one. Nodes of one group meet the same few smallest ones in many trees. A node has at most
+    a neighbour for each tree that it is in."""
+    each = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a").agg(F.collect_set("b").alias("over"), F.min("b").alias("b"))
+    return each.select(F.explode(F.array_append("over", F.col("a"))).alias("a"), "b").where("a <> b").distinct()
+
+
 def _meetings(most: int):
     """Of rows of many keys' blocks, a tree of the pairs of nodes under one key whose u and v differ in at most `most`
     bits. Each row is compared with the next one, the second next and so on, as long as any has the same key."""
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = [pdf[c].to_numpy(np.int64) for c in ("key", "lo", "hi")]
-        order = np.lexsort(at)
+        at = [pdf[c].to_numpy(np.int64) for c in ("hi", "lo", "key")]
+        order = np.lexsort([pdf["node"].to_numpy(np.int64), *at])  # a tree hangs on its smallest node, under any key
         # equal numbers for one key's pair of blocks
         group = np.cumsum(np.logical_or.reduce([np.diff(c[order], prepend=c[order[:1]]) != 0 for c in at]))
         node, u, v = (pdf[c].to_numpy(np.int64)[order] for c in ("node", "u", "v"))

@@ -517,6 +517,16 @@ def test_near_duplicate_stage_meets_in_segments(spark, docs, monkeypatch):
     assert kept == 8 and corpus_pipeline.near_duplicate_stage(spark, texts, "").count() == len(sets) <= whole
 
 
+def test_thinned_edges(spark):
+    """Trees on many smallest nodes shrink to about a tree, and the components stay."""
+    rng = random.Random(8)
+    edges = {(a, rng.randrange(min(a, 12))) for a in range(1, 300) for _ in range(20)} | {(1000 + i, 999) for i in range(1, 5)}
+    made = spark.createDataFrame(sorted(edges), "a long, b long")
+    thin = simhash_dedup.thinned(simhash_dedup.thinned(made))
+    assert thin.count() < 320 < len(edges)
+    assert {tuple(r) for r in common.components(thin).collect()} == {tuple(r) for r in common.components(made).collect()}
+
+
 @pytest.mark.parametrize("segments", [3, 4])
 def test_similar_groups_of_few_shingles(spark, segments):
     """Texts that lack their last word: 4 of 5 to 44 of 45 shingles, across the bound of few ones."""
