@@ -238,8 +238,8 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hashes:
     each = Segments(segments - 1, segments).table(each, "node", "i", "u", "v")
     each = each.select("node", "u", "v", F.shiftleft("i", 44).bitwiseOR(F.col("key")).alias("key"))
     many = in_block_pairs(each.join(crowded(each, crowd, block), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "key")
-    # some ten thousand rows of many values at a time
-    frames = pieces_of(made.count() * number * segments, 50_000)
+    # some hundred thousand rows of many values at a time: a frame gives an edge a node, however many values it is under
+    frames = pieces_of(made.count() * number * segments, 400_000)
     frame = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(frames))
     trees = many.groupBy(frame.alias("frame")).applyInPandas(_meetings(_most(128, _share(similarity))), "a long, b long")
 
@@ -291,8 +291,8 @@ def thinned(edges: DataFrame) -> DataFrame:
 
 
 def _meetings(most: int):
-    """Of rows of many keys' blocks, a tree of the pairs of nodes under one key whose u and v differ in at most `most`
-    bits. Each row is compared with the next one, the second next and so on, as long as any has the same key."""
+    """Of rows of many keys' blocks, a forest of the pairs of nodes that differ in at most `most` bits of u and v under
+    one key. Each row is compared with the next one, the second next and so on, as long as any has the same key."""
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         at = [pdf[c].to_numpy(np.int64) for c in ("hi", "lo", "key")]
@@ -312,10 +312,11 @@ def _meetings(most: int):
             j = j[root[j] != root[j + step]]
             if len(j):
                 root = local_roots(root[j], root[j + step], len(node))[root]
-        keep = root != np.arange(len(node))
-        ends = np.stack([node[keep], node[root[keep]]], 1)
-        ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
-        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+        # one forest for all keys: at most an edge a node
+        each, at_ = np.unique(node, return_inverse=True)
+        over = local_roots(at_, at_[root], len(each))
+        keep = over != np.arange(len(each))
+        return pd.DataFrame({"a": each[keep], "b": each[over[keep]]})
 
     return tree
 
