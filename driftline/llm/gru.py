@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,11 +46,68 @@ def start(shape: Shape, counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarr
     return p
 
 
-def _tanh_gates(x: np.ndarray) -> None:
-    """In place, the sigmoid of twice x."""
-    np.tanh(x, out=x)
-    x *= F32(0.5)
-    x += F32(0.5)
+def _sigmoid_of_minus(x: np.ndarray) -> None:
+    """In place, the sigmoid of -x; exp is cheaper than tanh. An infinite exponential gives 0, as it should; callers
+    silence its warning."""
+    np.exp(x, out=x)
+    x += F32(1)
+    np.divide(F32(1), x, out=x)
+
+
+def _tanh_of_minus_half(x: np.ndarray) -> None:
+    """In place, the hyperbolic tangent of -x / 2."""
+    np.exp(x, out=x)
+    x += F32(1)
+    np.divide(F32(2), x, out=x)
+    x -= F32(1)
+
+
+def _gate_tables(e: np.ndarray, p: dict, hid: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the words with embeddings e, then the state, add to the gates z and r, negative, and to n, times -2."""
+    scale = np.repeat([F32(-1), F32(-2)], [2 * hid, hid])
+    table = e @ (p["Wx"] * scale)
+    table += p["b"] * scale
+    return table, p["U"] * scale
+
+
+def _alike(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts ids below `most`, where runs of equal ids begin in it, their ids, and each id's run."""
+    order = np.argsort(ids.astype(np.min_scalar_type(most)), kind="stable")
+    x = ids[order]
+    new = np.diff(x, prepend=-1) > 0
+    place = np.empty(len(ids), np.intp)
+    place[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order, first, x[first], place
+
+
+def _sums_of_runs(x: np.ndarray, first: np.ndarray, short: int = 8) -> np.ndarray:
+    """The sum of each run of rows of x: of short ones all first rows, then all second rows, of the others one by one."""
+    n = np.diff(first, append=len(x))
+    out = np.take(x, first, 0)
+    few = np.flatnonzero((n > 1) & (n <= short))
+    for k in range(1, short):
+        few = few[n[few] > k]
+        if not len(few):
+            break
+        out[few] += np.take(x, first[few] + k, 0)
+    ones = np.ones(int(n.max()), x.dtype)
+    for i in np.flatnonzero(n > short).tolist():
+        np.matmul(ones[: n[i]], x[first[i] : first[i] + n[i]], out=out[i])
+    return out
+
+
+def _gathered(classes: list[tuple[int, int, int]], rows: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Classes in turn, in lists of at most so many rows; a class of more is alone."""
+    some, n = [], 0
+    for k, i, j in classes:
+        if some and n + j - i > rows:
+            yield some
+            some, n = [], 0
+        some.append((k, i, j))
+        n += j - i
+    if some:
+        yield some
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -69,7 +127,7 @@ def _by_class(shape: Shape, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int
     """The rows of words with outputs of their own in the order of their classes, and (class, from, to) in that order."""
     own = np.flatnonzero(ids < shape.words)
     c = ids[own] // shape.width
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(c.astype(np.min_scalar_type(shape.classes)), kind="stable")
     edges = np.searchsorted(c[order], np.arange(shape.classes + 1)).tolist()
     return own[order], [(k, i, j) for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
 
@@ -92,32 +150,41 @@ def _picked(x: np.ndarray, at: np.ndarray, tame: bool) -> np.ndarray:
     return found - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
-def log_probs(p: dict, shape: Shape, h: np.ndarray, ids: np.ndarray, rows: int = 8192) -> np.ndarray:
+def log_probs(p: dict, shape: Shape, h: np.ndarray, ids: np.ndarray, rows: int = 1024, block: int = 32_768) -> np.ndarray:
     """Natural log of the probability of each id (a word, or the class of other words) after state h; some rows at a
-    time, so that they stay in the processor's cache."""
+    time, so that they stay in the processor's cache, and more in the order of their classes."""
     out = np.empty(len(ids))
     tame = _tame(p["Wc"], p["bc"]), _tame(p["Wo"], p["bo"])
-    for at in range(0, len(ids), rows):
-        part = slice(at, at + rows)
-        h_, ids_ = h[part], ids[part]
-        x = h_ @ p["Wc"]
-        x += p["bc"]
-        found = _picked(x, _class_of(shape, ids_), tame[0]).astype(np.float64)
+    x = np.empty((rows, max(len(p["bc"]), shape.width)), h.dtype)
+    logits = [x.ravel()[: rows * n].reshape(rows, n) for n in (len(p["bc"]), shape.width)]
+    for at in range(0, len(ids), block):
+        h_, ids_ = h[at : at + block], ids[at : at + block]
+        found, class_ = np.empty(len(ids_), h.dtype), _class_of(shape, ids_)
+        for i in range(0, len(ids_), rows):
+            part = slice(i, i + rows)
+            x = np.matmul(h_[part], p["Wc"], out=logits[0][: len(ids_) - i])
+            x += p["bc"]
+            found[part] = _picked(x, class_[part], tame[0])
         order, classes = _by_class(shape, ids_)
-        h_, inside, own = np.take(h_, order, 0), np.empty(len(order), x.dtype), ids_[order] % shape.width
-        for k, i, j in classes:
-            x = h_[i:j] @ p["Wo"][k]
-            x += p["bo"][k]
-            inside[i:j] = _picked(x, own[i:j], tame[1])
+        h_, inside, own = np.take(h_, order, 0), np.empty(len(order), h.dtype), ids_[order] % shape.width
+        for some in _gathered([(k, a, min(a + rows, j)) for k, i, j in classes for a in range(i, j, rows)], rows):
+            lo, hi = some[0][1], some[-1][2]
+            for k, i, j in some:
+                x = np.matmul(h_[i:j], p["Wo"][k], out=logits[1][i - lo : j - lo])
+                x += p["bo"][k]
+            inside[lo:hi] = _picked(logits[1][: hi - lo], own[lo:hi], tame[1])
+        found = found.astype(np.float64)
         found[order] += inside
-        out[part] = found
+        out[at : at + block] = found
     return out
 
 
-def score(p: dict, shape: Shape, docs: list[np.ndarray], end: int, window: int = 32) -> np.ndarray:
+@np.errstate(over="ignore")
+def score(p: dict, shape: Shape, docs: list[np.ndarray], end: int, window: int = 32, rows: int = 16_384, group: int = 1024) -> np.ndarray:
     """Natural log-likelihood of each whole document, which ends in `end`; its state runs on from window to window.
 
-    All documents take a step together, the longest first, so that those still running are a prefix.
+    A group of documents takes a step together, the longest first, so that those still running are a prefix. A window
+    has so many steps, and goes on until it has so many rows, as each has a cost of its own.
     """
     if not docs:
         return np.zeros(0)
@@ -128,32 +195,34 @@ def score(p: dict, shape: Shape, docs: list[np.ndarray], end: int, window: int =
     ids = np.concatenate(docs_)
     total = np.zeros(len(docs))
     hid = shape.hidden
-    # gates as the sigmoid of twice their halves
-    table = p["E"] @ p["Wx"] + p["b"]
-    table_zr, table_n = table[:, : 2 * hid] * F32(0.5), np.ascontiguousarray(table[:, 2 * hid :])
-    u_zr, u_n = p["U"][:, : 2 * hid] * F32(0.5), np.ascontiguousarray(p["U"][:, 2 * hid :])
-    h, last = np.zeros((len(docs), hid), F32), np.full(len(docs), end)
-    live = np.searchsorted(-n_, -np.arange(int(n_[0])), side="left")  # documents longer than each step
-    for s0 in range(0, int(n_[0]), window):
-        states, want, who = [], [], []
-        for s in range(s0, min(s0 + window, int(n_[0]))):
-            a = int(live[s])
+    table, u = _gate_tables(p["E"], p, hid)
+    table_zr, table_n = np.ascontiguousarray(table[:, : 2 * hid]), np.ascontiguousarray(table[:, 2 * hid :])
+    u_zr, u_n = np.ascontiguousarray(u[:, : 2 * hid]), np.ascontiguousarray(u[:, 2 * hid :])
+    for g in range(0, len(docs), group):
+        n_g, starts_g = n_[g : g + group], starts[g : g + group]
+        h, last = np.zeros((len(n_g), hid), F32), np.full(len(n_g), end)
+        live = np.searchsorted(-n_g, -np.arange(int(n_g[0])), side="left").tolist()  # documents longer than each step
+        states, want, who, held = [], [], [], 0
+        for s, a in enumerate(live):
             hp, at = h[:a], last[:a]
             zr = np.take(table_zr, at, 0)
             zr += hp @ u_zr
-            _tanh_gates(zr)
+            _sigmoid_of_minus(zr)
             new = hp @ u_n
             new *= zr[:, hid:]
             new += np.take(table_n, at, 0)
-            np.tanh(new, out=new)
+            _tanh_of_minus_half(new)
             h = hp - new
             h *= zr[:, :hid]
             h += new
-            last = ids[starts[:a] + s]
+            last = ids[starts_g[:a] + s]
             states.append(h)
             want.append(last)
-            who.append(np.arange(a))
-        total += np.bincount(np.concatenate(who), log_probs(p, shape, np.concatenate(states), np.concatenate(want)), len(docs))
+            who.append(np.arange(g, g + a))
+            held += a
+            if len(states) >= window and held >= rows or s == len(live) - 1:
+                total += np.bincount(np.concatenate(who), log_probs(p, shape, np.concatenate(states), np.concatenate(want)), len(docs))
+                states, want, who, held = [], [], [], 0
     out = np.empty(len(docs))
     out[order] = total
     return out
@@ -161,14 +230,22 @@ def score(p: dict, shape: Shape, docs: list[np.ndarray], end: int, window: int =
 
 class Trainer:
     """Adam over windows of `window` steps in `streams` parallel streams of documents; a state never enters the next
-    document, and gradients stop at the window's edge. Arrays of a window have a row a feature and a column for each
-    step and stream, step by step."""
+    document, and gradients stop at the window's edge. Arrays of a window have a row for each step and stream, step by
+    step, and are kept for the next window, as new memory costs more than the sums in it."""
 
     def __init__(self, p: dict, shape: Shape, rate: float, window: int = 20, streams: int = 256):
         self.p, self.shape, self.rate, self.window, self.streams = {k: v.copy() for k, v in p.items()}, shape, rate, window, streams
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
         self.t = 0
+        self.kept: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *size: int) -> np.ndarray:
+        """An array with whatever it held before."""
+        n = math.prod(size)
+        if name not in self.kept or self.kept[name].size < n:
+            self.kept[name] = np.empty(n, F32)
+        return self.kept[name][:n].reshape(size)
 
     def run(self, docs: list[np.ndarray], end: int) -> None:
         """One pass over docs, dealt out to the streams in turn."""
@@ -188,98 +265,124 @@ class Trainer:
             h = self.step(np.maximum(before, 0), want, h, before == end)
             last = want[-1]
 
+    @np.errstate(over="ignore")
     def step(self, before: np.ndarray, want: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        """Learns from one window; returns the streams' states at its end."""
-        p, sh = self.p, self.shape
+        """Learns from one window; h and what is returned are the streams' states before and after it, a column each."""
+        p, sh, room = self.p, self.shape, self.room
         hid, (steps, b) = sh.hidden, before.shape
-        cols = [slice(s * b, (s + 1) * b) for s in range(steps)]
-        half = np.ones((3 * hid, 1), F32)
-        half[: 2 * hid] = 0.5  # gates as the sigmoid of twice their halves
-        e = np.take(p["E"], before.ravel(), 0)
-        x = (p["Wx"].T * half) @ e.T
-        x += p["b"][:, None] * half
-        z, r, zr, n = x[:hid], x[hid : 2 * hid], x[: 2 * hid], x[2 * hid :]
-        keep = (~fresh).astype(F32)
-        u = p["U"].T * half
-        hp, hs, qs = (np.empty((hid, steps * b), F32) for _ in range(3))
-        for s, c in enumerate(cols):
-            np.multiply(h, keep[s], out=hp[:, c])
-            q = u @ hp[:, c]
-            zr[:, c] += q[: 2 * hid]
-            _tanh_gates(zr[:, c])
-            qs[:, c] = q[2 * hid :]
-            q = q[2 * hid :]
-            q *= r[:, c]
-            n[:, c] += q
-            np.tanh(n[:, c], out=n[:, c])
-            h = hp[:, c] - n[:, c]
-            h *= z[:, c]
-            h += n[:, c]
-            hs[:, c] = h
-        grad, dout = self.output_gradients(hs, want.ravel())
+        order, first, words, place = _alike(before.ravel(), sh.words + sh.extra)
+        place = place.reshape(steps, b)
+        e = np.take(p["E"], words, 0)
+        table, u = _gate_tables(e, p, hid)
+        hp, hs, ns = (room(k, steps, b, hid) for k in ("hp", "hs", "n"))
+        zrs, qs, x = room("zr", steps, b, 2 * hid), room("q", steps, b, 3 * hid), room("gates", b, 3 * hid)
+        at, which = np.nonzero(fresh)
+        edges = np.searchsorted(at, np.arange(steps + 1)).tolist()
+        new = [which[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+        h = h.T
+        for s in range(steps):
+            hp[s] = h
+            h = hp[s]
+            if len(new[s]):
+                h[new[s]] = 0
+            zr, n, q = zrs[s], ns[s], np.matmul(h, u, out=qs[s])
+            np.take(table, place[s], 0, out=x, mode="clip")
+            np.add(x[:, : 2 * hid], q[:, : 2 * hid], out=zr)
+            _sigmoid_of_minus(zr)
+            np.multiply(q[:, 2 * hid :], zr[:, hid:], out=n)
+            n += x[:, 2 * hid :]
+            _tanh_of_minus_half(n)
+            h = np.subtract(h, n, out=hs[s])
+            h *= zr[:, :hid]
+            h += n
+        h = h.T.copy()
+        grad, dout = self.output_gradients(hs.reshape(-1, hid), want.ravel())
+        dout = dout.reshape(steps, b, hid)
         # what a change of the state does to the gates before their functions
-        one = F32(1)
-        to_n = (one - z) * (one - n * n)
-        to_z = (hp - n) * z * (one - z)
-        to_r = qs * r * (one - r)
-        dx, dg = np.empty_like(x), np.empty_like(x)
-        dh = np.zeros((hid, b), F32)
+        one, half = F32(1), F32(-0.5)  # q is minus twice the state's part of n; r's share of g is so until its sums are taken
+        g, dns = room("g", steps, b, 3 * hid), room("dn", steps, b, hid)
+        dh, back, x, y = (room(k, b, hid) for k in ("dh", "back", "x", "y"))
+        dh[:] = 0
+        u = np.ascontiguousarray(p["U"].T)
+        u[hid : 2 * hid] *= half
         for s in range(steps - 1, -1, -1):
-            c = cols[s]
-            dh += dout[:, c]
-            g = dg[:, c]
-            dn = dh * to_n[:, c]
-            np.multiply(dh, to_z[:, c], out=g[:hid])
-            np.multiply(dn, to_r[:, c], out=g[hid : 2 * hid])
-            np.multiply(dn, r[:, c], out=g[2 * hid :])
-            dx[2 * hid :, c] = dn
-            dh *= z[:, c]
-            dh += p["U"] @ g
-            dh *= keep[s]
-        dx[: 2 * hid] = dg[: 2 * hid]
-        grad["U"], grad["Wx"], grad["b"] = hp @ dg.T, (dx @ e).T, dx.sum(1)
-        ids = before.ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        de = np.take(dx.T @ p["Wx"].T, order, 0)
-        grad["E"] = np.add.reduceat(de, first, axis=0)
-        self.update(grad, ids[order][first])
+            z, r, n, dn, ds = zrs[s, :, :hid], zrs[s, :, hid:], ns[s], dns[s], g[s]
+            dh += dout[s]
+            np.subtract(one, z, out=x)
+            np.multiply(n, n, out=dn)
+            np.subtract(one, dn, out=dn)
+            dn *= x
+            dn *= dh
+            x *= z
+            dh_z = ds[:, :hid]
+            np.subtract(hp[s], n, out=y)
+            y *= x
+            np.multiply(y, dh, out=dh_z)
+            np.subtract(one, r, out=x)
+            x *= r
+            x *= qs[s, :, 2 * hid :]
+            np.multiply(x, dn, out=ds[:, hid : 2 * hid])
+            np.multiply(dn, r, out=ds[:, 2 * hid :])
+            dh *= z
+            dh += np.matmul(ds, u, out=back)
+            if len(new[s]):
+                dh[new[s]] = 0
+        flat_g = g.reshape(-1, 3 * hid)
+        grad["U"] = (flat_g.T @ hp.reshape(-1, hid)).T
+        grad["U"][:, hid : 2 * hid] *= half
+        g[:, :, 2 * hid :] = dns
+        of_words = _sums_of_runs(np.take(flat_g, order, 0, out=room("sorted", *flat_g.shape), mode="clip"), first)
+        of_words[:, hid : 2 * hid] *= half
+        grad["Wx"], grad["b"], grad["E"] = e.T @ of_words, of_words.sum(0), of_words @ p["Wx"].T
+        self.update(grad, words)
         return h
 
-    def output_gradients(self, hs: np.ndarray, ids: np.ndarray) -> tuple[dict, np.ndarray]:
-        """Gradients of the output weights, and of the states hs (a column each), of the mean loss over ids of 0 or more."""
-        p, sh = self.p, self.shape
+    def output_gradients(self, hs: np.ndarray, ids: np.ndarray, rows: int = 1024) -> tuple[dict, np.ndarray]:
+        """Gradients of the output weights, and of the states hs (a row each), of the mean loss over ids of 0 or more."""
+        p, sh, room = self.p, self.shape, self.room
         use = ids >= 0
         n = F32(1 / max(1, int(use.sum())))
-        ids = np.where(use, ids, 0)
-        at = np.arange(len(ids))
-        d = p["Wc"].T @ hs
-        d += p["bc"][:, None]
-        if not _tame(p["Wc"], p["bc"]):
-            d -= d.max(0)
-        np.exp(d, out=d)
-        weight = n * use
-        d *= weight / d.sum(0)
-        d[_class_of(sh, ids), at] -= weight
-        grad = {"Wc": hs @ d.T, "bc": d.sum(1), "Wo": np.zeros_like(p["Wo"]), "bo": np.zeros_like(p["bo"])}
-        dout = p["Wc"] @ d
-        rows, classes = _by_class(sh, np.where(use, ids, sh.words))
-        out, inside = np.take(np.ascontiguousarray(hs.T), rows, 0), ids[rows] % sh.width
-        back, tame = np.empty_like(out), _tame(p["Wo"], p["bo"])
-        ones = np.ones(sh.width, hs.dtype)
-        for k, i, j in classes:
-            d = out[i:j] @ p["Wo"][k]
-            d += p["bo"][k]
+        weight = n * use.astype(hs.dtype)
+        class_, at = _class_of(sh, np.where(use, ids, 0)), np.arange(len(ids))
+        grad = {"Wc": np.zeros_like(p["Wc"]), "bc": np.zeros_like(p["bc"]), "Wo": room("grad of Wo", *p["Wo"].shape), "bo": np.zeros_like(p["bo"])}
+        dout, w = room("dout", *hs.shape), np.ascontiguousarray(p["Wc"].T)
+        tame, ones = _tame(p["Wc"], p["bc"]), np.ones(max(len(ids), len(p["bc"]), sh.width), hs.dtype)
+        for i in range(0, len(ids), rows):
+            h, part = hs[i : i + rows], slice(i, i + rows)
+            d = np.matmul(h, p["Wc"], out=room("d", len(h), len(p["bc"])))
+            d += p["bc"]
+            if not tame:
+                d -= d.max(1, keepdims=True)
+            np.exp(d, out=d)
+            d *= (weight[part] / (d @ ones[: d.shape[1]]))[:, None]
+            d[at[: len(h)], class_[part]] -= weight[part]
+            grad["Wc"] += (d.T @ h).T
+            grad["bc"] += ones[: len(h)] @ d
+            np.matmul(d, w, out=dout[part])
+        order, classes = _by_class(sh, np.where(use, ids, sh.words))
+        out, inside = np.take(hs, order, 0, out=room("out", len(order), sh.hidden), mode="clip"), ids[order] % sh.width
+        back, tame = room("inside", len(order) + 1, sh.hidden), _tame(p["Wo"], p["bo"])
+        back[-1] = 0  # for rows without an own output
+        place = np.full(len(ids), len(order))
+        place[order] = at[: len(order)]
+        grad["Wo"][np.setdiff1d(np.arange(sh.classes), [k for k, _, _ in classes])] = 0
+        for some in _gathered(classes, rows):
+            lo, hi = some[0][1], some[-1][2]
+            d = room("d", hi - lo, sh.width)
+            for k, i, j in some:
+                x = np.matmul(out[i:j], p["Wo"][k], out=d[i - lo : j - lo])
+                x += p["bo"][k]
             if not tame:
                 d -= d.max(1, keepdims=True)
             np.exp(d, out=d)
-            d *= (n / (d @ ones))[:, None]
-            d[at[: j - i], inside[i:j]] -= n
-            grad["Wo"][k], grad["bo"][k] = out[i:j].T @ d, d.sum(0)
-            np.matmul(d, p["Wo"][k].T, out=back[i:j])
-        spread = np.zeros((len(ids), sh.hidden), hs.dtype)
-        spread[rows] = back
-        dout += spread.T
+            d *= (n / (d @ ones[: sh.width]))[:, None]
+            d[at[: hi - lo], inside[lo:hi]] -= n
+            for k, i, j in some:
+                x = d[i - lo : j - lo]
+                np.matmul(out[i:j].T, x, out=grad["Wo"][k])
+                np.matmul(ones[: j - i], x, out=grad["bo"][k])
+                np.matmul(x, p["Wo"][k].T, out=back[i:j])
+        dout += np.take(back, place, 0, out=room("d", *hs.shape), mode="clip")
         return grad, dout
 
     def update(self, grad: dict, words: np.ndarray, b1: float = 0.9, b2: float = 0.99) -> None:
@@ -287,15 +390,15 @@ class Trainer:
         self.t += 1
         rate = F32(self.rate * math.sqrt(1 - b2**self.t) / (1 - b1**self.t))
         size = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
-        scale = F32(min(1.0, 1.0 / max(size, 1e-9)))
+        scale = F32((1 - b1) * min(1.0, 1.0 / max(size, 1e-9)))
         for k, g in grad.items():
             at = words if k == "E" else slice(None)
             m, v = self.m[k][at], self.v[k][at]
             g *= scale
             m *= F32(b1)
-            m += F32(1 - b1) * g
+            m += g
             g *= g
-            g *= F32(1 - b2)
+            g *= F32((1 - b2) / (1 - b1) ** 2)
             v *= F32(b2)
             v += g
             if k == "E":

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import gru
-from driftline.llm.common import ascii_lower, id_crc, stable, table, words
+from driftline.llm.common import id_crc, slices, stable, table
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Kinds of words without outputs of their own: by the last character, by size, by whether all are single bytes.
@@ -30,11 +31,6 @@ def kind_column(w: Column) -> Column:
     return ends + F.when(F.octet_length(w) > 8, 3).otherwise(0) + F.when(F.octet_length(w) != F.length(w), 6).otherwise(0)
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words with A-Z in lower case."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 @dataclass
 class Vocabulary:
     """words: frequent words with their training counts, at most as many as asked for; the first `own` of them have
@@ -53,18 +49,21 @@ class Vocabulary:
     def shape(self) -> gru.Shape:
         return gru.Shape(self.own + 1, KINDS)
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words, 1)}
-
     def starting_counts(self) -> np.ndarray:
         return np.asarray([self.ends, *self.counts[: self.own], *[n + 1 for n, _ in self.kinds]])
 
 
 def count_words(train: DataFrame, text: str = "text") -> DataFrame:
     """(word, c): the count of every word of the training texts. Null and empty texts have none, repeated rows count as
-    often, no rows give none; only the text's column is read."""
-    each = train.select(F.explode(words(ascii_lower(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
-    return stable(each.groupBy("word").agg(F.count("*").alias("c")))
+    often, no rows give none; only the text's column is read. A slice of texts is split and counted in Arrow first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, most=16_000_000):
+            found = split(part.column("text"))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+
+    each = train.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "word string, n long")
+    return stable(each.groupBy("word").agg(F.sum("n").alias("c")))
 
 
 def vocabulary(counted: DataFrame, ends: int, own: int, known: int, longest: int = 64) -> Vocabulary:
@@ -89,35 +88,73 @@ def vocabulary(counted: DataFrame, ends: int, own: int, known: int, longest: int
     return Vocabulary(words_, counts, min(own, len(words_)), ends, n + ends, v + (ends > 0), [tuple(sums.get(k, (0, 0))) for k in range(KINDS)])
 
 
+@dataclass
+class Read:
+    """The words of some texts, one text after another. starts: where each text's words begin, and their number; ranks:
+    1.. for frequent words, else 0; ids: model ids of the words; rare: for each text its other words in a string."""
+
+    starts: np.ndarray
+    ranks: np.ndarray
+    ids: np.ndarray
+    rare: pa.Array
+
+    def documents(self) -> list[np.ndarray]:
+        """Each text's model ids, its end included."""
+        n = np.diff(self.starts)
+        out = np.zeros(len(self.ids) + len(n), np.int64)
+        out[np.arange(len(self.ids)) + np.repeat(np.arange(len(n)), n)] = self.ids
+        return np.split(out, (self.starts[1:] + np.arange(1, len(n) + 1))[:-1]) if len(n) else []
+
+    def sums(self, of_words: np.ndarray) -> np.ndarray:
+        n = np.diff(self.starts)
+        return np.bincount(np.repeat(np.arange(len(n)), n), of_words, len(n))
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts with A-Z in lower case, and where each text's begin, and their number."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    starts -= starts[0]
+    some = pc.binary_length(flat).to_numpy() > 0
+    if not some.all():  # around spaces at a text's ends, or for a text without words
+        flat, starts = flat.filter(pa.array(some)), np.concatenate([[0], np.cumsum(some)])[starts]
+    return flat, starts
+
+
+def kinds(w: pa.Array) -> np.ndarray:
+    """The kind of each word."""
+    if not len(w):
+        return np.zeros(0, np.int64)
+    w = w.cast(pa.large_binary())
+    ends = np.frombuffer(w.buffers()[1], np.int64)[w.offset : w.offset + len(w) + 1]
+    data = np.frombuffer(w.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    wide = np.concatenate([[0], np.cumsum(data > 127)])[ends]
+    return _LAST[data[ends[1:] - 1]] + 3 * (np.diff(ends) > 8) + 6 * (np.diff(wide) > 0)
+
+
+#: By a word's last byte.
+_LAST = np.asarray([kind(bytes([b])) % 3 for b in range(256)])
+
+
 class Reader:
     """Texts as model ids, and where the words' ranks are."""
 
     def __init__(self, vocab: Vocabulary):
-        self.get, self.own = vocab.index().get, vocab.own
+        self.words, self.own = pa.array(vocab.words, pa.binary()).view(pa.string()), vocab.own
         # by rank: a word's own id, or that of its kind
-        self.by_rank = np.asarray([0, *[i if i <= vocab.own else vocab.own + 1 + kind(w) for i, w in enumerate(vocab.words, 1)]], np.int64)
-
-    def ranks(self, w: list[bytes]) -> np.ndarray:
-        """1.. for frequent words, else 0."""
-        return np.fromiter(map(self.get, w, repeat(0)), np.int64, len(w))
+        self.by_rank = np.concatenate([np.arange(vocab.own + 1), vocab.own + 1 + kinds(self.words[vocab.own :])])
 
-    def ids(self, w: list[bytes], ranks: np.ndarray) -> np.ndarray:
-        ids = np.append(self.by_rank[ranks], 0)
-        rare = np.nonzero(ranks == 0)[0]
-        ids[rare] = [self.own + 1 + kind(w[i]) for i in rare.tolist()]
-        return ids
-
-
-def _sliced(texts: list[str], chars: int) -> Iterator[list[int]]:
-    at, n = [], 0
-    for i, t in enumerate(texts):
-        at.append(i)
-        n += len(t)
-        if n >= chars:
-            yield at
-            at, n = [], 0
-    if at:
-        yield at
+    def read(self, texts: pa.Array) -> Read:
+        flat, starts = split(texts)
+        found = pc.index_in(flat, value_set=self.words.cast(flat.type))
+        ranks = pc.fill_null(found, -1).to_numpy().astype(np.int64) + 1
+        ids = self.by_rank[ranks]
+        other = ranks == 0
+        rare = flat.filter(pa.array(other))
+        ids[other] = self.own + 1 + kinds(rare)
+        begin = np.concatenate([[0], np.cumsum(other)])[starts]
+        return Read(starts, ranks, ids, pc.binary_join(pa.LargeListArray.from_arrays(pa.array(begin, pa.int64()), rare), " "))
 
 
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 3, warm_docs: int = 400, rate: float = 0.004, text: str = "text", key: str = "doc_id") -> np.ndarray:
@@ -140,18 +177,15 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 3, warm_docs: int =
     vocab_ = spark.sparkContext.broadcast(vocab)
 
     def learn(weights_, rate_: float):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader, n = Reader(vocab_.value), 0
             trainer = gru.Trainer(gru.shaped(weights_.value, shape), shape, rate_)
-            for pdf in batches:
-                texts = pdf["text"].tolist()
-                for at in _sliced(texts, 2_000_000):
-                    ws = [tokens(texts[i]) for i in at]
-                    ids = [reader.ids(w, reader.ranks(w)) for w in ws]
-                    n += sum(map(len, ids))
-                    trainer.run(ids, 0)
+            for part in slices(batches, most=2_000_000):
+                ids = reader.read(part.column("text")).documents()
+                n += sum(map(len, ids))
+                trainer.run(ids, 0)
             if n:
-                yield pd.DataFrame({"n": [n], "w": [gru.flat(trainer.p).astype("<f4").tobytes()]})
+                yield pa.RecordBatch.from_pydict({"n": [n], "w": [gru.flat(trainer.p).astype("<f4").tobytes()]})
 
         return run
 
@@ -166,7 +200,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 3, warm_docs: int =
 
     def averaged(part: DataFrame, rate_: float) -> np.ndarray:
         weights_ = spark.sparkContext.broadcast(weights)
-        found = part.select("text").mapInPandas(learn(weights_, rate_), "n long, w binary").repartition(8).mapInPandas(summed, "n long, w binary").collect()
+        found = part.select("text").mapInArrow(learn(weights_, rate_), "n long, w binary").repartition(8).mapInPandas(summed, "n long, w binary").collect()
         total = sum(r["n"] for r in found)
         return sum(r["n"] / total * np.frombuffer(r["w"], "<f4").astype(np.float64) for r in found).astype(np.float32) if found else weights
 
@@ -201,33 +235,24 @@ def score(docs: DataFrame, vocab: Vocabulary, counted: DataFrame, weights: np.nd
     body = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(body).alias("t"), body.alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, weights = both.value
         reader, p = Reader(vocab), gru.shaped(weights, vocab.shape)
         logs = np.log10(np.asarray([vocab.ends, *vocab.counts], np.float64) + 1)  # by rank, the end first
+        end, logs[0] = logs[0], 0
         all_ = np.log10(vocab.total + vocab.distinct + 1)
-        of_kind = np.log10([n + v + 1 for n, v in vocab.kinds])
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for at in _sliced(texts, 16_000_000):
-                ids, rows = [], []
-                for i in at:
-                    w = tokens(texts[i])
-                    ranks = reader.ranks(w)
-                    x = reader.ids(w, ranks)
-                    ids.append(x)
-                    found = ranks > 0
-                    other = x[:-1] > vocab.own
-                    count = logs[ranks[found]].sum()
-                    inside = logs[ranks[found & other]].sum() - of_kind[x[:-1][other] - vocab.own - 1].sum()
-                    rare = b" ".join([w[j] for j in np.flatnonzero(~found).tolist()]).decode("utf-8", "surrogatepass")
-                    rows.append((len(x), int(found.sum()) + (vocab.ends > 0), count + logs[0] - all_ * len(x), inside, rare))
-                n, known, base, inside, rare = zip(*rows, strict=True)
-                lm = gru.score(p, vocab.shape, ids, 0) / np.log(10)
-                part = pdf.iloc[at]
-                yield pd.DataFrame({"d": part["d"].astype("Int64"), "t": part["t"], "n_tokens": n, "n_known": known, "base": base, "lm": lm + np.asarray(inside), "rare": rare})
-
-    read = stable(source.mapInPandas(run, "d long, t long, n_tokens long, n_known long, base double, lm double, rare string"))
+        of_kind = np.concatenate([np.zeros(vocab.own + 1), np.log10([n + v + 1 for n, v in vocab.kinds])])  # by id
+        in_kind = np.where(np.arange(len(logs)) > vocab.own, logs, 0)  # by rank
+        for part in slices(batches, most=16_000_000):
+            x = reader.read(part.column("text"))
+            n = np.diff(x.starts) + 1
+            known = x.sums(x.ranks > 0).astype(np.int64) + (vocab.ends > 0)
+            base = x.sums(logs[x.ranks]) + end - all_ * n
+            lm = gru.score(p, vocab.shape, x.documents(), 0) / np.log(10) + x.sums(in_kind[x.ranks] - of_kind[x.ids])
+            columns = [part.column("d"), part.column("t"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(lm), x.rare.cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["d", "t", "n_tokens", "n_known", "base", "lm", "rare"])
+
+    read = stable(source.mapInArrow(run, "d long, t long, n_tokens long, n_known long, base double, lm double, rare string"))
     scored = read.groupBy("d", "t").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_tokens", "n_known", "base", "lm")])
     rare = read.where("rare <> ''").select("d", "t", F.explode(F.split("rare", " ")).alias("word"))
     rare = rare.join(counted, "word").groupBy("d", "t").agg(F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("logs"), F.count("*").alias("n"))
