@@ -138,7 +138,10 @@ def _class_of(shape: Shape, ids: np.ndarray) -> np.ndarray:
 
 def _tame(w: np.ndarray, bias: np.ndarray) -> bool:
     """Whether no logit can be large enough for its exponential to overflow; states lie within -1 and 1."""
-    return float(np.abs(w).sum(-2).max() + bias.max()) < 80 and float(bias.max()) > -80
+    high = float(bias.max())
+    if max(float(w.max()), -float(w.min())) * w.shape[-2] + high >= 80 and float(np.abs(w).sum(-2).max()) + high >= 80:
+        return False
+    return high > -80
 
 
 def _picked(x: np.ndarray, at: np.ndarray, tame: bool) -> np.ndarray:
@@ -274,29 +277,32 @@ class Trainer:
         place = place.reshape(steps, b)
         e = np.take(p["E"], words, 0)
         table, u = _gate_tables(e, p, hid)
-        hp, hs, ns = (room(k, steps, b, hid) for k in ("hp", "hs", "n"))
-        zrs, qs, x = room("zr", steps, b, 2 * hid), room("q", steps, b, 3 * hid), room("gates", b, 3 * hid)
+        hs, ns, qs, zrs = room("h", steps + 1, b, hid), room("n", steps, b, hid), room("q", steps, b, hid), room("zr", steps, b, 2 * hid)
+        q, x = room("state's", b, 3 * hid), room("word's", b, 3 * hid)
         at, which = np.nonzero(fresh)
         edges = np.searchsorted(at, np.arange(steps + 1)).tolist()
         new = [which[i:j] for i, j in zip(edges, edges[1:], strict=False)]
-        h = h.T
+        hs[0] = h.T
         for s in range(steps):
-            hp[s] = h
-            h = hp[s]
+            h, zr, n = hs[s], zrs[s], ns[s]
             if len(new[s]):
+                h = h.copy()
                 h[new[s]] = 0
-            zr, n, q = zrs[s], ns[s], np.matmul(h, u, out=qs[s])
+            np.matmul(h, u, out=q)
             np.take(table, place[s], 0, out=x, mode="clip")
             np.add(x[:, : 2 * hid], q[:, : 2 * hid], out=zr)
             _sigmoid_of_minus(zr)
-            np.multiply(q[:, 2 * hid :], zr[:, hid:], out=n)
+            qs[s] = q[:, 2 * hid :]
+            np.multiply(qs[s], zr[:, hid:], out=n)
             n += x[:, 2 * hid :]
             _tanh_of_minus_half(n)
-            h = np.subtract(h, n, out=hs[s])
+            h = np.subtract(h, n, out=hs[s + 1])
             h *= zr[:, :hid]
             h += n
         h = h.T.copy()
-        grad, dout = self.output_gradients(hs.reshape(-1, hid), want.ravel())
+        grad, dout = self.output_gradients(hs[1:].reshape(-1, hid), want.ravel())
+        hp = hs[:-1]  # states before the steps; what comes after them has been used
+        hp[at, which] = 0
         dout = dout.reshape(steps, b, hid)
         # what a change of the state does to the gates before their functions
         one, half = F32(1), F32(-0.5)  # q is minus twice the state's part of n; r's share of g is so until its sums are taken
@@ -320,7 +326,7 @@ class Trainer:
             np.multiply(y, dh, out=dh_z)
             np.subtract(one, r, out=x)
             x *= r
-            x *= qs[s, :, 2 * hid :]
+            x *= qs[s]
             np.multiply(x, dn, out=ds[:, hid : 2 * hid])
             np.multiply(dn, r, out=ds[:, 2 * hid :])
             dh *= z
